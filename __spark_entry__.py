@@ -22,6 +22,7 @@ from keystone.operators.labor import labor_productivity
 from keystone.operators.projects import project_performance
 from keystone.operators.safety import safety_metrics
 from keystone.operators.subcontractors import subcontractor_scorecard
+from keystone.operators import portfolio as D
 from keystone.sources.star import load_star
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -51,6 +52,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a5_safety_metrics": _star(safety_metrics, start=A5_WINDOW[0], end=A5_WINDOW[1]),
         "a6_budget_variance": _star(budget_variance),
     }
+    a1 = lambda s: project_performance(s, as_of=A1_AS_OF)                        # noqa: E731
+    a2 = lambda s: equipment_utilization(s, start=A2_WINDOW[0], end=A2_WINDOW[1])
+    a5 = lambda s: safety_metrics(s, start=A5_WINDOW[0], end=A5_WINDOW[1])       # noqa: E731
+    over = {
+        "d4_variance_by_type": (budget_variance, D.variance_by_type),
+        "d5_top_overruns": (budget_variance, D.top_overruns),
+        "d6_cost_category_long": (a1, D.cost_category_long),
+        "d8_fleet_kpis": (a2, D.fleet_kpis),
+        "d9_utilization_by_type": (a2, D.utilization_by_type),
+        "d10_utilization_tiers": (a2, D.utilization_tiers),
+        "d11_scorecard_kpis": (subcontractor_scorecard, D.scorecard_kpis),
+        "d12_cpi_histogram": (subcontractor_scorecard, D.cpi_histogram),
+        "d13_performance_tiers": (subcontractor_scorecard, D.performance_tiers),
+        "d14_best_per_trade": (subcontractor_scorecard, D.best_per_trade),
+        "d15_labor_kpis": (labor_productivity, D.labor_kpis),
+        "d16_labor_trend": (labor_productivity, D.labor_trend),
+        "d17_incidents_by_severity": (a5, D.incidents_by_severity),
+        "d17_incidents_by_type": (a5, D.incidents_by_type),
+        "d18_severity_type_matrix": (a5, D.severity_type_matrix),
+        "d19_cpi_bands": (a1, D.performance_bands),
+        "d19_variance_bands": (budget_variance, D.variance_bands),
+    }
+    q.update({
+        "d1_portfolio_kpis": _star(D.portfolio_kpis),
+        "d2_status_distribution": _star(D.status_distribution),
+        "d3_project_list": _star(D.project_list),
+        "d7_project_timeline": _star(D.project_timeline, as_of=A1_AS_OF),
+    })
+    for k, (rep, fn) in over.items():
+        q[k] = (lambda rep, fn: lambda spark, d: fn(rep(load_star(spark, d))))(rep, fn)
     return q
 
 

@@ -23,6 +23,7 @@ from keystone.operators.projects import project_performance
 from keystone.operators.safety import safety_metrics
 from keystone.operators.subcontractors import subcontractor_scorecard
 from keystone.operators import portfolio as D
+from keystone.plans import features as M
 from keystone.sources.star import load_star
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -80,6 +81,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d3_project_list": _star(D.project_list),
         "d7_project_timeline": _star(D.project_timeline, as_of=A1_AS_OF),
     })
+    q.update({
+        "m2_cost_overrun_dataset": _star(M.cost_overrun_dataset),
+        "m3_maintenance_snapshots": _star(M.maintenance_snapshots),
+        "m4_maintenance_features": _star(M.maintenance_scoring_features, as_of=M_AS_OF),
+    })
     for k, (rep, fn) in over.items():
         q[k] = (lambda rep, fn: lambda spark, d: fn(rep(load_star(spark, d))))(rep, fn)
     return q

@@ -24,6 +24,9 @@ from keystone.operators.safety import safety_metrics
 from keystone.operators.subcontractors import subcontractor_scorecard
 from keystone.operators import portfolio as D
 from keystone.plans import features as M
+from keystone.plans import models as MD
+from keystone.plans.metrics import binary_metrics, class_balance
+from keystone.plans.registry import get_model
 from keystone.sources.star import load_star
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -86,11 +89,70 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m3_maintenance_snapshots": _star(M.maintenance_snapshots),
         "m4_maintenance_features": _star(M.maintenance_scoring_features, as_of=M_AS_OF),
     })
+    q.update(ml_queries())
     for k, (rep, fn) in over.items():
         q[k] = (lambda rep, fn: lambda spark, d: fn(rep(load_star(spark, d))))(rep, fn)
     return q
 
 
+def _rule_scores(star):
+    """M9 input: the early-CPI rule (overrun when early CPI < 1) on the M2 dataset."""
+    from pyspark.sql import functions as F
+    ds = M.cost_overrun_dataset(star)
+    return ds.select(F.col("will_overrun").alias("label"),
+                     F.when(F.col("early_phase_cpi") < 1.0, 1).otherwise(0).alias("prediction"),
+                     (-F.col("early_phase_cpi")).alias("score"))
+
+
+def ml_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """M5/M9/M19 (oracle-checked) and the forest train / score operators (rows only)."""
+    from pyspark.sql import functions as F
+
+    def enc(spark, d):
+        ds = M.cost_overrun_dataset(load_star(spark, d))
+        return MD.encoder_table(spark, MD.fit_label_encoder(ds, "project_type"), "project_type")
+
+    cost = lambda spark, d: get_model(spark, d, "cost")           # noqa: E731
+    maint = lambda spark, d: get_model(spark, d, "maintenance")
+    return {
+        "m5_project_type_encoding": enc,
+        "m9_binary_metrics": _star(lambda s: binary_metrics(_rule_scores(s))),
+        "m19_cost_class_balance": _star(lambda s: class_balance(M.cost_overrun_dataset(s),
+                                                                "will_overrun")),
+        "m19_maintenance_class_balance": _star(lambda s: class_balance(
+            M.maintenance_snapshots(s), "needs_maintenance_soon")),
+        "m6_stratified_split": _star(lambda s: MD.stratified_split(
+            M.cost_overrun_dataset(s), "will_overrun", ["project_id"]).groupBy(
+            "will_overrun", "is_test").count()),
+        "m10_cost_feature_importance": lambda spark, d: cost(spark, d).feature_importance,
+        "m10_maintenance_feature_importance": lambda spark, d: maint(spark, d).feature_importance,
+        "m11_cost_model_metrics": lambda spark, d: cost(spark, d).metrics(),
+        "m12_maintenance_model_metrics": lambda spark, d: maint(spark, d).metrics(),
+        "m13_score_projects": lambda spark, d: MD.score_projects(load_star(spark, d), cost(spark, d)),
+        "m14_score_equipment": lambda spark, d: MD.score_equipment(
+            load_star(spark, d), maint(spark, d), as_of=M_AS_OF),
+        "m15_portfolio_risk": lambda spark, d: MD.portfolio_risk(load_star(spark, d), cost(spark, d)),
+        "m16_fleet_risk": lambda spark, d: MD.fleet_risk(load_star(spark, d), maint(spark, d),
+                                                         as_of=M_AS_OF),
+        "m17_portfolio_risk_kpis": lambda spark, d: MD.risk_kpis(
+            MD.portfolio_risk(load_star(spark, d), cost(spark, d)), "risk_level",
+            "overrun_probability"),
+        "m17_fleet_risk_kpis": lambda spark, d: MD.risk_kpis(
+            MD.fleet_risk(load_star(spark, d), maint(spark, d), as_of=M_AS_OF), "risk",
+            "maintenance_probability"),
+        "m18_high_risk_projects": lambda spark, d: MD.high_risk(
+            MD.portfolio_risk(load_star(spark, d), cost(spark, d)), "risk_level", "High"),
+        "m18_critical_equipment": lambda spark, d: MD.high_risk(
+            MD.fleet_risk(load_star(spark, d), maint(spark, d), as_of=M_AS_OF), "risk", "Critical"),
+        "m20_cost_metrics_table": lambda spark, d: cost(spark, d).metrics(),
+        "m21_labelled_importance": lambda spark, d: MD.labelled_importance(
+            cost(spark, d).feature_importance.unionByName(maint(spark, d).feature_importance)),
+        "m3_class_by_type": _star(lambda s: M.maintenance_snapshots(s).groupBy("equipment_type")
+                                  .agg(F.count(F.lit(1)).alias("snapshots"),
+                                       F.sum("needs_maintenance_soon").alias("positives"))),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per key of ``queries()`` (omitted for non-SQL operators)."""
     from oracle_queries import all_oracles

@@ -99,7 +99,7 @@ def project_scoring_features(star: dict[str, DataFrame], ids: DataFrame | None =
 # ---------------------------------------------------------------------------
 # Maintenance features
 # ---------------------------------------------------------------------------
-_EPOCH = F.lit(_dt.date(1970, 1, 1))
+_EPOCH_DATE = _dt.date(1970, 1, 1)
 
 
 def daily_usage(usage: DataFrame) -> DataFrame:
@@ -170,11 +170,11 @@ def maintenance_snapshots(star: dict[str, DataFrame], min_rows: int = 5,
                      F.explode(F.sequence("s0", "s1", F.expr("INTERVAL 1 MONTH"))).alias("snap")))
 
     ev = daily.join(eq.select("equipment_id"), "equipment_id", "left_semi").select(
-        "equipment_id", F.datediff("date_id", _EPOCH).alias("day"), "h", "f", "ms", "mn", "rows",
+        "equipment_id", F.datediff("date_id", F.lit(_EPOCH_DATE)).alias("day"), "h", "f", "ms", "mn", "rows",
         F.lit(False).alias("is_snap"), F.lit(None).cast("string").alias("equipment_type"),
         F.lit(None).cast("date").alias("purchase_date"))
     sn = spine.select(
-        "equipment_id", F.datediff("snap", _EPOCH).alias("day"),
+        "equipment_id", F.datediff("snap", F.lit(_EPOCH_DATE)).alias("day"),
         *[F.lit(0.0).alias(c) for c in ("h", "f", "ms")],
         *[F.lit(0).cast("long").alias(c) for c in ("mn", "rows")],
         F.lit(True).alias("is_snap"), "equipment_type", "purchase_date")
@@ -196,7 +196,7 @@ def maintenance_snapshots(star: dict[str, DataFrame], min_rows: int = 5,
         F.max("mn").over(w.rangeBetween(0, horizon_days - 1)).alias("future_events"),
     ).where(F.col("is_snap") & (F.coalesce(F.col("hist_rows"), F.lit(0)) > 0))
 
-    snap = F.date_add(_EPOCH, F.col("day"))
+    snap = F.date_add(F.lit(_EPOCH_DATE), F.col("day"))
     age = F.greatest(F.datediff(snap, "purchase_date"), F.lit(1))
     return f.select(
         "equipment_id", snap.alias("snapshot_date"), "equipment_type",

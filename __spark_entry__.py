@@ -22,7 +22,9 @@ from keystone.operators.labor import labor_productivity
 from keystone.operators.projects import project_performance
 from keystone.operators.safety import safety_metrics
 from keystone.operators.subcontractors import subcontractor_scorecard
+from keystone.operators import extra as R
 from keystone.operators import portfolio as D
+from keystone.operators import quality as Q
 from keystone.plans import features as M
 from keystone.plans import models as MD
 from keystone.plans.metrics import binary_metrics, class_balance
@@ -90,6 +92,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m4_maintenance_features": _star(M.maintenance_scoring_features, as_of=M_AS_OF),
     })
     q.update(ml_queries())
+    q.update({
+        "q1_enum_violations": _star(Q.enum_violations),
+        "q2_foreign_key_orphans": _star(Q.foreign_key_orphans),
+        "q3_not_null_violations": _star(Q.not_null_violations),
+        "q4_primary_key_duplicates": _star(Q.primary_key_duplicates),
+        "r1_inspections_by_project": _star(R.inspection_rates, by="project_id"),
+        "r1_inspections_by_inspector": _star(R.inspection_rates, by="inspector_name"),
+        "r2_delivery_by_supplier": _star(R.delivery_performance, by="supplier"),
+        "r2_delivery_by_project": _star(R.delivery_performance, by="project_id"),
+        "r3_monthly_cost_curve": _star(R.monthly_cost_curve),
+        "r4_incident_trend": _star(R.incident_trend),
+        "r5_equipment_roi_by_type": _star(R.equipment_roi_by_type),
+        "r5_fuel_trend_by_month": _star(R.fuel_trend_by_month),
+    })
     for k, (rep, fn) in over.items():
         q[k] = (lambda rep, fn: lambda spark, d: fn(rep(load_star(spark, d))))(rep, fn)
     return q

@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import dbl, rnd, safe_div
-from keystone.operators.ranking import ordinal_stats
+from keystone.operators.ranking import max_window_rows, ordinal_stats
+from keystone.session import materialize
 
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
+            strategy: str = "auto") -> DataFrame:
     """One-row ROC-AUC by mid-ranks (Mann-Whitney U; tied scores count ½).
 
-    Works on the score's distinct values: their counts and "rows before" come
-    from the distributed ordinal statistics, so no single task sorts all rows.
-    NULL when only one class is present.
+    Works on the score's distinct values and their counts. With ``"auto"`` the
+    distinct-value table is materialized and counted: up to
+    ``keystone.window.maxSingleTaskRows`` values a running-sum window ranks
+    them; beyond that the distributed ordinal statistics do, so no single task
+    ever sorts an unbounded set. NULL when only one class is present.
     """
     s = df.where(F.col(score).isNotNull()).select(
         F.col(score).cast("double").alias("_s"), F.col(label).cast("long").alias("_y"))
-    st = ordinal_stats(s, "_s")                               # (_s, _n, _before, ...)
-    pos = s.groupBy("_s").agg(F.sum("_y").alias("_pos"))
+    vc = s.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
+    if strategy == "auto":
+        vc = materialize(vc, "auc-values")
+        strategy = "window" if vc.count() <= max_window_rows(df.sparkSession) else "distributed"
+    if strategy == "window":
+        w = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        j = vc.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    else:
+        j = ordinal_stats(s, "_s").select("_s", "_before").join(vc, "_s")
     mid = F.col("_before") + (F.col("_n") + 1) / 2.0           # mean 1-based rank of the tie group
-    j = st.join(pos, "_s")
     agg = j.agg(F.sum(F.col("_pos") * mid).alias("rs"), F.sum("_pos").alias("n1"),
                 F.sum("_n").alias("n"))
     n1, n = dbl("n1"), dbl("n")

@@ -110,6 +110,17 @@ def ordinal_stats(df: DataFrame, key: str, parts: Sequence[str] = (),
         nl = nl.select("*", e.getField("_tot").alias("_tot"), e.getField("_first").alias("_first"),
                        e.getField("_last").alias("_last"))
     nulls_first = not descending
+    if nulls_first:
+        # Ascending: the NULL group sorts before every value of its part.
+        nc = vc.where(k.isNull()).select(*[F.col(c).alias(f"_nc_{c}") for c in parts],
+                                         F.col("_n").alias("_nulls"))
+        if parts:
+            cond = [nn[c].eqNullSafe(nc[f"_nc_{c}"]) for c in parts]
+            nn = nn.join(nc, cond, "left").drop(*[f"_nc_{c}" for c in parts])
+        else:
+            nn = nn.withColumn("_nulls", nc.agg(F.sum("_nulls")).scalar())
+        nn = nn.withColumn("_before", (F.col("_before") + F.coalesce("_nulls", F.lit(0)))
+                           .cast("long")).drop("_nulls")
     nl = nl.select(
         *base_cols,
         (F.lit(0) if nulls_first else F.coalesce("_tot", F.lit(0))).cast("long").alias("_before"),

@@ -1,0 +1,94 @@
+"""Golden feature values worked out by hand from the seeds (FIXTURES.md §3)."""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+import pytest
+
+from keystone.plans import features as FE
+
+
+def _rows(df, key):
+    return {r[key]: r.asDict() for r in df.collect()}
+
+
+def test_cost_overrun_dataset(seed_star):
+    rows = _rows(FE.cost_overrun_dataset(seed_star), "project_id")
+    assert sorted(rows) == list(range(1, 9))                   # only COMPLETED projects
+    for pid in range(1, 5):
+        r = rows[pid]
+        assert r["planned_duration"] == 364
+        assert r["variance_pct"] == 25.0 and r["will_overrun"] == 1
+        assert r["early_phase_cpi"] == 0.8
+        assert r["square_footage"] == 10000.0
+    for pid in range(5, 9):
+        r = rows[pid]
+        assert r["variance_pct"] == -20.0 and r["will_overrun"] == 0
+        assert r["early_phase_cpi"] == 1.25
+
+
+def test_project_scoring_features(seed_star):
+    rows = _rows(FE.project_scoring_features(seed_star), "project_id")
+    p9 = rows[9]
+    assert (p9["contract_value"], p9["planned_duration"], p9["square_footage"],
+            p9["early_phase_cpi"]) == (500000.0, 364, 0.0, 0.9)
+    assert rows[10]["early_phase_cpi"] == 1.0                   # project without costs
+
+
+def test_maintenance_snapshots(seed_star):
+    snaps = FE.maintenance_snapshots(seed_star)
+    rows = snaps.collect()
+    assert len(rows) == 40                                      # 4 machines × Mar..Dec 2022
+    assert sum(r.needs_maintenance_soon for r in rows) == 12
+    by = {(r.equipment_id, r.snapshot_date): r.asDict() for r in rows}
+    m = by[(1, _dt.date(2022, 3, 1))]
+    assert (m["age_days"], m["total_hours_used"], m["avg_hours_per_day"], m["fuel_cost_per_hour"],
+            m["recent_fuel_cost_trend"], m["maintenance_event_count"], m["days_since_maintenance"],
+            m["avg_maint_cost_per_event"], m["needs_maintenance_soon"]) == \
+        (424, 472.0, 1.113, 6.25, 1.0, 0, 424, 0.0, 1)
+    m = by[(1, _dt.date(2022, 7, 1))]
+    assert (m["age_days"], m["total_hours_used"], m["avg_hours_per_day"], m["fuel_cost_per_hour"],
+            m["recent_fuel_cost_trend"], m["maintenance_event_count"], m["days_since_maintenance"],
+            m["avg_maint_cost_per_event"], m["needs_maintenance_soon"]) == \
+        (546, 1440.0, 2.637, 6.25, 1.0, 2, 16, 500.0, 0)
+
+
+def test_maintenance_scoring_features(seed_star):
+    rows = _rows(FE.maintenance_scoring_features(seed_star, _dt.date(2026, 2, 17)), "equipment_id")
+    m1 = rows[1]
+    assert (m1["age_days"], m1["total_hours_used"], m1["avg_hours_per_day"], m1["fuel_cost_per_hour"],
+            m1["recent_fuel_cost_trend"], m1["maintenance_event_count"],
+            m1["days_since_maintenance"], m1["avg_maint_cost_per_event"]) == \
+        (1873, 2904.0, 1.55, 6.25, 1.0, 4, 1160, 500.0)
+    m5 = rows[5]
+    assert m5["has_usage"] == 0
+    assert (m5["age_days"], m5["days_since_maintenance"], m5["recent_fuel_cost_trend"]) == \
+        (1873, 1873, 1.0)
+    assert m5["total_hours_used"] == 0 and m5["maintenance_event_count"] == 0
+
+
+def test_label_codes(spark, seed_star):
+    from keystone.plans.models import encode, fit_label_encoder
+    ds = FE.cost_overrun_dataset(seed_star)
+    assert fit_label_encoder(ds, "project_type") == ["COMMERCIAL", "RESIDENTIAL"]
+    eq = seed_star["dim_equipment"].where("id <= 4")
+    labels = fit_label_encoder(eq, "equipment_type")
+    assert labels == ["BULLDOZER", "CRANE", "EXCAVATOR", "TRUCK"]
+    codes = {r[0]: r[1] for r in seed_star["dim_equipment"].select(
+        "equipment_type", encode("equipment_type", labels)).collect()}
+    assert codes == {"BULLDOZER": 0, "CRANE": 1, "EXCAVATOR": 2, "TRUCK": 3, "FORKLIFT": 0}
+
+
+@pytest.mark.parametrize("pid,rows", [(1, 1), (10, 0)])
+def test_project_performance_single(seed_star, pid, rows):
+    """A1 for one project; a project without costs gives zero rows."""
+    from keystone.operators.projects import project_performance
+    out = project_performance(seed_star, project_id=pid, as_of=_dt.date(2026, 2, 17)).collect()
+    assert len(out) == rows
+    if rows:
+        r = out[0]
+        assert r.planned_duration_days == 364 and r.elapsed_days == 361
+        assert r.total_actual == 1200000.0 and r.total_budgeted == 960000.0
+        assert r.category_cpi == 0.8 and r.budget_status == "Over Budget"
+        assert r.pct_of_total_spend == 100.0

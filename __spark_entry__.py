@@ -92,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m4_maintenance_features": _star(M.maintenance_scoring_features, as_of=M_AS_OF),
     })
     q.update(ml_queries())
+    q.update(generator_queries())
     q.update({
         "q1_enum_violations": _star(Q.enum_violations),
         "q2_foreign_key_orphans": _star(Q.foreign_key_orphans),
@@ -169,6 +170,85 @@ def ml_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+STAR_END = _dt.date(2001, 12, 31)
+
+
+def generator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """N1-N14 over the given tables: calendars from the order dates, project
+    structure from the derived projects, generated facts over those windows
+    (summarised per project), generated dimensions keyed by the given tables."""
+    from pyspark.sql import functions as F
+
+    from keystone.sources import generate as G
+    from keystone.sources.calendar import calendar_for_span, holiday_name
+    from keystone.sources.star import read_base
+
+    def windows(star):
+        return G.project_windows(star["dim_projects"], A1_AS_OF, STAR_END)
+
+    def cal(spark, d):
+        return calendar_for_span(read_base(spark, d, "orders"), "o_orderdate")
+
+    def holidays(spark, d):
+        c = cal(spark, d).where("is_holiday")
+        return c.select("date", "year", holiday_name(F.col("date")).alias("holiday"))
+
+    def phase_costs(star):
+        w = windows(star)
+        c = star["fact_project_costs"].join(w, "project_id")
+        ph = G._phase_attr(G.phase_index(F.col("start"), F.col("ref_end"), F.col("date_id")), 0)
+        return c.groupBy(ph.alias("phase")).agg(F.count(F.lit(1)).alias("cost_rows"),
+                                                F.sum("amount").cast("double").alias("actual_cost"))
+
+    def per_project(df, measure=None):
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        if measure is not None:
+            aggs.append(F.sum(measure).cast("double").alias("total"))
+        return df.groupBy("project_id").agg(*aggs)
+
+    def keys(spark, d):
+        ids = lambda t, c: read_base(spark, d, t).select(F.col(c).alias("id"))
+        return {"projects": ids("customer", "c_custkey"), "subcontractors": ids("supplier", "s_suppkey"),
+                "equipment": ids("part", "p_partkey"), "employees": ids("customer", "c_custkey"),
+                "materials": ids("part", "p_partkey")}
+
+    def load(spark, d):
+        import tempfile
+
+        from keystone.session import ensure_checkpoint_dir
+        root = tempfile.mkdtemp(prefix="generated-", dir=ensure_checkpoint_dir(spark))
+        return G.load_generated(spark, keys(spark, d), root)
+
+    return {
+        "n1_calendar": cal,
+        "n2_holidays": holidays,
+        "n3_project_windows": _star(lambda s: windows(s)),
+        "n4_phase_costs": _star(phase_costs),
+        "n5_weekly_spine": _star(lambda s: G.weekly_spine(windows(s)).select("project_id", "week")),
+        "n6_budget_allocation": _star(lambda s: G.budget_allocation(
+            windows(s), s["dim_projects"].select(F.col("id").alias("project_id"),
+                                                 F.col("contract_value").alias("basis")))),
+        "n11_inspection_dates": _star(lambda s: G.inspection_dates(windows(s))),
+        "n6_generated_costs": _star(lambda s: per_project(G.generate_costs(
+            windows(s), s["dim_projects"], s["dim_subcontractors"]), F.col("amount"))),
+        "n7_generated_labor": _star(lambda s: per_project(
+            G.generate_labor(windows(s), s["dim_employees"]), F.col("hours_worked"))),
+        "n8_generated_usage": _star(lambda s: per_project(G.generate_equipment_usage(
+            windows(s), s["dim_equipment"], s["dim_employees"]), F.col("hours_used"))),
+        "n9_generated_deliveries": _star(lambda s: per_project(
+            G.generate_deliveries(windows(s), s["dim_materials"]), F.col("total_cost"))),
+        "n10_generated_incidents": _star(lambda s: G.generate_incidents(windows(s))),
+        "n11_generated_inspections": _star(lambda s: per_project(G.generate_inspections(windows(s)))),
+        "n12_generated_projects": lambda spark, d: G.generate_projects(keys(spark, d)["projects"]),
+        "n12_generated_subcontractors": lambda spark, d: G.generate_subcontractors(
+            keys(spark, d)["subcontractors"]),
+        "n12_generated_equipment": lambda spark, d: G.generate_equipment(keys(spark, d)["equipment"]),
+        "n12_generated_employees": lambda spark, d: G.generate_employees(keys(spark, d)["employees"]),
+        "n12_generated_materials": lambda spark, d: G.generate_materials(keys(spark, d)["materials"]),
+        "n14_generated_load_summary": load,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per key of ``queries()`` (omitted for non-SQL operators)."""
     from oracle_queries import all_oracles

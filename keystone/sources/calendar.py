@@ -38,6 +38,19 @@ def us_holiday(d: Column) -> Column:
             | (m == 12) & (dom == 25))            # Christmas Day
 
 
+def holiday_name(d: Column) -> Column:
+    """Name of the holiday on ``d`` (NULL on other days)."""
+    m, dom = F.month(d), F.dayofmonth(d)
+    return (F.when((m == 1) & (dom == 1), "New Year's Day")
+            .when(_nth_weekday(d, 1, 0, 3), "Martin Luther King Jr. Day")
+            .when(_nth_weekday(d, 2, 0, 3), "Presidents' Day")
+            .when(_last_weekday(d, 5, 0), "Memorial Day")
+            .when((m == 7) & (dom == 4), "Independence Day")
+            .when(_nth_weekday(d, 9, 0, 1), "Labor Day")
+            .when(_nth_weekday(d, 11, 3, 4), "Thanksgiving Day")
+            .when((m == 12) & (dom == 25), "Christmas Day"))
+
+
 def calendar_columns(d: Column) -> list[Column]:
     """Year, quarter, month, month name, ISO week, weekday (0=Mon), flags."""
     return [
@@ -58,3 +71,16 @@ def calendar_dates(spark: SparkSession, start: _dt.date, end: _dt.date) -> DataF
     n = max((end - start).days + 1, 0)
     d = F.date_add(F.lit(start), F.col("id").cast("int"))
     return spark.range(n).select(*calendar_columns(d))
+
+
+def calendar_for_span(df: DataFrame, date_col: str) -> DataFrame:
+    """N1 over data: every day from the first to the last ``date_col`` of ``df``.
+
+    The span comes from one partial aggregate; the day rows are one exploded
+    sequence, bounded by the calendar span rather than by the data volume.
+    """
+    span = df.agg(F.min(F.col(date_col).cast("date")).alias("lo"),
+                  F.max(F.col(date_col).cast("date")).alias("hi"))
+    days = span.where(F.col("lo").isNotNull()).select(
+        F.explode(F.sequence("lo", "hi")).alias("d"))
+    return days.select(*calendar_columns(F.col("d")))

@@ -15,6 +15,7 @@ import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keystone.operators.budget import budget_variance
 from keystone.operators.equipment import equipment_utilization
@@ -93,6 +94,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     })
     q.update(ml_queries())
     q.update(generator_queries())
+    from keystone.operators.labor import monthly_labor_with_lag
+    from keystone.operators.safety import zero_incident_projects
+    from keystone.sources.warehouse import load_summary
+    q.update({
+        "j5_zero_incident_projects": _star(lambda s: zero_incident_projects(
+            s, A5_WINDOW[0], A5_WINDOW[1]).select(F.col("id").alias("project_id"), "status")),
+        "w4_monthly_labor_with_lag": _star(monthly_labor_with_lag),
+        "s10_load_summary": _star(load_summary),
+    })
     q.update({
         "q1_enum_violations": _star(Q.enum_violations),
         "q2_foreign_key_orphans": _star(Q.foreign_key_orphans),

@@ -18,6 +18,19 @@ def _labor_with_trade(star: dict[str, DataFrame], project_id: int | None) -> Dat
         (F.col("hours_worked") * F.col("hourly_rate")).alias("cost"))
 
 
+def monthly_labor_with_lag(star: dict[str, DataFrame], project_id: int | None = None) -> DataFrame:
+    """Hours and cost per (trade, month) with the previous existing month's
+    values (gaps are not filled); rows per trade are bounded by the months."""
+    lt = _labor_with_trade(star, project_id)
+    m = lt.groupBy("trade", month_key("date_id").alias("yr_month")).agg(
+        F.sum("hours_worked").alias("mh"), F.sum("cost").alias("mc"))
+    w = Window.partitionBy("trade").orderBy("yr_month")
+    return m.select("trade", "yr_month", F.col("mh").cast("double").alias("monthly_hours"),
+                    F.col("mc").cast("double").alias("monthly_cost"),
+                    F.lag("mh").over(w).cast("double").alias("prev_hours"),
+                    F.lag("mc").over(w).cast("double").alias("prev_cost"))
+
+
 def labor_productivity(star: dict[str, DataFrame], project_id: int | None = None) -> DataFrame:
     """A4: one row per trade.
 

@@ -78,8 +78,14 @@ def clear_facts(spark: SparkSession, root: str) -> None:
 
 def load_summary(star: dict[str, DataFrame]) -> DataFrame:
     """(table_name, row_count) for every table, one count job per table."""
-    frames = [star[t].agg(F.count(F.lit(1)).alias("row_count"))
-              .select(F.lit(t).alias("table_name"), "row_count") for t in TABLES if t in star]
+    frames = []
+    for t in TABLES:
+        try:
+            df = star[t]                       # lazy stars build tables on access
+        except KeyError:
+            continue
+        frames.append(df.agg(F.count(F.lit(1)).alias("row_count"))
+                      .select(F.lit(t).alias("table_name"), "row_count"))
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The modelled system is batch only: it has no stream source, watermark,
+windowed state or late-data handling (its "real-time" wording means a
+re-query every few minutes, and live ingestion is listed as future work).
+Every operator in this package is a lazy DataFrame transformation, so a
+``foreachBatch`` sink can apply any of them to micro-batches if a stream is
+ever added; no streaming operator is built here.
+"""

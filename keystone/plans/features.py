@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import days_between, dbl, ratio_or, rnd, safe_div
+from keystone.session import materialize
 
 AS_OF = _dt.date(2026, 2, 17)
 EARLY_PHASE_SHARE = 0.25
@@ -152,7 +153,9 @@ def maintenance_snapshots(star: dict[str, DataFrame], min_rows: int = 5,
     range window on the integer day: history ``[-inf, -1]``, last 90 days
     ``[-90, -1]``, prior 90 ``[-180, -91]``, target ``[0, 29]``.
     """
-    daily = daily_usage(star["fact_equipment_usage"])
+    # The (machine, day) grain feeds three branches (machine stats, spine,
+    # events); materialize it once so the usage fact is scanned once.
+    daily = materialize(daily_usage(star["fact_equipment_usage"]), "m3-daily")
     stats = daily.groupBy("equipment_id").agg(
         F.sum("rows").alias("n"), F.min("date_id").alias("first_use"),
         F.max("date_id").alias("last_use")).where(F.col("n") >= min_rows)

@@ -96,12 +96,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q.update(generator_queries())
     from keystone.operators.labor import monthly_labor_with_lag
     from keystone.operators.safety import zero_incident_projects
-    from keystone.sources.warehouse import load_summary
+    from keystone.sources.warehouse import load_summary, preview, run_sql
     q.update({
         "j5_zero_incident_projects": _star(lambda s: zero_incident_projects(
             s, A5_WINDOW[0], A5_WINDOW[1]).select(F.col("id").alias("project_id"), "status")),
         "w4_monthly_labor_with_lag": _star(monthly_labor_with_lag),
         "s10_load_summary": _star(load_summary),
+        "s1_parameterised_sql": lambda spark, d: run_sql(
+            spark, "SELECT id, project_name, contract_value FROM {p} "
+                   "WHERE project_type = :ptype AND status = :status",
+            {"ptype": "COMMERCIAL", "status": "ACTIVE"}, p=load_star(spark, d)["dim_projects"]),
+        "s11_preview_top_variance": _star(lambda s: preview(
+            budget_variance(s).select("project_id", "project_name", "variance_pct"), 5,
+            [F.col("variance_pct").desc_nulls_last(), F.col("project_id")])),
+        "j6_projects_with_costs": _star(lambda s: s["dim_projects"]
+                                        .where(F.col("status").isin("ACTIVE", "COMPLETED")
+                                               & F.col("actual_start_date").isNotNull())
+                                        .join(s["fact_project_costs"],
+                                              F.col("id") == F.col("project_id"), "left_semi")
+                                        .select("id", "project_name")),
     })
     q.update({
         "q1_enum_violations": _star(Q.enum_violations),

@@ -32,21 +32,36 @@ def enum_violations(star: dict[str, DataFrame]) -> DataFrame:
 
 
 def foreign_key_orphans(star: dict[str, DataFrame]) -> DataFrame:
-    """Rows whose non-NULL foreign key has no parent row (left anti join
-    of the key's distinct values), one row per foreign key."""
-    frames = []
+    """Rows whose non-NULL foreign key has no parent row, one row per
+    foreign key.
+
+    One pass per fact: its key columns are exploded into (column, ref, key)
+    rows and reduced to distinct keys with counts (a hot key costs one row);
+    then a single left-anti join against the union of all parent keys.
+    """
+    keys = []
     for fact, fks in FOREIGN_KEYS.items():
-        for column, dim, dim_col in fks:
-            keys = (star[fact].where(F.col(column).isNotNull())
-                    .groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("n")))
-            parents = star[dim].select(F.col(dim_col).alias("k"))
-            orphans = keys.join(parents, "k", "left_anti")
-            frames.append(orphans.agg(
-                F.count(F.lit(1)).alias("orphan_keys"),
-                F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("orphan_rows"))
-                .select(F.lit(fact).alias("table_name"), F.lit(column).alias("column_name"),
-                        F.lit(dim).alias("ref_table"), "orphan_keys", "orphan_rows"))
-    return _union(frames)
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(d).alias("ref_table"),
+                                   F.col(c).cast("long").alias("k")) for c, d, _ in fks])
+        keys.append(star[fact].select(F.explode(pairs).alias("p"))
+                    .select(F.lit(fact).alias("table_name"), "p.*")
+                    .where(F.col("k").isNotNull())
+                    .groupBy("table_name", "column_name", "ref_table", "k")
+                    .agg(F.count(F.lit(1)).alias("n")))
+    used = _union(keys)
+    refs = {(d, dc) for fks in FOREIGN_KEYS.values() for _, d, dc in fks}
+    parents = _union([star[d].select(F.lit(d).alias("ref_table"), F.col(dc).cast("long").alias("k"))
+                      for d, dc in sorted(refs)]).distinct()
+    orphans = used.join(parents, ["ref_table", "k"], "left_anti") \
+        .groupBy("table_name", "column_name", "ref_table") \
+        .agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").cast("long").alias("orphan_rows"))
+    every = used.sparkSession.createDataFrame(              # the declared keys (schema-sized)
+        [(f, c, d) for f, fks in FOREIGN_KEYS.items() for c, d, _ in fks],
+        "table_name string, column_name string, ref_table string")
+    return every.join(orphans, ["table_name", "column_name", "ref_table"], "left").select(
+        "table_name", "column_name", "ref_table",
+        F.coalesce("orphan_keys", F.lit(0)).cast("long").alias("orphan_keys"),
+        F.coalesce("orphan_rows", F.lit(0)).cast("long").alias("orphan_rows"))
 
 
 def not_null_violations(star: dict[str, DataFrame]) -> DataFrame:

@@ -46,8 +46,17 @@ def _write(df: DataFrame, path: str, mode: str, table: str) -> None:
     ranges, so date-window scans skip whole files and row groups) into at least
     one file per core; large inputs keep their natural partition count."""
     if table in FACTS and "date_id" in df.columns:
+        from pyspark import StorageLevel
         n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
-        df = df.repartitionByRange(n, "date_id").sortWithinPartitions("date_id")
+        # The range partitioner samples its input first; persist (spilling to
+        # disk) so the sample and the write share one computation of the input.
+        src = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            src.repartitionByRange(n, "date_id").sortWithinPartitions("date_id") \
+               .write.mode(mode).parquet(path)
+        finally:
+            src.unpersist()
+        return
     df.write.mode(mode).parquet(path)
 
 

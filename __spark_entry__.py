@@ -86,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d2_status_distribution": _star(D.status_distribution),
         "d3_project_list": _star(D.project_list),
         "d7_project_timeline": _star(D.project_timeline, as_of=A1_AS_OF),
+        "g15_scorecard_trades": lambda spark, d: D.distinct_values(
+            subcontractor_scorecard(load_star(spark, d)), "trade"),
     })
     q.update({
         "m2_cost_overrun_dataset": _star(M.cost_overrun_dataset),

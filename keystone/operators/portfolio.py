@@ -155,6 +155,11 @@ def value_counts(df: DataFrame, c: str, name: str = "count") -> DataFrame:
     return df.groupBy(c).agg(F.count(F.lit(1)).alias(name)).orderBy(F.col(name).desc(), c)
 
 
+def distinct_values(df: DataFrame, c: str) -> DataFrame:
+    """The distinct non-NULL values of ``c`` in order (filter lists)."""
+    return df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c)
+
+
 def utilization_tiers(util: DataFrame) -> DataFrame:
     """Machines per utilisation tier."""
     return value_counts(util, "utilization_tier")

@@ -55,11 +55,11 @@ def equipment_utilization(star: dict[str, DataFrame], start: _dt.date,
         safe_div(F.col("h") * 100.0, "available_hours").alias("util"),
         safe_div("h", "available_hours").alias("util_ratio"))
     base = materialize(base, "a2_equipment_base")
-    n_fleet = base.agg(F.count(F.lit(1))).scalar()
     out = with_orderings(base,
                          Ordering("util", parts=["equipment_type"], descending=True,
                                   rank="rank_in_type"),
                          Ordering("util_ratio", rank="_fleet_rank"))
+    out = out.withColumn("_n_fleet", base.agg(F.count(F.lit(1))).scalar())   # attached once
     util = F.col("util")
     tier = label_case(None, [(util >= 75, "High (≥75%)"), (util >= 50, "Moderate (50–75%)"),
                              (F.col("h") > 0, "Low (<50%)")], "Idle")
@@ -74,6 +74,6 @@ def equipment_utilization(star: dict[str, DataFrame], start: _dt.date,
         rnd("maint", 2).alias("maintenance_cost"),
         rnd(F.col("revenue") - F.col("fuel") - F.col("maint"), 2).alias("net_revenue"),
         "projects_served", "rank_in_type",
-        rnd(F.col("_fleet_rank") * 100.0 / n_fleet, 1).alias("fleet_utilization_percentile"),
+        rnd(F.col("_fleet_rank") * 100.0 / F.col("_n_fleet"), 1).alias("fleet_utilization_percentile"),
         flag(util < 50).cast("long").alias("is_underutilized"),
     ).orderBy(F.col("utilization_pct").desc_nulls_last(), "equipment_id")

@@ -187,15 +187,15 @@ def histogram(df: DataFrame, c: str, bins: int = 25) -> DataFrame:
     """
     x = dbl(c)
     b = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("b")).scalar()
-    lo, hi = b.getField("lo"), b.getField("hi")
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
     width = (hi - lo) / float(bins)
     idx = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
-    return (df.where(x.isNotNull())
-            .groupBy(idx.cast("long").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("count"))
-            .select("bin", (lo + F.col("bin") * width).alias("bin_start"),
-                    (lo + (F.col("bin") + 1) * width).alias("bin_end"), "count")
+    counts = (df.where(x.isNotNull()).withColumn("_b", b)          # bounds attached once
+              .groupBy(idx.cast("long").alias("bin"), F.col("_b"))
+              .agg(F.count(F.lit(1)).alias("count")))
+    return (counts.select("bin", (lo + F.col("bin") * width).alias("bin_start"),
+                          (lo + (F.col("bin") + 1) * width).alias("bin_end"), "count")
             .orderBy("bin"))
 
 

@@ -30,7 +30,7 @@ one task) use plain windows, larger ones the bucketed path above.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,9 +106,8 @@ def ordinal_stats(df: DataFrame, key: str, parts: Sequence[str] = (),
     if parts:
         nl = nl.join(ends, parts, "left")
     else:
-        e = ends.select(F.struct("_tot", "_first", "_last")).scalar()
-        nl = nl.select("*", e.getField("_tot").alias("_tot"), e.getField("_first").alias("_first"),
-                       e.getField("_last").alias("_last"))
+        nl = nl.withColumn("_e", ends.select(F.struct("_tot", "_first", "_last")).scalar()) \
+               .select("*", "_e._tot", "_e._first", "_e._last").drop("_e")
     nulls_first = not descending
     if nulls_first:
         # Ascending: the NULL group sorts before every value of its part.
@@ -140,7 +139,6 @@ class Ordering:
     lead: str | None = None           # LEAD(key) with tie ASC as last sort key
     lag: str | None = None            # LAG(key)  with tie ASC as last sort key
     buckets: int | None = None
-    extra: dict = field(default_factory=dict)
 
 
 def _attach(df: DataFrame, stats: DataFrame, key: str, parts: Sequence[str],

@@ -48,16 +48,20 @@ def safety_metrics(star: dict[str, DataFrame], start: _dt.date, end: _dt.date) -
 
     ib = inc.groupBy("severity", "incident_type").agg(
         F.count(F.lit(1)).alias("incident_count"), F.sum("days_lost").cast("long").alias("days_lost"))
-    t = {k: totals.getField(k) for k in ["total_incidents", "total_days_lost", "injuries",
-                                         "near_misses", "violations", "severe_count",
-                                         "moderate_count", "minor_count"]}
+    # Attach each scalar once as a column: every later reference reads the
+    # column, so each one-row aggregate runs exactly once.
+    ib = ib.withColumn("_h", hours).withColumn("_t", totals).withColumn("_z", zero)
+    keys = ["total_incidents", "total_days_lost", "injuries", "near_misses", "violations",
+            "severe_count", "moderate_count", "minor_count"]
+    t = {k: F.col("_t").getField(k) for k in keys}
+    h = F.col("_h")
     order = F.when(sev == "SEVERE", 1).when(sev == "MODERATE", 2).otherwise(3)
     return ib.select(
         "severity", "incident_type", "incident_count", "days_lost",
-        rnd(safe_div(F.col("incident_count") * OSHA_BASE, hours), 4).alias("osha_rate_this_type"),
+        rnd(safe_div(F.col("incident_count") * OSHA_BASE, h), 4).alias("osha_rate_this_type"),
         *[v.alias(k) for k, v in t.items()],
-        rnd(safe_div(t["total_incidents"] * OSHA_BASE, hours), 4).alias("osha_total_incident_rate"),
-        rnd(safe_div(t["injuries"] * OSHA_BASE, hours), 4).alias("osha_injury_rate"),
-        rnd(hours, 0).alias("total_labor_hours"),
-        zero.alias("zero_incident_projects"),
+        rnd(safe_div(t["total_incidents"] * OSHA_BASE, h), 4).alias("osha_total_incident_rate"),
+        rnd(safe_div(t["injuries"] * OSHA_BASE, h), 4).alias("osha_injury_rate"),
+        rnd(h, 0).alias("total_labor_hours"),
+        F.col("_z").alias("zero_incident_projects"),
     ).orderBy(order, "incident_type")

@@ -64,7 +64,8 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
         rnd(F.coalesce(safe_div(tp * 2, tp * 2 + fp + fn), zero), 4).alias("f1"))
     if score is None:
         return out.withColumn("roc_auc", F.lit(None).cast("double"))
-    return out.withColumn("roc_auc", rnd(roc_auc(df, label, score).scalar(), 4))
+    out = out.withColumn("_auc", roc_auc(df, label, score).scalar())      # attached once
+    return out.withColumn("roc_auc", rnd("_auc", 4)).drop("_auc")
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

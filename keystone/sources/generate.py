@@ -191,7 +191,7 @@ def generate_costs(windows: DataFrame, projects: DataFrame, subcontractors: Data
     alloc = budget_allocation(windows, basis)
     factor = uniform(0.88, 1.32, hash01(pid, seed=seed, salt="factor"))
     key = [pid, F.col("date_id"), F.col("cost_category")]
-    subs = _indexed(subcontractors, "sub")
+    subs = _indexed(subcontractors)
     n_subs = subs.agg(F.count(F.lit(1))).scalar()
     pick = F.pmod(F.xxhash64(pid, F.lit(seed), F.lit("subs"),
                              randint(0, 3, hash01(*key, seed=seed, salt="sub"))), n_subs)
@@ -211,7 +211,7 @@ def generate_costs(windows: DataFrame, projects: DataFrame, subcontractors: Data
 # ---------------------------------------------------------------------------
 # N7-N10 activity facts
 # ---------------------------------------------------------------------------
-def _indexed(dim: DataFrame, name: str) -> DataFrame:
+def _indexed(dim: DataFrame) -> DataFrame:
     """Dimension rows numbered 0..n-1 by id (distributed rank, no single task)."""
     return with_orderings(dim, Ordering("id", rank="_r")).withColumn("_idx", F.col("_r") - 1).drop("_r")
 
@@ -231,7 +231,7 @@ def _sample_indexes(pid: Column, k: Column, n: Column, seed: int, salt: str) ->
 def generate_labor(windows: DataFrame, employees: DataFrame, seed: int = SEED) -> DataFrame:
     """A crew of 10-20 active employees per project; Sundays off, Saturdays
     5 %, holidays 4 %; phase trades show up 92 % of days, others 45 %."""
-    emp = _indexed(employees.where(F.col("status") == "ACTIVE"), "emp")
+    emp = _indexed(employees.where(F.col("status") == "ACTIVE"))
     n = emp.agg(F.count(F.lit(1))).scalar()
     pid = F.col("project_id")
     crew = _sample_indexes(pid, randint(10, 20, hash01(pid, seed=seed, salt="crew")), F.col("_n"),
@@ -262,8 +262,8 @@ def generate_equipment_usage(windows: DataFrame, equipment: DataFrame, employees
     """3-7 active machines per project, weekdays except holidays; phase
     machines work 78 % of days, others 22 %; 5 % maintenance days off; fuel
     only for phase machines; a maintenance cost on 4 % of logs."""
-    fleet = _indexed(equipment.where(F.col("status") == "ACTIVE"), "eq")
-    ops = _indexed(employees.where(F.col("status") == "ACTIVE"), "op")
+    fleet = _indexed(equipment.where(F.col("status") == "ACTIVE"))
+    ops = _indexed(employees.where(F.col("status") == "ACTIVE"))
     n, n_ops = fleet.agg(F.count(F.lit(1))).scalar(), ops.agg(F.count(F.lit(1))).scalar()
     pid, d = F.col("project_id"), F.col("d")
     assigned = _sample_indexes(pid, randint(3, 7, hash01(pid, seed=seed, salt="fleet")), F.col("_n"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from keystone.functions.exprs import flag, label_case, rnd, safe_div
 from keystone.operators.ranking import Ordering, with_orderings
-from keystone.session import materialize
 
 
 def working_days(dates: DataFrame, start, end) -> DataFrame:
@@ -54,12 +53,13 @@ def equipment_utilization(star: dict[str, DataFrame], start: _dt.date,
         (F.col("h") * F.col("hourly_rate")).alias("revenue"),
         safe_div(F.col("h") * 100.0, "available_hours").alias("util"),
         safe_div("h", "available_hours").alias("util_ratio"))
-    base = materialize(base, "a2_equipment_base")
     out = with_orderings(base,
                          Ordering("util", parts=["equipment_type"], descending=True,
                                   rank="rank_in_type"),
-                         Ordering("util_ratio", rank="_fleet_rank"))
-    out = out.withColumn("_n_fleet", base.agg(F.count(F.lit(1))).scalar())   # attached once
+                         Ordering("util_ratio", rank="_fleet_rank"),
+                         bound=e)               # one row per non-retired machine
+    # COUNT(*) OVER (): one row per non-retired machine (left join keeps them all).
+    out = out.withColumn("_n_fleet", e.agg(F.count(F.lit(1))).scalar())     # attached once
     util = F.col("util")
     tier = label_case(None, [(util >= 75, "High (≥75%)"), (util >= 50, "Moderate (50–75%)"),
                              (F.col("h") > 0, "Low (<50%)")], "Idle")

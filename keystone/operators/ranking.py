@@ -22,9 +22,11 @@ them last (in both cases NULL sorts as the smallest value).
 
 Every ordering of a frame is computed from the *same* base frame and attached
 side by side (``with_orderings``), so plans grow linearly with the number of
-orderings. Reports materialize their entity-grain frame first; frames up to
-``keystone.window.maxSingleTaskRows`` rows (default 2 000 000, a few seconds in
-one task) use plain windows, larger ones the bucketed path above.
+orderings. Reports pass the dimension their entity frame is keyed by as a
+size bound: when it has at most ``keystone.window.maxSingleTaskRows`` rows
+(default 2 000 000, a few seconds in one task) plain windows are used;
+otherwise the entity frame is materialized once and ranked by the bucketed
+path above.
 """
 
 from __future__ import annotations
@@ -171,17 +173,25 @@ def _window_orderings(df: DataFrame, orderings: Sequence[Ordering]) -> DataFrame
     return df.select("*", *cols)
 
 
-def with_orderings(df: DataFrame, *orderings: Ordering, strategy: str = "auto") -> DataFrame:
+def with_orderings(df: DataFrame, *orderings: Ordering, strategy: str = "auto",
+                   bound: DataFrame | None = None) -> DataFrame:
     """Attach RANK / LEAD / LAG columns of several orderings of the same frame.
 
     ``strategy``: ``"window"`` (plain windows; a global order runs in one task),
     ``"distributed"`` (bucketed distinct-value statistics, any size), or
-    ``"auto"``: count ``df`` (pass a materialized frame so this is cheap) and use
-    plain windows up to ``keystone.window.maxSingleTaskRows`` rows.
+    ``"auto"``: use plain windows when the frame has at most
+    ``keystone.window.maxSingleTaskRows`` rows. The size check counts ``bound``
+    when given — a table with at least as many rows as ``df`` (e.g. the
+    dimension an entity-grain report is keyed by), which is cheap to count —
+    otherwise ``df`` itself (pass a materialized frame). Above the limit the
+    frame is materialized once and ranked by the distributed path.
     """
     if strategy == "auto":
-        n = df.count()
+        n = (bound if bound is not None else df).count()
         strategy = "window" if n <= max_window_rows(df.sparkSession) else "distributed"
+        if strategy == "distributed" and bound is not None:
+            from keystone.session import materialize
+            df = materialize(df, "ordering-input")
     if strategy == "window":
         return _window_orderings(df, orderings)
     out = df

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from keystone.functions.exprs import dbl, label_case, rnd, safe_div, yes_no
 from keystone.operators.ranking import Ordering, with_first_flag, with_orderings
-from keystone.session import materialize
 
 
 def subcontractor_metrics(costs: DataFrame) -> DataFrame:
@@ -41,11 +40,11 @@ def subcontractor_scorecard(star: dict[str, DataFrame], top_n: int = 10) -> Data
         F.col("years_in_business").cast("long").alias("years_in_business"), "projects_count",
         "total_actual", "total_budgeted", "cpi", "budget_adherence_pct",
         rnd(composite, 2).alias("composite_score"))
-    scored = materialize(scored, "a3_scored")
     out = with_orderings(scored,
                          Ordering("composite_score", descending=True, rank="overall_rank"),
                          Ordering("composite_score", parts=["trade"], descending=True,
-                                  rank="rank_in_trade"))
+                                  rank="rank_in_trade"),
+                         bound=s)               # scored subcontractors ⊆ subcontractors
     out = with_first_flag(out, "composite_score", "subcontractor_id", "_top",
                           parts=["trade"], descending=True)
     cpi, rating = F.col("cpi"), F.col("client_rating_raw")

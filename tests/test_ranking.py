@@ -50,3 +50,21 @@ def test_first_flag_equals_row_number(frame, desc):
                        .alias("top"))
     assert sorted(map(tuple, got.select("id", "top").collect())) == \
         sorted(map(tuple, exp.collect()))
+
+
+def test_report_forced_distributed_equals_window(spark):
+    """A whole report gives the same rows when the size check sends it down the
+    distributed path (limit forced to 10 rows)."""
+    from keystone.operators.budget import budget_variance
+    from keystone.operators.subcontractors import subcontractor_scorecard
+    from keystone.sources.star import load_star
+    from conftest import SMALL
+    star = load_star(spark, SMALL)
+    expected = {f: sorted(map(tuple, f(star).collect()), key=repr)
+                for f in (budget_variance, subcontractor_scorecard)}
+    spark.conf.set("keystone.window.maxSingleTaskRows", "10")
+    try:
+        for f, rows in expected.items():
+            assert sorted(map(tuple, f(star).collect()), key=repr) == rows
+    finally:
+        spark.conf.unset("keystone.window.maxSingleTaskRows")

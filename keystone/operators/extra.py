@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import month_key, rnd, safe_div
+from keystone.functions.exprs import dec_sum, month_key, rnd, safe_div
 
 OSHA_BASE = 200000.0
 
@@ -55,7 +55,7 @@ def monthly_cost_curve(star: dict[str, DataFrame]) -> DataFrame:
     """Per project and month, actual and budget with cumulative sums (NULL
     budgets skipped) and the cumulative CPI."""
     m = star["fact_project_costs"].groupBy("project_id", month_key("date_id").alias("month")).agg(
-        F.sum("amount").alias("a"), F.coalesce(F.sum("budgeted_amount"), F.lit(0)).alias("b"))
+        dec_sum("amount", 4).alias("a"), F.coalesce(dec_sum("budgeted_amount", 4), F.lit(0)).alias("b"))
     w = Window.partitionBy("project_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     ca, cb = F.sum("a").over(w), F.sum("b").over(w)
     return m.select("project_id", "month",

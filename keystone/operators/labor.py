@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import dbl, month_key, rnd, safe_div
+from keystone.functions.exprs import dbl, dec_sum, month_key, rnd, safe_div
 
 
 def _labor_with_trade(star: dict[str, DataFrame], project_id: int | None) -> DataFrame:
@@ -39,7 +39,7 @@ def labor_productivity(star: dict[str, DataFrame], project_id: int | None = None
     """
     lt = _labor_with_trade(star, project_id)
     la = lt.groupBy("trade").agg(
-        F.sum("hours_worked").alias("h"), F.sum("cost").alias("c"),
+        dec_sum("hours_worked", 1).alias("h"), dec_sum("cost", 3).alias("c"),
         F.sum("hourly_rate").alias("rate_sum"), F.count("hourly_rate").alias("rate_n"),
         F.countDistinct("employee_id").alias("unique_employees"),
         F.countDistinct("project_id").alias("projects_worked"))
@@ -49,7 +49,7 @@ def labor_productivity(star: dict[str, DataFrame], project_id: int | None = None
         "unique_employees", "projects_worked")
 
     monthly = lt.groupBy("trade", month_key("date_id").alias("yr_month")).agg(
-        F.sum("hours_worked").alias("mh"), F.sum("cost").alias("mc"))
+        dec_sum("hours_worked", 1).alias("mh"), dec_sum("cost", 3).alias("mc"))
     wt = Window.partitionBy("trade").orderBy("yr_month")
     latest = (monthly.select("*", F.lag("mh").over(wt).alias("ph"), F.lag("mc").over(wt).alias("pc"),
                              F.max("yr_month").over(Window.partitionBy("trade")).alias("_last"))

@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import col, dbl, money_label, rnd, safe_div, title_case
+from keystone.functions.exprs import col, dbl, dec_sum, money_label, rnd, safe_div, title_case
 from keystone.operators.projects import AS_OF
 
 
@@ -56,7 +56,7 @@ def portfolio_kpis(star: dict[str, DataFrame]) -> DataFrame:
     st = F.col("status")
     cv = F.col("contract_value").cast("decimal(20,2)")
     costs = star["fact_project_costs"].agg(
-        rnd(safe_div(F.sum("budgeted_amount"), F.sum("amount")), 3).alias("portfolio_cpi"))
+        rnd(safe_div(dec_sum("budgeted_amount", 4), dec_sum("amount", 4)), 3).alias("portfolio_cpi"))
     return star["dim_projects"].agg(
         F.count(F.when(st == "ACTIVE", 1)).alias("active_projects"),
         F.count(F.when(st == "COMPLETED", 1)).alias("completed_projects"),

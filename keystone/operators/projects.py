@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import days_between, dbl, label_case, rnd, safe_div
+from keystone.functions.exprs import days_between, dbl, dec_sum, label_case, rnd, safe_div
 
 AS_OF = _dt.date(2026, 2, 17)
 
@@ -43,7 +43,7 @@ def project_performance(star: dict[str, DataFrame], project_id: int | None = Non
         p = p.where(F.col("id") == F.lit(project_id))
         c = c.where(F.col("project_id") == F.lit(project_id))
     cat = c.groupBy("project_id", "cost_category").agg(
-        F.sum("amount").alias("a"), F.sum("budgeted_amount").alias("b"))
+        dec_sum("amount", 4).alias("a"), dec_sum("budgeted_amount", 4).alias("b"))
     w = Window.partitionBy("project_id")
     cat = cat.select("*", F.sum("a").over(w).alias("ta"), F.sum("b").over(w).alias("tb"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import dbl, label_case, rnd, safe_div, yes_no
+from keystone.functions.exprs import dbl, dec_sum, label_case, rnd, safe_div, yes_no
 from keystone.operators.ranking import Ordering, with_first_flag, with_orderings
 
 
@@ -14,7 +14,7 @@ def subcontractor_metrics(costs: DataFrame) -> DataFrame:
     sub = costs.where((F.col("cost_category") == "SUBCONTRACTOR")
                       & F.col("subcontractor_id").isNotNull())
     per_project = sub.groupBy("subcontractor_id", "project_id").agg(
-        F.sum("amount").alias("actual_cost"), F.sum("budgeted_amount").alias("budgeted_cost"))
+        dec_sum("amount", 4).alias("actual_cost"), dec_sum("budgeted_amount", 4).alias("budgeted_cost"))
     m = per_project.groupBy("subcontractor_id").agg(
         F.count(F.lit(1)).alias("projects_count"),     # one row per distinct project
         F.sum("actual_cost").alias("a"), F.sum("budgeted_cost").alias("b"))

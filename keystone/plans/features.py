@@ -11,7 +11,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import days_between, dbl, ratio_or, rnd, safe_div
+from keystone.functions.exprs import days_between, dbl, dec_sum, ratio_or, rnd, safe_div
 from keystone.session import materialize
 
 AS_OF = _dt.date(2026, 2, 17)
@@ -32,7 +32,7 @@ def _cost_sums(costs: DataFrame, projects: DataFrame, cutoff: Column) -> DataFra
     split by the cutoff in one conditional aggregate (no theta join).
     """
     daily = costs.groupBy("project_id", "date_id").agg(
-        F.sum("amount").alias("d_a"), F.sum("budgeted_amount").alias("d_b"))
+        dec_sum("amount", 4).alias("d_a"), dec_sum("budgeted_amount", 4).alias("d_b"))
     p = projects.select(F.col("id").alias("pid"), cutoff.alias("cutoff"))
     j = daily.join(p, daily.project_id == p.pid)
     early = F.col("date_id") <= F.col("cutoff")

@@ -20,7 +20,12 @@ _MEMO: dict[str, MD.Artifact] = {}
 
 
 def model_path(spark: SparkSession, sf_dir: str, kind: str, **params) -> str:
-    key = hashlib.sha1(repr((os.path.abspath(sf_dir), kind, sorted(params.items()))).encode())
+    """Key: input location, model kind, parameters, package version and the
+    feature lists, so a code or feature change never loads a stale model."""
+    from keystone import __version__
+    from keystone.plans.features import COST_FEATURES, MAINTENANCE_FEATURES
+    key = hashlib.sha1(repr((os.path.abspath(sf_dir), kind, sorted(params.items()), __version__,
+                             COST_FEATURES, MAINTENANCE_FEATURES)).encode())
     return os.path.join(ensure_checkpoint_dir(spark), "keystone-models", f"{kind}-{key.hexdigest()[:16]}")
 
 

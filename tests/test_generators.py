@@ -1,0 +1,88 @@
+"""Properties of the seeded generators (N3-N12) on windows derived from sf0.001."""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from keystone.sources import generate as G
+from keystone.sources.star import load_star
+
+from conftest import SMALL
+
+AS_OF, END = _dt.date(2000, 12, 31), _dt.date(2001, 12, 31)
+
+
+@pytest.fixture(scope="module")
+def star(spark):
+    return load_star(spark, SMALL)
+
+
+@pytest.fixture(scope="module")
+def windows(star):
+    return G.project_windows(star["dim_projects"], AS_OF, END).cache()
+
+
+def test_windows_are_non_empty_and_capped(windows):
+    rows = windows.collect()
+    assert rows and all(r.end > r.start and r.end <= END for r in rows)
+
+
+def test_labor_rules(star, windows):
+    lab = G.generate_labor(windows, star["dim_employees"]).cache()
+    assert lab.count() > 0
+    assert lab.where(F.weekday("date_id") == 6).count() == 0                  # Sundays off
+    h = lab.agg(F.min("hours_worked"), F.max("hours_worked")).first()
+    assert 6.0 <= float(h[0]) and float(h[1]) <= 10.0
+    crew = lab.groupBy("project_id").agg(F.countDistinct("employee_id").alias("n"))
+    assert crew.agg(F.max("n")).first()[0] <= 20
+    active = star["dim_employees"].where("status = 'ACTIVE'").select(F.col("id").alias("employee_id"))
+    assert lab.join(active, "employee_id", "left_anti").count() == 0          # only active crews
+    assert lab.select("id").distinct().count() == lab.count()                # keyed ids
+
+
+def test_usage_rules(star, windows):
+    u = G.generate_equipment_usage(windows, star["dim_equipment"], star["dim_employees"]).cache()
+    assert u.count() > 0
+    assert u.where(F.weekday("date_id") >= 5).count() == 0                    # weekdays only
+    r = u.agg(F.min("hours_used"), F.max("hours_used"), F.max("maintenance_cost")).first()
+    assert 2.0 <= r[0] and r[1] <= 10.0 and (r[2] is None or r[2] <= 800.0)
+    assert u.groupBy("project_id").agg(F.countDistinct("equipment_id").alias("n")) \
+            .agg(F.max("n")).first()[0] <= 7
+
+
+def test_incidents_and_inspections(windows):
+    inc = G.generate_incidents(windows)
+    assert inc.groupBy("project_id").count().agg(F.max("count")).first()[0] <= 3
+    assert inc.where(F.weekday("date_id") >= 5).count() == 0
+    assert inc.where((F.col("incident_type") != "INJURY") & (F.col("days_lost") != 0)).count() == 0
+    ins = G.generate_inspections(windows)
+    assert ins.where(F.weekday("date_id") >= 5).count() == 0
+    assert ins.where(~F.dayofmonth("date_id").between(15, 17)).count() == 0
+    per_day = ins.groupBy("project_id", "date_id").count()
+    assert per_day.where("count <> 3").count() == 0                           # one per type
+
+
+def test_costs_and_determinism(star, windows):
+    c = G.generate_costs(windows, star["dim_projects"], star["dim_subcontractors"])
+    per_week = c.groupBy("project_id", "date_id").count()
+    assert per_week.where("count <> 5").count() == 0                          # five categories
+    assert c.where((F.col("cost_category") == "SUBCONTRACTOR")
+                   & F.col("subcontractor_id").isNull()).count() == 0
+    a = sorted(map(tuple, G.generate_incidents(windows).collect()))
+    b = sorted(map(tuple, G.generate_incidents(windows.repartition(3)).collect()))
+    assert a == b                                                             # partition-independent
+
+
+def test_generated_dimensions(spark, star):
+    keys = spark.range(1, 301)
+    p = G.generate_projects(keys).cache()
+    assert p.count() == 300
+    bad = p.where((F.col("status") == "COMPLETED") & (F.col("actual_end_date").isNull()))
+    assert bad.count() == 0
+    assert p.where((F.col("status") == "PLANNING") & F.col("actual_start_date").isNotNull()).count() == 0
+    e = G.generate_employees(keys)
+    r = e.agg(F.min("hourly_rate"), F.max("hourly_rate")).first()
+    assert 15.0 <= r[0] and r[1] <= 78.0

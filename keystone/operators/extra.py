@@ -46,7 +46,7 @@ def delivery_performance(star: dict[str, DataFrame], by: str = "supplier") -> Da
         F.count(F.when(s == "ON_TIME", 1)).alias("on_time"),
         F.count(F.when(s == "DELAYED", 1)).alias("delayed"),
         F.sum("quantity").alias("quantity"),
-        F.sum("total_cost").cast("double").alias("total_cost"))
+        dec_sum("total_cost", 4).cast("double").alias("total_cost"))
     return out.withColumn("on_time_pct", rnd(safe_div(F.col("on_time") * 100.0, "deliveries"), 2)) \
         .orderBy(by)
 
@@ -79,7 +79,7 @@ def incident_trend(star: dict[str, DataFrame]) -> DataFrame:
         F.count(F.when(F.col("incident_type") == "NEAR_MISS", 1)).alias("near_misses"),
         F.count(F.when(F.col("incident_type") == "INJURY", 1)).alias("injuries"))
     hrs = star["fact_labor_hours"].groupBy(_month_index("date_id").alias("mi")).agg(
-        F.sum("hours_worked").alias("h"))
+        dec_sum("hours_worked", 1).alias("h"))
     m = inc.join(hrs, "mi", "full").select(
         "mi", *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
                 for c in ("incidents", "near_misses", "injuries")],

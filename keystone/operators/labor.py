@@ -38,9 +38,15 @@ def labor_productivity(star: dict[str, DataFrame], project_id: int | None = None
     window below runs over at most 9 rows (or 9 × months for the MoM part).
     """
     lt = _labor_with_trade(star, project_id)
-    la = lt.groupBy("trade").agg(
+    # One fact scan reduced to distinct (trade, employee, project) triples with
+    # exact partial sums; the two distinct counts then expand only this small
+    # frame instead of every fact row.
+    triples = lt.groupBy("trade", "employee_id", "project_id").agg(
         dec_sum("hours_worked", 1).alias("h"), dec_sum("cost", 3).alias("c"),
-        F.sum("hourly_rate").alias("rate_sum"), F.count("hourly_rate").alias("rate_n"),
+        dec_sum("hourly_rate", 2).alias("rs"), F.count("hourly_rate").alias("rn"))
+    la = triples.groupBy("trade").agg(
+        F.sum("h").alias("h"), F.sum("c").alias("c"),
+        F.sum("rs").alias("rate_sum"), F.sum("rn").alias("rate_n"),
         F.countDistinct("employee_id").alias("unique_employees"),
         F.countDistinct("project_id").alias("projects_worked"))
     la = la.select(

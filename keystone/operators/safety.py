@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import rnd, safe_div
+from keystone.functions.exprs import dec_sum, rnd, safe_div
 
 OSHA_BASE = 200000.0      # 100 workers × 50 weeks × 40 hours
 
@@ -29,7 +29,7 @@ def safety_metrics(star: dict[str, DataFrame], start: _dt.date, end: _dt.date) -
     if end < start:
         raise ValueError("end date is before start date")
     hours = (star["fact_labor_hours"].where(F.col("date_id").between(F.lit(start), F.lit(end)))
-             .agg(F.coalesce(F.sum("hours_worked"), F.lit(0)).alias("h"))).scalar()
+             .agg(F.coalesce(dec_sum("hours_worked", 1), F.lit(0)).alias("h"))).scalar()
     inc = star["fact_safety_incidents"].where(F.col("date_id").between(F.lit(start), F.lit(end)))
     it = F.col("incident_type")
     sev = F.col("severity")

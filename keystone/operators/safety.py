@@ -34,11 +34,15 @@ def safety_metrics(star: dict[str, DataFrame], start: _dt.date, end: _dt.date) -
     it = F.col("incident_type")
     sev = F.col("severity")
 
+    ib = inc.groupBy("severity", "incident_type").agg(
+        F.count(F.lit(1)).alias("incident_count"), F.sum("days_lost").cast("long").alias("days_lost"))
+
+    # Window totals from the ≤ 9-row breakdown itself (no second fact scan).
     def n_if(c):
-        return F.sum(F.when(c, 1).otherwise(0)).cast("long")
+        return F.sum(F.when(c, F.col("incident_count")).otherwise(0)).cast("long")
 
-    totals = inc.agg(F.struct(
-        F.count(F.lit(1)).alias("total_incidents"),
+    totals = ib.agg(F.struct(
+        F.sum("incident_count").cast("long").alias("total_incidents"),
         F.sum("days_lost").cast("long").alias("total_days_lost"),
         n_if(it == "INJURY").alias("injuries"), n_if(it == "NEAR_MISS").alias("near_misses"),
         n_if(it == "VIOLATION").alias("violations"), n_if(sev == "SEVERE").alias("severe_count"),
@@ -46,8 +50,6 @@ def safety_metrics(star: dict[str, DataFrame], start: _dt.date, end: _dt.date) -
     ).alias("t")).scalar()
     zero = zero_incident_projects(star, start, end).agg(F.count(F.lit(1))).scalar()
 
-    ib = inc.groupBy("severity", "incident_type").agg(
-        F.count(F.lit(1)).alias("incident_count"), F.sum("days_lost").cast("long").alias("days_lost"))
     # Attach each scalar once as a column: every later reference reads the
     # column, so each one-row aggregate runs exactly once.
     ib = ib.withColumn("_h", hours).withColumn("_t", totals).withColumn("_z", zero)

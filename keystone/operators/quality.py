@@ -37,7 +37,7 @@ def foreign_key_orphans(star: dict[str, DataFrame]) -> DataFrame:
 
     One pass per fact: its key columns are exploded into (column, ref, key)
     rows and reduced to distinct keys with counts (a hot key costs one row);
-    then a single left-anti join against the union of all parent keys.
+    then a single join against the union of all parent keys.
     """
     keys = []
     for fact, fks in FOREIGN_KEYS.items():
@@ -52,7 +52,11 @@ def foreign_key_orphans(star: dict[str, DataFrame]) -> DataFrame:
     refs = {(d, dc) for fks in FOREIGN_KEYS.values() for _, d, dc in fks}
     parents = _union([star[d].select(F.lit(d).alias("ref_table"), F.col(dc).cast("long").alias("k"))
                       for d, dc in sorted(refs)]).distinct()
-    orphans = used.join(parents, ["ref_table", "k"], "left_anti") \
+    # Left join + NULL test instead of a left-anti join: Catalyst pushes an
+    # anti join through the union into every fact branch (re-building the parent
+    # keys each time); an outer join keeps one join over the union.
+    orphans = used.join(parents.withColumn("_parent", F.lit(True)), ["ref_table", "k"], "left") \
+        .where(F.col("_parent").isNull()) \
         .groupBy("table_name", "column_name", "ref_table") \
         .agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").cast("long").alias("orphan_rows"))
     every = used.sparkSession.createDataFrame(              # the declared keys (schema-sized)

@@ -16,10 +16,6 @@ from keystone.functions.exprs import dec_sum, month_key, rnd, safe_div
 OSHA_BASE = 200000.0
 
 
-def _rate_cols(n: Column, ok: Column) -> list[Column]:
-    return [n.alias("n"), ok.alias("passed"), rnd(safe_div(ok * 100.0, n), 2).alias("pass_rate_pct")]
-
-
 def inspection_rates(star: dict[str, DataFrame], by: str = "project_id") -> DataFrame:
     """Inspections, passes, conditionals, fails and pass rate per ``by``
     (``project_id`` or ``inspector_name``)."""

@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import col, dbl, dec_sum, money_label, rnd, safe_div, title_case
+from keystone.functions.exprs import col, dbl, dec_sum, money_label, rnd, safe_div
 from keystone.operators.projects import AS_OF
 
 
@@ -276,8 +276,3 @@ def variance_bands(variance: DataFrame) -> DataFrame:
     """Variance band per project (A6 rows)."""
     return variance.select("project_id", "variance_pct",
                            variance_band("variance_pct").alias("variance_band"))
-
-
-def status_label(c) -> Column:
-    """E15 helper for display: 'ON_HOLD' → 'On Hold'."""
-    return title_case(c)

@@ -68,3 +68,11 @@ def test_report_forced_distributed_equals_window(spark):
             assert sorted(map(tuple, f(star).collect()), key=repr) == rows
     finally:
         spark.conf.unset("keystone.window.maxSingleTaskRows")
+
+
+def test_with_count(frame):
+    from keystone.operators.ranking import with_count
+    g = {r.g: r.n for r in frame.groupBy("g").count().withColumnRenamed("count", "n").collect()}
+    got = with_count(frame, "n", ["g"]).select("g", "n").distinct().collect()
+    assert {r.g: r.n for r in got} == g
+    assert {r.n for r in with_count(frame, "n").select("n").distinct().collect()} == {600}

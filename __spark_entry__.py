@@ -134,9 +134,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     })
     for k, (rep, fn) in over.items():
         q[k] = (lambda rep, fn: lambda spark, d: fn(rep(load_star(spark, d))))(rep, fn)
+    for part in _training_data():
+        q.update(part.queries())
     return q
 
 
+def _training_data() -> list:
+    """Modules of the optional training-data part: its operators and its pipeline."""
+    try:
+        import corpus_pipeline
+
+        from keystone.llm import queries as operators
+    except ImportError:
+        return []
+    return [operators, corpus_pipeline]
+
+
 def _rule_scores(star):
     """M9 input: the early-CPI rule (overrun when early CPI < 1) on the M2 dataset."""
     from pyspark.sql import functions as F
@@ -277,4 +290,7 @@ def generator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per key of ``queries()`` (omitted for non-SQL operators)."""
     from oracle_queries import all_oracles
-    return all_oracles()
+    out = all_oracles()
+    for part in _training_data():
+        out.update(part.oracle_sql())
+    return out

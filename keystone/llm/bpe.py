@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystone.llm.common import key_as_text
-from keystone.llm.tokens import MAX_WORDS, PRE_TOKENS, default_vocabulary, encoder, plain_words
+from keystone.llm.tokens import PRE_TOKENS, default_vocabulary, encoder, plain_words
 
 SCAN_MAX = 96
 NO_RANK = 1 << 60
+#: Words, and pre-tokens, that a Python worker keeps rendered.
+MAX_WORDS = 250_000
 #: The pre-token pattern of the vocabulary file, for characters of any script.
 ANY_SCRIPT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 

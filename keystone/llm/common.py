@@ -137,6 +137,19 @@ def equal_runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, np.diff(np.concatenate([s, [len(a)]]))
 
 
+def places(grams: np.ndarray, starts: np.ndarray, sizes: np.ndarray, reach: int, keys: np.ndarray) -> np.ndarray:
+    """1, or 2 if a run's key is at two places or more in the run itself (as in periodic texts).
+
+    A run covers the grams from its start to ``reach`` beyond its last window start.
+    """
+    out = np.ones(len(starts), dtype=np.int64)
+    s = np.sort(grams)
+    if len(again := s[1:][s[1:] == s[:-1]]):
+        for i in np.flatnonzero(np.isin(keys, again)):
+            out[i] = min(2, int((grams[starts[i]:starts[i] + sizes[i] + reach] == keys[i]).sum()))
+    return out
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mask of length ``n``, true inside any [start, end)."""
     d = np.zeros(n + 1, dtype=np.int32)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keystone.llm.ann import nearest_neighbours
 from keystone.llm.bpe import bpe_round_trip
 from keystone.llm.embedding_dedup import near_duplicate_vectors
+from keystone.llm.jaccard_join import jaccard_components
 from keystone.llm.language_id import language_predictions
 from keystone.llm.packing import pack_documents
 from keystone.llm.secrets import find_secrets
+from keystone.llm.substring_dedup import passage_digest
+from keystone.llm.suffix_dedup import string_digest
 from keystone.llm.token_files import token_file_index
 
 
@@ -23,8 +27,12 @@ def queries():
         "op2_bpe_round_trip": lambda spark, d: bpe_round_trip(docs(spark, d)),
         "op3_secret_scan": lambda spark, d: find_secrets(docs(spark, d)).drop("all_spans"),
         "op4_token_files": lambda spark, d: token_file_index(docs(spark, d)),
+        "op5_ngram_jaccard_join": lambda spark, d: jaccard_components(docs(spark, d), words=3, percent=90),
         "op6_language_id": lambda spark, d: language_predictions(docs(spark, d)),
+        "op7_substring_dedup": lambda spark, d: passage_digest(docs(spark, d), window=35),
+        "op8_nearest_neighbours": lambda spark, d: nearest_neighbours(table(spark, d, "embeddings")),
         "op9_sequence_packing": lambda spark, d: pack_documents(docs(spark, d)),
+        "op10_suffix_array_dedup": lambda spark, d: string_digest(docs(spark, d), length=200),
     }
 
 

@@ -19,8 +19,8 @@ SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 _BLANK = " \t\n\v\f\r\x85\xa0"
 PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANK}{_LETTERS}{_DIGITS}]+")
-MAX_WORDS = 250_000
-MAX_PIECES = 350_000
+MAX_WORDS = 500_000
+MAX_PIECES = 600_000
 
 
 def default_vocabulary() -> str:

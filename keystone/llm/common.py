@@ -37,12 +37,20 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that only steps already written have read."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def key_as_text(documents: DataFrame) -> DataFrame:
     """(doc_id string, text): ids pass through pandas as text, where null would turn them into floats."""
     return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -87,6 +95,14 @@ def window_hashes(symbols: np.ndarray, w: int, base: int = _BASE) -> np.ndarray:
     return mix((c[w:] - c[:-w]) * q[: n - w + 1])
 
 
+def stretch_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """Hash of each stretch [start, end) of 64-bit symbols, its length included."""
+    p, q = powers(len(symbols) + 1, base)
+    c = np.zeros(len(symbols) + 1, dtype=np.uint64)
+    np.cumsum(symbols * p[:-1], out=c[1:])
+    return mix((c[ends] - c[starts]) * q[starts] + mix((ends - starts).astype(np.uint64)))
+
+
 def byte_symbols(data: bytes) -> np.ndarray:
     return _TABLE[np.frombuffer(data, dtype=np.uint8)]
 

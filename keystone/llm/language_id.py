@@ -167,11 +167,11 @@ def _longest(pieces: Pieces, word: str) -> list[int]:
     return out
 
 
-def identify(documents: DataFrame, languages: list[str], log_p: np.ndarray, vocabulary: str | None = None) -> DataFrame:
-    """``documents`` (doc_id, text) to (doc_id, lang_pred, score, fit).
+def identify(documents: DataFrame, languages: list[str], log_p: np.ndarray, vocabulary: str | None = None,
+             carry: tuple[str, ...] = ()) -> DataFrame:
+    """``documents`` (doc_id, text) to (doc_id, lang_pred, score, fit), then the long columns ``carry``.
 
-    ``score`` is the posterior of the best language under equal priors, with the
-    text's log-probabilities tempered to 8 letters' worth a word, 0 to 1. ``fit``
+    ``score`` is the posterior of the best language under equal priors, 0 to 1. ``fit``
     is the mean log-probability a letter in that language (null without letters).
     Null texts and texts without a letter are ``und`` with score 0, and all are
     if nothing was learned. Ties go to the language first in the alphabet.
@@ -193,16 +193,15 @@ def identify(documents: DataFrame, languages: list[str], log_p: np.ndarray, voca
                 best = int(np.argmax(total))
                 score = 1.0 / math.fsum(np.exp(np.maximum(total - total[best], -700.0)))
                 out.append((languages[best], min(1.0, score), float(total[best] / letters)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **dict(zip(("lang_pred", "score", "fit"), map(list, zip(*out, strict=True)), strict=True))}) \
-                if out else pd.DataFrame({"doc_id": [], "lang_pred": [], "score": [], "fit": []})
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "fit"]).assign(**{c: pdf[c].to_numpy() for c in ("doc_id", *carry)})
 
-    from keystone.llm.common import key_as_text
-
-    return key_as_text(documents).mapInPandas(run, "doc_id string, lang_pred string, score double, fit double") \
+    schema = "lang_pred string, score double, fit double, doc_id string" + "".join(f", {c} long" for c in carry)
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *carry).mapInPandas(run, schema) \
         .withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def language_predictions(documents: DataFrame, folds: int = 5, vocabulary: str | None = None) -> DataFrame:
+def language_predictions(documents: DataFrame, folds: int = 5, vocabulary: str | None = None,
+                         carry: tuple[str, ...] = ()) -> DataFrame:
     """Learn from all folds but 0 and predict every document: (doc_id, held_out, lang_pred, score, fit).
 
     The fold is crc32(doc_id as text) modulo ``folds``; a null id counts as the
@@ -211,6 +210,6 @@ def language_predictions(documents: DataFrame, folds: int = 5, vocabulary: str |
     fold = crc_fold("doc_id", folds)
     training = documents.where(F.coalesce(fold, F.lit(0)) != 0)
     languages, log_p = learn(training, vocabulary)
-    found = identify(documents, languages, log_p, vocabulary)
+    found = identify(documents, languages, log_p, vocabulary, carry)
     return found.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(True)).alias("held_out"),
-                        "lang_pred", "score", "fit")
+                        "lang_pred", "score", "fit", *carry)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystone.llm.common import scratch_table
+from keystone.llm.passages import other_columns
 
 #: The base patterns. Kinds are numbered in this order.
 KINDS = ("assign", "access", "hex", "live")
@@ -58,7 +59,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int = 1) -> DataFrame:
+def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int = 1, carry_row: bool = False) -> DataFrame:
     """One row per document: (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, all_spans).
 
     Null and empty texts hold no secrets (base_sha256 of the empty string, empty
@@ -66,7 +67,8 @@ def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int =
     (start, kind number, end, value). ``n_live`` counts added spans and
     ``n_example`` generic tokens left out since over ``max_owners`` owners hold
     them; a null owner counts as one owner of its own. Generic tokens that touch
-    a base span add nothing. Repeated rows give repeated results, other columns
+    a base span add nothing. With ``carry_row`` the text and a struct ``row`` of the
+    other columns follow. Repeated rows give repeated results, other columns
     are ignored, and an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -74,8 +76,9 @@ def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int =
                       lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_VALUE)
     base = F.array_sort(F.concat(_kind(assign, "assign"), _kind(_found(text, ACCESS), "access"), _kind(_found(text, HEX), "hex")))
     generic = _kind(_found(text, GENERIC), "live")
+    extra = [other_columns(documents), "text"] if carry_row else []
     scanned = documents.select(
-        "doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), base.alias("base"), generic.alias("generic"))
+        "doc_id", *extra, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), base.alias("base"), generic.alias("generic"))
     apart = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
     rows = scratch_table(scanned.withColumn("generic", apart).withColumn("uid", F.monotonically_increasing_id()), "secret-spans")
 
@@ -94,4 +97,5 @@ def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int =
     every = F.array_sort(F.concat("base", F.coalesce("live", none)))
     return out.select("doc_id", *kinds, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"),
                       F.size(F.coalesce("live", none)).cast("long").alias("n_live"),
-                      F.coalesce("n_example", F.lit(0)).alias("n_example"), every.alias("all_spans"))
+                      F.coalesce("n_example", F.lit(0)).alias("n_example"), every.alias("all_spans"),
+                      *(["row", "text"] if carry_row else []))

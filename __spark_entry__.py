@@ -114,7 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "j6_projects_with_costs": _star(lambda s: s["dim_projects"]
                                         .where(F.col("status").isin("ACTIVE", "COMPLETED")
                                                & F.col("actual_start_date").isNotNull())
-                                        .join(s["fact_project_costs"],
+                                        .join(s["fact_project_costs"].select("project_id").distinct(),
                                               F.col("id") == F.col("project_id"), "left_semi")
                                         .select("id", "project_name")),
     })
@@ -165,7 +165,7 @@ def ml_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     def enc(spark, d):
         ds = M.cost_overrun_dataset(load_star(spark, d))
-        return MD.encoder_table(spark, MD.fit_label_encoder(ds, "project_type"), "project_type")
+        return MD.fit_label_encoder(ds, "project_type").withColumnRenamed("label", "project_type")
 
     cost = lambda spark, d: get_model(spark, d, "cost")           # noqa: E731
     maint = lambda spark, d: get_model(spark, d, "maintenance")
@@ -182,7 +182,7 @@ def ml_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m10_cost_feature_importance": lambda spark, d: cost(spark, d).feature_importance,
         "m10_maintenance_feature_importance": lambda spark, d: maint(spark, d).feature_importance,
         "m11_cost_model_metrics": lambda spark, d: cost(spark, d).metrics(),
-        "m12_maintenance_model_metrics": lambda spark, d: maint(spark, d).metrics(),
+        "m12_maintenance_model_metrics": lambda spark, d: maint(spark, d).train_metrics,
         "m13_score_projects": lambda spark, d: MD.score_projects(load_star(spark, d), cost(spark, d)),
         "m14_score_equipment": lambda spark, d: MD.score_equipment(
             load_star(spark, d), maint(spark, d), as_of=M_AS_OF),
@@ -199,7 +199,7 @@ def ml_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             MD.portfolio_risk(load_star(spark, d), cost(spark, d)), "risk_level", "High"),
         "m18_critical_equipment": lambda spark, d: MD.high_risk(
             MD.fleet_risk(load_star(spark, d), maint(spark, d), as_of=M_AS_OF), "risk", "Critical"),
-        "m20_cost_metrics_table": lambda spark, d: cost(spark, d).metrics(),
+        "m20_maintenance_metrics_table": lambda spark, d: maint(spark, d).metrics(),
         "m21_labelled_importance": lambda spark, d: MD.labelled_importance(
             cost(spark, d).feature_importance.unionByName(maint(spark, d).feature_importance)),
         "m3_class_by_type": _star(lambda s: M.maintenance_snapshots(s).groupBy("equipment_type")
@@ -212,9 +212,8 @@ STAR_END = _dt.date(2001, 12, 31)
 
 
 def generator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """N1-N14 over the given tables: calendars from the order dates, project
-    structure from the derived projects, generated facts over those windows
-    (summarised per project), generated dimensions keyed by the given tables."""
+    """N1-N6 and N11 over the given tables: calendars from the order dates, project
+    structure from the derived projects."""
     from pyspark.sql import functions as F
 
     from keystone.sources import generate as G
@@ -234,29 +233,10 @@ def generator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def phase_costs(star):
         w = windows(star)
         c = star["fact_project_costs"].join(w, "project_id")
-        ph = G._phase_attr(G.phase_index(F.col("start"), F.col("ref_end"), F.col("date_id")), 0)
+        ph = G.phase_attr(G.phase_index(F.col("start"), F.col("ref_end"), F.col("date_id")), "name")
         return c.groupBy(ph.alias("phase")).agg(F.count(F.lit(1)).alias("cost_rows"),
                                                 F.sum("amount").cast("double").alias("actual_cost"))
 
-    def per_project(df, measure=None):
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        if measure is not None:
-            aggs.append(F.sum(measure).cast("double").alias("total"))
-        return df.groupBy("project_id").agg(*aggs)
-
-    def keys(spark, d):
-        ids = lambda t, c: read_base(spark, d, t).select(F.col(c).alias("id"))
-        return {"projects": ids("customer", "c_custkey"), "subcontractors": ids("supplier", "s_suppkey"),
-                "equipment": ids("part", "p_partkey"), "employees": ids("customer", "c_custkey"),
-                "materials": ids("part", "p_partkey")}
-
-    def load(spark, d):
-        import tempfile
-
-        from keystone.session import ensure_checkpoint_dir
-        root = tempfile.mkdtemp(prefix="generated-", dir=ensure_checkpoint_dir(spark))
-        return G.load_generated(spark, keys(spark, d), root)
-
     return {
         "n1_calendar": cal,
         "n2_holidays": holidays,
@@ -267,23 +247,6 @@ def generator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             windows(s), s["dim_projects"].select(F.col("id").alias("project_id"),
                                                  F.col("contract_value").alias("basis")))),
         "n11_inspection_dates": _star(lambda s: G.inspection_dates(windows(s))),
-        "n6_generated_costs": _star(lambda s: per_project(G.generate_costs(
-            windows(s), s["dim_projects"], s["dim_subcontractors"]), F.col("amount"))),
-        "n7_generated_labor": _star(lambda s: per_project(
-            G.generate_labor(windows(s), s["dim_employees"]), F.col("hours_worked"))),
-        "n8_generated_usage": _star(lambda s: per_project(G.generate_equipment_usage(
-            windows(s), s["dim_equipment"], s["dim_employees"]), F.col("hours_used"))),
-        "n9_generated_deliveries": _star(lambda s: per_project(
-            G.generate_deliveries(windows(s), s["dim_materials"]), F.col("total_cost"))),
-        "n10_generated_incidents": _star(lambda s: G.generate_incidents(windows(s))),
-        "n11_generated_inspections": _star(lambda s: per_project(G.generate_inspections(windows(s)))),
-        "n12_generated_projects": lambda spark, d: G.generate_projects(keys(spark, d)["projects"]),
-        "n12_generated_subcontractors": lambda spark, d: G.generate_subcontractors(
-            keys(spark, d)["subcontractors"]),
-        "n12_generated_equipment": lambda spark, d: G.generate_equipment(keys(spark, d)["equipment"]),
-        "n12_generated_employees": lambda spark, d: G.generate_employees(keys(spark, d)["employees"]),
-        "n12_generated_materials": lambda spark, d: G.generate_materials(keys(spark, d)["materials"]),
-        "n14_generated_load_summary": load,
     }
 
 

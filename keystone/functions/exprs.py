@@ -28,10 +28,14 @@ def dbl(c) -> Column:
 
 
 def rnd(c, n: int = 0) -> Column:
-    """ROUND(x, n) half away from zero: sign(x) * floor(|x|·10ⁿ + 0.5) / 10ⁿ."""
+    """ROUND(x, n) half away from zero: sign(x) * floor(|x|·10ⁿ + 0.5) / 10ⁿ.
+
+    From |x|·10ⁿ = 2⁵³ on a double has no such digits to round: x is returned.
+    """
     x = dbl(c)
     p = float(10 ** n)
-    return F.signum(x) * F.floor(F.abs(x) * p + 0.5).cast("double") / p
+    return F.when(F.abs(x) * p >= 2.0 ** 53, x).otherwise(
+        F.signum(x) * F.floor(F.abs(x) * p + 0.5).cast("double") / p)
 
 
 def nullif0(c) -> Column:
@@ -111,10 +115,6 @@ def percent_label(p) -> Column:
 
 
 def dec_sum(c, scale: int) -> Column:
-    """Exact SUM of a DECIMAL column with ``scale`` decimals, accumulated as the
-    unscaled 64-bit integer (about 1.6x faster than a DECIMAL(p+10) buffer on
-    large fact scans) and returned as DECIMAL(38, scale). Same value as
-    ``F.sum``, NULLs skipped; ANSI mode raises instead of wrapping on overflow."""
-    p = 10 ** scale
-    unscaled = (col(c) * F.lit(p)).cast("long")
-    return (F.sum(unscaled).cast("decimal(38,0)") / F.lit(p)).cast(f"decimal(38,{scale})")
+    """Exact SUM of money or hours as DECIMAL: the input is taken as DECIMAL(18, scale)
+    (other types are cast, which rounds), the sum has ten more digits. NULLs skipped."""
+    return F.sum(col(c).cast(f"decimal(18,{scale})"))

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import flag, label_case, rnd, safe_div
+from keystone.functions.exprs import dec_sum, flag, label_case, rnd, safe_div
 from keystone.operators.ranking import Ordering, with_orderings
 
 
@@ -22,9 +22,9 @@ def usage_in_window(usage: DataFrame, start, end) -> DataFrame:
     """Per machine: hours, fuel, maintenance (NULL costs as 0) and projects served."""
     return (usage.where(F.col("date_id").between(F.lit(start), F.lit(end)))
             .groupBy("equipment_id").agg(
-                F.sum("hours_used").alias("u_hours"),
-                F.sum(F.coalesce("fuel_cost", F.lit(0.0))).alias("u_fuel"),
-                F.sum(F.coalesce("maintenance_cost", F.lit(0.0))).alias("u_maint"),
+                dec_sum("hours_used", 4).cast("double").alias("u_hours"),
+                dec_sum(F.coalesce("fuel_cost", F.lit(0)), 4).cast("double").alias("u_fuel"),
+                dec_sum(F.coalesce("maintenance_cost", F.lit(0)), 4).cast("double").alias("u_maint"),
                 F.countDistinct("project_id").alias("u_projects")))
 
 
@@ -56,8 +56,7 @@ def equipment_utilization(star: dict[str, DataFrame], start: _dt.date,
     out = with_orderings(base,
                          Ordering("util", parts=["equipment_type"], descending=True,
                                   rank="rank_in_type"),
-                         Ordering("util_ratio", rank="_fleet_rank"),
-                         bound=e)               # one row per non-retired machine
+                         Ordering("util_ratio", rank="_fleet_rank"))
     # COUNT(*) OVER (): one row per non-retired machine (left join keeps them all).
     out = out.withColumn("_n_fleet", e.agg(F.count(F.lit(1))).scalar())     # attached once
     util = F.col("util")

@@ -33,16 +33,18 @@ def delivery_performance(star: dict[str, DataFrame], by: str = "supplier") -> Da
     """R2: deliveries, on-time / delayed counts, on-time %, quantity and cost per
     ``by`` (``supplier`` via the material dimension, or ``project_id``)."""
     d = star["fact_material_deliveries"]
-    if by == "supplier":
-        m = star["dim_materials"].select(F.col("id").alias("material_id"), "supplier")
-        d = d.join(m, "material_id")
     s = F.col("delivery_status")
-    out = d.groupBy(by).agg(
+    out = d.groupBy("material_id" if by == "supplier" else by).agg(
         F.count(F.lit(1)).alias("deliveries"),
         F.count(F.when(s == "ON_TIME", 1)).alias("on_time"),
         F.count(F.when(s == "DELAYED", 1)).alias("delayed"),
-        F.sum("quantity").alias("quantity"),
-        dec_sum("total_cost", 4).cast("double").alias("total_cost"))
+        dec_sum("quantity", 4).alias("quantity"),
+        dec_sum("total_cost", 4).alias("total_cost"))
+    if by == "supplier":            # the fact is at material grain before it meets its dimension
+        m = star["dim_materials"].select(F.col("id").alias("material_id"), "supplier")
+        out = out.join(m, "material_id").groupBy(by).agg(
+            *[F.sum(c).alias(c) for c in ("deliveries", "on_time", "delayed", "quantity", "total_cost")])
+    out = out.withColumns({c: F.col(c).cast("double") for c in ("quantity", "total_cost")})
     return out.withColumn("on_time_pct", rnd(safe_div(F.col("on_time") * 100.0, "deliveries"), 2)) \
         .orderBy(by)
 
@@ -97,16 +99,17 @@ def equipment_roi_by_type(star: dict[str, DataFrame]) -> DataFrame:
     """Per equipment type: machines, hours, revenue, running costs, net and
     ROI % of the purchase cost (all usage, all non-retired machines)."""
     u = star["fact_equipment_usage"].groupBy("equipment_id").agg(
-        F.sum("hours_used").alias("h"), F.sum(F.coalesce("fuel_cost", F.lit(0.0))).alias("f"),
-        F.sum(F.coalesce("maintenance_cost", F.lit(0.0))).alias("m"))
+        dec_sum("hours_used", 4).alias("h"), dec_sum(F.coalesce("fuel_cost", F.lit(0)), 4).alias("f"),
+        dec_sum(F.coalesce("maintenance_cost", F.lit(0)), 4).alias("m"))
     e = star["dim_equipment"].where(F.col("status") != "RETIRED")
     j = e.join(u, e.id == u.equipment_id, "left")
-    h = F.coalesce("h", F.lit(0.0))
+    h = F.coalesce("h", F.lit(0)).cast("decimal(18,4)")
+    rate = F.col("hourly_rate").cast("decimal(18,4)")
     g = j.groupBy("equipment_type").agg(
-        F.count(F.lit(1)).alias("machines"), F.sum(h).alias("hours"),
-        F.sum(h * F.col("hourly_rate")).alias("revenue"),
-        F.sum(F.coalesce("f", F.lit(0.0))).alias("fuel_cost"),
-        F.sum(F.coalesce("m", F.lit(0.0))).alias("maintenance_cost"),
+        F.count(F.lit(1)).alias("machines"), F.sum(h).cast("double").alias("hours"),
+        F.sum((h * rate).cast("decimal(28,8)")).cast("double").alias("revenue"),
+        F.sum(F.coalesce("f", F.lit(0))).cast("double").alias("fuel_cost"),
+        F.sum(F.coalesce("m", F.lit(0))).cast("double").alias("maintenance_cost"),
         F.sum(F.col("purchase_cost").cast("decimal(20,2)")).cast("double").alias("purchase_cost"))
     net = F.col("revenue") - F.col("fuel_cost") - F.col("maintenance_cost")
     return g.select("equipment_type", "machines", "hours", "revenue", "fuel_cost",
@@ -119,6 +122,6 @@ def fuel_trend_by_month(star: dict[str, DataFrame]) -> DataFrame:
     """Fleet fuel cost, hours and fuel per hour by month."""
     u = star["fact_equipment_usage"]
     g = u.groupBy(month_key("date_id").alias("month")).agg(
-        F.sum(F.coalesce("fuel_cost", F.lit(0.0))).alias("fuel_cost"),
-        F.sum("hours_used").alias("hours"))
+        dec_sum(F.coalesce("fuel_cost", F.lit(0)), 4).cast("double").alias("fuel_cost"),
+        dec_sum("hours_used", 4).cast("double").alias("hours"))
     return g.withColumn("fuel_per_hour", rnd(safe_div("fuel_cost", "hours"), 4)).orderBy("month")

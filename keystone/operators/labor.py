@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import dbl, dec_sum, month_key, rnd, safe_div
+from keystone.session import materialize
 
 
-def _labor_with_trade(star: dict[str, DataFrame], project_id: int | None) -> DataFrame:
+def _labor_by_trade(star: dict[str, DataFrame], project_id: int | None, *grain: Column) -> DataFrame:
+    """Hours, cost and rates summed to (employee, ``grain``) before the trade is joined to them."""
     lh = star["fact_labor_hours"]
     if project_id is not None:                  # F7: optional filter (None = all projects)
         lh = lh.where(F.col("project_id") == F.lit(project_id))
+    sums = lh.groupBy("employee_id", *grain).agg(
+        dec_sum("hours_worked", 1).alias("h"),
+        dec_sum(F.col("hours_worked") * F.col("hourly_rate"), 3).alias("c"),
+        dec_sum("hourly_rate", 2).alias("rs"), F.count("hourly_rate").alias("rn"))
     e = star["dim_employees"].select(F.col("id").alias("e_id"), "trade")
-    return lh.join(e, lh.employee_id == e.e_id).select(
-        "trade", "employee_id", "project_id", "date_id", "hours_worked", "hourly_rate",
-        (F.col("hours_worked") * F.col("hourly_rate")).alias("cost"))
+    return sums.join(e, sums.employee_id == e.e_id).drop("e_id")
 
 
 def monthly_labor_with_lag(star: dict[str, DataFrame], project_id: int | None = None) -> DataFrame:
     """Hours and cost per (trade, month) with the previous existing month's
     values (gaps are not filled); rows per trade are bounded by the months."""
-    lt = _labor_with_trade(star, project_id)
-    m = lt.groupBy("trade", month_key("date_id").alias("yr_month")).agg(
-        F.sum("hours_worked").alias("mh"), F.sum("cost").alias("mc"))
+    m = _labor_by_trade(star, project_id, month_key("date_id").alias("yr_month")) \
+        .groupBy("trade", "yr_month").agg(F.sum("h").alias("mh"), F.sum("c").alias("mc"))
     w = Window.partitionBy("trade").orderBy("yr_month")
     return m.select("trade", "yr_month", F.col("mh").cast("double").alias("monthly_hours"),
                     F.col("mc").cast("double").alias("monthly_cost"),
@@ -37,13 +40,12 @@ def labor_productivity(star: dict[str, DataFrame], project_id: int | None = None
     The trade domain is a fixed 9-value enum, so after the aggregates every
     window below runs over at most 9 rows (or 9 × months for the MoM part).
     """
-    lt = _labor_with_trade(star, project_id)
-    # One fact scan reduced to distinct (trade, employee, project) triples with
-    # exact partial sums; the two distinct counts then expand only this small
-    # frame instead of every fact row.
+    # One fact scan reduced to (employee, project, month); monthly sums and the
+    # two distinct counts are then taken from this small frame.
+    lt = materialize(_labor_by_trade(star, project_id, F.col("project_id"), month_key("date_id").alias("yr_month")),
+                     "a4_labor")
     triples = lt.groupBy("trade", "employee_id", "project_id").agg(
-        dec_sum("hours_worked", 1).alias("h"), dec_sum("cost", 3).alias("c"),
-        dec_sum("hourly_rate", 2).alias("rs"), F.count("hourly_rate").alias("rn"))
+        *[F.sum(c).alias(c) for c in ("h", "c", "rs", "rn")])
     la = triples.groupBy("trade").agg(
         F.sum("h").alias("h"), F.sum("c").alias("c"),
         F.sum("rs").alias("rate_sum"), F.sum("rn").alias("rate_n"),
@@ -54,8 +56,7 @@ def labor_productivity(star: dict[str, DataFrame], project_id: int | None = None
         rnd(safe_div("rate_sum", "rate_n"), 2).alias("avg_hourly_rate"),
         "unique_employees", "projects_worked")
 
-    monthly = lt.groupBy("trade", month_key("date_id").alias("yr_month")).agg(
-        dec_sum("hours_worked", 1).alias("mh"), dec_sum("cost", 3).alias("mc"))
+    monthly = lt.groupBy("trade", "yr_month").agg(F.sum("h").alias("mh"), F.sum("c").alias("mc"))
     wt = Window.partitionBy("trade").orderBy("yr_month")
     latest = (monthly.select("*", F.lag("mh").over(wt).alias("ph"), F.lag("mc").over(wt).alias("pc"),
                              F.max("yr_month").over(Window.partitionBy("trade")).alias("_last"))

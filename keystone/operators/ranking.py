@@ -2,31 +2,23 @@
 
 ``RANK() OVER (ORDER BY x)`` with no (or a low-cardinality) partition key puts
 every row into one task. Here the same answers come from the *distinct values*
-of the key:
+of the key, in one way at every size:
 
 1. ``groupBy(parts, key).count()``: a hot value (one key holding a third of all
    rows) collapses to one row with a count, so skew never reaches a window;
-2. ``percentile_approx`` splits each part's value range into B buckets
-   (B ≈ shuffle partitions; the bounds are one small array per part);
-3. bucket totals (≤ B rows per part) give each bucket its prefix offset and the
-   last / first value of the neighbouring non-empty buckets;
-4. a window partitioned by (parts, bucket) finishes the running count and the
-   neighbouring distinct values inside each bucket.
+2. the distinct values are range-partitioned by (parts, key) in the key's own
+   type and direction, NULLs included; the range is their bucket;
+3. a window partitioned by (parts, bucket) counts and finds neighbours inside
+   each bucket, and bucket totals (a row for each part and bucket it has) give
+   the offsets and the neighbours across bucket ends.
 
 rank = 1 + rows strictly before; ``LAG``/``LEAD`` with an id tie-break follow
 from the previous/next distinct value and the min/max id of each tie group;
 the ``ROW_NUMBER() = 1`` row is the smallest id of the first tie group.
 
 Ordering follows Spark's defaults: ascending puts NULLs first, descending puts
-them last (in both cases NULL sorts as the smallest value).
-
-Every ordering of a frame is computed from the *same* base frame and attached
-side by side (``with_orderings``), so plans grow linearly with the number of
-orderings. Reports pass the dimension their entity frame is keyed by as a
-size bound: when it has at most ``keystone.window.maxSingleTaskRows`` rows
-(default 2 000 000, a few seconds in one task) plain windows are used;
-otherwise the entity frame is materialized once and ranked by the bucketed
-path above.
+them last (in both cases NULL sorts as the smallest value). A NULL partition
+key is a part like any other.
 """
 
 from __future__ import annotations
@@ -37,14 +29,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_UNB = Window.unboundedPreceding
-
+from keystone.session import materialize
 
-def _buckets(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return max(int(buckets), 1)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(n, 8)
+_BEFORE = (Window.unboundedPreceding, -1)
+_ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def ordinal_stats(df: DataFrame, key: str, parts: Sequence[str] = (),
@@ -58,76 +46,37 @@ def ordinal_stats(df: DataFrame, key: str, parts: Sequence[str] = (),
     ``_tmin`` / ``_tmax``  smallest / largest ``tie`` value in the group (if given).
     """
     parts = list(parts)
-    k = F.col(key)
+    order = F.col(key).desc() if descending else F.col(key).asc()
     aggs = [F.count(F.lit(1)).alias("_n")]
     if tie:
         aggs += [F.min(tie).alias("_tmin"), F.max(tie).alias("_tmax")]
-    vc = df.groupBy(*parts, key).agg(*aggs)
-    ktype = vc.schema[key].dataType
-    base_cols = vc.columns
-
-    nn = vc.where(k.isNotNull()).withColumn("_o", (-k if descending else k).cast("double"))
-    b = _buckets(df, buckets)
-    fractions = [i / b for i in range(1, b)]
-    pct = F.percentile_approx("_o", fractions, 10000).alias("_bd")
-    if parts:
-        nn = nn.join(nn.groupBy(*parts).agg(pct), parts)
-    else:
-        nn = nn.withColumn("_bd", nn.agg(pct).scalar())
-    nn = nn.withColumn("_bk", F.size(F.filter("_bd", lambda x: x < F.col("_o")))).drop("_bd")
-
-    # Bucket totals: at most B rows per part, so these windows are bounded.
-    bt = nn.groupBy(*parts, "_bk").agg(F.sum("_n").alias("_bn"),
-                                      F.min_by(key, "_o").alias("_bfirst"),
-                                      F.max_by(key, "_o").alias("_blast"))
-    wp = Window.partitionBy(*parts).orderBy("_bk")
-    wall = Window.partitionBy(*parts)
-    bt = bt.select(
-        *parts, "_bk",
-        F.coalesce(F.sum("_bn").over(wp.rowsBetween(_UNB, -1)), F.lit(0)).alias("_off"),
-        F.lag("_blast").over(wp).alias("_pb"),
-        F.lead("_bfirst").over(wp).alias("_nb"),
-        F.sum("_bn").over(wall).alias("_tot"),
-        F.first("_bfirst").over(wp.rowsBetween(_UNB, Window.unboundedFollowing)).alias("_first"),
-        F.last("_blast").over(wp.rowsBetween(_UNB, Window.unboundedFollowing)).alias("_last"))
-    if not parts:
-        bt = F.broadcast(bt)          # ≤ B rows by construction
-
-    wb = Window.partitionBy(*parts, "_bk").orderBy("_o")
-    nn = nn.join(bt, parts + ["_bk"]).select(
-        *base_cols,
-        (F.col("_off") + F.coalesce(F.sum("_n").over(wb.rowsBetween(_UNB, -1)), F.lit(0)))
+    values = df.groupBy(*parts, key).agg(*aggs)
+    base = values.columns
+    b = int(buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(values.repartitionByRange(max(b, 1), *parts, order)
+                         .withColumn("_bk", F.spark_partition_id()), "ordinal-values")
+
+    inside = Window.partitionBy(*parts, "_bk").orderBy(order)
+    totals = placed.groupBy(*parts, "_bk").agg(F.sum("_n").alias("_bn"),
+                                               F.min(key).alias("_lo"), F.max(key).alias("_hi"),
+                                               F.bool_or(F.col(key).isNull()).alias("_nil"))
+    # The smallest value of a bucket that holds the NULL group is NULL.
+    low = F.when(~F.col("_nil"), F.col("_lo"))
+    first, last = (F.col("_hi"), low) if descending else (low, F.col("_hi"))
+    across = Window.partitionBy(*parts).orderBy("_bk")
+    totals = totals.select(
+        *[F.col(p).alias(f"_t_{p}") for p in parts], F.col("_bk").alias("_t_bk"),
+        F.coalesce(F.sum("_bn").over(across.rowsBetween(*_BEFORE)), F.lit(0)).alias("_off"),
+        F.lag(last).over(across).alias("_pb"), F.lead(first).over(across).alias("_nb"))
+    cond = [placed["_bk"] == totals["_t_bk"]] + [placed[p].eqNullSafe(totals[f"_t_{p}"]) for p in parts]
+    # The neighbour of the outermost rows is in the next bucket; inside, lag and lead of a lone flag tell.
+    here = F.lit(True)
+    return placed.join(totals, cond).select(
+        *[placed[c] for c in base],
+        (F.col("_off") + F.coalesce(F.sum("_n").over(inside.rowsBetween(*_BEFORE)), F.lit(0)))
         .cast("long").alias("_before"),
-        F.coalesce(F.lag(key).over(wb), F.col("_pb")).alias("_prev"),
-        F.coalesce(F.lead(key).over(wb), F.col("_nb")).alias("_next"))
-
-    # The NULL group (at most one row per part) sorts as the smallest value.
-    ends = bt.groupBy(*parts).agg(F.max("_tot").alias("_tot"), F.max("_first").alias("_first"),
-                                 F.max("_last").alias("_last"))
-    nl = vc.where(k.isNull())
-    if parts:
-        nl = nl.join(ends, parts, "left")
-    else:
-        nl = nl.withColumn("_e", ends.select(F.struct("_tot", "_first", "_last")).scalar()) \
-               .select("*", "_e._tot", "_e._first", "_e._last").drop("_e")
-    nulls_first = not descending
-    if nulls_first:
-        # Ascending: the NULL group sorts before every value of its part.
-        nc = vc.where(k.isNull()).select(*[F.col(c).alias(f"_nc_{c}") for c in parts],
-                                         F.col("_n").alias("_nulls"))
-        if parts:
-            cond = [nn[c].eqNullSafe(nc[f"_nc_{c}"]) for c in parts]
-            nn = nn.join(nc, cond, "left").drop(*[f"_nc_{c}" for c in parts])
-        else:
-            nn = nn.withColumn("_nulls", nc.agg(F.sum("_nulls")).scalar())
-        nn = nn.withColumn("_before", (F.col("_before") + F.coalesce("_nulls", F.lit(0)))
-                           .cast("long")).drop("_nulls")
-    nl = nl.select(
-        *base_cols,
-        (F.lit(0) if nulls_first else F.coalesce("_tot", F.lit(0))).cast("long").alias("_before"),
-        (F.lit(None) if nulls_first else F.col("_last")).cast(ktype).alias("_prev"),
-        (F.col("_first") if nulls_first else F.lit(None)).cast(ktype).alias("_next"))
-    return nn.unionByName(nl)
+        F.when(F.lag(here).over(inside), F.lag(key).over(inside)).otherwise(F.col("_pb")).alias("_prev"),
+        F.when(F.lead(here).over(inside), F.lead(key).over(inside)).otherwise(F.col("_nb")).alias("_next"))
 
 
 @dataclass
@@ -145,56 +94,21 @@ class Ordering:
 
 def _attach(df: DataFrame, stats: DataFrame, key: str, parts: Sequence[str],
             keep: dict[str, Column]) -> DataFrame:
-    """Join stats back onto df by (parts, key) with NULL-safe key equality."""
+    """Join stats back onto df by (parts, key), NULL-safe in all of them."""
     s = stats.select(*[F.col(p).alias(f"_s_{p}") for p in parts],
                      F.col(key).alias("_s_key"),
                      *[c.alias(n) for n, c in keep.items()])
-    cond = [df[p] == s[f"_s_{p}"] for p in parts] + [df[key].eqNullSafe(s["_s_key"])]
+    cond = [df[c].eqNullSafe(s[f"_s_{c}"]) for c in parts] + [df[key].eqNullSafe(s["_s_key"])]
     return df.join(s, cond, "inner").drop(*[f"_s_{p}" for p in parts], "_s_key")
 
 
-def max_window_rows(spark) -> int:
-    """Largest frame ranked with plain (single-task for global orders) windows."""
-    return int(spark.conf.get("keystone.window.maxSingleTaskRows", "2000000"))
-
-
-def _window_orderings(df: DataFrame, orderings: Sequence[Ordering]) -> DataFrame:
-    cols = []
-    for o in orderings:
-        k = F.col(o.key).desc() if o.descending else F.col(o.key).asc()
-        w = Window.partitionBy(*o.parts).orderBy(k)
-        if o.rank:
-            cols.append(F.rank().over(w).cast("long").alias(o.rank))
-        wt = Window.partitionBy(*o.parts).orderBy(k, F.col(o.tie).asc()) if o.tie else None
-        if o.lead:
-            cols.append(F.lead(o.key).over(wt).alias(o.lead))
-        if o.lag:
-            cols.append(F.lag(o.key).over(wt).alias(o.lag))
-    return df.select("*", *cols)
-
-
-def with_orderings(df: DataFrame, *orderings: Ordering, strategy: str = "auto",
-                   bound: DataFrame | None = None) -> DataFrame:
+def with_orderings(df: DataFrame, *orderings: Ordering) -> DataFrame:
     """Attach RANK / LEAD / LAG columns of several orderings of the same frame.
 
-    ``strategy``: ``"window"`` (plain windows; a global order runs in one task),
-    ``"distributed"`` (bucketed distinct-value statistics, any size), or
-    ``"auto"``: use plain windows when the frame has at most
-    ``keystone.window.maxSingleTaskRows`` rows. The size check counts ``bound``
-    when given — a table with at least as many rows as ``df`` (e.g. the
-    dimension an entity-grain report is keyed by), which is cheap to count —
-    otherwise ``df`` itself (pass a materialized frame). Above the limit the
-    frame is materialized once and ranked by the distributed path.
+    The frame (an entity-grain report) is materialized once, and every ordering
+    is computed from it and attached side by side.
     """
-    if strategy == "auto":
-        n = (bound if bound is not None else df).count()
-        strategy = "window" if n <= max_window_rows(df.sparkSession) else "distributed"
-        if strategy == "distributed" and bound is not None:
-            from keystone.session import materialize
-            df = materialize(df, "ordering-input")
-    if strategy == "window":
-        return _window_orderings(df, orderings)
-    out = df
+    out = df = materialize(df, "ordering-input")
     for i, o in enumerate(orderings):
         tie = o.tie if (o.lead or o.lag) else None
         st = ordinal_stats(df, o.key, o.parts, o.descending, tie=tie, buckets=o.buckets)
@@ -218,28 +132,17 @@ def with_orderings(df: DataFrame, *orderings: Ordering, strategy: str = "auto",
     return out
 
 
-def with_rank(df: DataFrame, key: str, name: str, parts: Sequence[str] = (),
-              descending: bool = False, buckets: int | None = None,
-              strategy: str = "auto") -> DataFrame:
-    """Add ``RANK() OVER (PARTITION BY parts ORDER BY key [DESC])`` as BIGINT."""
-    return with_orderings(df, Ordering(key, parts, descending, rank=name, buckets=buckets),
-                          strategy=strategy)
-
-
 def first_in_group(df: DataFrame, key: str, tie: str, parts: Sequence[str] = (),
                    descending: bool = False) -> DataFrame:
     """W3 helper: per part, the ``tie`` value of the ``ROW_NUMBER() = 1`` row of
-    ORDER BY key [DESC], tie — one partial aggregate, no window. Columns:
+    ORDER BY key [DESC], tie — partial aggregates, no window. Columns:
     parts + ``_first_tie``."""
-    k = F.col(key)
-    # A struct that is largest for the row first in the order; NULL keys sort
-    # last for DESC and first for ASC (NULL is the smallest value).
-    if descending:
-        best = F.max(F.struct(k.isNotNull().alias("a"), k.alias("b"), (-F.col(tie)).alias("c")))
-    else:
-        best = F.max(F.struct(k.isNull().alias("a"), (-k).alias("b"), (-F.col(tie)).alias("c")))
-    return df.groupBy(*parts).agg(best.alias("_best")).select(
-        *parts, (-F.col("_best.c")).alias("_first_tie"))
+    smallest = F.min(F.struct(F.col(key).alias("k"), F.col(tie).alias("t")))   # NULL keys first
+    if not descending:
+        return df.groupBy(*parts).agg(smallest["t"].alias("_first_tie"))
+    per_value = df.groupBy(*parts, key).agg(F.min(tie).alias("_t"))
+    return per_value.groupBy(*parts).agg(
+        F.max(F.struct(F.col(key).alias("k"), F.col("_t").alias("t")))["t"].alias("_first_tie"))
 
 
 def with_first_flag(df: DataFrame, key: str, tie: str, name: str,
@@ -254,11 +157,3 @@ def with_first_flag(df: DataFrame, key: str, tie: str, name: str,
         out = df.withColumn("_first_tie", win.select("_first_tie").scalar())
     return out.withColumn(name, F.coalesce(F.col(tie) == F.col("_first_tie"), F.lit(False))) \
               .drop("_first_tie")
-
-
-def with_count(df: DataFrame, name: str, parts: Sequence[str] = ()) -> DataFrame:
-    """W7 helper: ``COUNT(*) OVER (PARTITION BY parts)`` via an aggregate, not a window."""
-    if not parts:
-        return df.withColumn(name, df.agg(F.count(F.lit(1))).scalar())
-    c = df.groupBy(*parts).agg(F.count(F.lit(1)).alias(name))
-    return df.join(c, list(parts), "left")

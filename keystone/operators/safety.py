@@ -16,7 +16,7 @@ def zero_incident_projects(star: dict[str, DataFrame], start, end) -> DataFrame:
     """Started ACTIVE/COMPLETED projects with no incident in the window."""
     affected = (star["fact_safety_incidents"]
                 .where(F.col("date_id").between(F.lit(start), F.lit(end)))
-                .select("project_id"))
+                .select("project_id").distinct())      # a row for each project, however many incidents it has
     p = star["dim_projects"].where(F.col("status").isin("ACTIVE", "COMPLETED")
                                    & F.col("actual_start_date").isNotNull())
     return p.join(affected, p.id == affected.project_id, "left_anti")

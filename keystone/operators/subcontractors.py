@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import dbl, dec_sum, label_case, rnd, safe_div, yes_no
-from keystone.operators.ranking import Ordering, max_window_rows, with_first_flag, with_orderings
+from keystone.operators.ranking import Ordering, with_first_flag, with_orderings
 from keystone.session import materialize
 
 
@@ -44,17 +44,9 @@ def subcontractor_scorecard(star: dict[str, DataFrame], top_n: int = 10) -> Data
     orderings = (Ordering("composite_score", descending=True, rank="overall_rank"),
                  Ordering("composite_score", parts=["trade"], descending=True,
                           rank="rank_in_trade"))
-    # Size check on the keying dimension (scored subcontractors ⊆ subcontractors).
-    if s.count() <= max_window_rows(scored.sparkSession):
-        best = Window.partitionBy("trade").orderBy(F.col("composite_score").desc(),
-                                                   "subcontractor_id")
-        out = with_orderings(scored.withColumn("_top", F.row_number().over(best) == 1),
-                             *orderings, strategy="window")
-    else:
-        scored = materialize(scored, "a3_scored")         # shared by both branches
-        out = with_orderings(scored, *orderings, strategy="distributed")
-        out = with_first_flag(out, "composite_score", "subcontractor_id", "_top",
-                              parts=["trade"], descending=True)
+    scored = materialize(scored, "a3_scored")             # shared by the ranks and the best per trade
+    out = with_first_flag(with_orderings(scored, *orderings), "composite_score", "subcontractor_id", "_top",
+                          parts=["trade"], descending=True)
     cpi, rating = F.col("cpi"), F.col("client_rating_raw")
     tier = label_case(None, [
         (F.col("overall_rank") <= top_n, "Top Performer"),

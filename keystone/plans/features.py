@@ -109,11 +109,11 @@ def daily_usage(usage: DataFrame) -> DataFrame:
     Bounds every machine's group to one row per calendar day before any window,
     so a machine holding a large share of all usage rows cannot overload a task.
     """
-    m = F.coalesce(F.col("maintenance_cost"), F.lit(0.0))
+    m = F.coalesce(F.col("maintenance_cost"), F.lit(0))
     return usage.groupBy("equipment_id", "date_id").agg(
-        F.sum("hours_used").alias("h"),
-        F.sum(F.coalesce(F.col("fuel_cost"), F.lit(0.0))).alias("f"),
-        F.sum(F.when(m > 0, m).otherwise(F.lit(0.0))).alias("ms"),
+        dec_sum("hours_used", 4).alias("h"),
+        dec_sum(F.coalesce(F.col("fuel_cost"), F.lit(0)), 4).alias("f"),
+        dec_sum(F.when(m > 0, m).otherwise(F.lit(0)), 4).alias("ms"),
         F.count(F.when(m > 0, 1)).alias("mn"),
         F.count(F.lit(1)).alias("rows"))
 
@@ -121,6 +121,7 @@ def daily_usage(usage: DataFrame) -> DataFrame:
 def _maintenance_features(age: Column, hours: Column, fuel: Column, recent: Column,
                           older: Column, m_count: Column, m_sum: Column,
                           since_last: Column) -> list[Column]:
+    hours, fuel, m_sum = dbl(hours), dbl(fuel), dbl(m_sum)
     return [
         age.cast("long").alias("age_days"),
         rnd(hours, 1).alias("total_hours_used"),
@@ -232,7 +233,8 @@ def maintenance_scoring_features(star: dict[str, DataFrame], as_of: _dt.date = A
     if ids is not None:
         e = e.join(ids.select("id").distinct(), "id", "left_semi")
     j = e.join(agg, e.id == agg.equipment_id, "left")
-    age = F.greatest(F.datediff(asof, "purchase_date"), F.lit(1))
+    # NULL purchase dates stay NULL up to the fill of missing features (greatest() would make them 1).
+    age = F.when(F.col("purchase_date").isNotNull(), F.greatest(F.datediff(asof, "purchase_date"), F.lit(1)))
     return j.select(
         F.col("id").alias("equipment_id"), "equipment_name", "equipment_type", "status",
         F.when(F.col("equipment_id").isNull(), 0).otherwise(1).cast("long").alias("has_usage"),

@@ -6,54 +6,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import dbl, rnd, safe_div
-from keystone.operators.ranking import max_window_rows, ordinal_stats
 from keystone.session import materialize
 
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            strategy: str = "auto") -> DataFrame:
-    """One-row ROC-AUC by mid-ranks (Mann-Whitney U; tied scores count ½).
-
-    Works on the score's distinct values and their counts. With ``"auto"`` the
-    distinct-value table is materialized and counted: up to
-    ``keystone.window.maxSingleTaskRows`` values a running-sum window ranks
-    them; beyond that the distributed ordinal statistics do, so no single task
-    ever sorts an unbounded set. NULL when only one class is present.
-    """
-    s = df.where(F.col(score).isNotNull()).select(
-        F.col(score).cast("double").alias("_s"), F.col(label).cast("long").alias("_y"))
-    vc = s.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
-    if strategy == "auto":
-        vc = materialize(vc, "auc-values")
-        strategy = "window" if vc.count() <= max_window_rows(df.sparkSession) else "distributed"
-    if strategy == "window":
-        w = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-        j = vc.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    else:
-        j = ordinal_stats(s, "_s").select("_s", "_before").join(vc, "_s")
-    mid = F.col("_before") + (F.col("_n") + 1) / 2.0           # mean 1-based rank of the tie group
-    agg = j.agg(F.sum(F.col("_pos") * mid).alias("rs"), F.sum("_pos").alias("n1"),
-                F.sum("_n").alias("n"))
+def _counts(df: DataFrame, label: str, prediction: str, score: str) -> DataFrame:
+    """(score, prediction, label) with its number of rows: one pass that all metrics share."""
+    return df.groupBy(F.col(score).cast("double").alias("_s"), F.col(prediction).cast("long").alias("_p"),
+                      F.col(label).cast("long").alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _auc(counts: DataFrame) -> DataFrame:
+    """One-row ROC-AUC by mid-ranks (Mann-Whitney U; tied scores count ½) from ``_counts``."""
+    vc = counts.where(F.col("_s").isNotNull()).groupBy("_s").agg(
+        F.sum("_c").alias("_m"), F.sum(F.col("_y") * F.col("_c")).alias("_pos"))
+    b = int(vc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(vc.repartitionByRange(max(b, 1), "_s").withColumn("_bk", F.spark_partition_id()), "auc-values")
+    # one row for each range
+    totals = placed.groupBy("_bk").agg(F.sum("_m").alias("_bm")).select(
+        "_bk", F.coalesce(F.sum("_bm").over(Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
+                          F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_bk").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_off") + F.coalesce(F.sum("_m").over(inside), F.lit(0))
+    mid = before + (F.col("_m") + 1) / 2.0                     # mean 1-based rank of the tie group
+    agg = placed.join(totals, "_bk").select("_pos", "_m", mid.alias("_mid")).agg(
+        F.sum(F.col("_pos") * F.col("_mid")).alias("rs"), F.sum("_pos").alias("n1"), F.sum("_m").alias("n"))
     n1, n = dbl("n1"), dbl("n")
     n0 = n - n1
     u = F.col("rs") - n1 * (n1 + 1.0) / 2.0
     return agg.select(F.when((n1 > 0) & (n0 > 0), u / (n1 * n0)).alias("roc_auc"))
 
 
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One-row ROC-AUC; NULL when only one class is present."""
+    return _auc(_counts(df, label, label, score))
+
+
 def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                    score: str | None = "score") -> DataFrame:
     """M9: accuracy, precision, recall, F1 (zero division → 0) and ROC-AUC, 4 dp,
-    plus the confusion counts — one aggregate for the counts."""
-    y, p = F.col(label).cast("long"), F.col(prediction).cast("long")
+    plus the confusion counts — all from one grouping of the input."""
+    counts = _counts(df, label, prediction, score or prediction)
+    if score is not None:
+        counts = materialize(counts, "metric-counts")
+    y, p = F.col("_y"), F.col("_p")
 
     def n_if(c):
-        return F.sum(F.when(c, 1).otherwise(0)).cast("long")
+        return F.coalesce(F.sum(F.when(c, F.col("_c")).otherwise(0)), F.lit(0)).cast("long")
 
-    c = df.agg(F.count(F.lit(1)).alias("n"), n_if((y == 1) & (p == 1)).alias("tp"),
-               n_if((y == 0) & (p == 1)).alias("fp"), n_if((y == 1) & (p == 0)).alias("fn"),
-               n_if((y == 0) & (p == 0)).alias("tn"))
+    c = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), n_if((y == 1) & (p == 1)).alias("tp"),
+                   n_if((y == 0) & (p == 1)).alias("fp"), n_if((y == 1) & (p == 0)).alias("fn"),
+                   n_if((y == 0) & (p == 0)).alias("tn"))
     tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
     zero = F.lit(0.0)
     out = c.select(
@@ -64,7 +68,7 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
         rnd(F.coalesce(safe_div(tp * 2, tp * 2 + fp + fn), zero), 4).alias("f1"))
     if score is None:
         return out.withColumn("roc_auc", F.lit(None).cast("double"))
-    out = out.withColumn("_auc", roc_auc(df, label, score).scalar())      # attached once
+    out = out.withColumn("_auc", _auc(counts).scalar())      # attached once
     return out.withColumn("roc_auc", rnd("_auc", 4)).drop("_auc")
 
 

@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import col, percent_label, title_case
-from keystone.operators.ranking import Ordering, with_orderings
+from keystone.operators.ranking import Ordering, ordinal_stats, with_orderings
 from keystone.plans import features as FE
 from keystone.plans.metrics import binary_metrics, class_balance, metrics_table
 from keystone.session import materialize
+from keystone.sources.warehouse import path_exists
 
-MAX_ENCODER_LABELS = 10000
 
 # ---------------------------------------------------------------------------
 # Advice texts and thresholds of the two scorers.
@@ -41,6 +41,12 @@ COST_ADVICE_MODERATE = ("Moderate overrun risk. Monitor cost categories weekly,
                         "contingency reserves, and flag any scope creep early.")
 COST_ADVICE_LOW = ("Low overrun risk. Maintain current cost controls and continue "
                    "regular budget reviews through project completion.")
+MAINT_ADVICE_HIGH = ("High maintenance probability ({probability}). Schedule a full service within {days} days. "
+                     "Inspect hydraulics, engine hours, and investigate recent fuel-cost increases.")
+MAINT_ADVICE_MODERATE = ("Moderate maintenance probability ({probability}). Plan a preventive inspection within "
+                         "{days} days and monitor fuel efficiency.")
+MAINT_ADVICE_LOW = ("Low maintenance probability ({probability}). Continue standard monitoring. Next routine check "
+                    "recommended in approximately {days} days.")
 COST_THRESHOLDS = (0.70, 0.45)
 MAINT_THRESHOLDS = (0.70, 0.40)
 
@@ -48,25 +54,17 @@ MAINT_THRESHOLDS = (0.70, 0.40)
 # ---------------------------------------------------------------------------
 # M5 label encoder
 # ---------------------------------------------------------------------------
-def fit_label_encoder(df: DataFrame, c: str) -> list[str]:
-    """Distinct labels in alphabetical order (their position is the code)."""
-    labels = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_ENCODER_LABELS + 1)
-    values = sorted(r[0] for r in labels.collect())
-    if len(values) > MAX_ENCODER_LABELS:
-        raise ValueError(f"{c}: too many distinct labels for a label encoder")
-    return values
+def fit_label_encoder(df: DataFrame, c: str) -> DataFrame:
+    """(label, index): distinct labels with their place in alphabetical order."""
+    labels = df.select(F.col(c).alias("label")).where("label is not null").distinct()
+    return ordinal_stats(labels, "label").select("label", F.col("_before").alias("index"))
 
 
-def encode(c, labels: list[str]) -> Column:
-    """Code of each label (alphabetical position); unseen or NULL → 0."""
-    if not labels:
-        return F.lit(0).cast("long")
-    m = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
-    return F.coalesce(m[col(c)], F.lit(0)).cast("long")
-
-
-def encoder_table(spark: SparkSession, labels: list[str], name: str = "label") -> DataFrame:
-    return spark.createDataFrame([(v, i) for i, v in enumerate(labels)], f"{name} string, index long")
+def encode(df: DataFrame, c: str, labels: DataFrame, name: str) -> DataFrame:
+    """Add the code of each label; unseen or NULL → 0."""
+    codes = labels.select(F.col("label").alias("_label"), F.col("index").alias("_index"))
+    return df.join(codes, df[c] == codes["_label"], "left") \
+        .withColumn(name, F.coalesce("_index", F.lit(0)).cast("long")).drop("_label", "_index")
 
 
 # ---------------------------------------------------------------------------
@@ -105,7 +103,7 @@ def balanced_weights(train: DataFrame, label: str) -> Column:
 @dataclass
 class Artifact:
     model: RandomForestClassificationModel
-    labels: list[str]                 # encoder classes
+    labels: DataFrame                 # encoder classes: label, index
     features: list[str]
     category: str                     # raw categorical column that is encoded
     train_metrics: DataFrame
@@ -147,8 +145,10 @@ def train_forest(data: DataFrame, label: str, id_cols: list[str], category: str,
     """M5 → M6 → M7 → M8 → M9 → M10 (shared by M11 and M12)."""
     spark = data.sparkSession
     data = materialize(data, "train-data")
-    labels = fit_label_encoder(data, category)
-    data = data.withColumn(enc_name, encode(category, labels))
+    if data.isEmpty():
+        raise ValueError(f"no rows to train {label} on")
+    labels = materialize(fit_label_encoder(data, category), "labels")
+    data = encode(data, category, labels, enc_name)
     split = materialize(stratified_split(data, label, id_cols, test_fraction, seed), "split")
     train = split.where(~F.col("is_test"))
     train = train.withColumn("weight", balanced_weights(train, label))
@@ -159,9 +159,11 @@ def train_forest(data: DataFrame, label: str, id_cols: list[str], category: str,
                                 cacheNodeIds=True, checkpointInterval=10)
     # Tree induction is CPU-bound: spread the rows over every core (AQE may have
     # coalesced a small training set into very few partitions).
-    n = spark.sparkContext.defaultParallelism
-    xtr = materialize(_assemble(train, feats).repartition(n), "train-x")
-    xte = _assemble(split.where(F.col("is_test")), feats).repartition(n)
+    # By a hash of the ids into a number that follows the data, so that bootstrap
+    # samples are the same on any cluster.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    xtr = materialize(_assemble(train, feats).repartition(n, *id_cols).sortWithinPartitions(*id_cols), "train-x")
+    xte = _assemble(split.where(F.col("is_test")), feats)
     model = rf.fit(xtr)
     tr = _scored(model, xtr)
     te = _scored(model, xte)
@@ -194,26 +196,25 @@ def save_artifact(a: Artifact, path: str) -> None:
     spark = a.train_metrics.sparkSession
     a.model.write().overwrite().save(os.path.join(path, "model"))
     meta = spark.createDataFrame(
-        [("label", i, v) for i, v in enumerate(a.labels)]
-        + [("feature", i, v) for i, v in enumerate(a.features)]
+        [("feature", i, v) for i, v in enumerate(a.features)]
         + [("category", 0, a.category)], "kind string, pos long, value string")
     meta.write.mode("overwrite").parquet(os.path.join(path, "meta"))
-    for name, df in [("train_metrics", a.train_metrics), ("test_metrics", a.test_metrics),
+    for name, df in [("labels", a.labels), ("train_metrics", a.train_metrics), ("test_metrics", a.test_metrics),
                      ("feature_importance", a.feature_importance), ("balance", a.balance)]:
         df.write.mode("overwrite").parquet(os.path.join(path, name))
+    spark.range(1).write.mode("overwrite").parquet(os.path.join(path, "complete"))
 
 
 def load_artifact(spark: SparkSession, path: str) -> Artifact:
     """Raises FileNotFoundError when the model has not been trained."""
-    try:
-        model = RandomForestClassificationModel.load(os.path.join(path, "model"))
-        meta = spark.read.parquet(os.path.join(path, "meta")).collect()
-    except Exception as exc:                                    # noqa: BLE001
-        raise FileNotFoundError(f"Model not found: {path}. Train it first.") from exc
+    if not path_exists(spark, os.path.join(path, "complete")):  # written last
+        raise FileNotFoundError(f"Model not found: {path}. Train it first.")
+    model = RandomForestClassificationModel.load(os.path.join(path, "model"))
+    meta = spark.read.parquet(os.path.join(path, "meta")).collect()     # a row for each feature and label
     pick = lambda k: [r.value for r in sorted((r for r in meta if r.kind == k),
                                               key=lambda r: r.pos)]
     rd = lambda n: spark.read.parquet(os.path.join(path, n))     # noqa: E731
-    return Artifact(model=model, labels=pick("label"), features=pick("feature"),
+    return Artifact(model=model, labels=rd("labels"), features=pick("feature"),
                     category=pick("category")[0], train_metrics=rd("train_metrics"),
                     test_metrics=rd("test_metrics"), feature_importance=rd("feature_importance"),
                     balance=rd("balance"))
@@ -225,7 +226,7 @@ def load_artifact(spark: SparkSession, path: str) -> Artifact:
 def score_projects(star: dict[str, DataFrame], a: Artifact, ids: DataFrame | None = None) -> DataFrame:
     """M13 for a set of projects (all when ``ids`` is None)."""
     f = FE.project_scoring_features(star, ids)
-    f = f.withColumn("project_type_enc", encode("project_type", a.labels))
+    f = encode(f, "project_type", a.labels, "project_type_enc")
     s = _scored(a.model, _assemble(f, a.features))
     p = F.col("score")
     hi, mid = COST_THRESHOLDS
@@ -243,26 +244,15 @@ def score_equipment(star: dict[str, DataFrame], a: Artifact, as_of: _dt.date = F
                     ids: DataFrame | None = None) -> DataFrame:
     """M14 for a set of machines; machines without usage get type code 0."""
     f = FE.maintenance_scoring_features(star, as_of, ids)
-    f = f.withColumn("equipment_type_enc",
-                     F.when(F.col("has_usage") == 1, encode("equipment_type", a.labels))
-                     .otherwise(F.lit(0).cast("long")))
+    f = encode(f, "equipment_type", a.labels, "equipment_type_enc").withColumn(
+        "equipment_type_enc", F.when(F.col("has_usage") == 1, F.col("equipment_type_enc")).otherwise(F.lit(0).cast("long")))
     s = _scored(a.model, _assemble(f, a.features))
     p = F.col("score")
     days = F.greatest(F.lit(1), (F.lit(30.0) * (1.0 - p)).cast("int")).cast("long")
     pct = percent_label(p)
     hi, mid = MAINT_THRESHOLDS
-    rec = (F.when(p >= hi, F.concat(
-        F.lit("High maintenance probability ("), pct, F.lit("). Schedule a full service within "),
-        days.cast("string"), F.lit(" days. Inspect hydraulics, engine hours, and investigate "
-                                   "recent fuel-cost increases.")))
-        .when(p >= mid, F.concat(
-            F.lit("Moderate maintenance probability ("), pct,
-            F.lit("). Plan a preventive inspection within "), days.cast("string"),
-            F.lit(" days and monitor fuel efficiency.")))
-        .otherwise(F.concat(
-            F.lit("Low maintenance probability ("), pct,
-            F.lit("). Continue standard monitoring. Next routine check recommended in "
-                  "approximately "), days.cast("string"), F.lit(" days."))))
+    text = F.when(p >= hi, MAINT_ADVICE_HIGH).when(p >= mid, MAINT_ADVICE_MODERATE).otherwise(MAINT_ADVICE_LOW)
+    rec = F.replace(F.replace(text, F.lit("{probability}"), pct), F.lit("{days}"), days.cast("string"))
     return s.select(
         "equipment_id", "equipment_name", "equipment_type", "status",
         F.round(p, 4).alias("maintenance_probability"),
@@ -290,7 +280,8 @@ def portfolio_risk(star: dict[str, DataFrame], a: Artifact) -> DataFrame:
     """Started ACTIVE projects that have costs (J6 semi join), scored and banded."""
     p = star["dim_projects"].where((F.col("status") == "ACTIVE")
                                    & F.col("actual_start_date").isNotNull())
-    ids = p.join(star["fact_project_costs"], p.id == F.col("project_id"), "left_semi").select("id")
+    costed = star["fact_project_costs"].select("project_id").distinct()
+    ids = p.join(costed, p.id == F.col("project_id"), "left_semi").select("id")
     s = score_projects(star, a, ids)
     return s.select("project_id", "project_name", title_case("project_type").alias("type"),
                     "contract_value", "overrun_probability", "prediction",
@@ -305,7 +296,8 @@ def fleet_risk(star: dict[str, DataFrame], a: Artifact, as_of: _dt.date = FE.AS_
     s = s.join(e.select(F.col("id").alias("equipment_id"), "purchase_date"), "equipment_id")
     return s.select(
         "equipment_id", "equipment_name", title_case("equipment_type").alias("type"),
-        F.greatest(F.datediff(F.lit(as_of), "purchase_date"), F.lit(0)).cast("long").alias("age_days"),
+        F.when(F.col("purchase_date").isNotNull(), F.greatest(F.datediff(F.lit(as_of), "purchase_date"), F.lit(0)))
+        .cast("long").alias("age_days"),
         F.col("features.total_hours_used").alias("total_hours"),
         "maintenance_probability", F.col("predicted_days_until_maintenance").alias("est_days"),
         fleet_risk_band("maintenance_probability", "predicted_days_until_maintenance").alias("risk"),
@@ -313,10 +305,35 @@ def fleet_risk(star: dict[str, DataFrame], a: Artifact, as_of: _dt.date = FE.AS_
 
 
 def risk_kpis(risk: DataFrame, band: str, prob: str) -> DataFrame:
-    """Rows per band with the mean probability per band and overall."""
-    return risk.groupBy(band).agg(F.count(F.lit(1)).alias("count"),
-                                  F.round(F.avg(prob), 4).alias("avg_probability")) \
-        .orderBy(F.col("count").desc(), band)
+    """Number analysed and mean probability, over all (band ``All``) and per band."""
+    return risk.rollup(band).agg(F.grouping(band).alias("_all"), F.count(F.lit(1)).alias("count"),
+                                 F.round(F.avg(prob), 4).alias("avg_probability")) \
+        .orderBy(F.col("_all").desc(), F.col("count").desc(), band) \
+        .select(F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.col(band)).alias(band), "count", "avg_probability")
+
+
+def days_band(days) -> Column:
+    """Fewer than 7 days bad, up to 14 warning, else good."""
+    d = col(days)
+    return F.when(d < 7, "bad").when(d <= 14, "warning").otherwise("good")
+
+
+def predict_project(star: dict[str, DataFrame], a: Artifact, project_id: int) -> DataFrame:
+    """M13 for one project; an unknown id is a ValueError."""
+    return score_projects(star, a, _known(star["dim_projects"], project_id, "project"))
+
+
+def predict_machine(star: dict[str, DataFrame], a: Artifact, equipment_id: int,
+                    as_of: _dt.date = FE.AS_OF) -> DataFrame:
+    """M14 for one machine; an unknown id is a ValueError."""
+    return score_equipment(star, a, as_of, _known(star["dim_equipment"], equipment_id, "machine"))
+
+
+def _known(dim: DataFrame, key: int, what: str) -> DataFrame:
+    ids = dim.where(F.col("id") == key).select("id")
+    if ids.isEmpty():
+        raise ValueError(f"there is no {what} {key}")
+    return ids
 
 
 def high_risk(risk: DataFrame, band: str, level: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import weakref
 
 from pyspark.sql import SparkSession
 
+_CHECKPOINTING: weakref.WeakSet = weakref.WeakSet()
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -42,16 +46,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) do we
-    create a private folder so that ``DataFrame.checkpoint()`` can cut lineage.
+    The cluster's setting always wins. Only a session in local mode, where the
+    driver runs every task, gets a private folder when it is unset.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="keystone-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    context = spark.sparkContext
+    if context not in _CHECKPOINTING:        # setting it again would make another sub-folder
+        context.setCheckpointDir(d)
+        _CHECKPOINTING.add(context)
     return d
 
 

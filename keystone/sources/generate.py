@@ -1,119 +1,37 @@
-"""Seeded table generators as set-based Spark jobs.
+"""The deterministic project structure, as set-based Spark jobs.
 
-Re-aimed from a single-machine, project-by-project simulator: every table is
-built from keyed rows (projects, their day / week / month spines, or the keys
-of a given table) and every chance draw is ``xxhash64(key…, seed, salt)``
-mapped to [0, 1) — so the output depends only on the keys and the seed, never
-on partitioning or row order, and the work grows with the input tables.
-
-N3-N6 and the dates of N11 are deterministic (useful on real data); N7-N10 and
-N12 only make test data. Samples of k out of n (crews, fleets, materials) pick
-indexes by hash into an indexed dimension and join on the index — never a
-cross join of projects with dimensions. Exploded spines are joined with
-sort-merge hints: their planner size estimate does not include the explode
-fan-out, so Spark must not pick them as a broadcast side.
+Windows, phases, weekly spines, budget allocation and inspection dates are
+computed for real project rows. Exploded spines are joined with sort-merge
+hints: their planner size estimate does not include the explode fan-out, so
+Spark must not pick them as a broadcast side.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import math
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import rnd
-from keystone.operators.ranking import Ordering, with_orderings
-from keystone.sources.calendar import us_holiday
 
-SEED = 42
 AS_OF = _dt.date(2026, 2, 17)
 DATA_END = _dt.date(2026, 12, 31)
 
-# ---------------------------------------------------------------------------
-# Construction phases (progress bounds, cost weight, trades,
-# equipment types, material categories), cost category splits, weighted
-# domains and the hourly-rate ranges by (trade, certification level).
-# ---------------------------------------------------------------------------
-PHASES = [
-    ("foundation", 0.00, 0.20, 0.15, ["CONCRETE", "GENERAL"],
-     ["EXCAVATOR", "BULLDOZER", "TRUCK", "COMPACTOR"], ["CONCRETE", "STEEL", "OTHER"]),
-    ("framing", 0.20, 0.45, 0.22, ["FRAMING", "GENERAL"],
-     ["CRANE", "FORKLIFT", "TRUCK"], ["LUMBER", "STEEL", "CONCRETE"]),
-    ("systems", 0.45, 0.75, 0.38, ["ELECTRICAL", "PLUMBING", "HVAC"],
-     ["FORKLIFT", "GENERATOR", "TRUCK"], ["ELECTRICAL", "PLUMBING", "INSULATION"]),
-    ("finishing", 0.75, 1.00, 0.25, ["PAINTING", "ELECTRICAL", "GENERAL"],
-     ["FORKLIFT", "TRUCK", "GENERATOR"], ["FINISHES", "OTHER"]),
-]
-CATEGORY_SPLITS = [("LABOR", 0.35), ("MATERIALS", 0.28), ("EQUIPMENT", 0.12),
-                   ("SUBCONTRACTOR", 0.20), ("OTHER", 0.05)]
-PROJECT_TYPE_WEIGHTS = [("RESIDENTIAL", 26), ("COMMERCIAL", 21), ("INFRASTRUCTURE", 10)]
-PROJECT_VALUE_RANGES = {"RESIDENTIAL": (600_000, 10_000_000, 2_000, 18_000),
-                        "COMMERCIAL": (2_000_000, 65_000_000, 10_000, 250_000),
-                        "INFRASTRUCTURE": (5_000_000, 175_000_000, None, None)}
-SUBCONTRACTOR_TRADE_WEIGHTS = [("ELECTRICAL", 18), ("PLUMBING", 16), ("HVAC", 14),
-                               ("FRAMING", 14), ("CONCRETE", 13), ("ROOFING", 10),
-                               ("PAINTING", 10), ("LANDSCAPING", 8), ("GENERAL", 7)]
-EMPLOYEE_TRADE_WEIGHTS = [("GENERAL", 22), ("FRAMING", 14), ("ELECTRICAL", 14),
-                          ("PLUMBING", 12), ("HVAC", 10), ("CONCRETE", 10), ("ROOFING", 8),
-                          ("PAINTING", 8), ("LANDSCAPING", 2)]
-RATE_RANGES = {
-    ("GENERAL", "APPRENTICE"): (17, 23), ("GENERAL", "JOURNEYMAN"): (24, 34),
-    ("GENERAL", "MASTER"): (35, 50),
-    ("FRAMING", "APPRENTICE"): (19, 25), ("FRAMING", "JOURNEYMAN"): (28, 38),
-    ("FRAMING", "MASTER"): (40, 55),
-    ("ELECTRICAL", "APPRENTICE"): (20, 27), ("ELECTRICAL", "JOURNEYMAN"): (32, 48),
-    ("ELECTRICAL", "MASTER"): (52, 78),
-    ("PLUMBING", "APPRENTICE"): (20, 26), ("PLUMBING", "JOURNEYMAN"): (30, 46),
-    ("PLUMBING", "MASTER"): (50, 75),
-    ("HVAC", "APPRENTICE"): (19, 26), ("HVAC", "JOURNEYMAN"): (30, 46),
-    ("HVAC", "MASTER"): (50, 72),
-    ("CONCRETE", "APPRENTICE"): (18, 24), ("CONCRETE", "JOURNEYMAN"): (26, 38),
-    ("CONCRETE", "MASTER"): (38, 56),
-    ("ROOFING", "APPRENTICE"): (18, 24), ("ROOFING", "JOURNEYMAN"): (26, 36),
-    ("ROOFING", "MASTER"): (38, 55),
-    ("PAINTING", "APPRENTICE"): (16, 22), ("PAINTING", "JOURNEYMAN"): (24, 34),
-    ("PAINTING", "MASTER"): (36, 50),
-    ("LANDSCAPING", "APPRENTICE"): (15, 20), ("LANDSCAPING", "JOURNEYMAN"): (22, 30),
-    ("LANDSCAPING", "MASTER"): (32, 48),
-}
-SEVERITY_WEIGHTS = [("MINOR", 70), ("MODERATE", 25), ("SEVERE", 5)]
-INCIDENT_TYPE_WEIGHTS = [("NEAR_MISS", 45), ("INJURY", 35), ("VIOLATION", 20)]
-INSPECTION_RESULT_WEIGHTS = [("PASS", 85), ("CONDITIONAL", 8), ("FAIL", 7)]
-
-
-# ---------------------------------------------------------------------------
-# N13 chance helpers
-# ---------------------------------------------------------------------------
-def hash01(*keys, seed: int = SEED, salt: str = "") -> Column:
-    """Uniform [0, 1) from the keys, the seed and a salt (xxhash64, 31 bits)."""
-    h = F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys],
-                   F.lit(seed), F.lit(salt))
-    return F.pmod(h, F.lit(2 ** 31)).cast("double") / float(2 ** 31)
-
-
-def uniform(lo: float, hi: float, u: Column) -> Column:
-    return F.lit(lo) + (F.lit(hi) - F.lit(lo)) * u
-
 
-def randint(lo: int, hi: int, u: Column) -> Column:
-    """Integer in [lo, hi] inclusive."""
-    return (F.lit(lo) + F.floor(u * (hi - lo + 1))).cast("int")
+class Phase(NamedTuple):
+    name: str
+    begins: float
+    ends: float
+    cost_weight: float
 
 
-def weighted_pick(u: Column, choices: list[tuple[str, float]]) -> Column:
-    """Cumulative-weight pick of a label for u in [0, 1)."""
-    total = float(sum(w for _, w in choices))
-    acc, out = 0.0, None
-    for value, w in choices[:-1]:
-        acc += w / total
-        out = F.when(u < acc, value) if out is None else out.when(u < acc, value)
-    last = choices[-1][0]
-    return out.otherwise(last) if out is not None else F.lit(last)
-
-
-def _lit_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+# Construction phases (progress bounds, cost weight) and cost category splits.
+PHASES = [Phase("foundation", 0.00, 0.20, 0.15), Phase("framing", 0.20, 0.45, 0.22),
+          Phase("systems", 0.45, 0.75, 0.38), Phase("finishing", 0.75, 1.00, 0.25)]
+CATEGORY_SPLITS = [("LABOR", 0.35), ("MATERIALS", 0.28), ("EQUIPMENT", 0.12),
+                   ("SUBCONTRACTOR", 0.20), ("OTHER", 0.05)]
 
 
 # ---------------------------------------------------------------------------
@@ -139,17 +57,13 @@ def phase_index(start, ref_end, d) -> Column:
     [0, 0.9999]); the last phase is the fallback."""
     total = F.greatest(F.datediff(ref_end, start), F.lit(1))
     prog = F.greatest(F.lit(0.0), F.least(F.datediff(d, start) / total, F.lit(0.9999)))
-    out = None
-    for i, (_, lo, hi, *_rest) in enumerate(PHASES[:-1]):
-        c = (prog >= lo) & (prog < hi)
-        out = F.when(c, i) if out is None else out.when(c, i)
-    return out.otherwise(len(PHASES) - 1)
+    passed = [F.when(prog >= p.begins, 1).otherwise(0) for p in PHASES[1:]]
+    return sum(passed[1:], passed[0])
 
 
-def _phase_attr(idx: Column, pos: int) -> Column:
-    arr = F.array(*[F.lit(p[pos]) if not isinstance(p[pos], list) else _lit_array(p[pos])
-                    for p in PHASES])
-    return F.element_at(arr, idx + 1)
+def phase_attr(idx: Column, field: str) -> Column:
+    """A field of the phase with that index."""
+    return F.element_at(F.array(*[F.lit(getattr(p, field)) for p in PHASES]), idx + 1)
 
 
 def weekly_spine(windows: DataFrame) -> DataFrame:
@@ -170,373 +84,26 @@ def budget_allocation(windows: DataFrame, basis: DataFrame) -> DataFrame:
     cats = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(s).alias("split"))
                      for c, s in CATEGORY_SPLITS])
     x = sp.select("*", F.explode(cats).alias("c"))
-    weight = _phase_attr(F.col("phase"), 3)
+    weight = phase_attr(F.col("phase"), "cost_weight")
     return x.select(
         "project_id", F.col("week").alias("date_id"),
-        _phase_attr(F.col("phase"), 0).alias("phase"), F.col("c.category").alias("cost_category"),
+        phase_attr(F.col("phase"), "name").alias("phase"), F.col("c.category").alias("cost_category"),
         "weeks_in_phase",
         rnd(F.col("basis") * F.col("c.split") * weight / F.col("weeks_in_phase"), 2)
         .alias("planned_budget"))
 
 
-def generate_costs(windows: DataFrame, projects: DataFrame, subcontractors: DataFrame,
-                   seed: int = SEED) -> DataFrame:
-    """N6 with chance: cost basis 68-88 % of contract value, one budget factor
-    per project (0.88-1.32), ±25 % weekly noise on actuals, ±5 % on budgets; a
-    subcontract row names one of 4 subcontractors drawn for the project."""
-    pid = F.col("project_id")
-    basis = projects.select(F.col("id").alias("project_id"),
-                            (F.col("contract_value") * uniform(0.68, 0.88, hash01(
-                                F.col("id"), seed=seed, salt="basis"))).alias("basis"))
-    alloc = budget_allocation(windows, basis)
-    factor = uniform(0.88, 1.32, hash01(pid, seed=seed, salt="factor"))
-    key = [pid, F.col("date_id"), F.col("cost_category")]
-    subs = _indexed(subcontractors)
-    n_subs = subs.agg(F.count(F.lit(1))).scalar()
-    pick = F.pmod(F.xxhash64(pid, F.lit(seed), F.lit("subs"),
-                             randint(0, 3, hash01(*key, seed=seed, salt="sub"))), n_subs)
-    out = alloc.select(
-        "project_id", "date_id", "cost_category",
-        F.when(F.col("cost_category") == "SUBCONTRACTOR", pick).alias("_sub_idx"),
-        rnd(F.col("planned_budget") * factor * uniform(0.75, 1.25, hash01(*key, seed=seed, salt="a")), 2)
-        .cast("decimal(18,4)").alias("amount"),
-        rnd(F.col("planned_budget") * uniform(0.95, 1.05, hash01(*key, seed=seed, salt="b")), 2)
-        .cast("decimal(18,4)").alias("budgeted_amount"))
-    out = out.hint("merge").join(subs.select(F.col("_idx").alias("_sub_idx"), F.col("id").alias("subcontractor_id")),
-                   "_sub_idx", "left")
-    return out.select("project_id", "date_id", "cost_category", "subcontractor_id", "amount",
-                      "budgeted_amount")
-
-
-# ---------------------------------------------------------------------------
-# N7-N10 activity facts
-# ---------------------------------------------------------------------------
-def _indexed(dim: DataFrame) -> DataFrame:
-    """Dimension rows numbered 0..n-1 by id (distributed rank, no single task)."""
-    return with_orderings(dim, Ordering("id", rank="_r")).withColumn("_idx", F.col("_r") - 1).drop("_r")
-
-
-def day_spine(windows: DataFrame) -> DataFrame:
-    """Every day of every project window."""
-    return windows.select("project_id", "start", "end", "ref_end",
-                          F.explode(F.sequence("start", "end")).alias("d"))
-
-
-def _sample_indexes(pid: Column, k: Column, n: Column, seed: int, salt: str) -> Column:
-    """k hashed indexes into 0..n-1 (duplicates removed): a keyed sample."""
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), k), lambda j: F.pmod(F.xxhash64(pid, j, F.lit(seed), F.lit(salt)), n)))
-
-
-def generate_labor(windows: DataFrame, employees: DataFrame, seed: int = SEED) -> DataFrame:
-    """A crew of 10-20 active employees per project; Sundays off, Saturdays
-    5 %, holidays 4 %; phase trades show up 92 % of days, others 45 %."""
-    emp = _indexed(employees.where(F.col("status") == "ACTIVE"))
-    n = emp.agg(F.count(F.lit(1))).scalar()
-    pid = F.col("project_id")
-    crew = _sample_indexes(pid, randint(10, 20, hash01(pid, seed=seed, salt="crew")), F.col("_n"),
-                           seed, "crew")
-    days = day_spine(windows).withColumn("_n", n)
-    d = F.col("d")
-    wd = F.weekday(d)
-    keep_day = ((wd < 5) | ((wd == 5) & (hash01(pid, d, seed=seed, salt="sat") < 0.05))) \
-        & (~us_holiday(d) | (hash01(pid, d, seed=seed, salt="hol") < 0.04))
-    days = days.where((wd != 6) & keep_day) \
-        .withColumn("phase", phase_index(F.col("start"), F.col("ref_end"), d))
-    x = days.select("project_id", "d", "phase", F.explode(crew).alias("_idx"))
-    x = x.hint("merge").join(emp.select("_idx", F.col("id").alias("employee_id"), "trade",
-                                        "hourly_rate"), "_idx")
-    pref = F.array_contains(_phase_attr(F.col("phase"), 4), F.col("trade"))
-    u = hash01(pid, d, F.col("employee_id"), seed=seed, salt="show")
-    x = x.where(F.when(pref, u <= 0.92).otherwise(u <= 0.45))
-    return x.select(
-        F.xxhash64(pid, F.col("employee_id"), d, F.lit(seed)).alias("id"), "project_id",
-        "employee_id", d.alias("date_id"),
-        rnd(uniform(6.0, 10.0, hash01(pid, d, F.col("employee_id"), seed=seed, salt="h")), 1)
-        .cast("decimal(6,1)").alias("hours_worked"),
-        F.col("hourly_rate").cast("decimal(8,2)").alias("hourly_rate"))
-
-
-def generate_equipment_usage(windows: DataFrame, equipment: DataFrame, employees: DataFrame,
-                             seed: int = SEED) -> DataFrame:
-    """3-7 active machines per project, weekdays except holidays; phase
-    machines work 78 % of days, others 22 %; 5 % maintenance days off; fuel
-    only for phase machines; a maintenance cost on 4 % of logs."""
-    fleet = _indexed(equipment.where(F.col("status") == "ACTIVE"))
-    ops = _indexed(employees.where(F.col("status") == "ACTIVE"))
-    n, n_ops = fleet.agg(F.count(F.lit(1))).scalar(), ops.agg(F.count(F.lit(1))).scalar()
-    pid, d = F.col("project_id"), F.col("d")
-    assigned = _sample_indexes(pid, randint(3, 7, hash01(pid, seed=seed, salt="fleet")), F.col("_n"),
-                               seed, "fleet")
-    days = day_spine(windows).withColumn("_n", n).where((F.weekday(d) < 5) & ~us_holiday(d)) \
-        .withColumn("phase", phase_index(F.col("start"), F.col("ref_end"), d))
-    x = days.select("project_id", "d", "phase", F.explode(assigned).alias("_idx")).hint("merge") \
-        .join(fleet.select("_idx", F.col("id").alias("equipment_id"), "equipment_type"), "_idx")
-    eid = F.col("equipment_id")
-    rel = F.array_contains(_phase_attr(F.col("phase"), 5), F.col("equipment_type"))
-    u = lambda salt: hash01(pid, eid, d, seed=seed, salt=salt)
-    x = x.where(F.when(rel, u("use") <= 0.78).otherwise(u("use") <= 0.22) & (u("off") >= 0.05))
-    hours = rnd(uniform(2.0, 10.0, u("h")), 1)
-    return x.select(
-        "project_id", "equipment_id", d.alias("date_id"), hours.alias("hours_used"),
-        F.when(rel, rnd(hours * uniform(12.0, 35.0, u("f")), 2)).alias("fuel_cost"),
-        F.when(u("m?") < 0.04, rnd(uniform(50.0, 800.0, u("m")), 2)).alias("maintenance_cost"),
-        F.pmod(F.xxhash64(pid, eid, d, F.lit("op")), F.lit(n_ops)).alias("_op")).hint("merge") \
-        .join(ops.select(F.col("_idx").alias("_op"), F.col("id").alias("operator_id")), "_op") \
-        .drop("_op")
-
-
-def generate_deliveries(windows: DataFrame, materials: DataFrame, seed: int = SEED) -> DataFrame:
-    """Deliveries 2-7 days after the start, then every 5-12 days (weekdays
-    only), 1-4 materials of the phase's categories, 88 % on time."""
-    pid = F.col("project_id")
-    span = F.datediff("end", "start")
-    steps = windows.select("*", F.explode(F.sequence(F.lit(0), (span / 5).cast("int") + 1)).alias("j"))
-    gap = F.when(F.col("j") == 0, randint(2, 7, hash01(pid, seed=seed, salt="g0"))) \
-           .otherwise(randint(5, 12, hash01(pid, F.col("j"), seed=seed, salt="gap")))
-    w = Window.partitionBy("project_id").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("dd", F.date_add("start", F.sum(gap).over(w).cast("int")))
-    dd = F.col("dd")
-    dl = steps.where((dd <= F.col("end")) & (F.weekday(dd) < 5)) \
-        .withColumn("phase", phase_index(F.col("start"), F.col("ref_end"), dd))
-    k = randint(1, 4, hash01(pid, dd, seed=seed, salt="k"))
-    cats = _phase_attr(F.col("phase"), 6)
-    x = dl.select("project_id", "dd", cats.alias("cats"),
-                  F.explode(F.sequence(F.lit(1), k)).alias("b"))
-    x = x.withColumn("category", F.element_at(
-        "cats", (F.pmod(F.xxhash64(pid, dd, F.col("b"), F.lit(seed)), F.size("cats")) + 1).cast("int")))
-    mats = with_orderings(materials, Ordering("id", parts=["category"], rank="_r"))
-    counts = materials.groupBy("category").agg(F.count(F.lit(1)).alias("_n"))
-    x = x.hint("merge").join(counts, "category").withColumn(
-        "_r", F.pmod(F.xxhash64(pid, dd, F.col("b"), F.lit("m")), F.col("_n")) + 1)
-    x = x.hint("merge").join(mats.select("category", "_r", F.col("id").alias("material_id"), "unit", "unit_cost"),
-               ["category", "_r"]).dropDuplicates(["project_id", "dd", "material_id"])
-    mid = F.col("material_id")
-    u = lambda salt: hash01(pid, dd, mid, seed=seed, salt=salt)
-    unit = F.col("unit")
-    qty = (F.when(unit.isin("piece", "roll"), F.round(uniform(10.0, 500.0, u("q"))))
-           .when(unit == "sqft", F.round(uniform(200.0, 5000.0, u("q"))))
-           .when(unit.isin("ton", "yard"), rnd(uniform(2.0, 80.0, u("q")), 1))
-           .otherwise(F.round(uniform(5.0, 200.0, u("q")))))
-    return x.select(
-        "project_id", "material_id", dd.alias("date_id"), qty.alias("quantity"),
-        rnd(qty * F.col("unit_cost") * uniform(0.95, 1.08, u("c")), 2).cast("decimal(18,4)")
-        .alias("total_cost"),
-        F.when(u("s") < 0.88, "ON_TIME").otherwise("DELAYED").alias("delivery_status"))
-
-
-def generate_incidents(windows: DataFrame, seed: int = SEED) -> DataFrame:
-    """35 % of projects have 1-3 incidents (weights 60/30/10), dated by a
-    |N(0.25, 0.20)| share of the window and moved off weekends; weighted
-    severity and type; days lost only for injuries."""
-    pid = F.col("project_id")
-    has = hash01(pid, seed=seed, salt="any") <= 0.35
-    n = weighted_pick(hash01(pid, seed=seed, salt="n"), [("1", 60), ("2", 30), ("3", 10)]).cast("int")
-    x = windows.where(has).select("*", F.explode(F.sequence(F.lit(1), n)).alias("j"))
-    j = F.col("j")
-    u1 = F.greatest(hash01(pid, j, seed=seed, salt="z1"), F.lit(1e-12))
-    u2 = hash01(pid, j, seed=seed, salt="z2")
-    z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)          # Box-Muller
-    total = F.greatest(F.datediff("end", "start"), F.lit(1))
-    off = F.least((F.abs(0.25 + 0.20 * z) * total).cast("int"), total - 1)
-    d0 = F.date_add("start", off)
-    d = F.when(F.weekday(d0) == 5, F.date_add(d0, 2)).when(F.weekday(d0) == 6, F.date_add(d0, 1)) \
-         .otherwise(d0)
-    x = x.withColumn("date_id", d).where(F.col("date_id") <= F.col("end"))
-    sev = weighted_pick(hash01(pid, j, seed=seed, salt="sev"), SEVERITY_WEIGHTS)
-    typ = weighted_pick(hash01(pid, j, seed=seed, salt="typ"), INCIDENT_TYPE_WEIGHTS)
-    x = x.select("project_id", "j", "date_id", sev.alias("severity"), typ.alias("incident_type"))
-    ul = hash01(pid, F.col("j"), seed=seed, salt="lost")
-    s = F.col("severity")
-    lost = F.when(F.col("incident_type") != "INJURY", 0) \
-        .when(s == "MINOR", randint(0, 2, ul)).when(s == "MODERATE", randint(1, 10, ul)) \
-        .otherwise(randint(5, 30, ul))
-    return x.select(F.xxhash64(pid, F.col("j"), F.lit(seed), F.lit("inc")).alias("id"), "project_id",
-                    "date_id", "incident_type", "severity", lost.cast("int").alias("days_lost"))
-
-
 def inspection_dates(windows: DataFrame) -> DataFrame:
-    """N11 (deterministic part): the 15th of every month after the start month
-    (while start + i months ≤ end), moved off weekends, kept while ≤ end."""
-    span = F.months_between("end", "start").cast("int") + 1
-    x = windows.select("project_id", "start", "end",
-                       F.explode(F.sequence(F.lit(1), F.greatest(span, F.lit(1)))).alias("i"))
-    ms = F.add_months("start", F.col("i"))
-    x = x.where(ms <= F.col("end"))
-    d0 = F.make_date(F.year(ms), F.month(ms), F.lit(15))
-    d = F.when(F.weekday(d0) == 5, F.date_add(d0, 2)).when(F.weekday(d0) == 6, F.date_add(d0, 1)) \
-         .otherwise(d0)
-    return x.select("project_id", d.alias("date_id")).where(F.col("date_id") <= F.col("end")) \
+    """N11 (dates): months are stepped one by one from the start, each step from the
+    date before, so a day that a short month has clamped stays clamped (31 Jan,
+    28 Feb, 28 Mar). While the step is not beyond the end, the 15th of its month,
+    moved off weekends, is a date; dates beyond the end are dropped."""
+    span = F.greatest(F.months_between(F.last_day("end"), F.trunc("start", "month")).cast("int") + 1, F.lit(1))
+    steps = F.aggregate(F.sequence(F.lit(1), span), F.array("start"),
+                        lambda acc, _: F.array_append(acc, F.add_months(F.element_at(acc, -1), 1)))
+    x = windows.select("project_id", "end", F.explode(F.slice(steps, 2, span)).alias("ms")) \
+        .where(F.col("ms") <= F.col("end"))
+    d0 = F.date_add(F.trunc("ms", "month"), 14)
+    d = F.date_add(d0, F.when(F.weekday(d0) >= 5, 7 - F.weekday(d0)).otherwise(0))
+    return x.select("project_id", d.alias("date_id"), "end").where(F.col("date_id") <= F.col("end")) \
         .select("project_id", "date_id")
-
-
-def generate_inspections(windows: DataFrame, seed: int = SEED) -> DataFrame:
-    """Three inspections (one per type) on each inspection date, weighted
-    results, one of 8 inspectors."""
-    x = inspection_dates(windows).select(
-        "*", F.explode(_lit_array(["SAFETY", "QUALITY", "CODE"])).alias("inspection_type"))
-    pid, d, t = F.col("project_id"), F.col("date_id"), F.col("inspection_type")
-    return x.select(
-        F.xxhash64(pid, d, t, F.lit(seed)).alias("id"), "project_id", "date_id", "inspection_type",
-        weighted_pick(hash01(pid, d, t, seed=seed, salt="res"), INSPECTION_RESULT_WEIGHTS).alias("result"),
-        F.concat(F.lit("Inspector "), randint(1, 8, hash01(pid, d, t, seed=seed, salt="who"))
-                 .cast("string")).alias("inspector_name"))
-
-
-# ---------------------------------------------------------------------------
-# N12 dimensions from keys of a given table
-# ---------------------------------------------------------------------------
-def generate_projects(keys: DataFrame, as_of: _dt.date = AS_OF, seed: int = SEED) -> DataFrame:
-    """One project per key (column ``id``): weighted type, value and area
-    ranges by type, planned dates 2022-01-01…2025-09-01 + 3-18 months, status
-    and actual dates from the planned dates versus ``as_of``."""
-    i = F.col("id")
-    u = lambda salt: hash01(i, seed=seed, salt=salt)
-    ptype = weighted_pick(u("type"), PROJECT_TYPE_WEIGHTS)
-    months = randint(3, 18, u("dur"))
-    spread = (_dt.date(2025, 9, 1) - _dt.date(2022, 1, 1)).days
-    pstart = F.date_add(F.lit(_dt.date(2022, 1, 1)), randint(0, spread, u("start")))
-    x = keys.select("id", ptype.alias("project_type"), months.alias("m"), pstart.alias("ps"))
-    t = F.col("project_type")
-
-    def by_type(k: int, salt: str):
-        out = None
-        for name, rng in PROJECT_VALUE_RANGES.items():
-            lo, hi = rng[k], rng[k + 1]
-            v = F.lit(None).cast("double") if lo is None else uniform(float(lo), float(hi), u(salt))
-            out = F.when(t == name, v) if out is None else out.when(t == name, v)
-        return out
-
-    pe = F.add_months("ps", F.col("m"))
-    asof = F.lit(as_of)
-    slip = lambda lo, hi: (F.col("m") * uniform(lo, hi, u("slip"))).cast("int")
-    astart_done = F.date_add("ps", randint(-5, 20, u("as")))
-    status = (F.when(F.col("ps") > asof, "PLANNING")
-              .when(pe < F.lit(_dt.date(2024, 6, 1)), "COMPLETED")
-              .when(pe < asof, F.when(u("hold") < 0.82, "COMPLETED").otherwise("ON_HOLD"))
-              .otherwise(F.when(u("act") < 0.92, "ACTIVE").otherwise("ON_HOLD")))
-    x = x.select("*", pe.alias("pe"), status.alias("status"),
-                 rnd(by_type(0, "value"), 2).alias("contract_value"),
-                 F.round(by_type(2, "sqft")).alias("square_footage"))
-    old = pe < F.lit(_dt.date(2024, 6, 1))
-    st = F.col("status")
-    astart = (F.when(st == "PLANNING", F.lit(None).cast("date"))
-              .when(st == "COMPLETED", astart_done)
-              .when((st == "ON_HOLD") & (pe < asof), F.col("ps"))
-              .otherwise(F.date_add("ps", randint(-5, 15, u("as2")))))
-    aend = F.when(st == "COMPLETED", F.least(
-        F.add_months(astart_done, F.when(old, slip(0.90, 1.30)).otherwise(slip(0.92, 1.28))),
-        F.lit(DATA_END)))
-    return x.select(
-        "id", F.concat(F.initcap(F.lower(t)), F.lit(" Project "), i.cast("string")).alias("project_name"),
-        "project_type", "contract_value", F.col("ps").alias("planned_start_date"),
-        F.col("pe").alias("planned_end_date"), astart.alias("actual_start_date"),
-        aend.alias("actual_end_date"), "status",
-        F.concat(F.lit("Client "), randint(1, 40, u("client")).cast("string")).alias("client_name"),
-        F.lit(None).cast("string").alias("location"), "square_footage")
-
-
-def generate_subcontractors(keys: DataFrame, seed: int = SEED) -> DataFrame:
-    """Weighted trade, rating 2.5-5.0 (1 dp), 2-38 years in business."""
-    i = F.col("id")
-    u = lambda salt: hash01(i, seed=seed, salt=salt)
-    return keys.select("id", F.concat(F.lit("Subcontractor "), i.cast("string")).alias("company_name"),
-                       weighted_pick(u("trade"), SUBCONTRACTOR_TRADE_WEIGHTS).alias("trade"),
-                       rnd(uniform(2.5, 5.0, u("rating")), 1).alias("rating"),
-                       randint(2, 38, u("years")).alias("years_in_business"))
-
-
-def generate_equipment(keys: DataFrame, as_of: _dt.date = AS_OF, seed: int = SEED) -> DataFrame:
-    """Type by key, purchase 0-10 years before ``as_of``, cost and rate by
-    hash, status by age (older machines more often in maintenance / retired)."""
-    i = F.col("id")
-    u = lambda salt: hash01(i, seed=seed, salt=salt)
-    types = ["EXCAVATOR", "CRANE", "BULLDOZER", "TRUCK", "FORKLIFT", "GENERATOR", "COMPACTOR"]
-    t = F.element_at(_lit_array(types), (F.pmod(i, len(types)) + 1).cast("int"))
-    pdate = F.date_sub(F.lit(as_of), randint(180, 3650, u("age")))
-    age_years = F.datediff(F.lit(as_of), pdate) / 365.0
-    status = (F.when((age_years > 8) & (u("ret") < 0.30), "RETIRED")
-              .when(u("mnt") < 0.08, "MAINTENANCE").otherwise("ACTIVE"))
-    return keys.select(
-        "id", F.concat(F.initcap(F.lower(t)), F.lit(" Unit "), i.cast("string")).alias("equipment_name"),
-        t.alias("equipment_type"), pdate.alias("purchase_date"),
-        rnd(uniform(40_000.0, 400_000.0, u("cost")), 2).alias("purchase_cost"),
-        rnd(uniform(45.0, 250.0, u("rate")), 2).alias("hourly_rate"), status.alias("status"))
-
-
-def generate_employees(keys: DataFrame, seed: int = SEED) -> DataFrame:
-    """N12d: weighted trade and certification, rate from the (trade, level) range."""
-    i = F.col("id")
-    u = lambda salt: hash01(i, seed=seed, salt=salt)
-    trade = weighted_pick(u("trade"), EMPLOYEE_TRADE_WEIGHTS)
-    level = weighted_pick(u("cert"), [("APPRENTICE", 30), ("JOURNEYMAN", 50), ("MASTER", 20)])
-    x = keys.select("id", trade.alias("trade"), level.alias("certification_level"))
-    lo = F.create_map(*[v for (t, c), (a, _) in RATE_RANGES.items()
-                        for v in (F.lit(f"{t}|{c}"), F.lit(float(a)))])
-    hi = F.create_map(*[v for (t, c), (_, b) in RATE_RANGES.items()
-                        for v in (F.lit(f"{t}|{c}"), F.lit(float(b)))])
-    k = F.concat_ws("|", "trade", "certification_level")
-    rate = lo[k] + (hi[k] - lo[k]) * u("rate")
-    return x.select(
-        "id", F.concat(F.lit("Employee "), i.cast("string")).alias("employee_name"), "trade",
-        rnd(rate, 2).alias("hourly_rate"),
-        F.date_sub(F.lit(AS_OF), randint(30, 9000, u("hire"))).alias("hire_date"),
-        "certification_level",
-        F.when(u("act") < 0.92, "ACTIVE").otherwise("INACTIVE").alias("status"))
-
-
-def generate_materials(keys: DataFrame, seed: int = SEED) -> DataFrame:
-    """N12e: category by key, unit by category, unit cost by hash, supplier."""
-    i = F.col("id")
-    u = lambda salt: hash01(i, seed=seed, salt=salt)
-    cats = ["LUMBER", "CONCRETE", "STEEL", "ELECTRICAL", "PLUMBING", "INSULATION", "FINISHES", "OTHER"]
-    c = F.element_at(_lit_array(cats), (F.pmod(i, len(cats)) + 1).cast("int"))
-    unit = F.when(c.isin("CONCRETE"), "yard").when(c.isin("STEEL"), "ton") \
-            .when(c.isin("INSULATION", "FINISHES"), "sqft").otherwise("piece")
-    return keys.select(
-        "id", F.concat(F.initcap(F.lower(c)), F.lit(" Item "), i.cast("string")).alias("material_name"),
-        c.alias("category"), unit.alias("unit"), rnd(uniform(2.0, 900.0, u("cost")), 2).alias("unit_cost"),
-        F.concat(F.lit("Supplier "), randint(1, 25, u("sup")).cast("string")).alias("supplier"))
-
-
-def generate_dims(spark: SparkSession, keys: dict[str, DataFrame], seed: int = SEED,
-                  as_of: _dt.date = AS_OF) -> dict[str, DataFrame]:
-    """Dimensions from the key frames (``projects``, ``subcontractors``,
-    ``equipment``, ``employees``, ``materials``; column ``id``) and the calendar."""
-    from keystone.sources.calendar import calendar_dates
-    return {
-        "dim_projects": generate_projects(keys["projects"], as_of, seed),
-        "dim_subcontractors": generate_subcontractors(keys["subcontractors"], seed),
-        "dim_equipment": generate_equipment(keys["equipment"], as_of, seed),
-        "dim_employees": generate_employees(keys["employees"], seed),
-        "dim_materials": generate_materials(keys["materials"], seed),
-        "dim_dates": calendar_dates(spark, _dt.date(2022, 1, 1), DATA_END),
-    }
-
-
-def generate_facts(dims: dict[str, DataFrame], seed: int = SEED,
-                   as_of: _dt.date = AS_OF) -> dict[str, DataFrame]:
-    """N6-N11 over the project windows of ``dims``."""
-    w = project_windows(dims["dim_projects"], as_of)
-    return {
-        "fact_project_costs": generate_costs(w, dims["dim_projects"], dims["dim_subcontractors"], seed),
-        "fact_labor_hours": generate_labor(w, dims["dim_employees"], seed),
-        "fact_equipment_usage": generate_equipment_usage(w, dims["dim_equipment"],
-                                                         dims["dim_employees"], seed),
-        "fact_material_deliveries": generate_deliveries(w, dims["dim_materials"], seed),
-        "fact_safety_incidents": generate_incidents(w, seed),
-        "fact_inspections": generate_inspections(w, seed),
-    }
-
-
-def load_generated(spark: SparkSession, keys: dict[str, DataFrame], root: str,
-                   seed: int = SEED) -> DataFrame:
-    """Dimensions (load-if-absent) → clear facts → facts from the stored
-    dimensions → load summary (S7, S6, S5, S10)."""
-    from keystone.sources.schema import DIMENSIONS, FACTS
-    from keystone.sources.warehouse import clear_facts, load_summary, load_warehouse, save_star
-    save_star(generate_dims(spark, keys, seed), root, mode="ignore", tables=DIMENSIONS)
-    dims = load_warehouse(spark, root)
-    clear_facts(spark, root)
-    save_star(generate_facts(dims, seed), root, mode="overwrite", tables=FACTS)
-    return load_summary(load_warehouse(spark, root))

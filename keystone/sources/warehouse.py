@@ -29,12 +29,27 @@ def table_path(root: str, table: str) -> str:
 
 
 def load_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Open a stored star (lazy scans; pruning and pushdown are free)."""
-    return {t: spark.read.parquet(table_path(root, t)) for t in TABLES
-            if _exists(spark, table_path(root, t))}
+    """Open a stored star (lazy scans; pruning and pushdown are free).
 
+    Every declared table must be there; numbers stored in other types are cast to
+    the declared ones, and a column that is absent or can't be is an error.
+    """
+    missing = [t for t in TABLES if not path_exists(spark, table_path(root, t))]
+    if missing:
+        raise FileNotFoundError(f"no such tables in {root}: {', '.join(missing)}")
+    return {t: declared(spark.read.parquet(table_path(root, t)), t) for t in TABLES}
 
-def _exists(spark: SparkSession, path: str) -> bool:
+
+def declared(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with the declared columns in their declared types; further columns stay as they are."""
+    fields = SCHEMAS[table].fields
+    if absent := [f.name for f in fields if f.name not in df.columns]:
+        raise ValueError(f"{table} lacks columns: {', '.join(absent)}")
+    return df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in fields if df.schema[f.name].dataType != f.dataType})
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in any store that Spark reads."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -42,21 +57,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _write(df: DataFrame, path: str, mode: str, table: str) -> None:
-    """Facts are range-partitioned on ``date_id`` (files cover disjoint date
-    ranges, so date-window scans skip whole files and row groups) into at least
-    one file per core; large inputs keep their natural partition count."""
+    """Facts are range-partitioned on (``date_id``, a hash of the row's id): files cover
+    date ranges, so date-window scans skip whole files and row groups, and one
+    busy day spreads over several files. The number of files is that of
+    shuffle partitions, which is set to the size of the data."""
     if table in FACTS and "date_id" in df.columns:
-        from pyspark import StorageLevel
-        n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
-        # The range partitioner samples its input first; persist (spilling to
-        # disk) so the sample and the write share one computation of the input.
-        src = df.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            src.repartitionByRange(n, "date_id").sortWithinPartitions("date_id") \
-               .write.mode(mode).parquet(path)
-        finally:
-            src.unpersist()
-        return
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = F.xxhash64("id") if "id" in df.columns else F.xxhash64(*df.columns)
+        df = df.withColumn("_spread", spread).repartitionByRange(n, "date_id", "_spread") \
+            .sortWithinPartitions("date_id").drop("_spread")
     df.write.mode(mode).parquet(path)
 
 
@@ -86,15 +95,9 @@ def clear_facts(spark: SparkSession, root: str) -> None:
 
 
 def load_summary(star: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, row_count) for every table, one count job per table."""
-    frames = []
-    for t in TABLES:
-        try:
-            df = star[t]                       # lazy stars build tables on access
-        except KeyError:
-            continue
-        frames.append(df.agg(F.count(F.lit(1)).alias("row_count"))
-                      .select(F.lit(t).alias("table_name"), "row_count"))
+    """(table_name, row_count) for every table; a missing one is an error."""
+    frames = [star[t].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+              for t in TABLES]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 

@@ -40,21 +40,26 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``links`` (a long, b long) to (node long, component long = least node).
 
     Nodes are those that some link names; links to itself and repeated links
-    are ignored; no links give an empty result.
+    are ignored; no links give an empty result. The first round hooks by the ids
+    themselves, which are already stars to the least one; later rounds by a hash, which
+    no order of ids can slow down.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     edges = scratch_table(links.mapInPandas(local_stars, "a long, b long").distinct(), "cc-links")
-    labels = scratch_table(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                           .withColumn("cur", F.col("node")), "cc-labels")
-    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+    nodes, hooks = edges, []
     while not edges.isEmpty():
+        rank = (lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))) if hooks else \
+            (lambda c: F.struct(F.col(c).alias("h"), F.col(c).alias("v")))
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = scratch_table(both.groupBy("a").agg(F.min(order("b")).alias("m"))
-                             .select(F.col("a").alias("v"), F.least(order("a"), "m")["v"].alias("p")), "cc-hooks")
+        hook = scratch_table(both.groupBy("a").agg(F.min(rank("b")).alias("m"))
+                             .select(F.col("a").alias("v"), F.least(rank("a"), "m")["v"].alias("p")), "cc-hooks")
+        hooks.append(hook)
         ha, hb = (hook.select(F.col("v").alias(c), F.col("p").alias("p" + c)) for c in "ab")
-        labels = scratch_table(labels.join(hook, labels["cur"] == hook["v"], "left")
-                               .select("node", F.coalesce("p", "cur").alias("cur")), "cc-labels")
         edges = scratch_table(edges.join(ha, "a").join(hb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
                               .where("a <> b").mapInPandas(local_stars, "a long, b long").distinct(), "cc-links")
+    labels = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cur", F.col("node"))
+    for hook in hooks:
+        labels = labels.join(hook, labels["cur"] == hook["v"], "left").select("node", F.coalesce("p", "cur").alias("cur"))
+    labels = scratch_table(labels, "cc-labels")
     least = labels.groupBy("cur").agg(F.min("node").alias("component"))
     return labels.join(least, "cur").select("node", "component")

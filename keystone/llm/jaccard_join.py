@@ -33,8 +33,8 @@ from keystone.llm.passages import NO_ID
 FREQUENT = 16
 #: One partition of the frequent tokens for each so many tokens of a set.
 PARTITION = 32
-#: Lists are compared with so many pivots one after another before what is left is paired.
-PIVOT_ROUNDS = 5
+#: Pivots of a list in each round; what they leave apart is then paired.
+PIVOTS = (1, 4)
 
 
 def differing(n, percent: int):
@@ -103,11 +103,13 @@ def _combinations(percent: int):
                 for band in bands(int(n), percent):
                     part = (mix(t ^ np.uint64(band + 1)) % np.uint64(partitions(band))).astype(np.int64)
                     order = np.argsort(part, kind="stable")
-                    for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                        i, j = np.triu_indices(len(group), 1)
-                        if len(i):
-                            sig = mix(t[group[i]] * np.uint64(3) + mix(t[group[j]] + np.uint64(band)))
-                            out.append((sig.view(np.int64), np.full(len(sig), node), np.full(len(sig), n)))
+                    u, part = t[order], part[order]
+                    for d in range(1, len(u)):  # tokens d places apart in one partition
+                        both = part[d:] == part[:-d]
+                        if not both.any():
+                            break
+                        sig = mix(u[:-d][both] * np.uint64(3) + mix(u[d:][both] + np.uint64(band)))
+                        out.append((sig.view(np.int64), np.full(len(sig), node), np.full(len(sig), n)))
             yield pd.DataFrame(dict(zip(("sig", "node", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True))
                                if out else {c: np.zeros(0, np.int64) for c in ("sig", "node", "n")})
     return run
@@ -177,34 +179,37 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
         x, y = (full.select(F.col("node").alias(c), F.col("tokens").alias(v)) for c, v in (("a", "x"), ("b", "y")))
         return scratch_table(candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_linked(percent), "a long, b long"), "links")
 
-    # first one partner for each node, then whatever that has not connected
+    # First round: one partner for each node and one pivot for each list. Second: what that has not connected
+    # of the rare pairs, and four pivots. Then whatever of the lists is still apart.
     first = rare.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots = _merge(None, verified(first))
-    rest = _apart(rare.join(first, ["a", "b"], "left_anti"), roots)
-    roots = _merge(roots, verified(rest))
-
-    compared = None
-    for round_ in range(PIVOT_ROUNDS + 1):
-        if combos.isEmpty():
-            break
-        here = combos.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = here.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        combos = scratch_table(combos.join(mixed, "sig", "left_semi"), "shared-combinations")
-        if round_ < PIVOT_ROUNDS:
-            pivot = combos.where("heavy").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "n")).alias("p"))
-            new = combos.join(pivot, "sig").select("node", "n", F.col("p.node").alias("o"), F.col("p.n").alias("m"))
-        else:  # what five pivots have not brought together: each two nodes that are still apart
-            other = combos.where("heavy").select("sig", F.col("node").alias("o"), F.col("n").alias("m"))
-            new = combos.join(other, "sig").select("node", "n", "o", "m")
-        new = new.where((F.col("node") != F.col("o")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)) \
-            .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+    roots, compared = None, None
+    for step in range(len(PIVOTS) + 1):
+        if roots is not None:
+            here = combos.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            mixed = here.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+            combos = scratch_table(combos.join(mixed, "sig", "left_semi"), "shared-combinations")
+        if step < len(PIVOTS):
+            salts = [F.min(F.struct(F.xxhash64("node", F.lit(10 * step + i)), "node", "n")).alias(f"p{i}") for i in range(PIVOTS[step])]
+            pivots = combos.where("heavy").groupBy("sig").agg(*salts) \
+                .select("sig", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS[step])]))).alias("p")) \
+                .select("sig", F.col("p.node").alias("o"), F.col("p.n").alias("m"))
+        else:
+            pivots = combos.where("heavy").select("sig", F.col("node").alias("o"), F.col("n").alias("m"))
+        new = combos.join(pivots, "sig").where(
+            (F.col("node") != F.col("o")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)) \
+            .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
+        if step < 2:
+            new = new.unionByName(rare if step or not PIVOTS else first)
+        new = new.distinct()
         if compared is not None:
-            new = new.join(compared, ["a", "b"], "left_anti")
-        new = scratch_table(_apart(new, roots), "pivot-pairs")
+            new = _apart(new.join(compared, ["a", "b"], "left_anti"), roots)
+        new = scratch_table(new, "pivot-pairs")
         if new.isEmpty():
             continue
         roots = _merge(roots, verified(new))
         compared = new if compared is None else compared.unionByName(new)
+    if roots is None:
+        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     return sets.select("k", "h", "doc_id", "n", "sid"), nodes.select("sid", "node").join(roots, "node", "left") \
         .select("sid", F.coalesce("root", "node").alias("root"))
 

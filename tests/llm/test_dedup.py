@@ -78,7 +78,7 @@ def test_join_over_the_given_table_and_lists_without_pivots(docs_of, corpus, mon
     rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
     want = brute_components(rows, 3, 90)
     assert sorted(tuple(r) for r in jaccard_components(corpus, 3, 90).collect()) == want
-    monkeypatch.setattr(join, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(join, "PIVOTS", ())
     texts = near_copies(random.Random(9))
     got = jaccard_components(docs_of(texts), 5, 80).collect()
     assert sorted(tuple(r) for r in got) == brute_components(list(enumerate(texts)), 5, 80)

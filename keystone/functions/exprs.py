@@ -115,6 +115,6 @@ def percent_label(p) -> Column:
 
 
 def dec_sum(c, scale: int) -> Column:
-    """Exact SUM of money or hours as DECIMAL: the input is taken as DECIMAL(18, scale)
+    """Exact SUM of money or hours as DECIMAL: the input is taken as DECIMAL(28, scale)
     (other types are cast, which rounds), the sum has ten more digits. NULLs skipped."""
-    return F.sum(col(c).cast(f"decimal(18,{scale})"))
+    return F.sum(col(c).cast(f"decimal(28,{scale})"))

@@ -1,82 +1,111 @@
-"""The reference's seven ML behaviours, on the seed star (few trees for speed)."""
+"""Training, scoring and persistence on the small star (few trees for speed)."""
 
 from __future__ import annotations
 
 import datetime as _dt
+import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from keystone.plans import models as MD
 
-TREES = 10
+AS_OF = _dt.date(2023, 7, 1)
 
 
 @pytest.fixture(scope="module")
-def cost_model(seed_star):
-    return MD.train_cost_overrun_model(seed_star, num_trees=TREES)
+def cost(site_star):
+    return MD.train_cost_overrun_model(site_star, num_trees=8)
 
 
 @pytest.fixture(scope="module")
-def maint_model(seed_star):
-    return MD.train_equipment_maintenance_model(seed_star, num_trees=TREES)
+def fleet(site_star):
+    return MD.train_equipment_maintenance_model(site_star, num_trees=8)
 
 
-def test_cost_overrun_model_trains(cost_model):
-    assert cost_model.features == ["project_type_enc", "contract_value", "planned_duration",
-                                   "square_footage", "early_phase_cpi"]
-    assert cost_model.labels == ["COMMERCIAL", "RESIDENTIAL"]
-    m = cost_model.train_metrics.collect()[0]
-    for k in ("accuracy", "precision", "recall", "f1"):
-        assert 0.0 <= m[k] <= 1.0
+def test_scores_tell_overruns_apart(site_star, cost):
+    p = {r.project_id: r.overrun_probability for r in MD.score_projects(site_star, cost).collect()}
+    assert min(p[i] for i in range(21, 33, 2)) > max(p[i] for i in range(22, 33, 2))
+    assert all(0 <= x <= 1 for x in p.values())
 
 
-def test_cost_overrun_predictions(seed_star, cost_model):
-    rows = {r.project_id: r for r in MD.score_projects(seed_star, cost_model).collect()}
-    for r in rows.values():
-        assert 0.0 <= r.overrun_probability <= 1.0
-        assert r.prediction in ("Will Overrun", "On Track")
-        assert set(r.features.asDict()) == set(cost_model.features)
-    assert rows[10].features.early_phase_cpi == 1.0
+def test_training_again_gives_the_same_scores(site_star, cost):
+    again = MD.train_cost_overrun_model(site_star, num_trees=8)
+    a, b = (sorted((r.project_id, r.overrun_probability) for r in MD.score_projects(site_star, m).collect()) for m in (cost, again))
+    assert a == b
 
 
-def test_maintenance_model_trains(maint_model):
-    assert len(maint_model.features) == 9
-    assert maint_model.labels == ["BULLDOZER", "CRANE", "EXCAVATOR", "TRUCK"]
+def test_metrics_importances_and_balance(cost, fleet):
+    for m in (cost, fleet):
+        values = [r.importance for r in m.feature_importance.collect()]
+        assert values == sorted(values, reverse=True) and abs(sum(values) - 1) < 1e-3 and min(values) >= 0
+        names = [r.metric for r in m.metrics().collect()]
+        assert names == ["accuracy", "precision", "recall", "f1", "roc_auc"]
+    b = cost.balance.first()
+    assert (b.samples, b.positives) == (14, 7)
 
 
-def test_maintenance_predictions(seed_star, maint_model):
-    out = MD.score_equipment(seed_star, maint_model, _dt.date(2026, 2, 17)).collect()
-    assert len(out) == 5
-    for r in out:
-        assert 0.0 <= r.maintenance_probability <= 1.0
-        assert r.predicted_days_until_maintenance >= 1
-        assert all(v >= 0 for v in r.features.asDict().values())
-    r5 = [r for r in out if r.equipment_id == 5][0]
-    assert r5.features.equipment_type_enc == 0 and r5.features.total_hours_used == 0
+def test_unknown_ids_and_empty_training_sets_raise(site_star, cost, fleet):
+    assert MD.predict_project(site_star, cost, 3).first().project_name == "Quay Bridge"
+    assert MD.predict_machine(site_star, fleet, 4, AS_OF).first().equipment_name == "CR-4"
+    for call in (lambda: MD.predict_project(site_star, cost, 999), lambda: MD.predict_machine(site_star, fleet, 999, AS_OF),
+                 lambda: MD.train_cost_overrun_model(site_star | {"dim_projects": site_star["dim_projects"].where("id < 0")}),
+                 lambda: MD.train_equipment_maintenance_model(site_star | {"dim_equipment": site_star["dim_equipment"].where("id < 0")})):
+        with pytest.raises(ValueError):
+            call()
 
 
-def test_saved_models_exist(spark, cost_model, tmp_path):
+def test_stored_models(spark, site_star, cost, tmp_path):
     path = str(tmp_path / "cost")
-    MD.save_artifact(cost_model, path)
-    assert os.listdir(os.path.join(path, "model"))
-    loaded = MD.load_artifact(spark, path)
-    assert loaded.labels == cost_model.labels and loaded.features == cost_model.features
     with pytest.raises(FileNotFoundError):
-        MD.load_artifact(spark, str(tmp_path / "missing"))
-
-
-def test_feature_importance(cost_model, maint_model):
-    for a in (cost_model, maint_model):
-        imp = [r.importance for r in a.feature_importance.collect()]
-        assert all(v >= 0 for v in imp)
-        assert abs(sum(imp) - 1.0) < 1e-3
-        assert imp == sorted(imp, reverse=True)
-
-
-def test_handles_missing_data(seed_star, cost_model, maint_model):
-    p = {r.project_id: r for r in MD.score_projects(seed_star, cost_model).collect()}
-    assert p[10].features.early_phase_cpi == 1.0
-    e = {r.equipment_id: r for r in
-         MD.score_equipment(seed_star, maint_model, _dt.date(2026, 2, 17)).collect()}
-    assert e[5].features.days_since_maintenance == e[5].features.age_days
+        MD.load_artifact(spark, path)
+    MD.save_artifact(cost, path)
+    got = MD.load_artifact(spark, path)
+    assert got.features == cost.features and got.category == "project_type"
+    assert sorted(map(tuple, got.labels.collect())) == [("COMMERCIAL", 0), ("RESIDENTIAL", 1)]
+    a, b = (sorted((r.project_id, r.overrun_probability) for r in MD.score_projects(site_star, m).collect()) for m in (cost, got))
+    assert a == b
+    for f in os.listdir(os.path.join(path, "meta")):            # a damaged model isn't a missing one
+        if f.endswith(".parquet"):
+            open(os.path.join(path, "meta", f), "wb").close()
+    with pytest.raises(Exception) as e:
+        MD.load_artifact(spark, path)
+    assert not isinstance(e.value, FileNotFoundError)
+
+
+def test_advice_days_and_bands_follow_the_probability(site_star, fleet, cost):
+    for r in MD.score_equipment(site_star, fleet, AS_OF).collect():
+        p, days = r.maintenance_probability, r.predicted_days_until_maintenance
+        assert days == max(1, math.trunc(30 * (1 - p))) or abs(30 * (1 - p) - round(30 * (1 - p))) < 0.01
+        word = "High" if p >= 0.7 else "Moderate" if p >= 0.4 else "Low"
+        assert r.recommendation.startswith(f"{word} maintenance probability (") and f"{days} days" in r.recommendation
+        assert "{" not in r.recommendation
+    for r in MD.fleet_risk(site_star, fleet, AS_OF).collect():
+        p, d = r.maintenance_probability, r.est_days
+        assert r.risk == ("Critical" if p > 0.7 or d < 7 else "Watch" if p >= 0.5 or d <= 14 else "Routine")
+    bands = site_star["dim_projects"].limit(1).select(*[MD.days_band(F.lit(d)).alias(f"d{d}") for d in (6, 7, 14, 15)]).first()
+    assert tuple(bands) == ("bad", "warning", "warning", "good")
+
+
+def test_risk_figures_hold_all_and_each_band(site_star, cost):
+    risk = MD.portfolio_risk(site_star, cost)
+    assert [r.project_id for r in risk.collect()] == [3]         # running and with costs
+    rows = MD.risk_kpis(risk, "risk_level", "overrun_probability").collect()
+    assert rows[0].risk_level == "All" and rows[0]["count"] == 1 and sum(r["count"] for r in rows[1:]) == 1
+
+
+def test_split_takes_the_lowest_hashes_of_each_class(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7 == 0).cast("int").alias("y"))
+    rows = MD.stratified_split(df, "y", ["id"]).withColumn("h", F.xxhash64("id", F.lit(42))).collect()
+    for y in (0, 1):
+        mine = sorted((r.h, r.is_test) for r in rows if r.y == y)
+        quota = math.floor(0.25 * len(mine) + 0.5)
+        assert [t for _, t in mine] == [True] * quota + [False] * (len(mine) - quota)
+
+
+def test_codes_of_labels(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "t string")
+    labels = MD.fit_label_encoder(df.where("t <> 'c' or t is null"), "t")
+    got = {r.t: r.code for r in MD.encode(df, "t", labels, "code").collect()}
+    assert got == {"a": 0, "b": 1, "c": 0, None: 0}

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from keystone.operators.equipment import equipment_utilization
+from keystone.operators.equipment import usage_in_window
 from keystone.operators.safety import safety_metrics
 from keystone.sources.star import Star
 from keystone.sources.warehouse import load_warehouse, save_star
@@ -34,7 +34,7 @@ def _scan(plan: str, column: str) -> str:
 
 
 def test_date_window_is_pushed_to_the_scan(stored):
-    plan = _plan(equipment_utilization(stored, _dt.date(1998, 1, 5), _dt.date(1998, 1, 9)))
+    plan = _plan(usage_in_window(stored["fact_equipment_usage"], _dt.date(1998, 1, 5), _dt.date(1998, 1, 9)))
     scan = _scan(plan, "hours_used")
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(date_id", scan), scan
     assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(date_id", scan), scan
@@ -55,3 +55,10 @@ def test_no_cross_joins(spark, name):
     import __spark_entry__ as E
     plan = _plan(E.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_facts_are_reduced_before_semi_and_anti_joins(stored):
+    """What meets a dimension on the right of such a join is one row for each project."""
+    from keystone.operators.safety import zero_incident_projects
+    plan = _plan(zero_incident_projects(stored, _dt.date(1997, 1, 1), _dt.date(1999, 12, 31)))
+    assert "LeftAnti" in plan and "HashAggregate(keys=[project_id" in plan

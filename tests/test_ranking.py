@@ -1,78 +1,61 @@
-"""The bucketed distributed ranks / neighbours equal plain window functions."""
+"""Distributed ranks and neighbours equal Spark's windows for every type, direction and part."""
 
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keystone.functions.exprs import dec_sum, rnd
 from keystone.operators.ranking import Ordering, with_first_flag, with_orderings
 
+VALUES = {
+    "double": lambda r: float(r.randint(0, 40)),
+    "long": lambda r: 2**62 + r.randint(0, 60),
+    "decimal(20,4)": lambda r: Decimal(r.randint(0, 10**6)).scaleb(-4) + 10**15,
+    "string": lambda r: "k" * r.randint(1, 3) + str(r.randint(0, 20)),
+}
 
-@pytest.fixture(scope="module")
-def frame(spark):
-    rnd = random.Random(7)
-    rows = []
-    for i in range(600):
-        v = None if rnd.random() < 0.08 else float(rnd.randint(0, 40))   # many ties + NULLs
-        if i % 5 == 0:
-            v = 7.0                                                      # one hot value
-        rows.append((i, rnd.choice(["A", "B", "C"]), v))
-    return spark.createDataFrame(rows, "id long, g string, v double")
+
+@pytest.fixture(scope="module", params=sorted(VALUES))
+def frame(spark, request):
+    r = random.Random(7)
+    make = VALUES[request.param]
+    hot = make(r)                                                # one value holds a fifth of the rows
+    rows = [(i, r.choice(["A", "B", None]), hot if i % 5 == 0 else None if r.random() < 0.08 else make(r)) for i in range(400)]
+    return spark.createDataFrame(rows, f"id long, g string, v {request.param}")
 
 
 @pytest.mark.parametrize("desc", [True, False])
 @pytest.mark.parametrize("parts", [[], ["g"]])
-def test_distributed_equals_window(frame, desc, parts):
-    o = Ordering("v", parts=parts, descending=desc, tie="id", rank="r", lead="ld", lag="lg",
-                 buckets=5)
-    got = with_orderings(frame, o, strategy="distributed")
-    exp = with_orderings(frame, o, strategy="window")
-    cols = ["id", "r", "ld", "lg"]
-    assert sorted(map(tuple, got.select(*cols).collect())) == \
-        sorted(map(tuple, exp.select(*cols).collect()))
-
-
-def test_window_strategy_matches_spark_rank(frame):
-    got = with_orderings(frame, Ordering("v", descending=True, rank="r"), strategy="window")
-    exp = frame.select("id", F.rank().over(Window.orderBy(F.col("v").desc())).alias("r"))
-    assert sorted(map(tuple, got.select("id", "r").collect())) == \
-        sorted(map(tuple, exp.collect()))
+def test_orderings_equal_windows(frame, desc, parts):
+    got = with_orderings(frame, Ordering("v", parts=parts, descending=desc, tie="id", rank="r", lead="ld", lag="lg", buckets=5))
+    k = F.col("v").desc() if desc else F.col("v").asc()
+    w, wt = Window.partitionBy(*parts).orderBy(k), Window.partitionBy(*parts).orderBy(k, "id")
+    want = frame.select("id", F.rank().over(w).alias("r"), F.lead("v").over(wt).alias("ld"), F.lag("v").over(wt).alias("lg"))
+    assert sorted(map(tuple, got.select("id", "r", "ld", "lg").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
 @pytest.mark.parametrize("desc", [True, False])
 def test_first_flag_equals_row_number(frame, desc):
     got = with_first_flag(frame, "v", "id", "top", parts=["g"], descending=desc)
     k = F.col("v").desc() if desc else F.col("v").asc()
-    exp = frame.select("id", (F.row_number().over(Window.partitionBy("g").orderBy(k, "id")) == 1)
-                       .alias("top"))
-    assert sorted(map(tuple, got.select("id", "top").collect())) == \
-        sorted(map(tuple, exp.collect()))
+    want = frame.select("id", (F.row_number().over(Window.partitionBy("g").orderBy(k, "id")) == 1).alias("top"))
+    assert sorted(map(tuple, got.select("id", "top").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_report_forced_distributed_equals_window(spark):
-    """A whole report gives the same rows when the size check sends it down the
-    distributed path (limit forced to 10 rows)."""
-    from keystone.operators.budget import budget_variance
-    from keystone.operators.subcontractors import subcontractor_scorecard
-    from keystone.sources.star import load_star
-    from conftest import SMALL
-    star = load_star(spark, SMALL)
-    expected = {f: sorted(map(tuple, f(star).collect()), key=repr)
-                for f in (budget_variance, subcontractor_scorecard)}
-    spark.conf.set("keystone.window.maxSingleTaskRows", "10")
-    try:
-        for f, rows in expected.items():
-            assert sorted(map(tuple, f(star).collect()), key=repr) == rows
-    finally:
-        spark.conf.unset("keystone.window.maxSingleTaskRows")
+def test_sums_are_exact_at_any_size_and_partitioning(spark):
+    big = spark.createDataFrame([(Decimal("100000000000000.0001"),)] * 20, "x decimal(20,4)").repartition(3)
+    assert big.agg(dec_sum("x", 4).alias("s")).first().s == Decimal("2000000000000000.0020")
+    cents = spark.createDataFrame([(x,) for x in (0.57, 0.29, 1.15, 2.3, 4.35)], "x double")
+    for n in (1, 4):
+        assert cents.repartition(n).agg(dec_sum("x", 2).alias("s")).first().s == Decimal("8.66")
 
 
-def test_with_count(frame):
-    from keystone.operators.ranking import with_count
-    g = {r.g: r.n for r in frame.groupBy("g").count().withColumnRenamed("count", "n").collect()}
-    got = with_count(frame, "n", ["g"]).select("g", "n").distinct().collect()
-    assert {r.g: r.n for r in got} == g
-    assert {r.n for r in with_count(frame, "n").select("n").distinct().collect()} == {600}
+def test_rounding_beyond_the_digits_of_a_double(spark):
+    r = spark.range(1).select(rnd(F.lit(1e17), 2).alias("a"), rnd(F.lit(-2e15), 4).alias("b"), rnd(F.lit(2.345), 2).alias("c"),
+                              rnd(F.lit(-0.5), 0).alias("d"), rnd(F.lit(None).cast("double"), 2).alias("e")).first()
+    assert tuple(r) == (1e17, -2e15, 2.35, -1.0, None)

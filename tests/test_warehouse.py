@@ -8,28 +8,41 @@ from keystone.sources import warehouse as W
 from keystone.sources.schema import FACTS, TABLES
 
 
-def test_round_trip(spark, seed_star, tmp_path):
+def test_round_trip(spark, site_star, tmp_path):
     root = str(tmp_path / "wh")
     W.init_warehouse(spark, root)                                     # S4
     star = W.load_warehouse(spark, root)
     assert set(star) == set(TABLES) and all(star[t].count() == 0 for t in TABLES)
-    W.append(seed_star["fact_project_costs"], root, "fact_project_costs")   # S5
-    W.append(seed_star["dim_projects"], root, "dim_projects")
+    W.append(site_star["fact_project_costs"], root, "fact_project_costs")   # S5
+    W.append(site_star["dim_projects"], root, "dim_projects")
     star = W.load_warehouse(spark, root)
-    assert star["fact_project_costs"].count() == 102
+    assert star["fact_project_costs"].count() == 161
     summary = {r.table_name: r.row_count for r in W.load_summary(star).collect()}   # S10
-    assert summary["dim_projects"] == 11 and summary["fact_project_costs"] == 102
-    W.save_star({"dim_projects": seed_star["dim_projects"].limit(1)}, root, mode="ignore",
+    assert summary["dim_projects"] == 16 and summary["fact_project_costs"] == 161
+    W.save_star({"dim_projects": site_star["dim_projects"].limit(1)}, root, mode="ignore",
                 tables=["dim_projects"])                              # S7: kept as is
-    assert W.load_warehouse(spark, root)["dim_projects"].count() == 11
+    assert W.load_warehouse(spark, root)["dim_projects"].count() == 16
     W.clear_facts(spark, root)                                        # S6
     star = W.load_warehouse(spark, root)
-    assert all(star[t].count() == 0 for t in FACTS) and star["dim_projects"].count() == 11
+    assert all(star[t].count() == 0 for t in FACTS) and star["dim_projects"].count() == 16
 
 
-def test_run_sql_and_preview(spark, seed_star):
+def test_run_sql_and_preview(spark, site_star):
     out = W.run_sql(spark, "SELECT id FROM {p} WHERE contract_value > :v",      # S1
-                    {"v": 900000.0}, p=seed_star["dim_projects"])
-    assert sorted(r.id for r in out.collect()) == list(range(1, 9)) + [11]
-    top = W.preview(seed_star["dim_projects"], 3, [F.col("id").desc()]).collect()   # S11
-    assert [r.id for r in top] == [11, 10, 9]
+                    {"v": 300000.0}, p=site_star["dim_projects"])
+    assert sorted(r.id for r in out.collect()) == [1, 3]
+    top = W.preview(site_star["dim_projects"], 3, [F.col("id").desc()]).collect()   # S11
+    assert [r.id for r in top] == [32, 31, 30]
+
+
+def test_missing_tables_and_other_types(spark, site_star, tmp_path):
+    import pytest
+    root = str(tmp_path / "half")
+    W.append(site_star["dim_projects"], root, "dim_projects")
+    with pytest.raises(FileNotFoundError):
+        W.load_warehouse(spark, root)
+    costs = site_star["fact_project_costs"]
+    floats = costs.withColumn("amount", F.col("amount").cast("double"))
+    assert W.declared(floats, "fact_project_costs").schema["amount"].dataType == costs.schema["amount"].dataType
+    with pytest.raises(ValueError):
+        W.declared(costs.drop("amount"), "fact_project_costs")

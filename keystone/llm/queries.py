@@ -9,6 +9,7 @@ from keystone.llm.bpe import bpe_round_trip
 from keystone.llm.embedding_dedup import near_duplicate_vectors
 from keystone.llm.jaccard_join import jaccard_components
 from keystone.llm.language_id import language_predictions
+from keystone.llm.oracles import oracle_sql
 from keystone.llm.packing import pack_documents
 from keystone.llm.secrets import find_secrets
 from keystone.llm.substring_dedup import passage_digest
@@ -16,6 +17,9 @@ from keystone.llm.suffix_dedup import string_digest
 from keystone.llm.token_files import token_file_index
 
 
+__all__ = ["oracle_sql", "queries"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +38,3 @@ def queries():
         "op9_sequence_packing": lambda spark, d: pack_documents(docs(spark, d)),
         "op10_suffix_array_dedup": lambda spark, d: string_digest(docs(spark, d), length=200),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -53,6 +53,10 @@ def _kind(spans: Column, kind: str) -> Column:
                                                  s["end"].alias("end"), s["value"].alias("value")))
 
 
+def _of_kind(number: int):
+    return lambda s: s["kind"] == number
+
+
 def _listed(spans: Column) -> Column:
     """kind:start:end by start, then kind, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
@@ -93,7 +97,7 @@ def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int =
         F.count_if(~live).alias("n_example"))
     out = rows.join(judged, "uid", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    kinds = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+    kinds = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     every = F.array_sort(F.concat("base", F.coalesce("live", none)))
     return out.select("doc_id", *kinds, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"),
                       F.size(F.coalesce("live", none)).cast("long").alias("n_live"),

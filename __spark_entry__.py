@@ -132,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r5_equipment_roi_by_type": _star(R.equipment_roi_by_type),
         "r5_fuel_trend_by_month": _star(R.fuel_trend_by_month),
     })
+    q.update(one_of_queries())
     for k, (rep, fn) in over.items():
         q[k] = (lambda rep, fn: lambda spark, d: fn(rep(load_star(spark, d))))(rep, fn)
     for part in _training_data():
@@ -150,6 +151,30 @@ def _training_data() -> list:
     return [operators, corpus_pipeline]
 
 
+def one_of_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Reports for one project or trade (F7), and the D20 / M16 / M17 rules over scores
+    taken from the feature jobs, so that they can be checked without a forest."""
+    def risk(star):
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.5) - F.col("early_phase_cpi")))
+        ds = M.cost_overrun_dataset(star).select("project_id", p.alias("p"))
+        return MD.risk_kpis(ds.withColumn("risk_level", MD.project_risk_band("p")), "risk_level", "p")
+
+    def bands(star):
+        p = F.least(F.lit(1.0), F.col("days_since_maintenance") / 4000.0)
+        ds = M.maintenance_scoring_features(star, as_of=M_AS_OF).select("equipment_id", p.alias("p"))
+        ds = ds.withColumn("days", MD.days_until_maintenance(F.col("p")))
+        return ds.select("equipment_id", "days", MD.days_band("days").alias("days_band"),
+                         MD.fleet_risk_band("p", "days").alias("risk"))
+
+    return {
+        "a1_one_project": _star(project_performance, as_of=A1_AS_OF, project_id=7),
+        "a4_one_project": _star(labor_productivity, project_id=7),
+        "d11_one_trade": _star(lambda s: D.scorecard_kpis(subcontractor_scorecard(s), "HVAC")),
+        "m17_rule_risk_kpis": _star(risk),
+        "d20_rule_machine_bands": _star(bands),
+    }
+
+
 def _rule_scores(star):
     """M9 input: the early-CPI rule (overrun when early CPI < 1) on the M2 dataset."""
     from pyspark.sql import functions as F

@@ -7,12 +7,12 @@ inspections.
 
 Sub-packages
 ------------
-sources    star schema, warehouse I/O, calendar and table generators
+sources    star schema, warehouse I/O, calendar, project structure
 functions  column-expression helpers (rounding, safe ratios, labels, dates)
 operators  reports (A1-A6), dashboard roll-ups (D1-D20), extra reports
            (R1-R5), data-quality checks (Q1-Q4) and distributed ranking
 plans      feature jobs, model training and set-based scoring (M1-M21)
-streaming  intentionally empty: the modelled system is batch only
+llm        training-data operators (optional; nothing else imports it)
 """
 
 __version__ = "0.1.0"

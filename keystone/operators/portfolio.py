@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import col, dbl, dec_sum, money_label, rnd, safe_div
+from keystone.session import materialize
 from keystone.operators.projects import AS_OF
 
 
@@ -182,18 +183,19 @@ def scorecard_kpis(scorecard: DataFrame, trade: str | None = None) -> DataFrame:
 def histogram(df: DataFrame, c: str, bins: int = 25) -> DataFrame:
     """Equal-width histogram of ``c`` over [min, max] (NULLs skipped).
 
-    Bounds come from one scalar aggregate; each row gets its bin by arithmetic,
-    so the count is a plain partial aggregate (no sort, no single task).
+    The input is read once, down to its distinct values and their counts; bounds
+    and bins are taken from those.
     """
-    x = dbl(c)
-    b = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("b")).scalar()
-    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    values = materialize(df.select(dbl(c).alias("_x")).where("_x IS NOT NULL")
+                         .groupBy("_x").agg(F.count(F.lit(1)).alias("_n")), "histogram-values")
+    b = values.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("b")).scalar()
+    x, lo, hi = F.col("_x"), F.col("_b.lo"), F.col("_b.hi")
     width = (hi - lo) / float(bins)
     idx = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
-    counts = (df.where(x.isNotNull()).withColumn("_b", b)          # bounds attached once
+    counts = (values.withColumn("_b", b)                           # bounds attached once
               .groupBy(idx.cast("long").alias("bin"), F.col("_b"))
-              .agg(F.count(F.lit(1)).alias("count")))
+              .agg(F.sum("_n").alias("count")))
     return (counts.select("bin", (lo + F.col("bin") * width).alias("bin_start"),
                           (lo + (F.col("bin") + 1) * width).alias("bin_end"), "count")
             .orderBy("bin"))

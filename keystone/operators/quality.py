@@ -21,14 +21,17 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def enum_violations(star: dict[str, DataFrame]) -> DataFrame:
     """Q1: (table_name, column_name, value, n) for values outside the enum domain."""
-    frames = []
+    by_table: dict[str, list[tuple[str, list]]] = {}
     for (table, column), domain in ENUM_COLUMNS.items():
-        c = F.col(column)
-        frames.append(star[table].where(c.isNotNull() & ~c.isin(*domain))
-                      .groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-                      .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-                              "value", "n"))
-    return _union(frames)
+        by_table.setdefault(table, []).append((column, list(domain)))
+    frames = []
+    for table, columns in by_table.items():      # one scan a table: its columns become rows, only bad values stay
+        bad = F.array(*[F.when(F.col(c).isNotNull() & ~F.col(c).isin(*d),
+                               F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")))
+                        for c, d in columns])
+        frames.append(star[table].select(F.explode(F.array_compact(bad)).alias("v"))
+                      .select(F.lit(table).alias("table_name"), "v.column_name", "v.value"))
+    return _union(frames).groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def foreign_key_orphans(star: dict[str, DataFrame]) -> DataFrame:

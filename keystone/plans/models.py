@@ -248,7 +248,7 @@ def score_equipment(star: dict[str, DataFrame], a: Artifact, as_of: _dt.date = F
         "equipment_type_enc", F.when(F.col("has_usage") == 1, F.col("equipment_type_enc")).otherwise(F.lit(0).cast("long")))
     s = _scored(a.model, _assemble(f, a.features))
     p = F.col("score")
-    days = F.greatest(F.lit(1), (F.lit(30.0) * (1.0 - p)).cast("int")).cast("long")
+    days = days_until_maintenance(p)
     pct = percent_label(p)
     hi, mid = MAINT_THRESHOLDS
     text = F.when(p >= hi, MAINT_ADVICE_HIGH).when(p >= mid, MAINT_ADVICE_MODERATE).otherwise(MAINT_ADVICE_LOW)
@@ -312,6 +312,11 @@ def risk_kpis(risk: DataFrame, band: str, prob: str) -> DataFrame:
         .select(F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.col(band)).alias(band), "count", "avg_probability")
 
 
+def days_until_maintenance(p) -> Column:
+    """30 days less the probability's share of them, at least one."""
+    return F.greatest(F.lit(1), (F.lit(30.0) * (1.0 - col(p))).cast("int")).cast("long")
+
+
 def days_band(days) -> Column:
     """Fewer than 7 days bad, up to 14 warning, else good."""
     d = col(days)

@@ -41,3 +41,25 @@ def test_null_budget_overruns_do_not_add_up(star):
     r = budget_variance(star).collect()
     assert any(x.labor_overrun + x.materials_overrun + x.equipment_overrun
                + x.subcontractor_overrun != x.cost_variance for x in r)
+
+
+def test_planted_violations_are_counted(star):
+    from pyspark.sql import functions as F
+
+    from keystone.operators.quality import enum_violations, not_null_violations
+    p = star["dim_projects"]
+    first = p.agg(F.min("id")).first()[0]
+    planted = dict(star)
+    for t in ("dim_subcontractors", "dim_equipment", "dim_employees", "dim_materials", "fact_project_costs", "fact_labor_hours",
+              "fact_equipment_usage", "fact_material_deliveries", "fact_safety_incidents", "fact_inspections", "dim_dates"):
+        try:
+            planted[t] = star[t]
+        except KeyError:
+            pass
+    bad = F.when(F.col("id") == first, F.lit("SHED"))
+    planted["dim_projects"] = p.withColumn("project_type", F.coalesce(bad, "project_type")) \
+        .withColumn("project_name", F.when(F.col("id") != first, F.col("project_name")))
+    rows = {tuple(r) for r in enum_violations(planted).collect()}
+    assert rows == {("dim_projects", "project_type", "SHED", 1)}
+    nulls = {(r.table_name, r.column_name): r.nulls for r in not_null_violations(planted).collect()}
+    assert nulls["dim_projects", "project_name"] == 1 and sum(nulls.values()) == 1

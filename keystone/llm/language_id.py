@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystone.llm.common import mix, powers, window_hashes
+
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Words longer than this are scored in stretches of so many letters.
-STRETCH = 64
-MAX_WORDS = 200_000
+STRETCH = 24
+MAX_WORDS = 400_000
 
 
 def words_of(text: str) -> list[str]:
@@ -30,7 +32,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Pieces:
-    """The pieces of a SentencePiece model that can be part of a word."""
+    """The pieces of a SentencePiece model that can be part of a word, with their hashes in order."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -43,16 +45,20 @@ class Pieces:
             if not model.is_control(i) and not model.is_unknown(i) and not model.is_byte(i) and (p == MARK or WORD.fullmatch(body)):
                 self.index[p.lower()] = self.index.get(p.lower(), len(self.index))
         self.longest = max(map(len, self.index))
+        hashes = np.array([int(window_hashes(symbols([p])[0], len(p))[0]) for p in self.index], dtype=np.uint64)
+        self.of_hash = np.argsort(hashes)
+        self.hashes = hashes[self.of_hash]
 
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end position in the marked word, (start, piece); single letters without a piece get -1."""
-        out = []
-        for end in range(1, len(word) + 1):
-            here = [(a, i) for a in range(max(0, end - self.longest), end) if (i := self.index.get(word[a:end])) is not None]
-            if not here or here[-1][0] != end - 1:
-                here.append((end - 1, -1))
-            out.append(here)
-        return out
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of the piece with each hash, -1 without one."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.of_hash[at], -1)
+
+
+def symbols(words: list[str]) -> np.ndarray:
+    """Characters of words of one length as rows of 64-bit symbols."""
+    code = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), -1)
+    return mix(code.astype(np.uint64) + np.uint64(1))
 
 
 _loaded: dict[str, Pieces] = {}
@@ -76,34 +82,70 @@ def _stretches(word: str) -> list[str]:
 
 
 class Scorer:
-    """Forward algorithm over the log-probabilities of ``languages`` (one row each, last column: unseen letter)."""
+    """Forward algorithm over the log-probabilities of languages (one row each, last column: a letter without a piece).
+
+    Words of one length go through it together. Scores of words met before are kept,
+    up to ``MAX_WORDS``; then the memory starts afresh.
+    """
 
     def __init__(self, pieces: Pieces, log_p: np.ndarray):
-        self.pieces, self.p = pieces, np.exp(log_p.T)
-        self.kept: dict[str, np.ndarray] = {}
+        self.pieces, self.p = pieces, np.ascontiguousarray(np.exp(log_p.T))
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros((0, self.p.shape[1]))
 
     def word(self, word: str) -> np.ndarray:
         """Log of the summed probability of all segmentations, per language."""
-        if (r := self.kept.get(word)) is None:
-            r = sum(self._forward(s) for s in _stretches(word))
-            if len(self.kept) < MAX_WORDS:
-                self.kept[word] = r
-        return r
-
-    def _forward(self, word: str) -> np.ndarray:
-        p = self.p
-        alpha = [np.ones(p.shape[1])]
-        scale = np.zeros(p.shape[1])
-        for end, edges in enumerate(self.pieces.edges(word), 1):
-            total = 0.0
-            for a, i in edges:
-                total = total + alpha[a] * p[i]
+        return self.of_words([word])[0]
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        cut = [_stretches(w) for w in words]
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for x in {x for xs in cut for x in xs}:
+            by_length[len(x)].append(x)
+        at, rows = {}, []
+        for xs in by_length.values():
+            for a in range(0, len(xs), 20_000):
+                at.update(zip(xs[a:a + 20_000], range(len(at), len(at) + 20_000)))
+                rows.append(self._forward(xs[a:a + 20_000]))
+        scored = np.concatenate(rows) if rows else self.scores[:0]
+        out = scored[[at[xs[0]] for xs in cut]] if cut else self.scores[:0]
+        for i, xs in enumerate(cut):
+            for x in xs[1:]:
+                out[i] += scored[at[x]]
+        return out
+
+    def _forward(self, words: list[str]) -> np.ndarray:
+        s = symbols(words)
+        n, size = s.shape
+        p, q = powers(size + 1)
+        c = np.zeros((n, size + 1), dtype=np.uint64)
+        np.cumsum(s * p[:size], axis=1, out=c[:, 1:])
+        alpha = [np.ones((n, self.p.shape[1]))]
+        for end in range(1, size + 1):
+            total = np.zeros_like(alpha[0])
+            for start in range(max(0, end - self.pieces.longest), end):
+                piece = self.pieces.find(mix((c[:, end] - c[:, start]) * q[start]))
+                if start == end - 1:
+                    total += alpha[start] * self.p[piece]
+                elif len(hit := np.flatnonzero(piece >= 0)):
+                    total[hit] += alpha[start][hit] * self.p[piece[hit]]
             alpha.append(total)
-            if end % 16 == 0:  # keep the numbers of the next steps in range
-                top = np.maximum(total, 1e-300)
-                alpha = [x / top for x in alpha]
-                scale += np.log(top)
-        return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+        return np.log(np.maximum(alpha[-1], 1e-300))
+
+    def texts(self, words: list[list[str]]) -> list[np.ndarray]:
+        """Summed scores of the words of each text."""
+        get = self.place.get
+        places = [list(map(get, ws)) for ws in words]
+        new = list({w for ws, at in zip(words, places, strict=True) if None in at for w, i in zip(ws, at, strict=True) if i is None})
+        if new:
+            if len(self.place) + len(new) > MAX_WORDS:
+                self.place.clear()
+                self.scores = self.scores[:0]
+                new = list({w for ws in words for w in ws})
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.scores = np.concatenate([self.scores, self.of_words(new)])
+            places = [list(map(get, ws)) for ws in words]
+        return [self.scores[at].sum(axis=0) for at in places]
 
 
 def crc_fold(doc_id, folds: int = 5):
@@ -182,17 +224,15 @@ def identify(documents: DataFrame, languages: list[str], log_p: np.ndarray, voca
         scorer = Scorer(load_pieces(path), log_p) if languages else None
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
-                words = words_of(text) if scorer and isinstance(text, str) else []
-                if not words:
-                    out.append(("und", 0.0, None))
-                    continue
-                c = Counter(words)
-                total = np.array([scorer.word(w) for w in c]).T @ np.fromiter(c.values(), dtype=np.float64)
-                letters = sum(len(w) * n for w, n in c.items())
-                best = int(np.argmax(total))
-                score = 1.0 / math.fsum(np.exp(np.maximum(total - total[best], -700.0)))
-                out.append((languages[best], min(1.0, score), float(total[best] / letters)))
+            for at in range(0, len(pdf), 500):
+                words = [words_of(t) if scorer and isinstance(t, str) else [] for t in pdf["text"].iloc[at:at + 500]]
+                for ws, total in zip(words, scorer.texts(words) if scorer else words, strict=True):
+                    if not ws:
+                        out.append(("und", 0.0, None))
+                        continue
+                    best = int(np.argmax(total))
+                    score = 1.0 / math.fsum(np.exp(np.maximum(total - total[best], -700.0)))
+                    out.append((languages[best], min(1.0, score), float(total[best] / sum(map(len, ws)))))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "fit"]).assign(**{c: pdf[c].to_numpy() for c in ("doc_id", *carry)})
 
     schema = "lang_pred string, score double, fit double, doc_id string" + "".join(f", {c} long" for c in carry)

@@ -56,11 +56,6 @@ def key_as_text(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
-def buckets(spark: SparkSession, least: int = 16) -> int:
-    """Number of groups to deal rows into; follows the size set for shuffles."""
-    return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values (each input bit reaches each output bit)."""
     x = x ^ (x >> np.uint64(31))

@@ -1,24 +1,23 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Each pass gives every vector a key of concatenated random-hyperplane signs and
-sorts the vectors of all labels by (label, key). Only neighbours within a window
-in that order are compared, in double precision; the verified pairs of all
-passes are united into components. Inside a component the links of each vector
-are then counted exactly in blocks, so a window never limits ``n_links``.
+"""Embedding near-duplicates by comparing all vectors of a label, block against block.
+
+The distinct vectors of a label are dealt into blocks by a hash; each pair of
+blocks is one matrix product in double precision, on whichever executor. A pair
+of blocks gives the number of links of each vector, which is summed, and a
+spanning forest of its links, which are united into components. Nothing limits
+which vectors are compared, so links and components are exact; the work grows
+with the square of the distinct vectors of a label.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystone.llm.common import scratch_table
 from keystone.llm.components import connected_components
 
-BLOCK = 1024
-
 
 def usable(vec) -> bool:
     """Not null, without null or non-finite components, not zero, not empty."""
@@ -45,46 +44,49 @@ def _clean(batches):
                             "dim": [len(v) for v in vec]})
 
 
-def _keys(passes: int, bits: int, seed: int):
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            for dim, part in pdf.groupby("dim"):
-                planes = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
-                signs = (_unit(part["vec"]) @ planes > 0).reshape(len(part), passes, bits)
-                weights = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
-                key = (signs * weights).sum(axis=2)
-                for p in range(passes):
-                    yield pd.DataFrame({"pass": np.int32(p), "label": part["label"], "dim": part["dim"],
-                                        "key": key[:, p], "uid": part["uid"], "vec": part["vec"]})
-    return run
-
-
-def _near(window: int, cosine: float):
-    """Compare each row with the ``window`` rows before it in a group's order."""
+def _forest(hit: np.ndarray) -> tuple[list[int], list[int]]:
+    """Rows and columns of hits that connect whatever all hits connect; each row and column is visited once."""
+    by_column = np.ascontiguousarray(hit.T)
+    rows, columns = hit.any(axis=1), by_column.any(axis=1)  # those not reached yet
+    a, b = [], []
+    for start in np.flatnonzero(rows).tolist():
+        queue = [start] if rows[start] else []
+        rows[start] = False
+        while queue:
+            r = queue.pop()
+            reached = np.flatnonzero(hit[r] & columns).tolist()
+            columns[reached] = False
+            for c in reached:
+                more = np.flatnonzero(by_column[c] & rows).tolist()
+                rows[more] = False
+                a += [r, *more]
+                b += [c] * (1 + len(more))
+                queue += more
+    return a, b
+
+
+def _compared(cosine: float):
+    """Block i with block j: (a, null, links of a in the other block, copies counted) and (a, b, 0) for links that connect them."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        a, b = [], []
-        run_id = list(zip(pdf["pass"], pdf["label"], pdf["dim"], strict=True))
-        uid, halo = pdf["uid"].to_numpy(), pdf["halo"].to_numpy()
-        start = 0
-        for end in range(1, len(pdf) + 1):
-            if end < len(pdf) and run_id[end] == run_id[start]:
-                continue
-            x = _unit(pdf["vec"].iloc[start:end])
-            for d in range(1, min(window, len(x) - 1) + 1):
-                hit = np.flatnonzero((np.einsum("ij,ij->i", x[:-d], x[d:]) >= cosine) & ~halo[start + d:end])
-                a.append(uid[start:end][hit])
-                b.append(uid[start:end][hit + d])
-            start = end
-        z = np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"a": np.concatenate([z, *a]), "b": np.concatenate([z, *b])})
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "linked": []})
+        hit = _unit(left["vec"]) @ _unit(right["vec"]).T >= cosine
+        if i == j:
+            np.fill_diagonal(hit, False)
+        x, y = left["uid"].to_numpy(), right["uid"].to_numpy()
+        out = []
+        for uid, hits, size in ((x, hit, right["size"]), (y, hit.T, left["size"]))[:1 if i == j else 2]:
+            linked = (hits * size.to_numpy()).sum(axis=1)
+            out.append(pd.DataFrame({"a": uid, "b": pd.NA, "linked": linked})[linked > 0])
+        a, b = _forest(hit)
+        out.append(pd.DataFrame({"a": x[a], "b": y[b], "linked": 0}))
+        return pd.concat([p.astype({"a": "int64", "b": "Int64", "linked": "int64"}) for p in out])
     return run
 
 
-def near_duplicate_vectors(embeddings: DataFrame, cosine: float = 0.98, passes: int = 8, bits: int = 24,
-                           window: int = 12, block_rows: int = 2048, seed: int = 7) -> DataFrame:
+def near_duplicate_vectors(embeddings: DataFrame, cosine: float = 0.98, block_rows: int = 2048) -> DataFrame:
     """``embeddings`` (vec_id, embedding, label) to (vec_id, n_links, component_id, kept), one row each.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
@@ -104,37 +106,14 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = 0.98, passes:
     copies = clean.join(classes, ["label", "dim", "vec"]).select("uid", "rep", "size")
     vectors = classes.select(F.col("rep").alias("uid"), "label", "dim", "vec", "size")
 
-    order = ["pass", "label", "dim", "key", "uid"]
-    keyed = vectors.mapInPandas(_keys(passes, bits, seed), "pass int, label string, dim int, key long, uid long, vec binary")
-    # The written files hold the total order: one ascending range each, sorted inside.
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = scratch_table(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                           .withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()),
-                           "vec-passes")
-    # Blocks of a part; the first rows of each block also see the last rows of the block before.
-    row = F.col("pos") - F.shiftleft(F.col("part").cast("long"), 33)
-    blocked = placed.withColumn("block", F.floor(row / BLOCK)).withColumn("at", row % BLOCK)
-    ends = blocked.groupBy("part", "block").agg(F.max("at").alias("last"))
-    after = ends.join(_next_block(ends), ["part", "block"]).where("next is not null")
-    tail = blocked.join(after, ["part", "block"]).where(F.col("at") > F.col("last") - window)
-    cols = ["pass", "label", "dim", "uid", "vec", "pos"]
-    halo = tail.select(*cols, F.col("next.part").alias("part"), F.col("next.block").alias("block"), F.lit(True).alias("halo"))
-    rows = blocked.select(*cols, "part", "block", F.lit(False).alias("halo")).unionByName(halo)
-    links = scratch_table(rows.groupBy("part", "block").applyInPandas(_near(window, cosine), "a long, b long")
-                          .distinct(), "vec-links")
-    comps = scratch_table(connected_components(links), "vec-components")
-
-    members = vectors.join(comps, vectors["uid"] == comps["node"]).select("uid", "component", "vec", "size")
-    sizes = comps.groupBy("component").agg(F.count("*").alias("members"))
-    parts = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / block_rows)) \
-        .withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")))
-    # each block meets each block of its component: as the one whose links are counted, and as the other
-    both = parts.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumn("counts", F.explode(F.array(F.lit(True), F.lit(False)))) \
-        .select("uid", "vec", "size", "component", "counts", F.when(F.col("counts"), F.col("mine")).otherwise(F.col("theirs")).alias("i"),
-                F.when(F.col("counts"), F.col("theirs")).otherwise(F.col("mine")).alias("j"))
-    counted = both.groupBy("component", "i", "j").applyInPandas(_weighted(cosine), "rep long, linked long")
-    linked = counted.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    sizes = vectors.groupBy("label", "dim").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    parts = vectors.join(sizes, ["label", "dim"]).withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")))
+    # each block meets itself and each other block of its label once
+    pairs = parts.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("label", "dim", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "mine", "uid", "vec", "size")
+    found = scratch_table(pairs.groupBy("label", "dim", "i", "j").applyInPandas(_compared(cosine), "a long, b long, linked long"), "vec-links")
+    comps = scratch_table(connected_components(found.where("b is not null").select("a", "b")), "vec-components")
+    linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("linked").alias("linked"))
 
     root = comps.select(F.col("node").alias("rep"), "component")
     per_copy = copies.join(root, "rep", "left").join(linked, "rep", "left").select(
@@ -146,29 +125,3 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = 0.98, passes:
     ids = per_row.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     return per_row.join(ids, "component").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id",
                                                  (F.col("vec_id") == F.col("component_id")).alias("kept"))
-
-
-def _weighted(cosine: float):
-    """Rows of the other block that link with each row, copies counted."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["counts"]], pdf[~pdf["counts"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"rep": pd.Series(dtype="int64"), "linked": pd.Series(dtype="int64")})
-        x, y, size = _unit(left["vec"]), _unit(right["vec"]), right["size"].to_numpy()
-        hit = (x @ y.T >= cosine) & (left["uid"].to_numpy()[:, None] != right["uid"].to_numpy()[None, :])
-        return pd.DataFrame({"rep": left["uid"], "linked": (hit * size).sum(axis=1).astype(np.int64)})
-    return run
-
-
-def _next_block(blocks: DataFrame) -> DataFrame:
-    """(part, block, next): the block that follows in the total order.
-
-    Within a part the next block is block + 1; after a part's last block it is
-    the first block of the next part that has rows.
-    """
-    last = blocks.groupBy("part").agg(F.max("block").alias("top"))
-    # one row for each partition, whatever the number of vectors
-    chain = last.withColumn("following", F.lead("part").over(Window.orderBy("part")))
-    return blocks.select("part", "block").join(chain, "part").select(
-        "part", "block", F.when(F.col("block") < F.col("top"), F.struct(F.col("part"), (F.col("block") + 1).alias("block")))
-        .otherwise(F.when(F.col("following").isNotNull(), F.struct(F.col("following").alias("part"), F.lit(0).cast("long").alias("block")))).alias("next"))

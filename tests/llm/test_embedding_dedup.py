@@ -58,3 +58,30 @@ def test_components_of_chains_stars_and_loops(llm):
     want = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {2000: 2000, 2001: 2000}
     assert got == want
     assert connected_components(df.limit(0)).count() == 0
+
+
+def dense(background, planted, n=4000, dim=64, cosine=0.985):
+    """Unit vectors around one centre with planted pairs: the first ``planted`` rows have a partner at the end each."""
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    aside = rng.standard_normal((n, dim))
+    aside -= np.outer(aside @ centre, centre)
+    x = np.sqrt(background) * centre + np.sqrt(1 - background) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    turn = rng.standard_normal((planted, dim))
+    turn -= (turn * x[:planted]).sum(axis=1, keepdims=True) * x[:planted]
+    near = cosine * x[:planted] + np.sqrt(1 - cosine**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    return np.concatenate([x, near])
+
+
+def test_every_planted_pair_of_a_dense_label(llm):
+    for label, background in enumerate((0.0, 0.9, 0.95)):
+        x = dense(background, 500)
+        df = llm.createDataFrame([(i, v, label) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df).collect()}
+        near = x @ x.T >= 0.98
+        want = connected_components(llm.createDataFrame([(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)], "a long, b long"))
+        least = {i: i for i in range(len(x))} | dict(map(tuple, want.collect()))
+        found = sum(got[i][1] == got[4000 + i][1] for i in range(500))
+        assert found == 500, (background, found)
+        assert got == {i: (int(near[i].sum()) - 1, least[i]) for i in range(len(x))}

@@ -6,7 +6,9 @@
    (shingles of 5 words, Jaccard similarity of 0.8 or more).
 3. substring_dedup: words covered by a repeated window of 35 words go; documents
    that lose words carry the kept ones joined by one space.
-4. secret_scan: every span of a secret is replaced by ``MASK``.
+4. secret_scan: every span of a secret is replaced by ``MASK``. A generic token is
+   taken for an example and stays if several sources hold it in ``LEAST_COPIES``
+   documents or more, or any in over ``MOST_COPIES``.
 5. sequence_packing: documents become token sequences of 4096 ids at most.
 
 All stages but the last return the columns of ``documents``; n_chars follows the
@@ -30,6 +32,7 @@ from keystone.session import ensure_checkpoint_dir
 
 LEAST_SCORE = 0.5
 MASK = "<secret>"
+LEAST_COPIES, MOST_COPIES = 3, 1000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +70,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their secrets masked; overlapping spans become one."""
-    out = find_secrets(docs, carry_row=True)
+    out = find_secrets(docs, least_documents=LEAST_COPIES, max_documents=MOST_COPIES, carry_row=True)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc, s):

@@ -3,8 +3,10 @@
 Base kinds are leftmost non-overlapping matches. To these the corpus-wide
 ownership frequency adds spans of kind ``live``: generic credential-shaped
 tokens are hashed, and their hashes aggregated over the corpus by distinct
-repositories (documents) and owners (sources). A value that several owners hold
-is a widely copied example; a value of one owner is live-looking and added.
+repositories (documents) and owners (sources). Both counts are returned for each
+token and can decide whether it is a widely copied example or live-looking and
+added. By default owners alone decide, as in the SQL formulation of op3; the
+pipeline sets bounds for documents too.
 """
 
 from __future__ import annotations
@@ -63,15 +65,19 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int = 1, carry_row: bool = False) -> DataFrame:
-    """One row per document: (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, all_spans).
+def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int = 1, least_documents: int = 1,
+                 max_documents: int | None = None, carry_row: bool = False) -> DataFrame:
+    """One row per document: (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, all_spans, copies).
 
     Null and empty texts hold no secrets (base_sha256 of the empty string, empty
     spans). Spans are in code points, end exclusive. ``all_spans`` is the array of
     (start, kind number, end, value). ``n_live`` counts added spans and
-    ``n_example`` generic tokens left out since over ``max_owners`` owners hold
-    them; a null owner counts as one owner of its own. Generic tokens that touch
-    a base span add nothing. With ``carry_row`` the text and a struct ``row`` of the
+    ``n_example`` generic tokens left out as examples: those that over ``max_owners``
+    owners hold in ``least_documents`` documents or more, and, with ``max_documents``,
+    those in more documents than that, whoever owns them. Documents are distinct
+    ids of an owner, however often one holds the token; a null owner or id counts as one
+    of its own. ``copies`` is the array of (start, end, n_documents, n_owners) of all
+    generic tokens, by start. Generic tokens that touch a base span add nothing. With ``carry_row`` the text and a struct ``row`` of the
     other columns follow. Repeated rows give repeated results, other columns
     are ignored, and an empty table gives an empty result.
     """
@@ -88,13 +94,17 @@ def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int =
 
     found = rows.select("uid", "doc_id", "owner", F.explode("generic").alias("g")) \
         .withColumn("hash", F.sha2(F.col("g.value"), 256))
-    # (hash, owner) first: a value copied a million times is a few rows when its owners are counted
-    owners = found.groupBy("hash", "owner").agg(F.count("*").alias("copies")) \
-        .groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("copies").alias("copies"))
-    live = F.col("n_owners") <= max_owners
-    judged = found.join(owners, "hash").groupBy("uid").agg(
-        F.collect_list(F.when(live, F.col("g"))).alias("live"),
-        F.count_if(~live).alias("n_example"))
+    # (hash, owner, document) first: a value copied a million times is a few rows when its owners are counted
+    counts = found.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one")) \
+        .groupBy("hash", "owner").agg(F.sum("one").alias("documents")) \
+        .groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("documents").alias("n_documents"))
+    example = (F.col("n_owners") > max_owners) & (F.col("n_documents") >= least_documents)
+    if max_documents is not None:
+        example |= F.col("n_documents") > max_documents
+    copy = F.struct(F.col("g.start").alias("start"), F.col("g.end").alias("end"), "n_documents", "n_owners")
+    judged = found.join(counts, "hash").groupBy("uid").agg(
+        F.collect_list(F.when(~example, F.col("g"))).alias("live"),
+        F.count_if(example).alias("n_example"), F.array_sort(F.collect_list(copy)).alias("copies"))
     out = rows.join(judged, "uid", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     kinds = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
@@ -102,4 +112,5 @@ def find_secrets(documents: DataFrame, owner: str = "source", max_owners: int =
     return out.select("doc_id", *kinds, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"),
                       F.size(F.coalesce("live", none)).cast("long").alias("n_live"),
                       F.coalesce("n_example", F.lit(0)).alias("n_example"), every.alias("all_spans"),
+                      F.coalesce("copies", F.array().cast("array<struct<start:int,end:int,n_documents:bigint,n_owners:bigint>>")).alias("copies"),
                       *(["row", "text"] if carry_row else []))

@@ -67,6 +67,13 @@ def test_each_stage_takes_effect(llm, planted):
     check_packing(P.sequence_packing(llm, docs, planted).collect(), tokens)
 
 
+def test_examples_of_one_source_stay_and_values_of_two_documents_go(docs_of):
+    hot, two = "Hot9" + "xYz4" * 6, "Two9" + "xYz4" * 6
+    docs = docs_of([(i, f"k {hot}", None, "a") for i in range(P.MOST_COPIES + 1)] + [(5000 + i, f"k {two}", None, s) for i, s in enumerate("ab")])
+    out = {r["doc_id"]: r["text"] for r in P.secret_scan(None, docs.drop("start", "uid"), "").collect()}
+    assert {t for d, t in out.items() if d < 5000} == {f"k {hot}"} and [out[5000], out[5001]] == [f"k {P.MASK}"] * 2
+
+
 def test_run_and_empty_table(llm, planted, tmp_path):
     assert P.run(llm, planted).columns[0] == "doc_id"
     llm.read.parquet(f"{planted}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")

@@ -50,6 +50,20 @@ def test_ownership_frequency(docs_of):
     assert find_secrets(docs).count() == 8 and find_secrets(docs.limit(0)).count() == 0
 
 
+def test_documents_and_owners_decide(docs_of):
+    hot, two, wide = "Hot9" + "xYz4" * 6, "Two9" + "xYz4" * 6, "Wide9" + "xYz4" * 6
+    docs = docs_of([(i, f"k {hot} {hot}", None, "a") for i in range(6)] + [(0, f"k {hot} {hot}", None, "a")]
+                   + [(10 + i, f"k {two}", None, s) for i, s in enumerate("ab")] + [(20 + i, f"k {wide}", None, s) for i, s in enumerate("abb")])
+    by_owner, both = find_secrets(docs).collect(), find_secrets(docs, least_documents=3, max_documents=5).collect()
+    copies = {r["doc_id"]: [(c["n_documents"], c["n_owners"]) for c in r["copies"]] for r in both}
+    assert len(both) == 12 and copies[0] == [(6, 1)] * 2 and copies[10] == [(2, 2)] and copies[20] == [(3, 2)]
+    found = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in both}
+    assert found == {i: (0, 2) for i in range(6)} | {10: (1, 0), 11: (1, 0)} | {20 + i: (0, 1) for i in range(3)}
+    # six documents are not over six, however many occurrences they hold
+    assert {r["n_live"] for r in find_secrets(docs, max_documents=6).where("doc_id < 6").collect()} == {2}
+    assert {r["doc_id"]: r["n_live"] for r in by_owner} == {i: 2 for i in range(6)} | {i: 0 for i in (10, 11, 20, 21, 22)}
+
+
 def test_no_python_on_the_executors(docs_of):
     plan = find_secrets(docs_of(ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

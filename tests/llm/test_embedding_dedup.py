@@ -85,3 +85,15 @@ def test_every_planted_pair_of_a_dense_label(llm):
         found = sum(got[i][1] == got[4000 + i][1] for i in range(500))
         assert found == 500, (background, found)
         assert got == {i: (int(near[i].sum()) - 1, least[i]) for i in range(len(x))}
+
+
+def test_small_table_over_many_partitions(llm):
+    rows = [(i, v, 1) for i, v in enumerate(dense(0.95, 60, n=240).tolist())]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    given = llm.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "64"):
+            llm.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert sorted(tuple(r) for r in near_duplicate_vectors(df).collect()) == brute(rows), partitions
+    finally:
+        llm.conf.set("spark.sql.shuffle.partitions", given)

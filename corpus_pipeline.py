@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and reread.
 
 1. language_id: documents whose language can't be told go (no text, no letter,
-   or a posterior under ``LEAST_SCORE``); predictions are learned as in the operator.
+   a posterior under ``LEAST_SCORE``, or a fit under the bound learned for the
+   predicted language); predictions are learned as in the operator.
 2. ngram_jaccard_join: one document of each group of near copies stays
    (shingles of 5 words, Jaccard similarity of 0.8 or more).
 3. substring_dedup: words covered by a repeated window of 35 words go; documents
@@ -22,8 +23,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystone.llm.common import scratch_table
 from keystone.llm.jaccard_join import one_of_each_group
-from keystone.llm.language_id import language_predictions
+from keystone.llm.language_id import fit_bounds, language_predictions
 from keystone.llm.packing import pack_documents
 from keystone.llm.passages import with_row_key
 from keystone.llm.secrets import find_secrets
@@ -38,8 +40,11 @@ LEAST_COPIES, MOST_COPIES = 3, 1000
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language; ``lang`` itself stays as given."""
     keys = with_row_key(docs).select("doc_id", "k", "h", "text", "lang")
-    found = language_predictions(keys, carry=("k", "h"))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("k", "h").distinct()
+    found = scratch_table(language_predictions(keys, carry=("k", "h")), "language-fit")
+    # a row for each learned language; no bound where no training document has the language
+    bounded = found.join(F.broadcast(fit_bounds(found)), "lang_pred", "left")
+    fits = F.coalesce(F.col("fit") >= F.col("least_fit"), F.lit(True))
+    kept = bounded.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & fits).select("k", "h").distinct()
     return with_row_key(docs).join(kept, ["k", "h"], "left_semi").select(*docs.columns)
 
 

@@ -25,6 +25,8 @@ MARK = "▁"
 #: Words longer than this are scored in stretches of so many letters.
 STRETCH = 24
 MAX_WORDS = 400_000
+#: Of the bounds of ``fit``; the second in log-probability a letter.
+FIT_SPREADS, LEAST_SPREAD = 8.0, 1.0
 
 
 def words_of(text: str) -> list[str]:
@@ -196,6 +198,17 @@ def learn(training: DataFrame, vocabulary: str | None = None, smoothing: float =
     return languages, log_p
 
 
+def fit_bounds(found: DataFrame) -> DataFrame:
+    """(lang_pred, least_fit) learned from the predictions of the training folds, one row a language.
+
+    The bound lies below the median by ``FIT_SPREADS`` times the way to the 5th
+    percentile, so that up to 5 % of junk doesn't move it, and by ``LEAST_SPREAD`` at least.
+    """
+    low, middle = (F.percentile_approx("fit", q, 10_000) for q in (0.05, 0.5))
+    return found.where(~F.col("held_out") & (F.col("lang_pred") != "und")).groupBy("lang_pred").agg(
+        (middle - F.greatest(F.lit(LEAST_SPREAD), FIT_SPREADS * (middle - low))).alias("least_fit"))
+
+
 def _longest(pieces: Pieces, word: str) -> list[int]:
     out, word, a = [], MARK + word, 0
     while a < len(word):

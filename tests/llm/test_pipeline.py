@@ -1,6 +1,7 @@
 """The pipeline against brute force over a small corpus with planted cases."""
 import random
 import re
+import zlib
 
 import corpus_pipeline as P
 import numpy as np
@@ -74,6 +75,21 @@ def test_examples_of_one_source_stay_and_values_of_two_documents_go(docs_of):
     assert {t for d, t in out.items() if d < 5000} == {f"k {hot}"} and [out[5000], out[5001]] == [f"k {P.MASK}"] * 2
 
 
+def test_unlearned_languages_and_random_letters_go(llm):
+    docs = llm.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(3)
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60)),
+            "Ez egy magyar nyelvű szöveg, amelyet a modell soha nem tanult meg, és ezért nem szabad elfogadnia, mert nem ismeri.",
+            "Това е текст на български език, който моделът никога не е учил, и затова трябва да бъде отхвърлен."]
+    clean = [" ".join(r["text"].split()[:8]) for r in docs.where("length(text) > 400").orderBy("doc_id").limit(30).collect()]
+    held_out = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 5 == 0]  # not learned from
+    ids = dict(zip(held_out, junk + clean, strict=False))
+    add = [(i, t, "en", "own", len(t)) for i, t in ids.items()]
+    out = P.language_id(llm, docs.unionByName(llm.createDataFrame(add, docs.schema)), "")
+    kept = {r["doc_id"] for r in out.where("doc_id >= 10000").collect()}
+    assert not kept & set(held_out[:3]) and len(kept) >= 29
+
+
 def test_run_and_empty_table(llm, planted, tmp_path):
     assert P.run(llm, planted).columns[0] == "doc_id"
     llm.read.parquet(f"{planted}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")

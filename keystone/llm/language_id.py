@@ -22,8 +22,8 @@ from keystone.llm.common import mix, powers, window_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-#: Words longer than this are scored in stretches of so many letters.
-STRETCH = 24
+#: Words of more symbols, the mark included, go through the forward pass one at a time and rescaled.
+BATCHED = 24
 MAX_WORDS = 400_000
 #: Of the bounds of ``fit``; the second in log-probability a letter.
 FIT_SPREADS, LEAST_SPREAD = 8.0, 1.0
@@ -78,15 +78,10 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _stretches(word: str) -> list[str]:
-    word = MARK + word
-    return [word[a:a + STRETCH] for a in range(0, len(word), STRETCH)]
-
-
 class Scorer:
     """Forward algorithm over the log-probabilities of languages (one row each, last column: a letter without a piece).
 
-    Words of one length go through it together. Scores of words met before are kept,
+    Every word goes through it whole, short ones of one length together. Scores of words met before are kept,
     up to ``MAX_WORDS``; then the memory starts afresh.
     """
 
@@ -100,20 +95,15 @@ class Scorer:
         return self.of_words([word])[0]
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        cut = [_stretches(w) for w in words]
-        by_length: dict[int, list[str]] = defaultdict(list)
-        for x in {x for xs in cut for x in xs}:
-            by_length[len(x)].append(x)
-        at, rows = {}, []
-        for xs in by_length.values():
-            for a in range(0, len(xs), 20_000):
-                at.update(zip(xs[a:a + 20_000], range(len(at), len(at) + 20_000)))
-                rows.append(self._forward(xs[a:a + 20_000]))
-        scored = np.concatenate(rows) if rows else self.scores[:0]
-        out = scored[[at[xs[0]] for xs in cut]] if cut else self.scores[:0]
-        for i, xs in enumerate(cut):
-            for x in xs[1:]:
-                out[i] += scored[at[x]]
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            by_length[len(w) + 1].append(i)
+        out = np.zeros((len(words), self.p.shape[1]))
+        for length, places in by_length.items():
+            for a in range(0, len(places), 20_000):
+                at = places[a:a + 20_000]
+                marked = [MARK + words[i] for i in at]
+                out[at] = self._forward(marked) if length <= BATCHED else [self._forward_long(w) for w in marked]
         return out
 
     def _forward(self, words: list[str]) -> np.ndarray:
@@ -134,6 +124,32 @@ class Scorer:
             alpha.append(total)
         return np.log(np.maximum(alpha[-1], 1e-300))
 
+    def _forward_long(self, word: str, chunk: int = 4096) -> np.ndarray:
+        """The pass over one word of any length: only the last columns that a piece can reach are kept, and rescaled."""
+        s = symbols([word])[0]
+        p, q = powers(len(s) + 1)
+        c = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(s * p[:len(s)])])
+        last = np.zeros((self.pieces.longest, self.p.shape[1]))  # newest first
+        last[0] = 1
+        log_scale = np.zeros(self.p.shape[1])
+        for a in range(1, len(s) + 1, chunk):
+            ends = np.arange(a, min(a + chunk, len(s) + 1))
+            weights = np.zeros((len(ends), *last.shape))
+            for size in range(1, len(last) + 1):
+                start = np.maximum(ends - size, 0)
+                piece = self.pieces.find(mix((c[ends] - c[start]) * q[start]))
+                use = (ends >= size) & ((piece >= 0) | (size == 1))  # one letter without a piece has a probability too
+                weights[use, size - 1] = self.p[piece[use]]
+            for i, weight in enumerate(weights):
+                total = (last * weight).sum(axis=0)
+                last[1:] = last[:-1]
+                last[0] = total
+                if i % 8 == 7:
+                    top = last.max(axis=0)
+                    last /= top
+                    log_scale += np.log(top)
+        return log_scale + np.log(last[0])
+
     def texts(self, words: list[list[str]]) -> list[np.ndarray]:
         """Summed scores of the words of each text."""
         get = self.place.get

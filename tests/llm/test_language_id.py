@@ -28,6 +28,22 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(scorer.word("q" * 5000)).all()
 
 
+def test_long_words_are_not_cut():
+    pieces = load_pieces(default_vocabulary())
+    p = np.random.default_rng(1).random((2, len(pieces.index) + 1)) / 50
+    scorer = Scorer(pieces, np.log(p))
+    words = ["donaudampfschifffahrtsgesellschaft", "the" * 40, "日本語" * 20, "q" * 23, "information" * 2 + "s", "information" * 2 + "es", "ation" * 1000]
+    for w, got in zip(words, scorer.of_words(words), strict=True):
+        marked = "▁" + w
+        for row, score in zip(p, got, strict=True):
+            alpha = [0.0]
+            for end in range(1, len(marked) + 1):
+                found = ((a, pieces.index.get(marked[a:end], -1 if a == end - 1 else None)) for a in range(max(0, end - pieces.longest), end))
+                logs = [alpha[a] + math.log(row[i]) for a, i in found if i is not None]
+                alpha.append(max(logs) + math.log(sum(math.exp(x - max(logs)) for x in logs)))
+            assert math.isclose(score, alpha[-1], rel_tol=1e-9), w
+
+
 def test_held_out_accuracy(llm):
     docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in language_predictions(docs).collect()}

@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import datetime as _dt
-import os
 import sys
 from decimal import Decimal
 
 import pytest
+from keystone_paths import ROOT
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SMALL = "/root/testdata/sf0.001"
-MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

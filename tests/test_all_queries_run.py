@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SMALL
+from keystone_paths import SMALL
 
 OWN_TESTS = {name for part in E._training_data() for name in part.queries()}
 NO_ORACLE = sorted(set(E.queries()) - set(E.oracle_sql()) - OWN_TESTS)

@@ -7,7 +7,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT, SMALL
+from keystone_paths import ROOT, SMALL
 
 
 def test_bench_prints_one_json_line():

@@ -8,7 +8,7 @@ import sys
 
 import pyarrow.parquet as pq
 
-from conftest import ROOT, SMALL
+from keystone_paths import ROOT, SMALL
 
 
 def test_cli_report(tmp_path):

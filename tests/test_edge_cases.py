@@ -10,7 +10,7 @@ from keystone.operators.equipment import equipment_utilization
 from keystone.operators.safety import safety_metrics
 from keystone.sources.star import load_star
 
-from conftest import SMALL
+from keystone_paths import SMALL
 
 
 @pytest.fixture(scope="module")

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import compare  # noqa: E402
 
-from conftest import SMALL  # noqa: E402
+from keystone_paths import SMALL  # noqa: E402
 
 ORACLES = sorted(E.oracle_sql())
 

@@ -12,7 +12,7 @@ from keystone.operators.safety import safety_metrics
 from keystone.sources.star import Star
 from keystone.sources.warehouse import load_warehouse, save_star
 
-from conftest import SMALL
+from keystone_paths import SMALL
 
 
 @pytest.fixture(scope="module")

@@ -28,16 +28,16 @@ def sum_of_squares_pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for k, size in enumerate(lengths.tolist()):
-        # change of the sum when gap g (size..capacity) turns into g - size
-        change = count[: capacity - size + 1] - count[size:]
-        change[1:] += 1
+        # change of the sum when gap g (size..capacity) turns into g - size: 2 (c[g - size] - c[g] + 1),
+        # less what doesn't count: the bin that is full, and the gap that a new bin never had
+        change = 2 * (count[: capacity - size + 1] - count[size:] + 1)
         open_ = count[size:] > 0
-        change[0] = -count[size] if open_[0] else 0  # a bin that is full isn't counted
+        change[0] = 1 - 2 * count[size]
         open_[-1] = True
         if size == capacity:
             gap = capacity
         else:
-            change[-1] = count[capacity - size] + 1 if capacity > size else 0  # a new bin takes no counted gap away
+            change[-1] = 2 * count[capacity - size] + 1
             gap = size + int(np.argmin(np.where(open_, change, np.iinfo(np.int64).max)))
         if gap == capacity:
             b, made = made, made + 1

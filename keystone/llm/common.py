@@ -51,6 +51,19 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def attach(rows: DataFrame, keys: DataFrame, on: list[str], total: int, most: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` to ``keys``, whose ``size`` says how many of the ``total`` rows each key has.
+
+    At most ``most`` keys can hold over total / most rows: these are broadcast, so that
+    their rows stay where they are. The rest is an ordinary join in which no key is hot.
+    ``on`` columns are not null.
+    """
+    hot = F.col("size") > total / most
+    crowded = F.broadcast(keys.where(hot))
+    return rows.join(crowded, on).unionByName(
+        rows.join(crowded.select(*on), on, "left_anti").join(keys.where(~hot), on))
+
+
 def key_as_text(documents: DataFrame) -> DataFrame:
     """(doc_id string, text): ids pass through pandas as text, where null would turn them into floats."""
     return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")

@@ -80,10 +80,55 @@ SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_acc
 FROM d LEFT JOIN sums USING (r) LEFT JOIN left_out USING (r)"""
 
 
+NEGATIVES = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.q) = len(b.q)),
+p AS (SELECT ar, anchor_id, br AS pr, id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id NULLS LAST, br) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.id NULLS LAST, s.br) AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+COPIES = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(COALESCE(text, '')) AS chars,
+  regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, COUNT(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept,
+  sha256(bare) AS text_sha256 FROM d WINDOW w AS (PARTITION BY bare ORDER BY chars DESC, doc_id NULLS LAST, r)"""
+
+
+def spelling_sql(divisor: int) -> str:
+    """The checksum by its definition, a letter's UTF-8 bytes at a time; near words share a word with one letter masked or left out."""
+    shifts = "list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, o: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return rf"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: {shifts}) AS crc),
+runs AS (SELECT COALESCE(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT id, run, COUNT(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), 128 + (unicode(c) & 63)] END))),
+  lambda c, b: xor(c >> 8, t.crc[xor(c & 255, b) + 1])), 4294967295) AS h FROM counted, t),
+words AS (SELECT CASE WHEN h % {divisor} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(SUM(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND SUM(n) >= 3),
+masked AS (SELECT word, n, word[:i - 1] || '*' || word[i + 1:] AS shape, word[:i - 1] || word[i + 1:] AS less FROM words, unnest(range(1, length(word) + 1)) u(i)),
+near AS (SELECT a.word, b.word AS other FROM masked a JOIN masked b ON a.shape = b.shape AND a.word <> b.word
+ UNION SELECT m.word, w.word FROM masked m JOIN words w ON w.word = m.less UNION SELECT w.word, m.word FROM masked m JOIN words w ON w.word = m.less),
+best AS (SELECT near.word, other, w.n AS other_n, COUNT(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN words w ON w.word = other
+  QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) = 1),
+formed AS (SELECT words.word, words.n, COALESCE(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * words.n THEN other END AS form,
+  CASE WHEN other_n >= 2 * words.n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS at FROM formed UNION ALL SELECT path.word, f.form FROM path JOIN formed f ON f.word = path.at WHERE f.form IS NOT NULL),
+roots AS (SELECT path.word, path.at AS root FROM path JOIN formed f ON f.word = path.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": VECTORS,
         "op3_secret_scan": secrets_sql(),
         "op5_ngram_jaccard_join": join_sql(3, 90),
         "op7_substring_dedup": windows_sql(35),
+        "op11_hard_negatives": NEGATIVES,
+        "op12_exact_dedup": COPIES,
+        "op13_spelling_variants": spelling_sql(97),
     }

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keystone.llm.ann import nearest_neighbours
 from keystone.llm.bpe import bpe_round_trip
 from keystone.llm.embedding_dedup import near_duplicate_vectors
+from keystone.llm.exact_dedup import exact_duplicates
+from keystone.llm.hard_negatives import hard_negatives
 from keystone.llm.jaccard_join import jaccard_components
 from keystone.llm.language_id import language_predictions
 from keystone.llm.oracles import oracle_sql
 from keystone.llm.packing import pack_documents
 from keystone.llm.secrets import find_secrets
+from keystone.llm.spelling import spelling_variants
 from keystone.llm.substring_dedup import passage_digest
 from keystone.llm.suffix_dedup import string_digest
 from keystone.llm.token_files import token_file_index
@@ -24,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def anchored(embeddings: DataFrame) -> DataFrame:
+    """Every 50th vector is an anchor; every 7th gets the next label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return embeddings.select("vec_id", "embedding", moved.alias("label"), (F.col("vec_id") % 50 == 0).alias("anchor"))
+
+
 def queries():
     docs = lambda spark, d: table(spark, d, "documents")
     return {
@@ -37,4 +47,7 @@ def queries():
         "op8_nearest_neighbours": lambda spark, d: nearest_neighbours(table(spark, d, "embeddings")),
         "op9_sequence_packing": lambda spark, d: pack_documents(docs(spark, d)),
         "op10_suffix_array_dedup": lambda spark, d: string_digest(docs(spark, d), length=200),
+        "op11_hard_negatives": lambda spark, d: hard_negatives(anchored(table(spark, d, "embeddings"))),
+        "op12_exact_dedup": lambda spark, d: exact_duplicates(docs(spark, d)),
+        "op13_spelling_variants": lambda spark, d: spelling_variants(docs(spark, d), divisor=97),
     }

@@ -2,8 +2,8 @@
 
 The words form two tries, over their letters in reading order and in reverse; a
 node is the hash of the letters before it. The trie is a distributed edge table:
-(node, stretch of letters, node reached), where stretches have 1, 2, 4, 8, ...
-letters, or none at a word's end. The frontier is a table of (word, position,
+(node, stretch of letters, node reached), where a stretch is the greatest power of
+two that the rest of a word holds, or none at its end. The frontier is a table of (word, position,
 node, edits) states that is joined with the edge table level by level.
 
 A frontier starts with the states in the second half of a word that have made no
@@ -28,7 +28,8 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystone.llm.common import discard, key_as_text, mix, powers, scratch_table
@@ -38,25 +39,24 @@ LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Words that a task counts before it hands partial counts on.
 COUNTED = 200_000
-#: Letters of words of one length that are hashed together.
+#: Letters of the words that are hashed together.
 BLOCK = 1 << 20
 _STEP, _END, _ANY, _NODE, _BACK = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F
 
 
-def noisy_words(text: str, doc_id: str, divisor: int) -> Counter:
-    """Words of a text with their counts; of runs whose checksum with the id is a multiple of ``divisor``, one letter goes."""
-    runs = Counter(LETTERS.findall(text.lower() if text.isascii() else text.translate(_LOWER)))
-    if not divisor:
-        return runs
-    out: Counter = Counter()
-    seed = zlib.crc32(f"{doc_id}:".encode())
-    for run, n in runs.items():
-        h = zlib.crc32(run.encode("utf-8"), seed)
-        if h % divisor == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1:]
-        out[run] += n
-    return out
+def add_words(held: Counter, text: str, doc_id: str, divisor: int) -> None:
+    """Count the words of a text; of runs whose checksum with the id is a multiple of ``divisor``, one letter goes."""
+    runs = LETTERS.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+    held.update(runs)
+    if divisor:
+        seed = zlib.crc32(f"{doc_id}:".encode())
+        times = runs if len(runs) < 10_000 else Counter(runs)
+        for run in set(runs):
+            h = zlib.crc32(run.encode("utf-8"), seed)
+            if not h % divisor:
+                n, at = times.count(run) if times is runs else times[run], h % len(run)
+                held[run] -= n
+                held[run[:at] + run[at + 1:]] += n
 
 
 def word_counts(documents: DataFrame, divisor: int = 0, least_letters: int = 5, least_count: int = 3) -> DataFrame:
@@ -66,14 +66,14 @@ def word_counts(documents: DataFrame, divisor: int = 0, least_letters: int = 5,
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 if isinstance(text, str):
-                    held.update(noisy_words(text, doc_id if isinstance(doc_id, str) else "", divisor))
+                    add_words(held, text, doc_id if isinstance(doc_id, str) else "", divisor)
                 if len(held) >= COUNTED:
                     yield from counted(held)
                     held = Counter()
         yield from counted(held)
 
     def counted(held):
-        keep = [(w, n) for w, n in held.items() if len(w) >= least_letters]
+        keep = [(w, n) for w, n in held.items() if n and len(w) >= least_letters]
         yield pd.DataFrame(keep, columns=["word", "n"])
 
     return key_as_text(documents).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")) \
@@ -111,76 +111,143 @@ def _sizes(rest: int) -> list[int]:
     return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1] or [0]
 
 
-def _lengthwise(batches):
-    """(word ids, letters as a matrix, backward) of words of equal length, BLOCK letters at a time."""
-    for pdf in batches:
-        words = pdf["word"].to_numpy()
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
+def _by_length(batches):
+    """(word ids, letters as a matrix, backward) of words of equal length, about BLOCK letters at a time."""
+    def blocks():
+        words = pd.Series(held, dtype=object).to_numpy()
+        sizes = np.array([len(w) for w in held], dtype=np.int64)
         for length in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == length)
-            for at in range(0, len(rows), step := max(1, BLOCK // length)):
-                part = rows[at:at + step]
-                letters = np.frombuffer("".join(words[part]).encode("utf-32-le"), dtype="<u4").reshape(len(part), length)
-                for backward in (False, True):
-                    yield pdf["wid"].to_numpy()[part], letters, backward
+            letters = np.frombuffer("".join(words[rows]).encode("utf-32-le"), dtype="<u4").reshape(len(rows), length)
+            for backward in (False, True):
+                yield np.array(wids, dtype=np.int64)[rows], letters, backward
+
+    wids, held, size = [], [], 0
+    for batch in batches:
+        for wid, word in zip(batch.column("wid").to_pylist(), batch.column("word").to_pylist(), strict=True):
+            wids.append(wid)
+            held.append(word)
+            size += len(word)
+            if size >= BLOCK:
+                yield from blocks()
+                wids, held, size = [], [], 0
+    yield from blocks()
+
+
+class _Rows:
+    """Columns of equal length, gathered piece by piece into record batches; ``rest`` is a matrix or absent."""
+
+    def __init__(self, names: list[str], lists: bool):
+        self.names, self.lists, self.parts, self.size = names, lists, [], 0
+
+    def add(self, *columns, rest: list = ()):
+        flat = np.stack(rest, axis=1) if rest else np.zeros((len(columns[0]), 0), dtype=np.int64)
+        self.parts.append((*columns, flat))
+        self.size += len(columns[0])
+        if self.size >= 100_000 or len(self.parts) >= 4096:
+            yield self.flushed()
+
+    def flushed(self) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate([p[i] for p in self.parts] or [np.zeros(0, np.int64)])) for i in range(len(self.names))]
+        names = list(self.names)
+        if self.lists:
+            counts = np.concatenate([np.full(len(p[0]), p[-1].shape[1]) for p in self.parts] or [np.zeros(0, np.int64)])
+            values = np.concatenate([p[-1].ravel() for p in self.parts] or [np.zeros(0, np.int64)])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values)))
+            names.append("rest")
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.int64)
+
+
+def _reached(t: _Tries, wid: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The node at a depth and -1, or 0 and the word that ends there."""
+    if at == t.length:
+        return np.zeros(len(wid), np.int64), wid
+    return _signed(t.node(at)), np.full(len(wid), -1)
+
+
+def _later(t: _Tries, at: int) -> list[np.ndarray]:
+    """The stretches of the rest from ``at`` on, without the first."""
+    sizes = _sizes(t.length - at)
+    starts = (at + np.cumsum([0, *sizes[:-1]])).tolist()
+    return [_signed(t.stretch(a, s)) for a, s in zip(starts[1:], sizes[1:], strict=True)]
+
+
+def _second_half(t: _Tries, backward: bool) -> range:
+    """Depths at which a word is edited in a trie; its first half is the reversed trie's second half."""
+    return range(t.length - t.length // 2 if backward else t.length // 2, t.length)
 
 
 def _edges(batches):
-    """(node, stretch, via, reached, ends): edges below half a word; ``via`` is the node after a letter of any kind."""
-    for wid, letters, backward in _lengthwise(batches):
-        t, length = _Tries(letters, backward), letters.shape[1]
-        for depth in range(length // 2, length + 1):
-            node = t.node(depth).view(np.int64)
-            for free in (False, True):
-                at = depth + free
-                if at > length:
-                    continue
-                via = t.node(at).view(np.int64) if free else None
-                rest = length - at
-                for size in [1 << b for b in range(rest.bit_length())] if rest else [0]:
-                    ends = at + size == length
-                    out = pd.DataFrame({
-                        "node": node, "stretch": t.stretch(at, size, free).view(np.int64), "via": pd.array(via if free else [pd.NA] * len(wid), "Int64"),
-                        "reached": pd.array([pd.NA] * len(wid) if ends else t.node(at + size).view(np.int64), "Int64"),
-                        "ends": pd.array(wid if ends else [pd.NA] * len(wid), "Int64")})
-                    yield out if ends else out.drop_duplicates()
-
-
-def _frontier(batches):
-    """(wid, node, stretch, own, rest): the states that make their edit next; ``own`` is the node that isn't an edit."""
-    for wid, letters, backward in _lengthwise(batches):
-        t, length = _Tries(letters, backward), letters.shape[1]
-        # the first half of a word is the reversed trie's second half
-        for at in range(length - length // 2 if backward else length // 2, length):
-            node, own = t.node(at).view(np.int64), t.node(at + 1).view(np.int64)
-            sizes = _sizes(length - at - 1)
-            starts = (at + 1 + np.cumsum([0, *sizes[:-1]])).tolist()
-            later = [t.stretch(a, s).view(np.int64) for a, s in zip(starts[1:], sizes[1:], strict=True)]
-            rest = list(np.stack(later, axis=1)) if later else [None] * len(wid)
-            for free in (False, True):
-                yield pd.DataFrame({"wid": wid, "node": node, "stretch": t.stretch(at + 1, sizes[0], free).view(np.int64),
-                                    "own": pd.array(own if free else [pd.NA] * len(wid), "Int64"), "rest": rest})
+    """Edges (node, stretch, reached, ends) that follow the letters: from each depth the first stretch of the rest."""
+    out = _Rows(["node", "stretch", "reached", "ends"], False)
+    for wid, letters, backward in _by_length(batches):
+        t = _Tries(letters, backward)
+        for depth in range(t.length // 2, t.length + 1):
+            size = _sizes(t.length - depth)[0]
+            yield from out.add(_signed(t.node(depth)), _signed(t.stretch(depth, size)), *_reached(t, wid, depth + size))
+    yield out.flushed()
+
+
+def _replaced(batches):
+    """(wid, node, stretch, via, reached, ends, rest): over any letter, to ``via``, and the first stretch after it.
+
+    A row is both a state that is about to replace that letter and the edge that
+    other words' states take.
+    """
+    out = _Rows(["wid", "node", "stretch", "via", "reached", "ends"], True)
+    for wid, letters, backward in _by_length(batches):
+        t = _Tries(letters, backward)
+        for depth in _second_half(t, backward):
+            size = _sizes(t.length - depth - 1)[0]
+            yield from out.add(wid, _signed(t.node(depth)), _signed(t.stretch(depth + 1, size, True)), _signed(t.node(depth + 1)),
+                               *_reached(t, wid, depth + 1 + size), rest=_later(t, depth + 1))
+    yield out.flushed()
+
+
+def _deleted(batches):
+    """(wid, node, stretch, rest): states that go on without a letter, the last one of a run of equal letters."""
+    out = _Rows(["wid", "node", "stretch"], True)
+    for wid, letters, backward in _by_length(batches):
+        t = _Tries(letters, backward)
+        read = letters[:, ::-1] if backward else letters
+        for depth in _second_half(t, backward):
+            rows = np.flatnonzero(read[:, depth] != read[:, depth + 1]) if depth + 1 < t.length else np.arange(len(wid))
+            size = _sizes(t.length - depth - 1)[0]
+            yield from out.add(wid[rows], _signed(t.node(depth))[rows], _signed(t.stretch(depth + 1, size))[rows],
+                               rest=[x[rows] for x in _later(t, depth + 1)])
+    yield out.flushed()
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """``words`` (wid long, word), distinct, to (a, b): ids of the words one edit apart, each pair once, a < b."""
-    edges = words.mapInPandas(_edges, "node long, stretch long, via long, reached long, ends long")
-    edges = scratch_table(edges.repartition("node", "stretch").distinct(), "spelling-edges")
-    states = words.mapInPandas(_frontier, "wid long, node long, stretch long, own long, rest array<long>")
-    found, tables, level = [], [edges], 0
+    key = ["node", "stretch"]
+    edges = words.mapInArrow(_edges, "node long, stretch long, reached long, ends long")
+    edges = scratch_table(edges.repartition(*key).distinct(), "spelling-edges")
+    # most prefixes and rests are those of one word: only where letters differ between them is there a state to follow
+    group = Window.partitionBy(*key)
+    replaced = words.mapInArrow(_replaced, "wid long, node long, stretch long, via long, reached long, ends long, rest array<long>") \
+        .withColumn("differ", F.min("via").over(group) < F.max("via").over(group)).where("differ").drop("differ")
+    replaced = scratch_table(replaced, "spelling-replaced")
+    others = replaced.select(*key, F.col("via").alias("other"), F.col("reached").alias("to"), F.col("ends").alias("word")).distinct()
+    edited = replaced.select("wid", *key, "via", "rest").join(others.hint("merge"), key).where("via <> other").select(
+        "wid", F.col("to").alias("reached"), F.col("word").alias("ends"), "rest")
+    deleted = words.mapInArrow(_deleted, "wid long, node long, stretch long, rest array<long>")
+    level = scratch_table(edited.unionByName(deleted.join(edges.hint("merge"), key).select("wid", "reached", "ends", "rest")), "spelling-level")
+    found, tables = [], [edges, replaced, level]
     while True:
-        joined = states.join(edges.hint("merge"), ["node", "stretch"]).where("own is null or own <> via")
-        reached = scratch_table(joined.select("wid", "reached", "ends", "rest"), f"spelling-level-{level}")
-        tables.append(reached)
-        found.append(reached.where("rest is null and ends is not null and wid <> ends")
+        found.append(level.where("size(rest) = 0 and ends >= 0 and wid <> ends")
                      .select(F.least("wid", "ends").alias("a"), F.greatest("wid", "ends").alias("b")))
-        going = reached.where("rest is not null and reached is not null")
+        going = level.where("size(rest) > 0 and ends < 0")
         if going.isEmpty():
             break
-        left = F.expr("slice(rest, 2, size(rest))")
-        states = going.select("wid", F.col("reached").alias("node"), F.col("rest")[0].alias("stretch"), F.lit(None).cast("long").alias("own"),
-                              F.when(F.size(left) > 0, left).alias("rest"))
-        level += 1
+        states = going.select("wid", F.col("reached").alias("node"), F.col("rest")[0].alias("stretch"), F.expr("slice(rest, 2, size(rest))").alias("rest"))
+        level = scratch_table(states.join(edges.hint("merge"), key).select("wid", "reached", "ends", "rest"), "spelling-level")
+        tables.append(level)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionAll(more)
@@ -221,8 +288,8 @@ def spelling_variants(documents: DataFrame, divisor: int = 0, least_letters: int
     """
     if factor < 2:
         raise ValueError("factor must be 2 or more")
-    words = scratch_table(word_counts(documents, divisor, least_letters, least_count), "spelling-words")
-    words = scratch_table(words.withColumn("wid", F.monotonically_increasing_id()), "spelling-ids")
+    words = scratch_table(word_counts(documents, divisor, least_letters, least_count)
+                          .withColumn("wid", F.monotonically_increasing_id()), "spelling-words")
     pairs = neighbours(words.select("wid", "word"))
     near = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = words.select(F.col("wid").alias("b"), F.col("n").alias("n_b"), F.col("word").alias("word_b"))

@@ -60,17 +60,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a6_budget_variance": _star(budget_variance),
     }
     a1 = lambda s: project_performance(s, as_of=A1_AS_OF)                        # noqa: E731
-    a2 = lambda s: equipment_utilization(s, start=A2_WINDOW[0], end=A2_WINDOW[1])
+    a2 = lambda s: equipment_utilization(s, start=A2_WINDOW[0], end=A2_WINDOW[1], ranks=False)
+    a3 = lambda s: subcontractor_scorecard(s, ranks=False)                       # noqa: E731
+    a6 = lambda s: budget_variance(s, ranks=False)                               # noqa: E731
     a5 = lambda s: safety_metrics(s, start=A5_WINDOW[0], end=A5_WINDOW[1])       # noqa: E731
     over = {
-        "d4_variance_by_type": (budget_variance, D.variance_by_type),
+        "d4_variance_by_type": (a6, D.variance_by_type),
         "d5_top_overruns": (budget_variance, D.top_overruns),
         "d6_cost_category_long": (a1, D.cost_category_long),
         "d8_fleet_kpis": (a2, D.fleet_kpis),
         "d9_utilization_by_type": (a2, D.utilization_by_type),
         "d10_utilization_tiers": (a2, D.utilization_tiers),
         "d11_scorecard_kpis": (subcontractor_scorecard, D.scorecard_kpis),
-        "d12_cpi_histogram": (subcontractor_scorecard, D.cpi_histogram),
+        "d12_cpi_histogram": (a3, D.cpi_histogram),
         "d13_performance_tiers": (subcontractor_scorecard, D.performance_tiers),
         "d14_best_per_trade": (subcontractor_scorecard, D.best_per_trade),
         "d15_labor_kpis": (labor_productivity, D.labor_kpis),
@@ -79,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d17_incidents_by_type": (a5, D.incidents_by_type),
         "d18_severity_type_matrix": (a5, D.severity_type_matrix),
         "d19_cpi_bands": (a1, D.performance_bands),
-        "d19_variance_bands": (budget_variance, D.variance_bands),
+        "d19_variance_bands": (a6, D.variance_bands),
     }
     q.update({
         "d1_portfolio_kpis": _star(D.portfolio_kpis),
@@ -87,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d3_project_list": _star(D.project_list),
         "d7_project_timeline": _star(D.project_timeline, as_of=A1_AS_OF),
         "g15_scorecard_trades": lambda spark, d: D.distinct_values(
-            subcontractor_scorecard(load_star(spark, d)), "trade"),
+            a3(load_star(spark, d)), "trade"),
     })
     q.update({
         "m2_cost_overrun_dataset": _star(M.cost_overrun_dataset),

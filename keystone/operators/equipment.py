@@ -29,11 +29,12 @@ def usage_in_window(usage: DataFrame, start, end) -> DataFrame:
 
 
 def equipment_utilization(star: dict[str, DataFrame], start: _dt.date,
-                          end: _dt.date) -> DataFrame:
+                          end: _dt.date, ranks: bool = True) -> DataFrame:
     """A2: every non-retired machine (machines without usage stay, as Idle).
 
     available = working days × 8 h; utilisation tier and ranks use the
     unrounded utilisation; the fleet percentile is 100·rank/count (ascending).
+    Without ``ranks``, neither rank, percentile nor the order.
     """
     if end < start:
         raise ValueError("end date is before start date")
@@ -46,23 +47,26 @@ def equipment_utilization(star: dict[str, DataFrame], start: _dt.date,
         F.coalesce("u_hours", F.lit(0.0)).alias("h"),
         F.coalesce("u_fuel", F.lit(0.0)).alias("fuel"),
         F.coalesce("u_maint", F.lit(0.0)).alias("maint"),
-        F.coalesce("u_projects", F.lit(0)).cast("long").alias("projects_served"),
-        (wd * 8).cast("long").alias("available_hours"))
-    base = base.select(
+        F.coalesce("u_projects", F.lit(0)).cast("long").alias("projects_served"))
+    # All machines have the same available hours, so the order of hours is that of utilisation.
+    out = base if not ranks else with_orderings(
+        base, Ordering("h", parts=["equipment_type"], descending=True, rank="rank_in_type"), Ordering("h", rank="_fleet_rank"))
+    out = out.withColumn("available_hours", (wd * 8).cast("long"))         # attached once
+    out = out.select(
         "*",
         (F.col("h") * F.col("hourly_rate")).alias("revenue"),
-        safe_div(F.col("h") * 100.0, "available_hours").alias("util"),
-        safe_div("h", "available_hours").alias("util_ratio"))
-    out = with_orderings(base,
-                         Ordering("util", parts=["equipment_type"], descending=True,
-                                  rank="rank_in_type"),
-                         Ordering("util_ratio", rank="_fleet_rank"))
-    # COUNT(*) OVER (): one row per non-retired machine (left join keeps them all).
-    out = out.withColumn("_n_fleet", e.agg(F.count(F.lit(1))).scalar())     # attached once
+        safe_div(F.col("h") * 100.0, "available_hours").alias("util"))
+    percentile = []
+    if ranks:
+        # COUNT(*) OVER (): one row per non-retired machine (left join keeps them all).
+        out = out.withColumn("_n_fleet", e.agg(F.count(F.lit(1))).scalar())
+        ranked = lambda c: F.when(F.col("available_hours") > 0, F.col(c)).otherwise(F.lit(1)).cast("long")  # noqa: E731  no hours: all tie
+        percentile = [ranked("rank_in_type").alias("rank_in_type"),
+                      rnd(ranked("_fleet_rank") * 100.0 / F.col("_n_fleet"), 1).alias("fleet_utilization_percentile")]
     util = F.col("util")
     tier = label_case(None, [(util >= 75, "High (≥75%)"), (util >= 50, "Moderate (50–75%)"),
                              (F.col("h") > 0, "Low (<50%)")], "Idle")
-    return out.select(
+    out = out.select(
         "equipment_id", "equipment_name", "equipment_type", "status",
         rnd("hourly_rate", 2).alias("hourly_rate"), "purchase_cost", "purchase_date",
         rnd("h", 1).alias("hours_used"), "available_hours",
@@ -72,7 +76,7 @@ def equipment_utilization(star: dict[str, DataFrame], start: _dt.date,
         rnd("fuel", 2).alias("fuel_cost"),
         rnd("maint", 2).alias("maintenance_cost"),
         rnd(F.col("revenue") - F.col("fuel") - F.col("maint"), 2).alias("net_revenue"),
-        "projects_served", "rank_in_type",
-        rnd(F.col("_fleet_rank") * 100.0 / F.col("_n_fleet"), 1).alias("fleet_utilization_percentile"),
+        "projects_served", *percentile,
         flag(util < 50).cast("long").alias("is_underutilized"),
-    ).orderBy(F.col("utilization_pct").desc_nulls_last(), "equipment_id")
+    )
+    return out.orderBy(F.col("utilization_pct").desc_nulls_last(), "equipment_id") if ranks else out

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import dbl, dec_sum, label_case, rnd, safe_div, yes_no
-from keystone.operators.ranking import Ordering, with_first_flag, with_orderings
-from keystone.session import materialize
+from keystone.operators.ranking import Ordering, with_orderings
 
 
 def subcontractor_metrics(costs: DataFrame) -> DataFrame:
@@ -26,10 +25,11 @@ def subcontractor_metrics(costs: DataFrame) -> DataFrame:
         rnd(safe_div(dbl(F.col("b") - F.col("a")) * 100.0, "b"), 2).alias("budget_adherence_pct"))
 
 
-def subcontractor_scorecard(star: dict[str, DataFrame], top_n: int = 10) -> DataFrame:
+def subcontractor_scorecard(star: dict[str, DataFrame], top_n: int = 10, ranks: bool = True) -> DataFrame:
     """A3: composite = 50·CPI + 30·rating/5 + 20·min(projects, 10)/10 (2 dp), overall
     and in-trade ranks, tier and the best subcontractor per trade (id breaks ties).
-    Subcontractors without subcontract costs are not listed."""
+    Subcontractors without subcontract costs are not listed. Without ``ranks``, the
+    scores alone: neither ranks, tier, best per trade nor the order."""
     sm = subcontractor_metrics(star["fact_project_costs"])
     s = star["dim_subcontractors"]
     projects = F.least(F.col("projects_count"), F.lit(10)).cast("double")
@@ -41,12 +41,11 @@ def subcontractor_scorecard(star: dict[str, DataFrame], top_n: int = 10) -> Data
         F.col("years_in_business").cast("long").alias("years_in_business"), "projects_count",
         "total_actual", "total_budgeted", "cpi", "budget_adherence_pct",
         rnd(composite, 2).alias("composite_score"))
-    orderings = (Ordering("composite_score", descending=True, rank="overall_rank"),
-                 Ordering("composite_score", parts=["trade"], descending=True,
-                          rank="rank_in_trade"))
-    scored = materialize(scored, "a3_scored")             # shared by the ranks and the best per trade
-    out = with_first_flag(with_orderings(scored, *orderings), "composite_score", "subcontractor_id", "_top",
-                          parts=["trade"], descending=True)
+    if not ranks:
+        return scored
+    out = with_orderings(scored, Ordering("composite_score", descending=True, rank="overall_rank"),
+                         Ordering("composite_score", parts=["trade"], descending=True, tie="subcontractor_id",
+                                  rank="rank_in_trade", first="_top"))
     cpi, rating = F.col("cpi"), F.col("client_rating_raw")
     tier = label_case(None, [
         (F.col("overall_rank") <= top_n, "Top Performer"),

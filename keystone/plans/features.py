@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import days_between, dbl, dec_sum, ratio_or, rnd, safe_div
-from keystone.session import materialize
 
 AS_OF = _dt.date(2026, 2, 17)
 EARLY_PHASE_SHARE = 0.25
@@ -73,19 +72,38 @@ def cost_overrun_dataset(star: dict[str, DataFrame]) -> DataFrame:
         F.when(var > 10.0, 1).otherwise(0).cast("long").alias("will_overrun"))
 
 
-def project_scoring_features(star: dict[str, DataFrame], ids: DataFrame | None = None) -> DataFrame:
-    """M13 features for any project (optionally only ``ids``: a frame with ``id``).
+#: Ids that are sent to all executors to filter a fact with; larger sets are joined.
+BROADCAST_IDS = 100_000
+
+
+def only_ids(df: DataFrame, key: str, ids: DataFrame | list[int] | None) -> DataFrame:
+    """F8: the rows whose ``key`` is among ``ids``, before anything is summed.
+
+    A list becomes a filter that reaches the scan. A frame (column ``id``) is
+    counted up to a bound first: within it, the fact is filtered where it is read, by
+    a broadcast semi join; beyond it, by a shuffled one.
+    """
+    if ids is None:
+        return df
+    if not isinstance(ids, DataFrame):
+        return df.where(F.col(key).isin(list(ids)))
+    wanted = ids.select(F.col("id").alias("_id")).distinct()
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return df.join(wanted, df[key] == wanted["_id"], "left_semi")
+
+
+def project_scoring_features(star: dict[str, DataFrame], ids: DataFrame | list[int] | None = None) -> DataFrame:
+    """M13 features for any project (optionally only ``ids``: a list, or a frame with ``id``).
 
     A missing planned end counts as start + 365 days; no costs or no actual
     start gives early CPI 1.0. Projects without a planned start cannot be
     scored and are left out (the single-entity form raises for them).
     """
-    p = star["dim_projects"].where(F.col("planned_start_date").isNotNull())
-    if ids is not None:
-        p = p.join(ids.select("id").distinct(), "id", "left_semi")     # F8
+    p = only_ids(star["dim_projects"], "id", ids).where(F.col("planned_start_date").isNotNull())
     end = F.coalesce(F.col("planned_end_date"), F.date_add("planned_start_date", 365))
     planned = days_between(end, "planned_start_date")
-    sums = _cost_sums(star["fact_project_costs"], p.where(F.col("actual_start_date").isNotNull()),
+    sums = _cost_sums(only_ids(star["fact_project_costs"], "project_id", ids), p.where(F.col("actual_start_date").isNotNull()),
                       _early_cutoff(F.col("actual_start_date"), planned))
     out = p.join(sums, p.id == sums.project_id, "left")
     return out.select(
@@ -100,21 +118,31 @@ def project_scoring_features(star: dict[str, DataFrame], ids: DataFrame | None =
 # ---------------------------------------------------------------------------
 # Maintenance features
 # ---------------------------------------------------------------------------
-_EPOCH_DATE = _dt.date(1970, 1, 1)
+#: Days before and after a snapshot at which its windows begin or end.
+RECENT_DAYS, OLDER_DAYS = 90, 180
 
 
-def daily_usage(usage: DataFrame) -> DataFrame:
-    """Usage per (machine, day): hours, fuel, positive maintenance sum / count, rows.
+def _piece(day: Column, offsets: list[int]) -> Column:
+    """First day of the stretch of days that a date belongs to: no window that is some
+    ``offsets`` away from the start of any month begins or ends inside a stretch.
 
-    Bounds every machine's group to one row per calendar day before any window,
-    so a machine holding a large share of all usage rows cannot overload a task.
+    For each offset, the latest month start that lies no later than the date when
+    shifted by it; so a month falls into about as many stretches as there are offsets.
     """
+    return F.greatest(*[F.date_add(F.trunc(F.date_sub(day, o), "month"), o) for o in offsets])
+
+
+def usage_by_stretch(usage: DataFrame, start: Column) -> DataFrame:
+    """Usage per (machine, stretch of days): hours, fuel, positive maintenance sum / count
+    and its last day, rows. A machine that holds a large share of all usage has a
+    few rows for each month before any window sees it."""
     m = F.coalesce(F.col("maintenance_cost"), F.lit(0))
-    return usage.groupBy("equipment_id", "date_id").agg(
+    return usage.groupBy("equipment_id", start.alias("from_day")).agg(
         dec_sum("hours_used", 4).alias("h"),
         dec_sum(F.coalesce(F.col("fuel_cost"), F.lit(0)), 4).alias("f"),
         dec_sum(F.when(m > 0, m).otherwise(F.lit(0)), 4).alias("ms"),
         F.count(F.when(m > 0, 1)).alias("mn"),
+        F.max(F.when(m > 0, F.col("date_id"))).alias("last_maint"),
         F.count(F.lit(1)).alias("rows"))
 
 
@@ -149,71 +177,58 @@ def maintenance_snapshots(star: dict[str, DataFrame], min_rows: int = 5,
     the target "maintenance in the next 30 days".
 
     Machines need a purchase date and ≥ ``min_rows`` usage rows; snapshots are
-    the month starts in [first use + 2 months, last use − 30 days]. Snapshot
-    rows (zero measures) are unioned with daily usage and every feature is a
-    range window on the integer day: history ``[-inf, -1]``, last 90 days
-    ``[-90, -1]``, prior 90 ``[-180, -91]``, target ``[0, 29]``.
+    the month starts in [first use + 2 months, last use − 30 days]. All windows of
+    a snapshot (history, last 90 days, the 90 before, next 30) begin or end a fixed
+    number of days from a month start, so usage is first summed to the stretches of
+    days between such borders. One running sum over a machine's stretches is read
+    at the four borders of each snapshot; the windows are differences of those.
     """
-    # The (machine, day) grain feeds three branches (machine stats, spine,
-    # events); materialize it once so the usage fact is scanned once.
-    daily = materialize(daily_usage(star["fact_equipment_usage"]), "m3-daily")
-    stats = daily.groupBy("equipment_id").agg(
-        F.sum("rows").alias("n"), F.min("date_id").alias("first_use"),
+    usage = star["fact_equipment_usage"]
+    stats = usage.groupBy("equipment_id").agg(                     # two columns of the fact, summed before the shuffle
+        F.count(F.lit(1)).alias("n"), F.min("date_id").alias("first_use"),
         F.max("date_id").alias("last_use")).where(F.col("n") >= min_rows)
     e = star["dim_equipment"].where(F.col("purchase_date").isNotNull()) \
         .select(F.col("id").alias("eid"), "equipment_type", "purchase_date")
-    eq = stats.join(e, stats.equipment_id == e.eid)
     start = F.add_months("first_use", lead_months)
-    first_snap = F.when(F.dayofmonth(start) == 1, start).otherwise(
-        F.add_months(F.trunc(start, "month"), 1))
+    first_snap = F.when(F.dayofmonth(start) == 1, start).otherwise(F.add_months(F.trunc(start, "month"), 1))
     last_snap = F.date_sub("last_use", horizon_days)
-    spine = (eq.select("equipment_id", "equipment_type", "purchase_date",
-                       first_snap.alias("s0"), last_snap.alias("s1"))
+    spine = (stats.join(e, stats.equipment_id == e.eid)
+             .select("equipment_id", "equipment_type", "purchase_date", first_snap.alias("s0"), last_snap.alias("s1"))
              .where(F.col("s0") <= F.col("s1"))
              .select("equipment_id", "equipment_type", "purchase_date",
                      F.explode(F.sequence("s0", "s1", F.expr("INTERVAL 1 MONTH"))).alias("snap")))
-
-    ev = daily.join(eq.select("equipment_id"), "equipment_id", "left_semi").select(
-        "equipment_id", F.datediff("date_id", F.lit(_EPOCH_DATE)).alias("day"), "h", "f", "ms", "mn", "rows",
-        F.lit(False).alias("is_snap"), F.lit(None).cast("string").alias("equipment_type"),
-        F.lit(None).cast("date").alias("purchase_date"))
-    sn = spine.select(
-        "equipment_id", F.datediff("snap", F.lit(_EPOCH_DATE)).alias("day"),
-        *[F.lit(0.0).alias(c) for c in ("h", "f", "ms")],
-        *[F.lit(0).cast("long").alias(c) for c in ("mn", "rows")],
-        F.lit(True).alias("is_snap"), "equipment_type", "purchase_date")
-    u = ev.unionByName(sn)
-
-    w = Window.partitionBy("equipment_id").orderBy("day")
-    hist = w.rangeBetween(Window.unboundedPreceding, -1)
-    last_maint = F.max(F.when(F.col("mn") > 0, F.col("day"))).over(hist)
-    f = u.select(
-        "equipment_id", "day", "is_snap", "equipment_type", "purchase_date",
-        F.sum("rows").over(hist).alias("hist_rows"),
-        F.sum("h").over(hist).alias("hours"),
-        F.sum("f").over(hist).alias("fuel"),
-        F.sum("f").over(w.rangeBetween(-90, -1)).alias("recent"),
-        F.sum("f").over(w.rangeBetween(-180, -91)).alias("older"),
-        F.sum("mn").over(hist).alias("m_count"),
-        F.sum("ms").over(hist).alias("m_sum"),
-        last_maint.alias("last_maint"),
-        F.max("mn").over(w.rangeBetween(0, horizon_days - 1)).alias("future_events"),
-    ).where(F.col("is_snap") & (F.coalesce(F.col("hist_rows"), F.lit(0)) > 0))
-
-    snap = F.date_add(F.lit(_EPOCH_DATE), F.col("day"))
+    borders = {"now": 0, "recent": -RECENT_DAYS, "older": -OLDER_DAYS, "after": horizon_days}
+    marks = spine.withColumn("mark", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("at"), F.date_add("snap", o).alias("from_day")) for k, o in borders.items()])))
+    sums = usage_by_stretch(usage, _piece(F.col("date_id"), sorted(borders.values())))
+    u = sums.unionByName(marks.select("equipment_id", "equipment_type", "purchase_date", "snap", "mark.*"), allowMissingColumns=True)
+
+    day = F.unix_date("from_day")
+    before = Window.partitionBy("equipment_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    measures = {"h": F.sum, "f": F.sum, "ms": F.sum, "mn": F.sum, "rows": F.sum, "last_maint": F.max}
+    run = u.withColumn("day", day).select("equipment_id", "equipment_type", "purchase_date", "snap", "at",
+                                          *[fn(c).over(before).alias(c) for c, fn in measures.items()]).where("at IS NOT NULL")
+    zero = F.lit(0)
+    read = lambda c, at: F.max(F.when(F.col("at") == at, F.col(c)))                  # noqa: E731  one row for each border
+    total = lambda c, at: F.coalesce(read(c, at), zero)                              # noqa: E731
+    f = run.groupBy("equipment_id", "snap", "equipment_type", "purchase_date").agg(
+        *[read(c, "now").alias(c) for c in measures],
+        (total("f", "now") - total("f", "recent")).alias("recent"),
+        (total("f", "recent") - total("f", "older")).alias("older"),
+        (total("mn", "after") - total("mn", "now")).alias("future_events")).where("rows > 0")
+
+    snap = F.col("snap")
     age = F.greatest(F.datediff(snap, "purchase_date"), F.lit(1))
     return f.select(
         "equipment_id", snap.alias("snapshot_date"), "equipment_type",
-        *_maintenance_features(age, F.col("hours"), F.col("fuel"),
-                               F.coalesce("recent", F.lit(0.0)), F.coalesce("older", F.lit(0.0)),
-                               F.col("m_count"), F.col("m_sum"),
-                               F.col("day") - F.col("last_maint")),
+        *_maintenance_features(age, F.col("h"), F.col("f"), F.col("recent"), F.col("older"),
+                               F.col("mn"), F.col("ms"), F.datediff(snap, "last_maint")),
         F.when(F.col("future_events") > 0, 1).otherwise(0).cast("long")
         .alias("needs_maintenance_soon"))
 
 
 def maintenance_scoring_features(star: dict[str, DataFrame], as_of: _dt.date = AS_OF,
-                                 ids: DataFrame | None = None) -> DataFrame:
+                                 ids: DataFrame | list[int] | None = None) -> DataFrame:
     """M4: features of every machine as of ``as_of`` from usage dated before it.
 
     One conditional aggregate per machine (partial aggregation absorbs hot
@@ -221,17 +236,17 @@ def maintenance_scoring_features(star: dict[str, DataFrame], as_of: _dt.date = A
     (the scorer then uses type code 0 for them).
     """
     asof = F.lit(as_of)
-    u = daily_usage(star["fact_equipment_usage"].where(F.col("date_id") < asof))
+    usage = only_ids(star["fact_equipment_usage"], "equipment_id", ids).where(F.col("date_id") < asof)
+    m = F.coalesce(F.col("maintenance_cost"), F.lit(0))
+    fuel = F.coalesce(F.col("fuel_cost"), F.lit(0))
     d = F.datediff(asof, "date_id")                      # days before as_of (≥ 1)
-    agg = u.groupBy("equipment_id").agg(
-        F.sum("h").alias("hours"), F.sum("f").alias("fuel"),
-        F.sum(F.when(d <= 90, F.col("f"))).alias("recent"),
-        F.sum(F.when((d > 90) & (d <= 180), F.col("f"))).alias("older"),
-        F.sum("mn").alias("m_count"), F.sum("ms").alias("m_sum"),
-        F.min(F.when(F.col("mn") > 0, d)).alias("since_last"))
-    e = star["dim_equipment"]
-    if ids is not None:
-        e = e.join(ids.select("id").distinct(), "id", "left_semi")
+    agg = usage.groupBy("equipment_id").agg(             # one sum per machine, made before the shuffle
+        dec_sum("hours_used", 4).alias("hours"), dec_sum(fuel, 4).alias("fuel"),
+        dec_sum(F.when(d <= RECENT_DAYS, fuel).otherwise(F.lit(0)), 4).alias("recent"),
+        dec_sum(F.when((d > RECENT_DAYS) & (d <= OLDER_DAYS), fuel).otherwise(F.lit(0)), 4).alias("older"),
+        F.count(F.when(m > 0, 1)).alias("m_count"), dec_sum(F.when(m > 0, m).otherwise(F.lit(0)), 4).alias("m_sum"),
+        F.min(F.when(m > 0, d)).alias("since_last"))
+    e = only_ids(star["dim_equipment"], "id", ids)
     j = e.join(agg, e.id == agg.equipment_id, "left")
     # NULL purchase dates stay NULL up to the fill of missing features (greatest() would make them 1).
     age = F.when(F.col("purchase_date").isNotNull(), F.greatest(F.datediff(asof, "purchase_date"), F.lit(1)))

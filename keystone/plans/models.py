@@ -223,7 +223,7 @@ def load_artifact(spark: SparkSession, path: str) -> Artifact:
 # ---------------------------------------------------------------------------
 # Scoring (M13-M18)
 # ---------------------------------------------------------------------------
-def score_projects(star: dict[str, DataFrame], a: Artifact, ids: DataFrame | None = None) -> DataFrame:
+def score_projects(star: dict[str, DataFrame], a: Artifact, ids: DataFrame | list[int] | None = None) -> DataFrame:
     """M13 for a set of projects (all when ``ids`` is None)."""
     f = FE.project_scoring_features(star, ids)
     f = encode(f, "project_type", a.labels, "project_type_enc")
@@ -241,7 +241,7 @@ def score_projects(star: dict[str, DataFrame], a: Artifact, ids: DataFrame | Non
 
 
 def score_equipment(star: dict[str, DataFrame], a: Artifact, as_of: _dt.date = FE.AS_OF,
-                    ids: DataFrame | None = None) -> DataFrame:
+                    ids: DataFrame | list[int] | None = None) -> DataFrame:
     """M14 for a set of machines; machines without usage get type code 0."""
     f = FE.maintenance_scoring_features(star, as_of, ids)
     f = encode(f, "equipment_type", a.labels, "equipment_type_enc").withColumn(
@@ -281,8 +281,7 @@ def portfolio_risk(star: dict[str, DataFrame], a: Artifact) -> DataFrame:
     p = star["dim_projects"].where((F.col("status") == "ACTIVE")
                                    & F.col("actual_start_date").isNotNull())
     costed = star["fact_project_costs"].select("project_id").distinct()
-    ids = p.join(costed, p.id == F.col("project_id"), "left_semi").select("id")
-    s = score_projects(star, a, ids)
+    s = score_projects(star, a, p.select("id")).join(costed, "project_id", "left_semi")
     return s.select("project_id", "project_name", title_case("project_type").alias("type"),
                     "contract_value", "overrun_probability", "prediction",
                     project_risk_band("overrun_probability").alias("risk_level"),
@@ -334,11 +333,10 @@ def predict_machine(star: dict[str, DataFrame], a: Artifact, equipment_id: int,
     return score_equipment(star, a, as_of, _known(star["dim_equipment"], equipment_id, "machine"))
 
 
-def _known(dim: DataFrame, key: int, what: str) -> DataFrame:
-    ids = dim.where(F.col("id") == key).select("id")
-    if ids.isEmpty():
+def _known(dim: DataFrame, key: int, what: str) -> list[int]:
+    if dim.where(F.col("id") == key).isEmpty():
         raise ValueError(f"there is no {what} {key}")
-    return ids
+    return [key]
 
 
 def high_risk(risk: DataFrame, band: str, level: str) -> DataFrame:

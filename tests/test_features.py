@@ -52,3 +52,27 @@ def test_one_project_report(site_star):
     assert (r.planned_duration_days, r.elapsed_days, r.total_actual, r.total_budgeted) == (300, 301, 291000.0, 240000.0)
     assert (r.category_cpi, r.budget_status, r.pct_of_total_spend) == (0.825, "Over Budget", 100.0)
     assert project_performance(site_star, project_id=4, as_of=_dt.date(2024, 1, 1)).count() == 0
+
+
+def test_ids_reach_the_fact_before_it_is_summed(spark, site_star, tmp_path):
+    """F8: a list becomes a pushed filter, a small frame a broadcast semi join below the aggregate."""
+    from keystone.plans import features as M
+    from keystone.sources import warehouse as W
+
+    root = str(tmp_path / "wh")
+    W.init_warehouse(spark, root)
+    for t, df in site_star.items():
+        if t != "dim_dates":
+            W.append(df, root, t)
+    star = W.load_warehouse(spark, root)
+    whole = {r.equipment_id: r for r in M.maintenance_scoring_features(star).collect()}
+    costs = {r.project_id: r for r in M.project_scoring_features(star).collect()}
+    for ids in ([2], spark.createDataFrame([(2,), (2,)], "id long")):
+        machine, project = M.maintenance_scoring_features(star, ids=ids), M.project_scoring_features(star, ids=ids)
+        assert machine.collect() == [whole[2]] and project.collect() == [costs[2]]
+        for df, column in ((machine, "hours_used"), (project, "budgeted_amount")):
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            scan = next(line for line in plan.splitlines() if "FileScan" in line and column in line)
+            assert "EqualTo(" in scan if isinstance(ids, list) else "BroadcastHashJoin" in plan and "LeftSemi" in plan, plan
+    none = M.only_ids(star["dim_projects"], "id", [])
+    assert none.count() == 0 and M.only_ids(star["dim_projects"], "id", None).count() == len(costs)

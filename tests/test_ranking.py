@@ -59,3 +59,31 @@ def test_rounding_beyond_the_digits_of_a_double(spark):
     r = spark.range(1).select(rnd(F.lit(1e17), 2).alias("a"), rnd(F.lit(-2e15), 4).alias("b"), rnd(F.lit(2.345), 2).alias("c"),
                               rnd(F.lit(-0.5), 0).alias("d"), rnd(F.lit(None).cast("double"), 2).alias("e")).first()
     assert tuple(r) == (1e17, -2e15, 2.35, -1.0, None)
+
+
+def test_ranked_reports_run_no_job_while_they_are_built(spark):
+    """And read the facts once: the entity frame is one shared exchange."""
+    import datetime as dt
+
+    from keystone_paths import SMALL
+
+    from keystone.operators.budget import budget_variance
+    from keystone.operators.equipment import equipment_utilization
+    from keystone.operators.subcontractors import subcontractor_scorecard
+    from keystone.sources.star import load_star
+
+    star = load_star(spark, SMALL)
+    context = spark.sparkContext
+    context.setJobGroup("ranked-reports", "none may run")
+    try:
+        reports = [budget_variance(star), subcontractor_scorecard(star),
+                   equipment_utilization(star, dt.date(1998, 1, 5), dt.date(1998, 1, 9))]
+        assert not context.statusTracker().getJobIdsForGroup("ranked-reports")
+    finally:
+        context.setJobGroup("after", "")
+    for report in reports:
+        report.collect()
+        plan = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in plan
+    no_ranks = budget_variance(star, ranks=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in no_ranks and "percentile" not in no_ranks

@@ -12,6 +12,7 @@ as-of dates) are the ones suggested in FIXTURES.md §2 for the test data.
 from __future__ import annotations
 
 import datetime as _dt
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r5_fuel_trend_by_month": _star(R.fuel_trend_by_month),
     })
     q.update(one_of_queries())
+    q.update(warehouse_queries())
     for k, (rep, fn) in over.items():
         q[k] = (lambda rep, fn: lambda spark, d: fn(rep(load_star(spark, d))))(rep, fn)
     for part in _training_data():
@@ -143,16 +145,67 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _training_data() -> list:
-    """Modules of the optional training-data part: its operators and its pipeline."""
-    try:
-        import corpus_pipeline
+    """Modules of the optional training-data part: its operators and its pipeline.
 
-        from keystone.llm import queries as operators
-    except ImportError:
+    Only their absence leaves them out; an error inside them is an error here."""
+    if any(importlib.util.find_spec(name) is None for name in ("corpus_pipeline", "keystone.llm")):
         return []
+    import corpus_pipeline
+
+    from keystone.llm import queries as operators
+
     return [operators, corpus_pipeline]
 
 
+def warehouse_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """S5-S7 on a warehouse of their own in the shared folder, counted after the last
+    commit, and G3 from stored sketches."""
+    import uuid
+
+    from keystone.operators.labor import merged_distinct, monthly_distinct_sketches
+    from keystone.session import ensure_checkpoint_dir
+    from keystone.sources import warehouse as W
+
+    def filled(spark, star):
+        """Projects, and costs in two batches of which the first is sent twice."""
+        root = f"{ensure_checkpoint_dir(spark)}/keystone-warehouse-{uuid.uuid4().hex}"
+        W.init_warehouse(spark, root)
+        W.append(star["dim_projects"], root, "dim_projects", batch="projects")
+        odd = F.col("project_id") % 2 == 1
+        for name, rows in (("odd", odd), ("even", ~odd), ("odd", odd)):
+            W.append(star["fact_project_costs"].where(rows), root, "fact_project_costs", batch=name)
+        return root
+
+    def appended(spark, d):
+        return W.load_summary(W.load_warehouse(spark, filled(spark, load_star(spark, d))))
+
+    def truncated(spark, d):
+        root = filled(spark, load_star(spark, d))
+        W.clear_facts(spark, root)
+        return W.load_summary(W.load_warehouse(spark, root))
+
+    def load_if_absent(spark, d):
+        """Machines are loaded, projects stay: a second load of active ones changes nothing."""
+        star = load_star(spark, d)
+        root = f"{ensure_checkpoint_dir(spark)}/keystone-warehouse-{uuid.uuid4().hex}"
+        W.save_star(star, root, "ignore", ["dim_projects"])
+        active = {"dim_projects": star["dim_projects"].where("status = 'ACTIVE'"), "dim_equipment": star["dim_equipment"]}
+        W.save_star(active, root, "ignore", list(active))
+        W.init_warehouse(spark, root)
+        return W.load_summary(W.load_warehouse(spark, root))
+
+    def crews(star):
+        """Estimates from monthly sketches against the exact counts, within five standard errors."""
+        labor = star["fact_labor_hours"]
+        about = merged_distinct(monthly_distinct_sketches(labor, "project_id", "employee_id"), "project_id")
+        exact = labor.groupBy("project_id").agg(F.countDistinct("employee_id").alias("employees"))
+        close = F.abs(F.col("distinct_items") - F.col("employees")) <= F.ceil(F.col("employees") * 0.08)
+        return exact.join(about, "project_id").select("project_id", "employees", close.alias("within_bound"))
+
+    return {"s5_append_batches": appended, "s6_truncate_facts": truncated, "s7_load_if_absent": load_if_absent,
+            "g3_sketched_crews": _star(crews)}
+
+
 def one_of_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Reports for one project or trade (F7), and the D20 / M16 / M17 rules over scores
     taken from the feature jobs, so that they can be checked without a forest."""

@@ -4,7 +4,8 @@
   label domain is an enum (≤ 8 values), so the fitted labels are kept as a
   literal map expression (P7) — no join.
 * M6 exact stratified 75/25 split: per class, the first round(25 %·n_class)
-  rows in ``xxhash64(id, seed)`` order form the test set.
+  rows in ``xxhash64(id, seed)`` order form the test set; the last hash among
+  them is found by counting ranges of hashes, without ranking rows.
 * M7 balanced class weights n / (k·n_class) as ``weightCol``.
 * M8 ``pyspark.ml`` RandomForestClassifier (distributed tree induction).
 * M13/M14 score whole sets in one ``transform`` (load the model once), instead
@@ -15,8 +16,9 @@ from __future__ import annotations
 
 import datetime as _dt
 import math
-import os
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -25,11 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystone.functions.exprs import col, percent_label, title_case
-from keystone.operators.ranking import Ordering, ordinal_stats, with_orderings
+from keystone.operators.ranking import ordinal_stats
 from keystone.plans import features as FE
 from keystone.plans.metrics import binary_metrics, class_balance, metrics_table
 from keystone.session import materialize
-from keystone.sources.warehouse import path_exists
+from keystone.sources import commits
 
 
 # ---------------------------------------------------------------------------
@@ -70,23 +72,64 @@ def encode(df: DataFrame, c: str, labels: DataFrame, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # M6 / M7 split and weights
 # ---------------------------------------------------------------------------
+#: Bits of the hash that one look at the data tells apart.
+_BITS = 16
+
+
+def _hash_quantiles(df: DataFrame, group: str, quota: Callable[[int], int]) -> dict:
+    """Per group, the least ``_h`` that ``quota(rows)`` rows do not exceed (None for no rows).
+
+    Counts per group and leading bits of the hash tell in which of 65536 ranges
+    the sought one lies; the next look counts the next bits inside that range alone.
+    At most four looks; nothing is ranked or sorted.
+    """
+    found: dict = {}
+    open_: dict = {}
+    for shift in range(64 - _BITS, -1, -_BITS):
+        rows = df
+        if open_ or found:
+            inside = [F.col(group).eqNullSafe(F.lit(g)) & (F.shiftright("_h", shift + _BITS) == prefix) for g, (prefix, _) in open_.items()]
+            if not inside:
+                break
+            rows = df.where(reduce(lambda a, b: a | b, inside))
+        counts = rows.groupBy(group, F.shiftright("_h", shift).alias("range")).count().collect()     # 65536 rows a group at most
+        for g in {r[0] for r in counts}:
+            ranges = sorted((r["range"], r["count"]) for r in counts if r[0] == g)
+            if g not in open_:
+                wanted = quota(sum(n for _, n in ranges))
+                if wanted == 0:
+                    found[g] = None
+                    continue
+                open_[g] = (0, wanted)
+            wanted = open_[g][1]
+            for at, n in ranges:
+                if wanted <= n:
+                    break
+                wanted -= n
+            open_[g] = (at, wanted)
+            if wanted == n or shift == 0:             # up to the end of the range
+                found[g] = ((at + 1) << shift) - 1
+                del open_[g]
+    return found
+
+
 def stratified_split(df: DataFrame, label: str, id_cols: list[str], test_fraction: float = 0.25,
                      seed: int = 42) -> DataFrame:
     """Add ``is_test``: per class the first round(test_fraction·n_class) rows by a
     seeded hash of the id columns. Without two classes of ≥ 2 rows the split is
-    not stratified (first ceil(test_fraction·n) rows overall)."""
-    h = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
-    df = materialize(df.withColumn("_h", h), "split")
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}   # ≤ 2 classes
-    stratify = len(counts) > 1 and min(counts.values()) >= 2
-    if stratify:
-        quota = F.create_map(*[x for k, n in counts.items()
-                               for x in (F.lit(k), F.lit(int(math.floor(test_fraction * n + 0.5))))])
-        ranked = with_orderings(df, Ordering("_h", parts=[label], rank="_r"))
-        return ranked.withColumn("is_test", F.col("_r") <= quota[F.col(label)]).drop("_h", "_r")
-    n_test = int(math.ceil(test_fraction * sum(counts.values())))
-    ranked = with_orderings(df, Ordering("_h", rank="_r"))
-    return ranked.withColumn("is_test", F.col("_r") <= n_test).drop("_h", "_r")
+    not stratified (first ceil(test_fraction·n) rows overall).
+
+    Classes are few (a label); ``df`` is read three times, or more if hashes collide
+    in 16 and more leading bits."""
+    hashed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)))
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if len(counts) > 1 and min(counts.values()) >= 2:
+        last = _hash_quantiles(hashed, label, lambda n: int(math.floor(test_fraction * n + 0.5)))
+        cuts = [F.col(label).eqNullSafe(F.lit(g)) & (F.col("_h") <= F.lit(h)) for g, h in last.items() if h is not None]
+    else:
+        last = _hash_quantiles(hashed.withColumn("_all", F.lit(0)), "_all", lambda n: int(math.ceil(test_fraction * n)))
+        cuts = [F.col("_h") <= F.lit(h) for h in last.values() if h is not None]
+    return hashed.withColumn("is_test", reduce(lambda a, b: a | b, cuts, F.lit(False))).drop("_h")
 
 
 def balanced_weights(train: DataFrame, label: str) -> Column:
@@ -139,6 +182,10 @@ def feature_importance(spark: SparkSession, model, feats: list[str]) -> DataFram
         .orderBy(F.col("importance").desc(), "feature")
 
 
+#: Training rows of one partition: tree induction is CPU-bound.
+TRAIN_ROWS = 20_000
+
+
 def train_forest(data: DataFrame, label: str, id_cols: list[str], category: str, enc_name: str,
                  feats: list[str], num_trees: int, max_depth: int, min_leaf: int,
                  seed: int = 42, test_fraction: float = 0.25) -> Artifact:
@@ -147,9 +194,9 @@ def train_forest(data: DataFrame, label: str, id_cols: list[str], category: str,
     data = materialize(data, "train-data")
     if data.isEmpty():
         raise ValueError(f"no rows to train {label} on")
-    labels = materialize(fit_label_encoder(data, category), "labels")
+    labels = fit_label_encoder(data, category)
     data = encode(data, category, labels, enc_name)
-    split = materialize(stratified_split(data, label, id_cols, test_fraction, seed), "split")
+    split = stratified_split(data, label, id_cols, test_fraction, seed)
     train = split.where(~F.col("is_test"))
     train = train.withColumn("weight", balanced_weights(train, label))
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
@@ -157,11 +204,9 @@ def train_forest(data: DataFrame, label: str, id_cols: list[str], category: str,
                                 minInstancesPerNode=min_leaf, seed=seed,
                                 featureSubsetStrategy="sqrt", maxMemoryInMB=1024,
                                 cacheNodeIds=True, checkpointInterval=10)
-    # Tree induction is CPU-bound: spread the rows over every core (AQE may have
-    # coalesced a small training set into very few partitions).
-    # By a hash of the ids into a number that follows the data, so that bootstrap
-    # samples are the same on any cluster.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # By a hash of the ids into a number of partitions that follows the rows, so that
+    # bootstrap samples are the same on any cluster and for any session settings.
+    n = max(1, math.ceil(train.count() / TRAIN_ROWS))
     xtr = materialize(_assemble(train, feats).repartition(n, *id_cols).sortWithinPartitions(*id_cols), "train-x")
     xte = _assemble(split.where(F.col("is_test")), feats)
     model = rf.fit(xtr)
@@ -192,28 +237,31 @@ def train_equipment_maintenance_model(star: dict[str, DataFrame], num_trees: int
 
 
 def save_artifact(a: Artifact, path: str) -> None:
-    """Model directory + Parquet side tables (all written by Spark)."""
+    """A new version of the model (model directory + Parquet side tables, all
+    written by Spark), published by one commit; readers of an older one go on reading it."""
     spark = a.train_metrics.sparkSession
-    a.model.write().overwrite().save(os.path.join(path, "model"))
+    to = commits.folder(path, "versions")
+    a.model.save(f"{to}/model")
     meta = spark.createDataFrame(
         [("feature", i, v) for i, v in enumerate(a.features)]
         + [("category", 0, a.category)], "kind string, pos long, value string")
-    meta.write.mode("overwrite").parquet(os.path.join(path, "meta"))
-    for name, df in [("labels", a.labels), ("train_metrics", a.train_metrics), ("test_metrics", a.test_metrics),
+    for name, df in [("meta", meta), ("labels", a.labels), ("train_metrics", a.train_metrics), ("test_metrics", a.test_metrics),
                      ("feature_importance", a.feature_importance), ("balance", a.balance)]:
-        df.write.mode("overwrite").parquet(os.path.join(path, name))
-    spark.range(1).write.mode("overwrite").parquet(os.path.join(path, "complete"))
+        df.write.parquet(f"{to}/{name}")
+    commits.commit(spark, path, lambda now: {"tables": {"model": [to]}, "batches": []})
 
 
 def load_artifact(spark: SparkSession, path: str) -> Artifact:
-    """Raises FileNotFoundError when the model has not been trained."""
-    if not path_exists(spark, os.path.join(path, "complete")):  # written last
+    """The last version that was published; FileNotFoundError when the model has not been trained."""
+    versions = commits.read(spark, path)["tables"].get("model")
+    if not versions:
         raise FileNotFoundError(f"Model not found: {path}. Train it first.")
-    model = RandomForestClassificationModel.load(os.path.join(path, "model"))
-    meta = spark.read.parquet(os.path.join(path, "meta")).collect()     # a row for each feature and label
+    at = versions[-1]
+    model = RandomForestClassificationModel.load(f"{at}/model")
+    meta = spark.read.parquet(f"{at}/meta").collect()     # a row for each feature and label
     pick = lambda k: [r.value for r in sorted((r for r in meta if r.kind == k),
                                               key=lambda r: r.pos)]
-    rd = lambda n: spark.read.parquet(os.path.join(path, n))     # noqa: E731
+    rd = lambda n: spark.read.parquet(f"{at}/{n}")     # noqa: E731
     return Artifact(model=model, labels=rd("labels"), features=pick("feature"),
                     category=pick("category")[0], train_metrics=rd("train_metrics"),
                     test_metrics=rd("test_metrics"), feature_importance=rd("feature_importance"),

@@ -1,6 +1,8 @@
 """Warehouse sources and sinks on Parquet.
 
-The star lives as one Parquet directory per table. Writes go through Spark's
+Each write puts its rows into a new Parquet folder, and counts when a commit names
+it (``commits``): a failed write or truncate leaves the tables as they were, and a
+batch that is appended again under its id adds nothing. Writes go through Spark's
 partitioned writers (no batched driver inserts); facts are written sorted by
 ``date_id`` so Parquet min/max statistics let date-window filters skip row
 groups. All paths are on shared storage (never a machine-local folder).
@@ -8,12 +10,13 @@ groups. All paths are on shared storage (never a machine-local folder).
 
 from __future__ import annotations
 
-import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystone.sources import commits
 from keystone.sources.schema import DIMENSIONS, FACTS, SCHEMAS, TABLES
 
 
@@ -24,20 +27,27 @@ def run_sql(spark: SparkSession, sql: str, params: dict | None = None,
     return spark.sql(sql, args=params or None, **tables)
 
 
-def table_path(root: str, table: str) -> str:
-    return os.path.join(root, table)
-
-
 def load_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Open a stored star (lazy scans; pruning and pushdown are free).
+    """Open a stored star as of its last commit (lazy scans; pruning and pushdown are free).
 
     Every declared table must be there; numbers stored in other types are cast to
     the declared ones, and a column that is absent or can't be is an error.
     """
-    missing = [t for t in TABLES if not path_exists(spark, table_path(root, t))]
-    if missing:
+    tables = commits.read(spark, root)["tables"]
+    if missing := [t for t in TABLES if t not in tables]:
         raise FileNotFoundError(f"no such tables in {root}: {', '.join(missing)}")
-    return {t: declared(spark.read.parquet(table_path(root, t)), t) for t in TABLES}
+    return {t: stored_table(spark, tables[t], t) for t in TABLES}
+
+
+def stored_table(spark: SparkSession, folders: list[str], table: str) -> DataFrame:
+    """The rows of the folders that a commit names; none of them is an empty table."""
+    if not folders:
+        return spark.createDataFrame([], SCHEMAS[table])
+    parts = [declared(spark.read.parquet(f), table) for f in folders]
+    same = all(p.schema == parts[0].schema for p in parts)
+    if same:                                        # one scan of all folders
+        return declared(spark.read.parquet(*folders), table)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def declared(df: DataFrame, table: str) -> DataFrame:
@@ -48,15 +58,7 @@ def declared(df: DataFrame, table: str) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in fields if df.schema[f.name].dataType != f.dataType})
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, in any store that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-def _write(df: DataFrame, path: str, mode: str, table: str) -> None:
+def _write(df: DataFrame, path: str, table: str) -> None:
     """Facts are range-partitioned on (``date_id``, a hash of the row's id): files cover
     date ranges, so date-window scans skip whole files and row groups, and one
     busy day spreads over several files. The number of files is that of
@@ -66,36 +68,70 @@ def _write(df: DataFrame, path: str, mode: str, table: str) -> None:
         spread = F.xxhash64("id") if "id" in df.columns else F.xxhash64(*df.columns)
         df = df.withColumn("_spread", spread).repartitionByRange(n, "date_id", "_spread") \
             .sortWithinPartitions("date_id").drop("_spread")
-    df.write.mode(mode).parquet(path)
+    df.write.parquet(path)
 
 
 def save_star(star: dict[str, DataFrame], root: str, mode: str = "overwrite",
-              tables: list[str] | None = None) -> None:
-    """Write the star (``overwrite`` replaces, ``append`` adds rows,
-    ``ignore`` keeps an existing table — load-if-absent)."""
-    for t in tables or TABLES:
-        _write(star[t], table_path(root, t), mode, t)
+              tables: list[str] | None = None, batch: str | None = None) -> bool:
+    """Write tables and publish them in one commit (``overwrite`` replaces,
+    ``append`` adds rows, ``ignore`` keeps what exists: load-if-absent).
+
+    ``batch`` names the write: once it has been applied, writing it again changes
+    nothing and gives False.
+    """
+    if mode not in ("overwrite", "append", "ignore"):
+        raise ValueError(f"no such mode: {mode}")
+    names = list(tables or TABLES)
+    spark = star[names[0]].sparkSession
+    batch = batch or uuid.uuid4().hex
+    state = commits.read(spark, root)
+    if batch in state["batches"]:
+        return False
+    if mode == "ignore":
+        names = [t for t in names if t not in state["tables"]]
+    made = {t: commits.folder(root, t) for t in names}
+    for t, path in made.items():
+        _write(star[t], path, t)
+
+    def change(now: dict) -> dict | None:
+        if batch in now["batches"]:
+            return None
+        for t, path in made.items():
+            if mode == "append":
+                now["tables"][t] = [*now["tables"].get(t, []), path]
+            elif mode == "overwrite" or t not in now["tables"]:
+                now["tables"][t] = [path]
+        now["batches"].append(batch)
+        return now
+    return commits.commit(spark, root, change)
 
 
 def init_warehouse(spark: SparkSession, root: str) -> None:
-    """Create the empty declared tables that do not exist yet."""
-    for t in TABLES:
-        spark.createDataFrame([], SCHEMAS[t]).write.mode("ignore").parquet(table_path(root, t))
+    """Create the declared tables that do not exist yet, empty, in one commit."""
+    def change(now: dict) -> dict | None:
+        absent = [t for t in TABLES if t not in now["tables"]]
+        now["tables"].update({t: [] for t in absent})
+        return now if absent else None
+    commits.commit(spark, root, change)
 
 
-def append(df: DataFrame, root: str, table: str) -> None:
-    """Append rows to one table."""
-    _write(df, table_path(root, table), "append", table)
+def append(df: DataFrame, root: str, table: str, batch: str | None = None) -> bool:
+    """Append rows to one table; the same ``batch`` again adds nothing (False)."""
+    return save_star({table: df}, root, "append", [table], batch)
 
 
 def clear_facts(spark: SparkSession, root: str) -> None:
-    """Truncate the fact tables, keep the dimensions."""
-    for t in FACTS:
-        spark.createDataFrame([], SCHEMAS[t]).write.mode("overwrite").parquet(table_path(root, t))
+    """Truncate all fact tables in one commit, keep the dimensions."""
+    def change(now: dict) -> dict:
+        now["tables"].update({t: [] for t in FACTS})
+        return now
+    commits.commit(spark, root, change)
 
 
 def load_summary(star: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, row_count) for every table; a missing one is an error."""
+    """(table_name, row_count) for every table; a missing one is an error.
+
+    A stored table is counted from the footers of its files: no column is read."""
     frames = [star[t].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
               for t in TABLES]
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -107,4 +143,4 @@ def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> Dat
 
 
 __all__ = ["run_sql", "load_warehouse", "save_star", "init_warehouse", "append", "clear_facts",
-           "load_summary", "preview", "DIMENSIONS", "FACTS"]
+           "load_summary", "preview", "stored_table", "DIMENSIONS", "FACTS"]

@@ -66,9 +66,10 @@ def test_stored_models(spark, site_star, cost, tmp_path):
     assert sorted(map(tuple, got.labels.collect())) == [("COMMERCIAL", 0), ("RESIDENTIAL", 1)]
     a, b = (sorted((r.project_id, r.overrun_probability) for r in MD.score_projects(site_star, m).collect()) for m in (cost, got))
     assert a == b
-    for f in os.listdir(os.path.join(path, "meta")):            # a damaged model isn't a missing one
+    (version,) = os.listdir(os.path.join(path, "versions"))
+    for f in os.listdir(os.path.join(path, "versions", version, "meta")):            # a damaged model isn't a missing one
         if f.endswith(".parquet"):
-            open(os.path.join(path, "meta", f), "wb").close()
+            open(os.path.join(path, "versions", version, "meta", f), "wb").close()
     with pytest.raises(Exception) as e:
         MD.load_artifact(spark, path)
     assert not isinstance(e.value, FileNotFoundError)
@@ -109,3 +110,47 @@ def test_codes_of_labels(spark):
     labels = MD.fit_label_encoder(df.where("t <> 'c' or t is null"), "t")
     got = {r.t: r.code for r in MD.encode(df, "t", labels, "code").collect()}
     assert got == {"a": 0, "b": 1, "c": 0, None: 0}
+
+
+def test_two_writers_of_a_model(spark, site_star, cost, tmp_path):
+    """Versions never mix: a reader has the one or the other, whole; an opened one stays readable."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "cost")
+    MD.save_artifact(cost, path)
+    opened = MD.load_artifact(spark, path)
+    other = MD.train_cost_overrun_model(site_star, num_trees=3)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda a: MD.save_artifact(a, path), (cost, other)))
+    got = MD.load_artifact(spark, path)
+    assert got.model.getNumTrees in (3, 8)
+    same = cost if got.model.getNumTrees == 8 else other
+    assert got.feature_importance.collect() == same.feature_importance.collect()
+    assert opened.model.getNumTrees == 8 and opened.labels.count() == 2
+
+
+def test_split_takes_the_least_hashes_of_each_class(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7 == 0).cast("long").alias("y"))
+    got = MD.stratified_split(df, "y", ["id"], 0.25, seed=5)
+    hashed = [(r.y, r.h, r.is_test) for r in got.select("y", "is_test", F.xxhash64("id", F.lit(5)).alias("h")).collect()]
+    for y in (0, 1):
+        rows = sorted((h, t) for c, h, t in hashed if c == y)
+        quota = math.floor(0.25 * len(rows) + 0.5)
+        assert [t for _, t in rows] == [True] * quota + [False] * (len(rows) - quota)
+    tiny = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1)], "id long, y long")
+    assert MD.stratified_split(tiny, "y", ["id"]).where("is_test").count() == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_the_same_forest_for_any_number_of_shuffle_partitions(spark, site_star):
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    scores = []
+    try:
+        for n in ("2", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            model = MD.train_equipment_maintenance_model(site_star, num_trees=5)
+            scores.append(sorted((r.equipment_id, r.maintenance_probability) for r in MD.score_equipment(site_star, model, AS_OF).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+    assert scores[0] == scores[1]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from keystone.sources import commits
 from keystone.sources import warehouse as W
 from keystone.sources.schema import FACTS, TABLES
 
@@ -36,7 +38,6 @@ def test_run_sql_and_preview(spark, site_star):
 
 
 def test_missing_tables_and_other_types(spark, site_star, tmp_path):
-    import pytest
     root = str(tmp_path / "half")
     W.append(site_star["dim_projects"], root, "dim_projects")
     with pytest.raises(FileNotFoundError):
@@ -46,3 +47,68 @@ def test_missing_tables_and_other_types(spark, site_star, tmp_path):
     assert W.declared(floats, "fact_project_costs").schema["amount"].dataType == costs.schema["amount"].dataType
     with pytest.raises(ValueError):
         W.declared(costs.drop("amount"), "fact_project_costs")
+
+
+def counts(spark, root):
+    return {r.table_name: r.row_count for r in W.load_summary(W.load_warehouse(spark, root)).collect()}
+
+
+def test_a_retried_batch_adds_nothing(spark, site_star, tmp_path):
+    root = str(tmp_path / "wh")
+    W.init_warehouse(spark, root)
+    costs = site_star["fact_project_costs"]
+    assert W.append(costs, root, "fact_project_costs", batch="b1")
+    assert not W.append(costs, root, "fact_project_costs", batch="b1")
+    assert W.append(costs, root, "fact_project_costs", batch="b2")
+    assert counts(spark, root)["fact_project_costs"] == 322
+
+
+def test_a_write_that_fails_midway_changes_nothing(spark, site_star, tmp_path):
+    root = str(tmp_path / "wh")
+    W.init_warehouse(spark, root)
+    W.save_star(site_star, root, "append", ["dim_projects", "fact_project_costs"])
+    before = counts(spark, root)
+    bad = site_star["fact_project_costs"].withColumn("amount", F.raise_error(F.lit("lost")).cast("decimal(18,4)"))
+    with pytest.raises(Exception, match="lost"):        # projects are written before the costs fail
+        W.save_star({"dim_projects": site_star["dim_projects"], "fact_project_costs": bad}, root, "append", ["dim_projects", "fact_project_costs"])
+    assert counts(spark, root) == before
+
+    def dies(state):
+        state["tables"].update({t: [] for t in FACTS})
+        raise RuntimeError("the driver is gone")
+    with pytest.raises(RuntimeError):                   # a truncate that dies before it is published
+        commits.commit(spark, root, dies)
+    assert counts(spark, root) == before
+    with pytest.raises(ValueError):
+        W.save_star(site_star, root, "upsert", ["dim_projects"])
+
+
+def test_writers_that_meet_both_count(spark, site_star, tmp_path):
+    """Each tries to take the same number; the one that loses goes on from the other's state."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "wh")
+    W.init_warehouse(spark, root)
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(lambda i: W.append(site_star["dim_projects"], root, "dim_projects", batch=f"b{i % 5}"), range(6)))
+    assert sum(done) == 5 and counts(spark, root)["dim_projects"] == 80
+
+
+def test_counts_read_no_column(spark, site_star, tmp_path):
+    root = str(tmp_path / "wh")
+    W.init_warehouse(spark, root)
+    W.save_star(site_star, root, "append", ["dim_projects", "fact_project_costs"])
+    plan = W.load_summary(W.load_warehouse(spark, root))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and all("ReadSchema: struct<>" in line for line in scans)
+
+
+def test_load_if_absent_and_overwrite(spark, site_star, tmp_path):
+    root = str(tmp_path / "wh")
+    one = {"dim_projects": site_star["dim_projects"].limit(1)}
+    assert W.save_star(site_star, root, "ignore", ["dim_projects"])
+    W.save_star(one, root, "ignore", ["dim_projects"])
+    W.init_warehouse(spark, root)
+    assert counts(spark, root)["dim_projects"] == 16
+    W.save_star(one, root, "overwrite", ["dim_projects"])
+    assert counts(spark, root)["dim_projects"] == 1

@@ -139,7 +139,7 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
     sets = scratch_table(texts.select("doc_id", "h", "text").mapInPandas(
         _sets(words, percent), "doc_id string, h long, n long, sid binary, prefix array<long>")
                          .withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), "shingle-sets")
-    nodes = scratch_table(sets.where("sid is not null").groupBy("sid").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = scratch_table(sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct("k", "h")).alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
                           .withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     entries = nodes.where("size(prefix) > 0").select("node", "n", F.explode("prefix").alias("token"))
     counts = entries.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
@@ -171,8 +171,9 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
     combos = scratch_table(combos.join(useful, "sig", "left_semi"), "shared-combinations")
 
     wanted = rare.select(F.explode(F.array("a", "b")).alias("node")).union(combos.select("node")).distinct()
-    held = nodes.join(wanted, "node", "left_semi").select("node", "k", "sid")
-    full = scratch_table(texts.select("k", "text").join(held, "k").mapInPandas(_full(words), "node long, n long, tokens binary")
+    # the text that a node stands for, by id and hash: null and repeated ids are no key, rows alike in both are read once
+    held = nodes.join(wanted, "node", "left_semi").select("node", "of.k", "of.h", "sid")
+    full = scratch_table(texts.select("k", "h", "text").join(held, ["k", "h"]).dropDuplicates(["k", "h"]).mapInPandas(_full(words), "node long, n long, tokens binary")
                          , "full-sets")
 
     def verified(candidates: DataFrame) -> DataFrame:

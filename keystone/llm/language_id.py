@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from keystone.llm.common import mix, powers, window_hashes
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that ``\\w`` takes for words without being letters or decimal digits, such as fractions and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 MARK = "▁"
 #: Words of more symbols, the mark included, go through the forward pass one at a time and rescaled.
 BATCHED = 24

@@ -47,12 +47,12 @@ FROM d LEFT JOIN kept USING (r)"""
 
 
 def _matches(kind: int, pattern: str, keep: str) -> str:
-    """(r, owner, kind, begins, value, ends) of the matches: text between matches and matches alternate."""
-    return f"""SELECT r, owner, {kind} AS kind, begins, m AS value, begins + length(m) AS ends FROM (
-  SELECT r, owner, unnest(list_transform(range(1, len(ms) + 1), lambda i: struct_pack(m := ms[i],
+    """(r, doc_id, owner, kind, begins, value, ends) of the matches: text between matches and matches alternate."""
+    return f"""SELECT r, doc_id, owner, {kind} AS kind, begins, m AS value, begins + length(m) AS ends FROM (
+  SELECT r, doc_id, owner, unnest(list_transform(range(1, len(ms) + 1), lambda i: struct_pack(m := ms[i],
     begins := CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT))),
     recursive := true)
-  FROM (SELECT r, owner, regexp_extract_all(t, $${pattern}$$) AS ms, string_split_regex(t, $${pattern}$$) AS gaps FROM d)) WHERE {keep}"""
+  FROM (SELECT r, doc_id, owner, regexp_extract_all(t, $${pattern}$$) AS ms, string_split_regex(t, $${pattern}$$) AS gaps FROM d)) WHERE {keep}"""
 
 
 def secrets_sql() -> str:
@@ -67,10 +67,10 @@ base AS ({_matches(0, assign, f"length(regexp_extract(m, $${value}$$, 1)) >= 6")
  UNION ALL {_matches(1, "AKIA[A-Z0-9]+", "length(m) >= 20")}
  UNION ALL {_matches(2, "[0-9a-f]{24,}", "true")}),
 runs AS ({_matches(3, "[A-Za-z0-9+/_=-]+", f"regexp_matches(m, $${generic}$$) AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')")}),
-generic AS (SELECT r, owner, kind, begins, regexp_extract(value, $${generic}$$) AS value, begins + length(regexp_extract(value, $${generic}$$)) AS ends FROM runs),
+generic AS (SELECT r, doc_id, owner, kind, begins, regexp_extract(value, $${generic}$$) AS value, begins + length(regexp_extract(value, $${generic}$$)) AS ends FROM runs),
 apart AS (SELECT * FROM generic g WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = g.r AND b.begins < g.ends AND g.begins < b.ends)),
-owners AS (SELECT value, COUNT(DISTINCT owner) AS n FROM apart GROUP BY value),
-judged AS (SELECT apart.*, n = 1 AS live FROM apart JOIN owners USING (value)),
+owners AS (SELECT value, COUNT(DISTINCT owner) AS n, COUNT(DISTINCT (owner, doc_id)) AS documents FROM apart GROUP BY value),
+judged AS (SELECT apart.*, NOT (n > 1 AND documents >= 3 OR documents > 1000) AS live FROM apart JOIN owners USING (value)),
 every AS (SELECT r, kind, begins, ends FROM base UNION ALL SELECT r, kind, begins, ends FROM judged WHERE live),
 sums AS (SELECT r, COUNT(*) FILTER (kind = 0) AS n_assign, COUNT(*) FILTER (kind = 1) AS n_access, COUNT(*) FILTER (kind = 2) AS n_hex,
   COUNT(*) FILTER (kind = 3) AS n_live, {listed.replace("ORDER BY begins, kind)", "ORDER BY begins, kind) FILTER (kind < 3)")} AS b, {listed} AS spans FROM every GROUP BY r),

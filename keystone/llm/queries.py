@@ -39,7 +39,7 @@ def queries():
     return {
         "op1_embedding_near_dedup": lambda spark, d: near_duplicate_vectors(table(spark, d, "embeddings")),
         "op2_bpe_round_trip": lambda spark, d: bpe_round_trip(docs(spark, d)),
-        "op3_secret_scan": lambda spark, d: find_secrets(docs(spark, d)).drop("all_spans", "copies"),
+        "op3_secret_scan": lambda spark, d: find_secrets(docs(spark, d), least_documents=3, max_documents=1000).drop("all_spans", "copies"),
         "op4_token_files": lambda spark, d: token_file_index(docs(spark, d)),
         "op5_ngram_jaccard_join": lambda spark, d: jaccard_components(docs(spark, d), words=3, percent=90),
         "op6_language_id": lambda spark, d: language_predictions(docs(spark, d)),

@@ -4,9 +4,8 @@ Base kinds are leftmost non-overlapping matches. To these the corpus-wide
 ownership frequency adds spans of kind ``live``: generic credential-shaped
 tokens are hashed, and their hashes aggregated over the corpus by distinct
 repositories (documents) and owners (sources). Both counts are returned for each
-token and can decide whether it is a widely copied example or live-looking and
-added. By default owners alone decide, as in the SQL formulation of op3; the
-pipeline sets bounds for documents too.
+token and decide whether it is a widely copied example or live-looking and
+added: op3 and the pipeline set bounds for both, by default owners alone decide.
 """
 
 from __future__ import annotations

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystone.llm.common import key_as_text, scratch_table
+from keystone.llm.common import discard, key_as_text, scratch_table
 from keystone.llm.tokens import LibraryEncoder, default_vocabulary, encoder
 from keystone.session import ensure_checkpoint_dir
 
@@ -50,8 +50,8 @@ class FrequencyTable:
 
     def __init__(self, ids: np.ndarray, freq: np.ndarray):
         assert len(freq) == len(ids) + 1 and int(freq.sum()) == SCALE and (freq > 0).all()
-        self.ids, self.freq = ids.astype(np.int64), freq.astype(np.uint64)
-        self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
+        self.ids, self.freq = ids.astype(np.int64), freq.astype(np.uint32)
+        self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint32)
         self.escape = len(ids)
         self.symbol = np.full(LOW, self.escape, dtype=np.int64)
         self.symbol[self.ids] = np.arange(len(ids))
@@ -76,7 +76,7 @@ def encode_block(ids: np.ndarray, table: FrequencyTable, lanes: int = LANES, che
     steps = -(-n // lanes)
     sym = table.symbol[ids]
     freq, start = table.freq[sym], table.start[sym]
-    state = np.full(lanes, LOW, dtype=np.uint64)
+    state = np.full(lanes, LOW, dtype=np.uint32)
     words: list[np.ndarray] = []  # in coding order; reversed at the end
     used, notes = 0, []
     for s in range(steps - 1, -1, -1):
@@ -86,12 +86,13 @@ def encode_block(ids: np.ndarray, table: FrequencyTable, lanes: int = LANES, che
         out = []
         if len(esc):  # the decoder reads the plain words of a step after its states' words
             out.append(ids[a:b][esc[::-1]].astype(np.uint16))
-        full = x >= (f << np.uint64(32 - SCALE_BITS))
+        high = x >> np.uint32(16)
+        full = high >= f                     # x >= f << 16 without leaving 32 bits
         if full.any():
-            out.append((x[full][::-1] & np.uint64(0xFFFF)).astype(np.uint16))
-            x = np.where(full, x >> np.uint64(16), x)
+            out.append(x[full][::-1].astype(np.uint16))
+            x = np.where(full, high, x)
         q = x // f
-        state[: b - a] = (q << np.uint64(SCALE_BITS)) + (x - q * f) + start[a:b]
+        state[: b - a] = (q << np.uint32(SCALE_BITS)) + (x - q * f) + start[a:b]
         words += out
         used += sum(map(len, out))
         if s % checkpoint == 0:
@@ -115,7 +116,7 @@ def decode_block(raw: bytes, table: FrequencyTable, from_checkpoint: int = 0, ch
         return np.zeros(0, dtype=np.uint32)
     at = HEAD.size + from_checkpoint * 4 * (lanes + 1)
     used = struct.unpack_from("<I", raw, at)[0]
-    state = np.frombuffer(raw, "<u4", lanes, at + 4).astype(np.uint64)
+    state = np.frombuffer(raw, "<u4", lanes, at + 4).astype(np.uint32)
     stream = np.frombuffer(raw, "<u2", size, HEAD.size + marks * 4 * (lanes + 1))
     steps = -(-n // lanes)
     first = from_checkpoint * every
@@ -125,11 +126,11 @@ def decode_block(raw: bytes, table: FrequencyTable, from_checkpoint: int = 0, ch
     for s in range(first, last):
         a, b = s * lanes, min(n, (s + 1) * lanes)
         x = state[: b - a]
-        slot = x & np.uint64(SCALE - 1)
-        sym = table.at_slot[slot.astype(np.int64)]
-        x = table.freq[sym] * (x >> np.uint64(SCALE_BITS)) + slot - table.start[sym]
+        slot = x & np.uint32(SCALE - 1)
+        sym = table.at_slot[slot]
+        x = table.freq[sym] * (x >> np.uint32(SCALE_BITS)) + slot - table.start[sym]
         low = np.flatnonzero(x < LOW)
-        x[low] = (x[low] << np.uint64(16)) | stream[used:used + len(low)]
+        x[low] = (x[low] << np.uint32(16)) | stream[used:used + len(low)]
         used += len(low)
         state[: b - a] = x
         got = ids[sym]
@@ -143,7 +144,7 @@ def decode_block(raw: bytes, table: FrequencyTable, from_checkpoint: int = 0, ch
 
 
 def token_ids(documents: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids of whole texts with the end id, as little-endian uint16, deflated."""
+    """(doc_id, n_tokens, ids): ids of whole texts with the end id, as little-endian uint16."""
     def run(batches):
         enc = encoder(LibraryEncoder, path)
         end = np.array([end_id], dtype="<u2").tobytes()
@@ -151,8 +152,7 @@ def token_ids(documents: DataFrame, path: str, end_id: int) -> DataFrame:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at:at + 200]
                 raw = [r + end for r in enc.encode_batch([t if isinstance(t, str) else "" for t in part["text"]])]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(r) // 2 for r in raw],
-                                    "ids": [zlib.compress(r, 1) for r in raw]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(r) // 2 for r in raw], "ids": raw})
     out = key_as_text(documents).mapInPandas(run, "doc_id string, n_tokens long, ids binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -161,7 +161,7 @@ def _counts(batches):
     total = np.zeros(LOW, dtype=np.int64)
     for pdf in batches:
         for at in range(0, len(pdf), 1000):
-            raw = b"".join([zlib.decompress(x) for x in pdf["ids"].iloc[at:at + 1000]])
+            raw = b"".join(pdf["ids"].iloc[at:at + 1000])
             total += np.bincount(np.frombuffer(raw, "<u2"), minlength=LOW)
     ids = np.flatnonzero(total)
     yield pd.DataFrame({"id": ids.astype(np.int32), "n": total[ids]})
@@ -188,7 +188,7 @@ def _blocks(ids: np.ndarray, freq: np.ndarray):
 
         for pdf in batches:
             for doc, raw, p in zip(pdf["doc_id"], pdf["ids"], pdf["part"], strict=True):
-                part, x, a = p, np.frombuffer(zlib.decompress(raw), "<u2"), 0
+                part, x, a = p, np.frombuffer(raw, "<u2"), 0
                 while a < len(x):
                     take = min(len(x) - a, BLOCK_IDS - size)
                     held.append((seq, doc, take == len(x), x[a:a + take]))
@@ -224,6 +224,7 @@ def write_token_files(documents: DataFrame, path: str | None = None, vocabulary:
     rows = placed.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "ids") \
         .mapInPandas(_blocks(table.ids, table.freq.astype(np.int64)), BLOCKS)
     rows.write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(tokens)
     return path
 
 
@@ -261,8 +262,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "start": [pdf["start"].min()], "n_tokens": [pdf["n_tokens"].sum()],
                              "ids_crc32": [zlib.crc32(b"".join(pdf["ids"]))]})
 
-    shares = blocks.mapInPandas(run, "part int, block int, seq long, doc_id string, at long, n_tokens long, whole boolean, "
-                                     "ids_crc32 long, ids binary")
+    # each block is decoded once; only the shares of documents that a block's end cuts keep their ids
+    shares = scratch_table(blocks.mapInPandas(run, "part int, block int, seq long, doc_id string, at long, n_tokens long, whole boolean, "
+                                                   "ids_crc32 long, ids binary"), "token-shares")
     placed = shares.join(offsets, ["part", "block"]).join(base, "part") \
         .withColumn("start", F.col("base") + F.col("offset") + F.col("at"))
     out = ["doc_id", "start", "n_tokens", "ids_crc32"]

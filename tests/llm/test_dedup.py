@@ -177,3 +177,19 @@ def test_suffix_array_and_common_prefixes():
                 k += 1
             assert before[b] == a and common[b] == k
     assert [m.tolist() for m in repeated_in_shard([b"a" * 70, b"b" * 64, b"xb" + b"b" * 64], 64)] == [[True] * 7, [True], [False, True, True]]
+
+
+def test_null_and_repeated_ids_are_no_key(docs_of):
+    """Thousands of documents without an id, and rows alike in all but their source."""
+    import time
+
+    from keystone.llm.jaccard_join import jaccard_components, one_of_each_group
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(None, text(i), "en", "s") for i in range(2000)]
+    rows += [(5, text(50_000 + i // 2) + (" tail" if i % 2 else ""), "en", "s") for i in range(40)] + [(6, text(70_000), "en", "s")] * 300 + [(7, text(70_000) + " end", "en", "s")]
+    began = time.time()
+    got = [tuple(r) for r in jaccard_components(docs_of(rows), words=3, percent=90).select("doc_id", "n_shingles", "component_id").collect()]
+    assert len(got) == len(rows) and time.time() - began < 240
+    assert {r[2] for r in got if r[0] in (6, 7)} == {6} and {r[2] for r in got if r[0] == 5} == {5}
+    kept = one_of_each_group(docs_of(rows), words=3, percent=90)
+    assert kept.where("doc_id = 5").count() == 20 and kept.where("doc_id in (6, 7)").count() == 1

@@ -65,3 +65,8 @@ def test_odd_texts(docs_of, corpus):
     assert [x[1:] for x in got[:3]] == [("und", 0.0)] * 3 and got[3][1] == "fr" and got[4][1:] == got[5][1:] and len(got) == 8
     assert language_predictions(docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in identify(docs, [], np.zeros((0, 1))).collect()} == {"und"}
+
+
+def test_numbers_are_no_letters():
+    from keystone.llm.language_id import words_of
+    assert words_of("½ ² Ⅷ ① 12 _ ٣") == [] and words_of("a½b Ünder_x 一二 ª") == ["a", "b", "ünder", "x", "一二", "ª"]

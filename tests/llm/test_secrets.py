@@ -67,3 +67,22 @@ def test_documents_and_owners_decide(docs_of):
 def test_no_python_on_the_executors(docs_of):
     plan = find_secrets(docs_of(ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_registered_query_counts_documents_and_owners(llm, docs_of, tmp_path):
+    """A value in many documents of one source is an example, one in a document of each of two sources isn't."""
+    import duckdb
+
+    from keystone.llm.oracles import oracle_sql
+    from keystone.llm.queries import queries
+    hot, two, wide = "Hot9" + "xYz4" * 6, "Two9" + "xYz4" * 6, "Wide9" + "xYz4" * 6
+    rows = [(i, f"k {hot}", None, "a") for i in range(1001)] + [(2000 + i, f"k {two}", None, s) for i, s in enumerate("ab")]
+    rows += [(3000 + i, f"k {wide} {wide}", None, s) for i, s in enumerate("abb")] + [(4000, f"k {two}x token={wide}", None, None)]
+    docs_of(rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries()["op3_secret_scan"](llm, str(tmp_path)).collect()}
+    assert {got[i]["n_live"] for i in range(1001)} == {0} and [got[2000 + i]["n_live"] for i in range(2)] == [1, 1]
+    assert [got[3000 + i]["n_example"] for i in range(3)] == [2] * 3 and got[4000]["n_live"] == 1
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(oracle_sql()["op3_secret_scan"])
+    names = want.columns
+    assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in names) for r in got.values())

@@ -148,7 +148,8 @@ def _training_data() -> list:
     """Modules of the optional training-data part: its operators and its pipeline.
 
     Only their absence leaves them out; an error inside them is an error here."""
-    if any(importlib.util.find_spec(name) is None for name in ("corpus_pipeline", "keystone.llm")):
+    specs = [importlib.util.find_spec(name) for name in ("corpus_pipeline", "keystone.llm")]
+    if any(spec is None or spec.origin is None for spec in specs):      # a folder without modules has no origin
         return []
     import corpus_pipeline
 

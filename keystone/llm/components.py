@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystone.llm.common import scratch_table
+from keystone.llm.common import discard, scratch_table
 
 
 def local_stars(batches):
@@ -55,11 +55,16 @@ def connected_components(links: DataFrame) -> DataFrame:
                              .select(F.col("a").alias("v"), F.least(rank("a"), "m")["v"].alias("p")), "cc-hooks")
         hooks.append(hook)
         ha, hb = (hook.select(F.col("v").alias(c), F.col("p").alias("p" + c)) for c in "ab")
-        edges = scratch_table(edges.join(ha, "a").join(hb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-                              .where("a <> b").mapInPandas(local_stars, "a long, b long").distinct(), "cc-links")
+        rest = scratch_table(edges.join(ha, "a").join(hb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+                             .where("a <> b").mapInPandas(local_stars, "a long, b long").distinct(), "cc-links")
+        if edges is not nodes:
+            discard(edges)
+        edges = rest
     labels = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cur", F.col("node"))
     for hook in hooks:
         labels = labels.join(hook, labels["cur"] == hook["v"], "left").select("node", F.coalesce("p", "cur").alias("cur"))
     labels = scratch_table(labels, "cc-labels")
+    for table in ([nodes] if edges is nodes else [nodes, edges]) + hooks:
+        discard(table)
     least = labels.groupBy("cur").agg(F.min("node").alias("component"))
     return labels.join(least, "cur").select("node", "component")

@@ -1,31 +1,41 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document's set holds the hashes of its distinct word shingles; equal sets
-collapse to one node first. Tokens are ordered by their hash. A set of n that
-may differ from a partner in t tokens keeps a prefix of t + 1 tokens, extended
-by what combinations need: a token of few sets (rare) is indexed by itself; a
-token of ``FREQUENT`` or more sets is indexed in pairs with the other frequent
-tokens of its partition of the prefix. A partition with l frequent tokens then
-counts l - 1 towards the t + 1, so a linked pair shares a rare token or a pair.
-Sets with over t rare tokens in the prefix meet each other by those alone, and
-must share as many as that guarantees. All candidates are verified exactly.
+collapse to one node first. Tokens are ordered from seldom to common: by the
+class (power of two) of their count in a sketch of fixed size over all
+documents, then by their hash. Any one order gives the same result; the sketch
+only decides how few sets share a prefix. A set of n that may differ from a
+partner in t tokens keeps a prefix of t + 1 tokens, extended by what
+combinations need: a token of few sets (rare) is indexed by itself; a token of
+``FREQUENT`` or more sets is indexed in pairs with the other frequent tokens of
+its partition of the prefix. A partition with l frequent tokens then counts
+l - 1 towards the t + 1, so a linked pair shares a rare token or a pair. Sets
+with over t rare tokens in the prefix meet each other by those alone, and must
+share as many as that guarantees.
+
+Of two sets, the one whose prefix ends first in the order has all of its prefix
+tokens that the other holds in the other's prefix too. So its rare tokens, and its
+prefix tokens that no other prefix holds, bound what the pair can share; a pair that
+cannot reach the threshold is not compared. All other candidates are verified exactly.
 
 Long posting lists (copies with small changes, boilerplate) are not paired out:
-each list is compared with one pivot at a time, links are contracted, and only
-what is still in another component than the pivot goes on, until each two
+each list is compared with one pivot at a time, the set with the fewest tokens of
+its own first (the text that copies were made from); links are contracted, and
+only what is still in another component than the pivot goes on, until each two
 nodes of a list are in one component or have been compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystone.llm.common import mix, scratch_table, utf8, window_hashes, word_hashes
+from keystone.llm.common import discard, mix, scratch_table, utf8, window_hashes, word_hashes
 from keystone.llm.components import connected_components
 from keystone.llm.passages import NO_ID
 
@@ -35,6 +45,10 @@ FREQUENT = 16
 PARTITION = 32
 #: Pivots of a list in each round; what they leave apart is then paired.
 PIVOTS = (1, 4)
+#: Counters of the sketch and the chunks in which they are summed. 4 MB of classes go to each task,
+#: whatever the input; groups of fewer copies than there are tokens for each counter look like noise.
+COUNTERS = 1 << 22
+CHUNKS = 64
 
 
 def differing(n, percent: int):
@@ -71,16 +85,71 @@ def set_id(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _sets(words: int, percent: int):
+def _token_counts(words: int):
+    """(chunk, counts): how often tokens fall on each counter in a partition of texts."""
     def run(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        held, size = [], 0
+
+        def add():
+            nonlocal total, held, size
+            if held:
+                total += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            held, size = [], 0
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                w = word_hashes(utf8(text).lower())
+                if len(w) >= words:
+                    held.append(window_hashes(w, words))
+                    size += len(w)
+                    if size > COUNTERS:
+                        add()
+        add()
+        if total.any():
+            yield pd.DataFrame({"chunk": np.arange(CHUNKS, dtype=np.int32),
+                                "counts": [zlib.compress(c.tobytes(), 1) for c in np.split(total, CHUNKS)]})
+    return run
+
+
+def _classes(batches):
+    """Chunks of counts to one row (chunk, class of each counter) a chunk."""
+    total: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for chunk, counts in zip(pdf["chunk"].tolist(), pdf["counts"], strict=True):
+            counts = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
+            total[chunk] = total[chunk] + counts if chunk in total else counts
+    for chunk, counts in total.items():
+        yield pd.DataFrame({"chunk": [chunk], "classes": [np.frexp(counts.astype(float))[1].astype(np.uint8).tobytes()]})
+
+
+def token_classes(texts: DataFrame, words: int) -> bytes:
+    """Class (binary digits of the count) of each counter over all texts: ``COUNTERS`` bytes."""
+    chunks = texts.select("text").mapInPandas(_token_counts(words), "chunk int, counts binary") \
+        .repartition("chunk").mapInPandas(_classes, "chunk int, classes binary").collect()  # CHUNKS rows at most
+    out = bytearray(COUNTERS)
+    for row in chunks:
+        at = row["chunk"] * (COUNTERS // CHUNKS)
+        out[at:at + COUNTERS // CHUNKS] = row["classes"]
+    return bytes(out)
+
+
+def _sets(words: int, percent: int, classes):
+    """``classes``: broadcast of ``token_classes``."""
+    def run(batches):
+        of = np.frombuffer(classes.value, dtype=np.uint8)
         for pdf in batches:
-            n, sid, prefix = [], [], []
+            n, sid, prefix, last = [], [], [], []
             for text in pdf["text"]:
                 u = shingle_set(text, words)
                 n.append(len(u))
                 sid.append(set_id(u) if len(u) else None)
-                prefix.append(u[:prefix_length(len(u), percent)].view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "n": n, "sid": sid, "prefix": prefix})
+                length = prefix_length(len(u), percent)
+                kind = of[(u % np.uint64(COUNTERS)).astype(np.int64)] if length else of[:0]
+                order = np.argsort(kind, kind="stable")[:length]
+                prefix.append(u[order].view(np.int64))
+                last.append((int(kind[order[-1]]) << 56) + (int(u[order[-1]]) >> 8) if length else 0)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "n": n, "sid": sid, "prefix": prefix, "last": last})
     return run
 
 
@@ -136,21 +205,30 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
         raise ValueError("a similarity of 60 to 99 percent")
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
                              F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    classes = documents.sparkSession.sparkContext.broadcast(token_classes(texts, words))
     sets = scratch_table(texts.select("doc_id", "h", "text").mapInPandas(
-        _sets(words, percent), "doc_id string, h long, n long, sid binary, prefix array<long>")
+        _sets(words, percent, classes), "doc_id string, h long, n long, sid binary, prefix array<long>, last long")
                          .withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), "shingle-sets")
-    nodes = scratch_table(sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct("k", "h")).alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = scratch_table(sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct("k", "h")).alias("of"), *[F.first(c).alias(c) for c in ("n", "prefix", "last")])
                           .withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
-    entries = nodes.where("size(prefix) > 0").select("node", "n", F.explode("prefix").alias("token"))
+    entries = nodes.where("size(prefix) > 0").select("node", "n", "last", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
     counts = entries.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     shared = scratch_table(entries.join(counts, "token"), "shared-tokens")
     frequent = shared.where(F.col("sets") >= FREQUENT)
 
-    # ``sure``: rare tokens that the node shares with each linked node, at least; heavy nodes have none for sure
+    # What holds towards nodes whose prefix ends later. ``sure``: rare tokens that the node shares with each linked one, at least;
+    # heavy nodes have none for sure. ``most``: tokens that it can share, as no other prefix holds the rest
     t = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    many = frequent.groupBy("node").agg(F.count("*").alias("frequent"))
-    sure = scratch_table(nodes.where("size(prefix) > 0").select("node", "n", F.size("prefix").alias("length")).join(many, "node", "left")
-                         .select("node", (F.col("length") - F.coalesce("frequent", F.lit(0)) - t).alias("sure")), "shingle-sure")
+    sure = scratch_table(shared.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "last", "length")], F.count("*").alias("shared"),
+                                                    F.count_if(F.col("sets") >= FREQUENT).alias("frequent"))
+                         .select("node", "n", "last", (F.col("length") - F.col("frequent") - t).alias("sure"),
+                                 (F.col("n") - F.col("length") + F.col("shared")).alias("most")), "shingle-sure")
+
+    def reach(a: str, b: str):
+        """What the node whose prefix ends first can share is enough (if both end alike: what either can)."""
+        most = F.when(F.col("last" + a) < F.col("last" + b), F.col("most" + a)).when(F.col("last" + a) > F.col("last" + b), F.col("most" + b)) \
+            .otherwise(F.greatest("most" + a, "most" + b))
+        return (most * (100 + percent) >= (F.col("n" + a) + F.col("n" + b)) * percent) & (F.least("n" + a, "n" + b) * 100 >= F.greatest("n" + a, "n" + b) * percent)
 
     # rare lists hold fewer than FREQUENT nodes: all pairs of them, of sizes that can link
     lists = shared.where(F.col("sets") < FREQUENT).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("l"))
@@ -158,17 +236,18 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
     pairs = F.flatten(F.transform("l", lambda x, i: F.transform(
         F.filter(F.slice("l", i + 2, F.size("l")), fits(x)), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))))
     rare = lists.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("common"))
-    sa, sb = (sure.select(F.col("node").alias(c), F.col("sure").alias("s" + c)) for c in "ab")
-    rare = scratch_table(rare.join(sa, "a").join(sb, "b").where("common >= least(sa, sb)").select("a", "b"), "rare-pairs")
+    sa, sb = (sure.select(F.col("node").alias(c), *[F.col(v).alias(v + c) for v in ("n", "last", "sure", "most")]) for c in "ab")
+    enough = F.when(F.col("lasta") < F.col("lastb"), F.col("surea")).when(F.col("lasta") > F.col("lastb"), F.col("sureb")).otherwise(F.least("surea", "sureb"))
+    rare = scratch_table(rare.join(sa, "a").join(sb, "b").where((F.col("common") >= enough) & reach("a", "b")).select("a", "b"), "rare-pairs")
 
-    # a pair of which one node at least is heavy can depend on combinations
-    heavy = sure.where("sure < 1").select("node")
+    # a pair can depend on combinations if the node whose prefix ends first is heavy
     of_node = frequent.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")).where("size(tokens) > 1")
-    combos = of_node.mapInPandas(_combinations(percent), "sig long, node long, n long") \
-        .join(heavy.withColumn("heavy", F.lit(True)), "node", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    combos = scratch_table(combos, "combinations")
+    combos = scratch_table(of_node.mapInPandas(_combinations(percent), "sig long, node long, n long")
+                           .join(sure.select("node", "last", "most", (F.col("sure") < 1).alias("heavy")), "node"), "combinations")
     useful = combos.groupBy("sig").agg(F.count("*").alias("c"), F.max("heavy").alias("any")).where("c > 1 and any").select("sig")
-    combos = scratch_table(combos.join(useful, "sig", "left_semi"), "shared-combinations")
+    combos = _instead(combos, combos.join(useful, "sig", "left_semi"), "shared-combinations")
+    discard(shared)
+    discard(sure)
 
     wanted = rare.select(F.explode(F.array("a", "b")).alias("node")).union(combos.select("node")).distinct()
     # the text that a node stands for, by id and hash: null and repeated ids are no key, rows alike in both are read once
@@ -183,38 +262,56 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
     # First round: one partner for each node and one pivot for each list. Second: what that has not connected
     # of the rare pairs, and four pivots. Then whatever of the lists is still apart.
     first = rare.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots, compared = None, None
+    roots, compared = None, []
     for step in range(len(PIVOTS) + 1):
         if roots is not None:
             here = combos.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             mixed = here.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-            combos = scratch_table(combos.join(mixed, "sig", "left_semi"), "shared-combinations")
+            combos = _instead(combos, combos.join(mixed, "sig", "left_semi"), "shared-combinations")
         if step < len(PIVOTS):
-            salts = [F.min(F.struct(F.xxhash64("node", F.lit(10 * step + i)), "node", "n")).alias(f"p{i}") for i in range(PIVOTS[step])]
-            pivots = combos.where("heavy").groupBy("sig").agg(*salts) \
-                .select("sig", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS[step])]))).alias("p")) \
-                .select("sig", F.col("p.node").alias("o"), F.col("p.n").alias("m"))
+            # the first pivot has the most tokens in common with others, the rest is drawn by a hash
+            chance = lambda i: F.xxhash64("node", F.lit(10 * step + i))
+            salts = [F.min(F.struct(*([] if i else [(F.col("most") - F.col("n")) * -1]), chance(i), "node", "n", "last", "most")).alias(f"p{i}")
+                     for i in range(PIVOTS[step])]
+            named = [F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("node", "n", "last", "most")]) for i in range(PIVOTS[step])]
+            pivots = combos.where("heavy").groupBy("sig").agg(*salts).select("sig", F.explode(F.array_distinct(F.array(*named))).alias("p")).select("sig", "p.*")
         else:
-            pivots = combos.where("heavy").select("sig", F.col("node").alias("o"), F.col("n").alias("m"))
-        new = combos.join(pivots, "sig").where(
-            (F.col("node") != F.col("o")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)) \
-            .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
+            pivots = combos.where("heavy")
+        new = combos.select("sig", *[F.col(c).alias(c + "a") for c in ("node", "n", "last", "most")]) \
+            .join(pivots.select("sig", *[F.col(c).alias(c + "b") for c in ("node", "n", "last", "most")]), "sig") \
+            .where((F.col("nodea") != F.col("nodeb")) & reach("a", "b"))
+        if step == len(PIVOTS):
+            new = new.where("lastb <= lasta")
+        new = new.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
         if step < 2:
             new = new.unionByName(rare if step or not PIVOTS else first)
         new = new.distinct()
-        if compared is not None:
-            new = _apart(new.join(compared, ["a", "b"], "left_anti"), roots)
+        if roots is not None:
+            new = _apart(new, roots)
+        for earlier in compared:
+            new = new.join(earlier, ["a", "b"], "left_anti")
         new = scratch_table(new, "pivot-pairs")
+        compared.append(new)
         if new.isEmpty():
             continue
-        roots = _merge(roots, verified(new))
-        compared = new if compared is None else compared.unionByName(new)
+        links = verified(new)
+        if not links.isEmpty():
+            roots = _merge(roots, links)
+    for table in (rare, combos, full, *compared):
+        discard(table)
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     return sets.select("k", "h", "doc_id", "n", "sid"), nodes.select("sid", "node").join(roots, "node", "left") \
         .select("sid", F.coalesce("root", "node").alias("root"))
 
 
+def _instead(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """``new`` as a scratch table, in place of the one it was made from."""
+    out = scratch_table(new, name)
+    discard(old)
+    return out
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose nodes are not yet in one component."""
     ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab")
@@ -225,7 +322,11 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _merge(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (node, root) of earlier components and new links."""
     edges = links.select("a", "b") if roots is None else links.select("a", "b").unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return scratch_table(connected_components(edges).withColumnRenamed("component", "root"), "jaccard-roots")
+    out = scratch_table(connected_components(edges).withColumnRenamed("component", "root"), "jaccard-roots")
+    for table in (links, roots):
+        if table is not None:
+            discard(table)
+    return out
 
 
 def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

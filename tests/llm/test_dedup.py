@@ -85,6 +85,30 @@ def test_join_over_the_given_table_and_lists_without_pivots(docs_of, corpus, mon
     assert jaccard_components(corpus.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("counters", [64, 1 << 12])
+def test_join_is_the_same_for_any_order_of_tokens(docs_of, monkeypatch, counters):
+    # few counters: the order is nearly that of hashes; prefixes of a pair then often end at different places
+    monkeypatch.setattr(join, "COUNTERS", counters)
+    rng = random.Random(counters)
+    rows = []
+    for size in (20, 60, 200):
+        origin = prose(rng, size, 9000)
+        for share in (0, 0.01, 0.02, 0.04, 0.06, 0.09):  # around what the threshold allows
+            rows += [edited(rng, origin, int(size * share)) for _ in range(7)]
+    rows = list(enumerate(rows))
+    got = sorted(tuple(r) for r in jaccard_components(docs_of([(i, t, None, None) for i, t in rows]), 3, 90).collect())
+    assert got == brute_components(rows, 3, 90)
+
+
+def test_sketch_counts_every_shingle(docs_of):
+    rows = [(i, "a b c d", None, None) for i in range(300)] + [(300, "e f g", None, None), (301, None, None, None), (302, "x", None, None)]
+    got = np.frombuffer(join.token_classes(docs_of(rows).repartition(7), 3), dtype=np.uint8)
+    want = np.zeros(join.COUNTERS, dtype=np.uint8)
+    for text, n in (("a b c", 300), ("b c d", 300), ("e f g", 1)):
+        want[int(join.shingle_set(text, 3)[0] % np.uint64(join.COUNTERS))] = n.bit_length()
+    assert (got == want).all() and not any(join.token_classes(docs_of(rows).limit(0), 3))
+
+
 def test_one_document_of_each_group_stays(docs_of):
     texts = near_copies(random.Random(4))
     docs = docs_of([(i, t, None, None) for i, t in enumerate(texts)] + [(3, texts[3], None, None)])

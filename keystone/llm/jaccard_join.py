@@ -245,7 +245,7 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
     combos = scratch_table(of_node.mapInPandas(_combinations(percent), "sig long, node long, n long")
                            .join(sure.select("node", "last", "most", (F.col("sure") < 1).alias("heavy")), "node"), "combinations")
     useful = combos.groupBy("sig").agg(F.count("*").alias("c"), F.max("heavy").alias("any")).where("c > 1 and any").select("sig")
-    combos = _instead(combos, combos.join(useful, "sig", "left_semi"), "shared-combinations")
+    combos = _instead(combos, combos.join(useful, "sig", "left_semi").withColumn("root", F.col("node")), "shared-combinations")
     discard(shared)
     discard(sure)
 
@@ -265,21 +265,21 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
     roots, compared = None, []
     for step in range(len(PIVOTS) + 1):
         if roots is not None:
-            here = combos.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            here = combos.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             mixed = here.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-            combos = _instead(combos, combos.join(mixed, "sig", "left_semi"), "shared-combinations")
+            combos = _instead(combos, here.join(mixed, "sig", "left_semi"), "shared-combinations")
         if step < len(PIVOTS):
             # the first pivot has the most tokens in common with others, the rest is drawn by a hash
             chance = lambda i: F.xxhash64("node", F.lit(10 * step + i))
-            salts = [F.min(F.struct(*([] if i else [(F.col("most") - F.col("n")) * -1]), chance(i), "node", "n", "last", "most")).alias(f"p{i}")
+            salts = [F.min(F.struct(*([] if i else [(F.col("most") - F.col("n")) * -1]), chance(i), "node", "n", "last", "most", "root")).alias(f"p{i}")
                      for i in range(PIVOTS[step])]
-            named = [F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("node", "n", "last", "most")]) for i in range(PIVOTS[step])]
+            named = [F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("node", "n", "last", "most", "root")]) for i in range(PIVOTS[step])]
             pivots = combos.where("heavy").groupBy("sig").agg(*salts).select("sig", F.explode(F.array_distinct(F.array(*named))).alias("p")).select("sig", "p.*")
         else:
             pivots = combos.where("heavy")
-        new = combos.select("sig", *[F.col(c).alias(c + "a") for c in ("node", "n", "last", "most")]) \
-            .join(pivots.select("sig", *[F.col(c).alias(c + "b") for c in ("node", "n", "last", "most")]), "sig") \
-            .where((F.col("nodea") != F.col("nodeb")) & reach("a", "b"))
+        new = combos.select("sig", *[F.col(c).alias(c + "a") for c in ("node", "n", "last", "most", "root")]) \
+            .join(pivots.select("sig", *[F.col(c).alias(c + "b") for c in ("node", "n", "last", "most", "root")]), "sig") \
+            .where((F.col("roota") != F.col("rootb")) & reach("a", "b"))
         if step == len(PIVOTS):
             new = new.where("lastb <= lasta")
         new = new.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))

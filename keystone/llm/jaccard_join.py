@@ -18,11 +18,14 @@ tokens that the other holds in the other's prefix too. So its rare tokens, and i
 prefix tokens that no other prefix holds, bound what the pair can share; a pair that
 cannot reach the threshold is not compared. All other candidates are verified exactly.
 
-Long posting lists (copies with small changes, boilerplate) are not paired out:
-each list is compared with one pivot at a time, the set with the fewest tokens of
-its own first (the text that copies were made from); links are contracted, and
-only what is still in another component than the pivot goes on, until each two
-nodes of a list are in one component or have been compared.
+Long posting lists (copies with small changes, boilerplate) are not paired out.
+Each list is compared with one pivot first, the set with the fewest tokens of its own
+(the text that copies were made from). Lists that this leaves in several components are
+grouped by pivot, and each group is described by what its sets differ in from the tokens
+that most of them hold. Two sets that differ in few enough tokens, taken together, are
+linked, and so is the set that differs least with both; any other linked pair
+has to share differing tokens, so only lists of these, with prefixes of their own, make
+candidates. The links are the same as if each list were paired out.
 """
 
 from __future__ import annotations
@@ -43,8 +46,8 @@ from keystone.llm.passages import NO_ID
 FREQUENT = 16
 #: One partition of the frequent tokens for each so many tokens of a set.
 PARTITION = 32
-#: Pivots of a list in each round; what they leave apart is then paired.
-PIVOTS = (1, 4)
+#: Pivots that each list is compared with before its sets are told apart by what they differ in.
+PIVOTS = (1,)
 #: Counters of the sketch and the chunks in which they are summed. 4 MB of classes go to each task,
 #: whatever the input; groups of fewer copies than there are tokens for each counter look like noise.
 COUNTERS = 1 << 22
@@ -259,44 +262,44 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
         x, y = (full.select(F.col("node").alias(c), F.col("tokens").alias(v)) for c, v in (("a", "x"), ("b", "y")))
         return scratch_table(candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_linked(percent), "a long, b long"), "links")
 
-    # First round: one partner for each node and one pivot for each list. Second: what that has not connected
-    # of the rare pairs, and four pivots. Then whatever of the lists is still apart.
+    # First round: one partner for each node and a pivot for each list, the one with the most tokens in common with others.
+    # Second: what that has not connected of the rare pairs, and what the lists have left to compare.
     first = rare.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots, compared = None, []
-    for step in range(len(PIVOTS) + 1):
-        if roots is not None:
-            here = combos.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = here.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-            combos = _instead(combos, here.join(mixed, "sig", "left_semi"), "shared-combinations")
-        if step < len(PIVOTS):
-            # the first pivot has the most tokens in common with others, the rest is drawn by a hash
-            chance = lambda i: F.xxhash64("node", F.lit(10 * step + i))
-            salts = [F.min(F.struct(*([] if i else [(F.col("most") - F.col("n")) * -1]), chance(i), "node", "n", "last", "most", "root")).alias(f"p{i}")
-                     for i in range(PIVOTS[step])]
-            named = [F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("node", "n", "last", "most", "root")]) for i in range(PIVOTS[step])]
-            pivots = combos.where("heavy").groupBy("sig").agg(*salts).select("sig", F.explode(F.array_distinct(F.array(*named))).alias("p")).select("sig", "p.*")
-        else:
-            pivots = combos.where("heavy")
-        new = combos.select("sig", *[F.col(c).alias(c + "a") for c in ("node", "n", "last", "most", "root")]) \
-            .join(pivots.select("sig", *[F.col(c).alias(c + "b") for c in ("node", "n", "last", "most", "root")]), "sig") \
-            .where((F.col("roota") != F.col("rootb")) & reach("a", "b"))
-        if step == len(PIVOTS):
-            new = new.where("lastb <= lasta")
-        new = new.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
-        if step < 2:
-            new = new.unionByName(rare if step or not PIVOTS else first)
-        new = new.distinct()
-        if roots is not None:
-            new = _apart(new, roots)
-        for earlier in compared:
-            new = new.join(earlier, ["a", "b"], "left_anti")
-        new = scratch_table(new, "pivot-pairs")
-        compared.append(new)
-        if new.isEmpty():
-            continue
-        links = verified(new)
-        if not links.isEmpty():
-            roots = _merge(roots, links)
+    of_list = ["node", "n", "last", "most"]
+    pivots = combos.where("heavy").groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), F.xxhash64("node").alias("h"), *of_list)).alias("p")) \
+        .select("sig", *[F.col(f"p.{c}").alias(c + "b") for c in of_list])
+    combos = _instead(combos, combos.join(pivots, "sig"), "shared-combinations")
+    roots, compared, groups = None, None, []
+    if PIVOTS:
+        met = combos.where((F.col("node") != F.col("nodeb")) & reach("", "b")) \
+            .select(F.least("node", "nodeb").alias("a"), F.greatest("node", "nodeb").alias("b"))
+        compared = scratch_table(met.unionByName(first).distinct(), "pivot-pairs")
+        if not compared.isEmpty():
+            roots = _merge(None, verified(compared))
+    here = combos.drop("root") if roots is None else combos.drop("root").join(roots, "node", "left")
+    here = here.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
+    mixed = here.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    members = scratch_table(here.join(mixed, "sig", "left_semi").select(F.col("nodeb").alias("pivot"), *of_list, "heavy", "root").distinct(), "list-members")
+    new = rare if roots is None else _apart(rare, roots)
+    links = None
+    if not members.isEmpty():
+        certain, candidates, groups = _differing(members, full, percent, reach)
+        new = new.unionByName(candidates)
+        links = certain
+    new = new.distinct()
+    if compared is not None:
+        new = new.join(compared, ["a", "b"], "left_anti")
+    new = scratch_table(new, "pivot-pairs")
+    if not new.isEmpty():
+        found = verified(new)
+        links = found if links is None else _instead(found, found.unionByName(links), "links")
+    elif links is not None:
+        links = scratch_table(links, "links")
+    if links is not None and not links.isEmpty():
+        roots = _merge(roots, links)
+    compared = [new] if compared is None else [compared, new]
+    for table in (members, *groups):
+        discard(table)
     for table in (rare, combos, full, *compared):
         discard(table)
     if roots is None:
@@ -305,6 +308,51 @@ def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> tu
         .select("sid", F.coalesce("root", "node").alias("root"))
 
 
+def _longs(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"node": pdf["node"], "held": [np.frombuffer(x, dtype=np.int64) for x in pdf["tokens"]]})
+
+
+def _differing(members: DataFrame, full: DataFrame, percent: int, reach) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(links, candidates, scratch tables) of the groups of ``members`` (pivot, node, n, last, most, heavy, root).
+
+    D(x) are the tokens in which x differs from those that more than half of its group hold, and
+    f(x) = (100 + percent) |D(x)| - (100 - percent) n(x). Sets a and b link when
+    f(a) + f(b) <= 2 (100 + percent) |D(a) & D(b)|. If the left side is not positive, both
+    link with the set of least f, too; these links need no check. Else the pair shares a token, and as many as the
+    least f leaves open at least, so prefixes of D, seldom tokens first, meet. Candidates are pairs of different roots.
+    """
+    one, sizes = 2 * (100 + percent), members.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
+    tokens = members.join(sizes, "pivot").select("pivot", "node", "size").join(full.select("node", "tokens").mapInPandas(_longs, "node long, held array<long>"), "node")
+    tokens = scratch_table(tokens, "list-tokens")
+    common = tokens.select("pivot", "size", F.explode("held").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("c"), F.first("size").alias("size")) \
+        .where("2 * c > size").groupBy("pivot").agg(F.collect_list("token").alias("common"))  # at most twice a set's mean size
+    common = tokens.join(common, "pivot", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    differ = common.select("pivot", "node", F.concat(F.array_except("held", "common"), F.array_except("common", "held")).alias("d"))
+    differ = members.join(differ, ["pivot", "node"]).withColumn("f", (100 + percent) * F.size("d") - (100 - percent) * F.col("n"))
+    differ = scratch_table(differ, "list-differences")
+    least = differ.groupBy("pivot").agg(F.min(F.struct("f", "node")).alias("least"))
+    differ_least = differ.drop("d").join(least, "pivot")
+    links = differ_least.where((F.col("f") + F.col("least.f") <= 0) & (F.col("node") != F.col("least.node"))) \
+        .select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
+
+    each = differ.select("pivot", "node", F.explode("d").alias("token"))
+    shared = each.join(each.groupBy("pivot", "token").agg(F.count("*").alias("sets")).where("sets > 1"), ["pivot", "token"]) \
+        .groupBy("pivot", "node").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("s"))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("f") + F.col("least.f")) / one))
+    length = F.greatest(F.size("s") - needed + 1, F.lit(0)).cast("int")
+    entries = differ_least.join(shared, ["pivot", "node"]).withColumn("many", F.size("s")) \
+        .select("*", F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "t")) \
+        .select("pivot", F.col("t.token").alias("token"), "node", "n", "last", "most", "heavy", "root", "f", (F.col("many") - F.col("at")).alias("rest"))
+    entries = scratch_table(entries, "list-entries")
+    x, y = (entries.select("pivot", "token", *[F.col(v).alias(v + c) for v in entries.columns[2:]]) for c in "ab")
+    ends_first = (F.col("heavya") & (F.col("lasta") <= F.col("lastb"))) | (F.col("heavyb") & (F.col("lastb") <= F.col("lasta")))
+    # at the first token that a linked pair shares, what follows in both can still make up for f
+    pairs = x.join(y, ["pivot", "token"]).where((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & reach("a", "b") & ends_first
+                                                & (one * F.least("resta", "restb") >= F.col("fa") + F.col("fb")))
+    return links, pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), [tokens, differ, entries]
+
+
 def _instead(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     """``new`` as a scratch table, in place of the one it was made from."""
     out = scratch_table(new, name)

@@ -136,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r5_fuel_trend_by_month": _star(R.fuel_trend_by_month),
     })
     q.update(one_of_queries())
+    q.update(rule_queries())
     q.update(warehouse_queries())
     for k, (rep, fn) in over.items():
         q[k] = (lambda rep, fn: lambda spark, d: fn(rep(load_star(spark, d))))(rep, fn)
@@ -231,6 +232,39 @@ def one_of_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def rule_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """M13-M16, M18 and M21 with rules in place of the forests, so that populations,
+    features, type codes, bands, advice and days can be checked; also for one id (F8)."""
+    def cost(star):
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.5) - F.col("early_phase_cpi")))
+        return MD.Rule(p, MD.fit_label_encoder(star["dim_projects"], "project_type"), M.COST_FEATURES)
+
+    def maint(star):
+        p = F.least(F.lit(1.0), F.col("days_since_maintenance") / 4096.0)
+        return MD.Rule(p, MD.fit_label_encoder(star["dim_equipment"], "equipment_type"), M.MAINTENANCE_FEATURES)
+
+    flat = lambda df: df.select(*[c for c in df.columns if c != "features"], "features.*")
+    projects = lambda s: MD.portfolio_risk(s, cost(s))                                    # noqa: E731
+    machines = lambda s: MD.fleet_risk(s, maint(s), as_of=M_AS_OF)                        # noqa: E731
+
+    def coverage(star):
+        both = [(M.project_scoring_features(star), M.COST_FEATURES), (M.maintenance_scoring_features(star, M_AS_OF), M.MAINTENANCE_FEATURES)]
+        (p, pf), (e, ef) = [(df, [f for f in feats if f in df.columns]) for df, feats in both]
+        return MD.labelled_importance(MD.feature_coverage(p, pf).unionByName(MD.feature_coverage(e, ef)))
+
+    return {
+        "m13_rule_scores": _star(lambda s: flat(MD.score_projects(s, cost(s)).drop("contract_value"))),
+        "m13_rule_one_project": _star(lambda s: flat(MD.predict_project(s, cost(s), 7).drop("contract_value"))),
+        "m14_rule_scores": _star(lambda s: flat(MD.score_equipment(s, maint(s), as_of=M_AS_OF))),
+        "m14_rule_one_machine": _star(lambda s: flat(MD.predict_machine(s, maint(s), 7, as_of=M_AS_OF))),
+        "m15_rule_portfolio_risk": _star(projects),
+        "m16_rule_fleet_risk": _star(machines),
+        "m18_rule_high_risk_projects": _star(lambda s: MD.high_risk(projects(s), "risk_level", "High")),
+        "m18_rule_critical_equipment": _star(lambda s: MD.high_risk(machines(s), "risk", "Critical")),
+        "m21_feature_coverage": _star(coverage),
+    }
+
+
 def _rule_scores(star):
     """M9 input: the early-CPI rule (overrun when early CPI < 1) on the M2 dataset."""
     from pyspark.sql import functions as F

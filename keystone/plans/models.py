@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystone.functions.exprs import col, percent_label, title_case
+from keystone.functions.exprs import col, percent_label, rnd, safe_div, title_case
 from keystone.operators.ranking import ordinal_stats
 from keystone.plans import features as FE
 from keystone.plans.metrics import binary_metrics, class_balance, metrics_table
@@ -158,14 +158,38 @@ class Artifact:
         """M20."""
         return metrics_table(self.train_metrics, self.test_metrics)
 
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` with score and prediction."""
+        return _scored(self.model, _assemble(df, self.features))
 
-def _assemble(df: DataFrame, feats: list[str]) -> DataFrame:
+
+@dataclass
+class Rule:
+    """A scorer without a forest: its probability is an expression over the features.
+
+    It stands where a trained model does, so that populations, bands, advice and
+    feature columns of M13-M18 can be checked exactly.
+    """
+    probability: Column
+    labels: DataFrame
+    features: list[str]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` with score and prediction; a tie is class 0, as in a forest."""
+        return _filled(df, self.features).withColumn("score", self.probability) \
+            .withColumn("prediction", (F.col("score") > 0.5).cast("long"))
+
+
+def _filled(df: DataFrame, feats: list[str]) -> DataFrame:
+    """missing, NaN and infinite features become 0."""
     clean = [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
                     | (F.abs(F.col(c).cast("double")) == float("inf")), 0.0)
-             .otherwise(F.col(c).cast("double")).alias(c) for c in feats]      # F9
-    others = [c for c in df.columns if c not in feats]
-    return VectorAssembler(inputCols=feats, outputCol="features").transform(
-        df.select(*others, *clean))
+             .otherwise(F.col(c).cast("double")).alias(c) for c in feats]
+    return df.select(*[c for c in df.columns if c not in feats], *clean)
+
+
+def _assemble(df: DataFrame, feats: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=feats, outputCol="features").transform(_filled(df, feats))
 
 
 def _scored(model, df: DataFrame) -> DataFrame:
@@ -271,11 +295,11 @@ def load_artifact(spark: SparkSession, path: str) -> Artifact:
 # ---------------------------------------------------------------------------
 # Scoring (M13-M18)
 # ---------------------------------------------------------------------------
-def score_projects(star: dict[str, DataFrame], a: Artifact, ids: DataFrame | list[int] | None = None) -> DataFrame:
+def score_projects(star: dict[str, DataFrame], a: Artifact | Rule, ids: DataFrame | list[int] | None = None) -> DataFrame:
     """M13 for a set of projects (all when ``ids`` is None)."""
     f = FE.project_scoring_features(star, ids)
     f = encode(f, "project_type", a.labels, "project_type_enc")
-    s = _scored(a.model, _assemble(f, a.features))
+    s = a.score(f)
     p = F.col("score")
     hi, mid = COST_THRESHOLDS
     rec = (F.when(p >= hi, COST_ADVICE_HIGH).when(p >= mid, COST_ADVICE_MODERATE)
@@ -288,13 +312,13 @@ def score_projects(star: dict[str, DataFrame], a: Artifact, ids: DataFrame | lis
         F.struct(*[F.col(c) for c in a.features]).alias("features"))
 
 
-def score_equipment(star: dict[str, DataFrame], a: Artifact, as_of: _dt.date = FE.AS_OF,
+def score_equipment(star: dict[str, DataFrame], a: Artifact | Rule, as_of: _dt.date = FE.AS_OF,
                     ids: DataFrame | list[int] | None = None) -> DataFrame:
     """M14 for a set of machines; machines without usage get type code 0."""
     f = FE.maintenance_scoring_features(star, as_of, ids)
     f = encode(f, "equipment_type", a.labels, "equipment_type_enc").withColumn(
         "equipment_type_enc", F.when(F.col("has_usage") == 1, F.col("equipment_type_enc")).otherwise(F.lit(0).cast("long")))
-    s = _scored(a.model, _assemble(f, a.features))
+    s = a.score(f)
     p = F.col("score")
     days = days_until_maintenance(p)
     pct = percent_label(p)
@@ -324,7 +348,7 @@ def fleet_risk_band(p, days) -> Column:
             .otherwise("Routine"))
 
 
-def portfolio_risk(star: dict[str, DataFrame], a: Artifact) -> DataFrame:
+def portfolio_risk(star: dict[str, DataFrame], a: Artifact | Rule) -> DataFrame:
     """Started ACTIVE projects that have costs (J6 semi join), scored and banded."""
     p = star["dim_projects"].where((F.col("status") == "ACTIVE")
                                    & F.col("actual_start_date").isNotNull())
@@ -336,7 +360,7 @@ def portfolio_risk(star: dict[str, DataFrame], a: Artifact) -> DataFrame:
                     "recommendation").orderBy("project_name", "project_id")
 
 
-def fleet_risk(star: dict[str, DataFrame], a: Artifact, as_of: _dt.date = FE.AS_OF) -> DataFrame:
+def fleet_risk(star: dict[str, DataFrame], a: Artifact | Rule, as_of: _dt.date = FE.AS_OF) -> DataFrame:
     """Non-retired machines, scored and banded."""
     e = star["dim_equipment"].where(F.col("status") != "RETIRED")
     s = score_equipment(star, a, as_of, e.select("id"))
@@ -370,12 +394,12 @@ def days_band(days) -> Column:
     return F.when(d < 7, "bad").when(d <= 14, "warning").otherwise("good")
 
 
-def predict_project(star: dict[str, DataFrame], a: Artifact, project_id: int) -> DataFrame:
+def predict_project(star: dict[str, DataFrame], a: Artifact | Rule, project_id: int) -> DataFrame:
     """M13 for one project; an unknown id is a ValueError."""
     return score_projects(star, a, _known(star["dim_projects"], project_id, "project"))
 
 
-def predict_machine(star: dict[str, DataFrame], a: Artifact, equipment_id: int,
+def predict_machine(star: dict[str, DataFrame], a: Artifact | Rule, equipment_id: int,
                     as_of: _dt.date = FE.AS_OF) -> DataFrame:
     """M14 for one machine; an unknown id is a ValueError."""
     return score_equipment(star, a, as_of, _known(star["dim_equipment"], equipment_id, "machine"))
@@ -405,6 +429,13 @@ FEATURE_LABELS = {
 }
 
 
+def feature_coverage(frame: DataFrame, feats: list[str]) -> DataFrame:
+    """(feature, importance): the share of rows in which a feature has a value other than the filled-in 0, 4 dp."""
+    filled = _filled(frame, feats)
+    rows = filled.agg(F.count("*").alias("n"), *[F.count_if(F.col(c) != 0).alias(c) for c in feats])
+    return rows.unpivot("n", feats, "feature", "rows").select("feature", rnd(safe_div(F.col("rows"), "n"), 4).alias("importance"))
+
+
 def labelled_importance(importance: DataFrame) -> DataFrame:
     """Importances with display labels (unknown names kept)."""
     m = F.create_map(*[x for k, v in FEATURE_LABELS.items() for x in (F.lit(k), F.lit(v))])

@@ -154,3 +154,20 @@ def test_the_same_forest_for_any_number_of_shuffle_partitions(spark, site_star):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", given)
     assert scores[0] == scores[1]
+
+
+def test_rule_scores_missing_features_as_zero(spark):
+    """F9 before scoring, ties to class 0, and the share of rows with a value."""
+    rows = spark.createDataFrame([(1, None, 2.0), (2, float("nan"), 0.0), (3, float("inf"), 1.0), (4, 0.5, None), (5, 0.75, 3.0)], "id long, x double, y double")
+    rule = MD.Rule(F.col("x"), None, ["x", "y"])
+    got = {r.id: (r.score, r.prediction, r.y) for r in rule.score(rows).collect()}
+    assert got == {1: (0.0, 0, 2.0), 2: (0.0, 0, 0.0), 3: (0.0, 0, 1.0), 4: (0.5, 0, 0.0), 5: (0.75, 1, 3.0)}
+    assert {r.feature: r.importance for r in MD.feature_coverage(rows, ["x", "y"]).collect()} == {"x": 0.4, "y": 0.6}
+    assert {r.importance for r in MD.feature_coverage(rows.limit(0), ["x", "y"]).collect()} == {None}
+
+
+def test_rule_and_forest_share_populations(site_star, cost):
+    """M15 lists the same projects in the same order, whoever scores."""
+    rule = MD.Rule(F.lit(0.9), cost.labels, cost.features)
+    a, b = ([r.project_id for r in MD.portfolio_risk(site_star, m).collect()] for m in (cost, rule))
+    assert a == b

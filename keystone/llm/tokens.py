@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -20,7 +21,9 @@ _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 _BLANK = " \t\n\v\f\r\x85\xa0"
 PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANK}{_LETTERS}{_DIGITS}]+")
 MAX_WORDS = 500_000
-MAX_PIECES = 600_000
+MAX_PIECES = 250_000
+#: Characters up to which a word is remembered; longer ones are encoded each time.
+MAX_LENGTH = 64
 
 
 def default_vocabulary() -> str:
@@ -50,8 +53,9 @@ class LibraryEncoder:
     """Ids as little-endian uint16 bytes, made by the tokenizers library.
 
     The library sees each pre-token it hasn't met in this process once, many in
-    one call. Both memories stop growing at a fixed size; beyond it words are
-    encoded again each time.
+    one call. Words of letters are pre-tokens themselves; ``pieces`` holds other ones.
+    Both memories stop growing at a fixed number of words of bounded length; beyond it
+    words are encoded again in each batch.
     """
 
     def __init__(self, path: str):
@@ -83,27 +87,36 @@ class LibraryEncoder:
 
     def encode_batch(self, texts: list) -> list[bytes]:
         words = [plain_words(t) if t else [] for t in texts]
-        get = self.words.get
-        found = [None if ws is None else list(map(get, ws)) for ws in words]
-        short = [i for i, ids in enumerate(found) if ids is not None and None in ids]
-        extra = self._new_words({w for i in short for w, ids in zip(words[i], found[i], strict=True) if ids is None})
-        for i in short:
-            found[i] = [extra[w] if ids is None else ids for w, ids in zip(words[i], found[i], strict=True)]
-        return [b"".join(ids) if ids is not None else
+        distinct = set()
+        for ws in words:
+            if ws:
+                distinct.update(ws)
+        ids = dict(zip(distinct, map(self.words.get, distinct), strict=True))
+        new = [w for w, known in ids.items() if known is None]
+        if new:
+            ids.update(self._new_words(new))
+        of = ids.__getitem__
+        return [b"".join(map(of, ws)) if ws is not None else
                 np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes()
-                for t, ids in zip(texts, found, strict=True)]
-
-    def _new_words(self, new: set[str]) -> dict[str, bytes]:
-        cut = [(w, PRE_TOKENS.findall(w)) for w in new]
-        pieces = {p: self.pieces.get(p) for _, ps in cut for p in ps}
-        fresh = [p for p, ids in pieces.items() if ids is None]
-        made = dict(zip(fresh, self._encode_pieces(fresh), strict=True))
+                for t, ws in zip(texts, words, strict=True)]
+
+    def _new_words(self, new: list[str]) -> dict[str, bytes]:
+        letters = [w for w in new if w.isalpha()]       # up to U+00FF the letters of PRE_TOKENS
+        cut = [(w, PRE_TOKENS.findall(w)) for w in new if not w.isalpha()]
+        parts = {p for _, ps in cut for p in ps}.difference(letters)
+        pieces = {p: self.words.get(p) or self.pieces.get(p) for p in parts}
+        unknown = [p for p, ids in pieces.items() if ids is None]
+        raw = self._encode_pieces(letters + unknown)
+        out = dict(zip(letters, raw, strict=False))
+        made = dict(zip(unknown, raw[len(letters):], strict=True))
         pieces.update(made)
-        extra = {w: pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for w, ps in cut}
-        for store, more, most in ((self.pieces, made, MAX_PIECES), (self.words, extra, MAX_WORDS)):
-            if room := max(0, most - len(store)):
-                store.update(more if len(more) <= room else list(more.items())[:room])
-        return extra
+        pieces.update(out)
+        for w, ps in cut:
+            out[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+        for store, more, most in ((self.pieces, made, MAX_PIECES), (self.words, out, MAX_WORDS)):
+            if (room := most - len(store)) > 0:
+                store.update(islice(((w, ids) for w, ids in more.items() if len(w) <= MAX_LENGTH), room))
+        return out
 
 
 _encoders: dict = {}

@@ -32,8 +32,8 @@ from keystone.llm.tokens import LibraryEncoder, default_vocabulary, encoder
 from keystone.session import ensure_checkpoint_dir
 
 MAGIC = b"RANSBLK1"
-LANES = 1024
-CHECKPOINT = 64
+LANES = 2048
+CHECKPOINT = 32
 BLOCK_IDS = 1 << 18
 #: Bits of the scaled frequencies; states lie in [2**16, 2**32) and give or take 16 bits at a time.
 SCALE_BITS = 16

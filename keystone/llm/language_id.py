@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from keystone.llm.common import mix, powers, window_hashes
 
-#: Characters that ``\\w`` takes for words without being letters or decimal digits, such as fractions and Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Letters, and the numbers that ``\\w`` takes for words without being letters or decimal digits, such as fractions.
+RUN = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Words of more symbols, the mark included, go through the forward pass one at a time and rescaled.
 BATCHED = 24
@@ -32,7 +31,11 @@ FIT_SPREADS, LEAST_SPREAD = 8.0, 1.0
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Maximal runs of letters, in lower case."""
+    runs = RUN.findall(text.lower())
+    if "".join(runs).isalpha():
+        return runs
+    return [w for r in runs for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
 
 
 class Pieces:
@@ -46,7 +49,7 @@ class Pieces:
         for i in range(model.get_piece_size()):
             p = model.id_to_piece(i)
             body = p[1:] if p.startswith(MARK) else p
-            if not model.is_control(i) and not model.is_unknown(i) and not model.is_byte(i) and (p == MARK or WORD.fullmatch(body)):
+            if not model.is_control(i) and not model.is_unknown(i) and not model.is_byte(i) and (p == MARK or body.isalpha()):
                 self.index[p.lower()] = self.index.get(p.lower(), len(self.index))
         self.longest = max(map(len, self.index))
         hashes = np.array([int(window_hashes(symbols([p])[0], len(p))[0]) for p in self.index], dtype=np.uint64)

@@ -132,9 +132,13 @@ def _piece(day: Column, offsets: list[int]) -> Column:
     return F.greatest(*[F.date_add(F.trunc(F.date_sub(day, o), "month"), o) for o in offsets])
 
 
+#: Measures of a stretch that snapshots add up.
+STRETCH = ["h", "f", "ms", "mn", "rows", "last_maint"]
+
+
 def usage_by_stretch(usage: DataFrame, start: Column) -> DataFrame:
     """Usage per (machine, stretch of days): hours, fuel, positive maintenance sum / count
-    and its last day, rows. A machine that holds a large share of all usage has a
+    and its last day, rows, first and last day. A machine that holds a large share of all usage has a
     few rows for each month before any window sees it."""
     m = F.coalesce(F.col("maintenance_cost"), F.lit(0))
     return usage.groupBy("equipment_id", start.alias("from_day")).agg(
@@ -143,7 +147,7 @@ def usage_by_stretch(usage: DataFrame, start: Column) -> DataFrame:
         dec_sum(F.when(m > 0, m).otherwise(F.lit(0)), 4).alias("ms"),
         F.count(F.when(m > 0, 1)).alias("mn"),
         F.max(F.when(m > 0, F.col("date_id"))).alias("last_maint"),
-        F.count(F.lit(1)).alias("rows"))
+        F.count(F.lit(1)).alias("rows"), F.min("date_id").alias("first_day"), F.max("date_id").alias("last_day"))
 
 
 def _maintenance_features(age: Column, hours: Column, fuel: Column, recent: Column,
@@ -179,43 +183,43 @@ def maintenance_snapshots(star: dict[str, DataFrame], min_rows: int = 5,
     Machines need a purchase date and ≥ ``min_rows`` usage rows; snapshots are
     the month starts in [first use + 2 months, last use − 30 days]. All windows of
     a snapshot (history, last 90 days, the 90 before, next 30) begin or end a fixed
-    number of days from a month start, so usage is first summed to the stretches of
-    days between such borders. One running sum over a machine's stretches is read
-    at the four borders of each snapshot; the windows are differences of those.
+    number of days from a month start, so usage is read once and summed to the
+    stretches of days between such borders. They tell a machine's span; its snapshots are
+    unfolded in the partition that holds it, and the windows are ranges of days over both.
     """
     usage = star["fact_equipment_usage"]
-    stats = usage.groupBy("equipment_id").agg(                     # two columns of the fact, summed before the shuffle
-        F.count(F.lit(1)).alias("n"), F.min("date_id").alias("first_use"),
-        F.max("date_id").alias("last_use")).where(F.col("n") >= min_rows)
-    e = star["dim_equipment"].where(F.col("purchase_date").isNotNull()) \
-        .select(F.col("id").alias("eid"), "equipment_type", "purchase_date")
+    borders = sorted({0, -RECENT_DAYS, -OLDER_DAYS, horizon_days})
+    sums = usage_by_stretch(usage, _piece(F.col("date_id"), borders))
+    parts = int(usage.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = Window.partitionBy("equipment_id").orderBy("from_day")           # a few stretches for each month of use
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    u = sums.repartition(parts, "equipment_id").select(
+        "*", F.sum("rows").over(whole).alias("n"), F.min("first_day").over(whole).alias("first_use"),
+        F.max("last_day").over(whole).alias("last_use"), F.row_number().over(own).alias("place")).where(F.col("n") >= min_rows)
+    e = star["dim_equipment"].where(F.col("purchase_date").isNotNull()).groupBy(F.col("id").alias("eid")).agg(
+        F.collect_set(F.struct("equipment_type", "purchase_date")).alias("machine"))       # one, unless an id comes twice
     start = F.add_months("first_use", lead_months)
     first_snap = F.when(F.dayofmonth(start) == 1, start).otherwise(F.add_months(F.trunc(start, "month"), 1))
     last_snap = F.date_sub("last_use", horizon_days)
-    spine = (stats.join(e, stats.equipment_id == e.eid)
-             .select("equipment_id", "equipment_type", "purchase_date", first_snap.alias("s0"), last_snap.alias("s1"))
-             .where(F.col("s0") <= F.col("s1"))
-             .select("equipment_id", "equipment_type", "purchase_date",
-                     F.explode(F.sequence("s0", "s1", F.expr("INTERVAL 1 MONTH"))).alias("snap")))
-    borders = {"now": 0, "recent": -RECENT_DAYS, "older": -OLDER_DAYS, "after": horizon_days}
-    marks = spine.withColumn("mark", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("at"), F.date_add("snap", o).alias("from_day")) for k, o in borders.items()])))
-    sums = usage_by_stretch(usage, _piece(F.col("date_id"), sorted(borders.values())))
-    u = sums.unionByName(marks.select("equipment_id", "equipment_type", "purchase_date", "snap", "mark.*"), allowMissingColumns=True)
-
-    day = F.unix_date("from_day")
-    before = Window.partitionBy("equipment_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    measures = {"h": F.sum, "f": F.sum, "ms": F.sum, "mn": F.sum, "rows": F.sum, "last_maint": F.max}
-    run = u.withColumn("day", day).select("equipment_id", "equipment_type", "purchase_date", "snap", "at",
-                                          *[fn(c).over(before).alias(c) for c, fn in measures.items()]).where("at IS NOT NULL")
+    # a NULL for the stretch itself; a machine's snapshots stand behind its first one
+    rows = F.when((F.col("place") == 1) & (F.col("s0") <= F.col("s1")), F.concat(
+        F.array(F.lit(None).cast("date")), F.sequence("s0", "s1", F.expr("INTERVAL 1 MONTH")))) \
+        .otherwise(F.array(F.lit(None).cast("date")))
+    run = u.select("*", first_snap.alias("s0"), last_snap.alias("s1")) \
+        .join(e.hint("shuffle_hash"), F.col("equipment_id") == F.col("eid")) \
+        .select("equipment_id", "machine", "from_day", *STRETCH, F.explode(rows).alias("snap")) \
+        .select("equipment_id", "machine", "snap", F.unix_date(F.coalesce("snap", "from_day")).alias("day"),
+                *[F.when(F.col("snap").isNull(), F.col(c)).alias(c) for c in STRETCH])
+
+    days = Window.partitionBy("equipment_id").orderBy("day")
+    before = days.rangeBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
-    read = lambda c, at: F.max(F.when(F.col("at") == at, F.col(c)))                  # noqa: E731  one row for each border
-    total = lambda c, at: F.coalesce(read(c, at), zero)                              # noqa: E731
-    f = run.groupBy("equipment_id", "snap", "equipment_type", "purchase_date").agg(
-        *[read(c, "now").alias(c) for c in measures],
-        (total("f", "now") - total("f", "recent")).alias("recent"),
-        (total("f", "recent") - total("f", "older")).alias("older"),
-        (total("mn", "after") - total("mn", "now")).alias("future_events")).where("rows > 0")
+    over = lambda c, a, z: F.coalesce(F.sum(c).over(days.rangeBetween(a, z)), zero)                  # noqa: E731
+    f = run.select("equipment_id", "machine", "snap",
+                   *[(F.max if c == "last_maint" else F.sum)(c).over(before).alias(c) for c in STRETCH],
+                   over("f", -RECENT_DAYS, -1).alias("recent"), over("f", -OLDER_DAYS, -RECENT_DAYS - 1).alias("older"),
+                   over("mn", 0, horizon_days - 1).alias("future_events")).where("snap IS NOT NULL AND rows > 0") \
+        .select("*", F.inline("machine"))
 
     snap = F.col("snap")
     age = F.greatest(F.datediff(snap, "purchase_date"), F.lit(1))

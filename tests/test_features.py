@@ -76,3 +76,20 @@ def test_ids_reach_the_fact_before_it_is_summed(spark, site_star, tmp_path):
             assert "EqualTo(" in scan if isinstance(ids, list) else "BroadcastHashJoin" in plan and "LeftSemi" in plan, plan
     none = M.only_ids(star["dim_projects"], "id", [])
     assert none.count() == 0 and M.only_ids(star["dim_projects"], "id", None).count() == len(costs)
+
+
+def test_snapshots_read_usage_once_and_keep_both_histories_of_an_id(spark, site_star, tmp_path):
+    from pyspark.sql import functions as F
+
+    site_star["fact_equipment_usage"].write.parquet(str(tmp_path / "usage-once"))
+    e = site_star["dim_equipment"]
+    again = e.where("id = 1").withColumn("purchase_date", F.date_sub("purchase_date", 10))
+    star = site_star | {"fact_equipment_usage": spark.read.parquet(str(tmp_path / "usage-once")),
+                        "dim_equipment": e.unionByName(again).unionByName(e.where("id = 2"))}
+    found = FE.maintenance_snapshots(star)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    plain = sorted(map(tuple, FE.maintenance_snapshots(site_star).collect()))
+    age = found.columns.index("age_days")
+    older = [r for r in map(tuple, found.collect()) if r not in plain]
+    assert sorted(r for r in map(tuple, found.collect()) if r in plain) == plain
+    assert sorted((r[1], r[age]) for r in older) == sorted((r[1], r[age] + 10) for r in plain if r[0] == 1)

@@ -119,10 +119,10 @@ def stratified_split(df: DataFrame, label: str, id_cols: list[str], test_fractio
     seeded hash of the id columns. Without two classes of ≥ 2 rows the split is
     not stratified (first ceil(test_fraction·n) rows overall).
 
-    Classes are few (a label); ``df`` is read three times, or more if hashes collide
-    in 16 and more leading bits."""
-    hashed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)))
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    Classes are few (a label); ``df`` is computed once, and its copy is read three times, or
+    more if hashes collide in 16 and more leading bits."""
+    hashed = materialize(df.withColumn("_h", F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))), "split")
+    counts = {r[0]: r[1] for r in hashed.groupBy(label).count().collect()}
     if len(counts) > 1 and min(counts.values()) >= 2:
         last = _hash_quantiles(hashed, label, lambda n: int(math.floor(test_fraction * n + 0.5)))
         cuts = [F.col(label).eqNullSafe(F.lit(g)) & (F.col("_h") <= F.lit(h)) for g, h in last.items() if h is not None]

@@ -171,3 +171,16 @@ def test_rule_and_forest_share_populations(site_star, cost):
     rule = MD.Rule(F.lit(0.9), cost.labels, cost.features)
     a, b = ([r.project_id for r in MD.portfolio_risk(site_star, m).collect()] for m in (cost, rule))
     assert a == b
+
+
+def test_split_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(400).select("id", (F.col("id") % 3 == 0).cast("int").alias("y")).mapInArrow(look, "id long, y int")
+    assert MD.stratified_split(df, "y", ["id"]).where("is_test").count() == 101          # 34 of 134 and 67 of 266
+    assert seen.value == 400

@@ -173,6 +173,11 @@ def test_rule_and_forest_share_populations(site_star, cost):
     assert a == b
 
 
+def test_training_rows_lie_in_bounded_partitions():
+    """Each partition sends the sums of all open nodes, so their number must not follow the rows at 20 000 each."""
+    assert [MD.training_partitions(n) for n in (0, 1, 20_000, 20_001, 1_077_776, 6_500_000)] == [1, 1, 1, 2, 12, 22]
+
+
 def test_split_computes_its_input_once(spark):
     seen = spark.sparkContext.accumulator(0)
 

@@ -28,11 +28,12 @@ def _cost_sums(costs: DataFrame, projects: DataFrame, cutoff: Column) -> DataFra
 
     Costs are first summed per (project, day) — a partial aggregate that also
     bounds any hot project to one row per day — then joined to the projects and
-    split by the cutoff in one conditional aggregate (no theta join).
+    split by the cutoff in one conditional aggregate (no theta join). A task holds
+    its share of the cutoffs; the days are not sorted.
     """
     daily = costs.groupBy("project_id", "date_id").agg(
         dec_sum("amount", 4).alias("d_a"), dec_sum("budgeted_amount", 4).alias("d_b"))
-    p = projects.select(F.col("id").alias("pid"), cutoff.alias("cutoff"))
+    p = projects.select(F.col("id").alias("pid"), cutoff.alias("cutoff")).hint("shuffle_hash")
     j = daily.join(p, daily.project_id == p.pid)
     early = F.col("date_id") <= F.col("cutoff")
     zero = F.lit(0).cast("decimal(38,4)")
@@ -81,7 +82,8 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame | list[int] | None) -> Data
 
     A list becomes a filter that reaches the scan. A frame (column ``id``) is
     counted up to a bound first: within it, the fact is filtered where it is read, by
-    a broadcast semi join; beyond it, by a shuffled one.
+    a broadcast semi join; beyond it, by a shuffled one, in which a task holds its share
+    of the ids and rows already lie by ``key`` for the sums that follow.
     """
     if ids is None:
         return df
@@ -90,22 +92,27 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame | list[int] | None) -> Data
     wanted = ids.select(F.col("id").alias("_id")).distinct()
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
+    else:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df, wanted = df.repartition(parts, key), wanted.hint("shuffle_hash")
     return df.join(wanted, df[key] == wanted["_id"], "left_semi")
 
 
-def project_scoring_features(star: dict[str, DataFrame], ids: DataFrame | list[int] | None = None) -> DataFrame:
+def project_scoring_features(star: dict[str, DataFrame], ids: DataFrame | list[int] | None = None,
+                             costed: bool = False) -> DataFrame:
     """M13 features for any project (optionally only ``ids``: a list, or a frame with ``id``).
 
     A missing planned end counts as start + 365 days; no costs or no actual
     start gives early CPI 1.0. Projects without a planned start cannot be
-    scored and are left out (the single-entity form raises for them).
+    scored and are left out (the single-entity form raises for them). ``costed`` keeps
+    started projects that have costs.
     """
     p = only_ids(star["dim_projects"], "id", ids).where(F.col("planned_start_date").isNotNull())
     end = F.coalesce(F.col("planned_end_date"), F.date_add("planned_start_date", 365))
     planned = days_between(end, "planned_start_date")
     sums = _cost_sums(only_ids(star["fact_project_costs"], "project_id", ids), p.where(F.col("actual_start_date").isNotNull()),
                       _early_cutoff(F.col("actual_start_date"), planned))
-    out = p.join(sums, p.id == sums.project_id, "left")
+    out = p.join(sums, p.id == sums.project_id, "inner" if costed else "left")
     return out.select(
         F.col("id").alias("project_id"), "project_name", "project_type", "status",
         "contract_value",

@@ -301,9 +301,10 @@ def load_artifact(spark: SparkSession, path: str) -> Artifact:
 # ---------------------------------------------------------------------------
 # Scoring (M13-M18)
 # ---------------------------------------------------------------------------
-def score_projects(star: dict[str, DataFrame], a: Artifact | Rule, ids: DataFrame | list[int] | None = None) -> DataFrame:
-    """M13 for a set of projects (all when ``ids`` is None)."""
-    f = FE.project_scoring_features(star, ids)
+def score_projects(star: dict[str, DataFrame], a: Artifact | Rule, ids: DataFrame | list[int] | None = None,
+                   costed: bool = False) -> DataFrame:
+    """M13 for a set of projects (all when ``ids`` is None; ``costed``: those with a start and costs)."""
+    f = FE.project_scoring_features(star, ids, costed)
     f = encode(f, "project_type", a.labels, "project_type_enc")
     s = a.score(f)
     p = F.col("score")
@@ -355,11 +356,10 @@ def fleet_risk_band(p, days) -> Column:
 
 
 def portfolio_risk(star: dict[str, DataFrame], a: Artifact | Rule) -> DataFrame:
-    """Started ACTIVE projects that have costs (J6 semi join), scored and banded."""
+    """Started ACTIVE projects that have costs (J6), scored and banded."""
     p = star["dim_projects"].where((F.col("status") == "ACTIVE")
                                    & F.col("actual_start_date").isNotNull())
-    costed = star["fact_project_costs"].select("project_id").distinct()
-    s = score_projects(star, a, p.select("id")).join(costed, "project_id", "left_semi")
+    s = score_projects(star, a, p.select("id"), costed=True)       # the sums of their costs tell which have any
     return s.select("project_id", "project_name", title_case("project_type").alias("type"),
                     "contract_value", "overrun_probability", "prediction",
                     project_risk_band("overrun_probability").alias("risk_level"),

@@ -93,3 +93,12 @@ def test_snapshots_read_usage_once_and_keep_both_histories_of_an_id(spark, site_
     older = [r for r in map(tuple, found.collect()) if r not in plain]
     assert sorted(r for r in map(tuple, found.collect()) if r in plain) == plain
     assert sorted((r[1], r[age]) for r in older) == sorted((r[1], r[age] + 10) for r in plain if r[0] == 1)
+
+
+def test_ids_beyond_the_broadcast_bound_sort_no_fact(spark, site_star, monkeypatch):
+    want = sorted(map(str, FE.project_scoring_features(site_star, site_star["dim_projects"].select("id")).collect()))
+    monkeypatch.setattr(FE, "BROADCAST_IDS", 3)
+    found = FE.project_scoring_features(site_star, site_star["dim_projects"].select("id"))
+    assert sorted(map(str, found.collect())) == want
+    kept = FE.only_ids(site_star["fact_project_costs"], "project_id", site_star["dim_projects"].select("id"))
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().sparkPlan().toString()

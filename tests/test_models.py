@@ -189,3 +189,12 @@ def test_split_computes_its_input_once(spark):
     df = spark.range(400).select("id", (F.col("id") % 3 == 0).cast("int").alias("y")).mapInArrow(look, "id long, y int")
     assert MD.stratified_split(df, "y", ["id"]).where("is_test").count() == 101          # 34 of 134 and 67 of 266
     assert seen.value == 400
+
+
+def test_portfolio_reads_costs_once(spark, site_star, tmp_path):
+    site_star["fact_project_costs"].write.parquet(str(tmp_path / "costs-once"))
+    star = site_star | {"fact_project_costs": spark.read.parquet(str(tmp_path / "costs-once"))}
+    rule = MD.Rule(F.lit(0.9), MD.fit_label_encoder(star["dim_projects"], "project_type"), MD.FE.COST_FEATURES)
+    risk = MD.portfolio_risk(star, rule)
+    assert [r.project_id for r in risk.collect()] == [3]
+    assert risk._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1

@@ -1,9 +1,8 @@
 """The deterministic project structure, as set-based Spark jobs.
 
 Windows, phases, weekly spines, budget allocation and inspection dates are
-computed for real project rows. Exploded spines are joined with sort-merge
-hints: their planner size estimate does not include the explode fan-out, so
-Spark must not pick them as a broadcast side.
+computed for real project rows. Spines are unfolded after the joins: their planner
+size estimate does not include the explode fan-out, so they are no join's side.
 """
 
 from __future__ import annotations
@@ -66,24 +65,34 @@ def phase_attr(idx: Column, field: str) -> Column:
     return F.element_at(F.array(*[F.lit(getattr(p, field)) for p in PHASES]), idx + 1)
 
 
+def _mondays() -> Column:
+    first = F.next_day(F.date_sub("start", 1), "Mon")
+    return F.when(first <= F.col("end"), F.sequence(first, F.col("end"), F.expr("INTERVAL 7 DAYS"))) \
+            .otherwise(F.array(F.col("start")))
+
+
 def weekly_spine(windows: DataFrame) -> DataFrame:
     """The Mondays of each window (the start itself when it holds no Monday)."""
-    first = F.next_day(F.date_sub("start", 1), "Mon")
-    weeks = F.when(first <= F.col("end"), F.sequence(first, F.col("end"), F.expr("INTERVAL 7 DAYS"))) \
-             .otherwise(F.array(F.col("start")))
-    return windows.select("project_id", "start", "end", "ref_end", F.explode(weeks).alias("week"))
+    return windows.select("project_id", "start", "end", "ref_end", F.explode(_mondays()).alias("week"))
 
 
 def budget_allocation(windows: DataFrame, basis: DataFrame) -> DataFrame:
     """Weekly budget per category: basis · category split · phase weight ÷
-    weeks in that phase (``basis``: project_id, basis)."""
-    sp = weekly_spine(windows).hint("merge").join(basis, "project_id")
-    sp = sp.withColumn("phase", phase_index(F.col("start"), F.col("ref_end"), F.col("week")))
-    sp = sp.withColumn("weeks_in_phase",
-                       F.count(F.lit(1)).over(Window.partitionBy("project_id", "phase")))
-    cats = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(s).alias("split"))
-                     for c, s in CATEGORY_SPLITS])
-    x = sp.select("*", F.explode(cats).alias("c"))
+    weeks in that phase (``basis``: project_id, basis).
+
+    Weeks are counted per phase while a project is still one row, and unfolded last: no
+    week is shuffled or sorted."""
+    phase = lambda week: phase_index(F.col("start"), F.col("ref_end"), week)                       # noqa: E731
+    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # by the weeks to come, not by these few bytes
+    x = windows.repartition(parts, "project_id").join(basis.hint("shuffle_hash"), "project_id").withColumn("weeks", _mondays()) \
+        .withColumn("phases", F.transform("weeks", phase))
+    own = lambda k: F.size(F.filter("phases", lambda i: i == k)).cast("long")                      # noqa: E731
+    whole = Window.partitionBy("project_id")               # one row a project, more if its id repeats
+    x = x.withColumn("in_phase", F.array(*[F.sum(own(k)).over(whole) for k in range(len(PHASES))]))
+    cells = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(s).alias("split")) for c, s in CATEGORY_SPLITS])
+    x = x.select("project_id", "basis", "in_phase", F.explode(F.arrays_zip("weeks", "phases")).alias("w")) \
+        .select("project_id", "basis", F.col("w.weeks").alias("week"), F.col("w.phases").alias("phase"),
+                F.element_at("in_phase", F.col("w.phases") + 1).alias("weeks_in_phase"), F.explode(cells).alias("c"))
     weight = phase_attr(F.col("phase"), "cost_weight")
     return x.select(
         "project_id", F.col("week").alias("date_id"),

@@ -33,3 +33,27 @@ def test_calendar_2022_2026(spark):
 
 def test_empty_range(spark):
     assert calendar_dates(spark, _dt.date(2022, 1, 2), _dt.date(2022, 1, 1)).count() == 0
+
+
+def test_budget_weeks_are_unfolded_after_the_last_shuffle(spark):
+    """Also for ids that come twice: every week of a phase counts, whichever row it is from."""
+    from collections import Counter
+
+    import datetime as dt
+
+    from keystone.sources import generate as G
+
+    d = dt.date
+    windows = spark.createDataFrame([(1, d(2023, 1, 4), d(2023, 6, 1), d(2023, 6, 1)), (1, d(2023, 1, 4), d(2023, 3, 1), d(2023, 6, 1)),
+                                     (2, d(2023, 1, 4), d(2023, 1, 6), d(2023, 1, 6)), (None, d(2023, 1, 4), d(2023, 2, 6), d(2023, 2, 6))],
+                                    "project_id long, start date, end date, ref_end date")
+    basis = spark.createDataFrame([(1, 1000.0), (1, 50.0), (2, None)], "project_id long, basis double")
+    out = G.budget_allocation(windows, basis)
+    rows = out.collect()
+    weeks = G.weekly_spine(windows).join(basis, "project_id").count()
+    assert len(rows) == 5 * weeks > 0
+    counted = Counter((r.project_id, r.phase) for r in rows)
+    assert all(r.weeks_in_phase * 5 == counted[r.project_id, r.phase] for r in rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.rindex("Generate") < plan.index("Exchange")

@@ -112,3 +112,20 @@ def test_load_if_absent_and_overwrite(spark, site_star, tmp_path):
     assert counts(spark, root)["dim_projects"] == 16
     W.save_star(one, root, "overwrite", ["dim_projects"])
     assert counts(spark, root)["dim_projects"] == 1
+
+
+def test_lines_meet_many_orders_without_a_sort(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from keystone.sources import star as S
+
+    orders = [(k, k % 3, dt.datetime(1998, 1, 1)) for k in range(20)]
+    lines = [(k % 25, 1, 1 + k % 7, 5.0, 100.0, 0.01, dt.datetime(1998, 2, 1), "R", 3) for k in range(90)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, "
+                                 "l_shipdate timestamp, l_returnflag string, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    small = S.load_star(spark, str(tmp_path))["fact_project_costs"]
+    monkeypatch.setattr(S, "HASH_JOIN_BYTES", 0)
+    large = S.load_star(spark, str(tmp_path))["fact_project_costs"]
+    assert "ShuffledHashJoin" in large._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) and large.count()

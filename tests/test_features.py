@@ -102,3 +102,23 @@ def test_ids_beyond_the_broadcast_bound_sort_no_fact(spark, site_star, monkeypat
     assert sorted(map(str, found.collect())) == want
     kept = FE.only_ids(site_star["fact_project_costs"], "project_id", site_star["dim_projects"].select("id"))
     assert "SortMergeJoin" not in kept._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sums_of_larger_tables_are_dealt_by_size(spark, site_star, tmp_path, monkeypatch):
+    """A task's share of costs, daily sums and cutoffs must not follow the input."""
+    import re
+
+    from keystone import session
+    from keystone.plans import features as FE
+
+    site_star["fact_project_costs"].write.parquet(str(tmp_path / "costs"))
+    star = site_star | {"fact_project_costs": spark.read.parquet(str(tmp_path / "costs"))}
+    small = sorted(map(str, FE.project_scoring_features(star).collect()))
+    assert session.partitions_for(site_star["fact_project_costs"]) == session.partitions_for(star["fact_project_costs"]) == 4
+    monkeypatch.setattr(session, "PARTITION_BYTES", -(-session.input_bytes(star["fact_project_costs"]) // 9))
+    for few in (FE.BROADCAST_IDS, 2):
+        monkeypatch.setattr(FE, "BROADCAST_IDS", few)
+        got = FE.project_scoring_features(star, star["dim_projects"].select("id"))
+        assert sorted(map(str, got.collect())) == small
+        plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(project_id#\d+L?(, date_id#\d+)?, 9\)", plan) and re.search(r"hashpartitioning\(pid#\d+L?, 9\)", plan)

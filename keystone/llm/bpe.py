@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystone.llm.common import key_as_text
-from keystone.llm.tokens import PRE_TOKENS, default_vocabulary, encoder, plain_words
+from keystone.llm.tokens import PRE_TOKENS, byte_letters, default_vocabulary, encoder, plain_words
 
 SCAN_MAX = 96
 NO_RANK = 1 << 60
@@ -30,16 +30,6 @@ MAX_WORDS = 250_000
 ANY_SCRIPT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
-def byte_letters() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies.
-
-    Printable bytes stand for themselves; the others take U+0100 onwards in order.
-    """
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
-
-
 class RankArrayBPE:
     """Encoder and decoder over the vocabulary, merges and normaliser of a tokenizer file."""
 

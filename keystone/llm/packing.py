@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystone.llm.common import key_as_text, scratch_table
-from keystone.llm.tokens import LibraryEncoder, default_vocabulary, encoder
+from keystone.llm.tokens import LibraryEncoder, batches_of, default_vocabulary, encoder
 
 
 def sum_of_squares_pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +57,14 @@ def pieces_of(documents: DataFrame, vocabulary: str, capacity: int, end_id: int)
     def run(batches):
         enc = encoder(LibraryEncoder, vocabulary)
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at:at + 200]
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            for a, b in batches_of(texts):
                 rows = []
-                for doc, raw in zip(part["doc_id"], enc.encode_batch([t if isinstance(t, str) else "" for t in part["text"]]), strict=True):
+                for doc, raw in zip(pdf["doc_id"].iloc[a:b], enc.encode_batch(texts[a:b]), strict=True):
                     ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id)).astype("<u4")
-                    for piece, a in enumerate(range(0, len(ids), capacity)):
-                        x = ids[a:a + capacity]
-                        rows.append((doc, piece, a, len(x), zlib.crc32(x.tobytes())))
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
+                        x = ids[start:start + capacity]
+                        rows.append((doc, piece, start, len(x), zlib.crc32(x.tobytes())))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
     return key_as_text(documents).mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystone.llm.common import discard, key_as_text, scratch_table
-from keystone.llm.tokens import LibraryEncoder, default_vocabulary, encoder
+from keystone.llm.tokens import LibraryEncoder, batches_of, default_vocabulary, encoder
 from keystone.session import ensure_checkpoint_dir
 
 MAGIC = b"RANSBLK1"
@@ -149,10 +149,10 @@ def token_ids(documents: DataFrame, path: str, end_id: int) -> DataFrame:
         enc = encoder(LibraryEncoder, path)
         end = np.array([end_id], dtype="<u2").tobytes()
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at:at + 200]
-                raw = [r + end for r in enc.encode_batch([t if isinstance(t, str) else "" for t in part["text"]])]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(r) // 2 for r in raw], "ids": raw})
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            for a, b in batches_of(texts):
+                raw = [r + end for r in enc.encode_batch(texts[a:b])]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b], "n_tokens": [len(r) // 2 for r in raw], "ids": raw})
     out = key_as_text(documents).mapInPandas(run, "doc_id string, n_tokens long, ids binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 

@@ -8,7 +8,7 @@ import pytest
 from keystone.llm.bpe import RankArrayBPE, bpe_round_trip
 from keystone.llm.packing import pack_documents, sum_of_squares_pack
 from keystone.llm.token_files import FrequencyTable, decode_block, encode_block, token_file_index
-from keystone.llm.tokens import default_vocabulary
+from keystone.llm.tokens import LibraryEncoder, batches_of, default_vocabulary
 
 ODD = [None, "", " \n\t ", "a\x1cb", "<|endoftext|>x<|startoftext|> y", "naïve ﬁ Ω日本語 ①½ don't I'LL 'sabc .'s ''s x'RE",
        "É́ é İSTANBUL ΑΣ", "z" * 3000, "\xa0a\x85b　c", "ab" * 200 + "!?" * 300, "a­b", "1234 12a ²³¼ª",
@@ -37,6 +37,40 @@ def test_round_trip_equals_the_library(llm, docs_of, corpus, library):
             assert out["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_words_are_looked_up_once_for_all_texts_encoded_together(library):
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, *key):
+            Counted.looked_up += 1
+            return super().get(*key)
+
+    texts = ["the storm", "Storm of the sea"] * 1000
+    assert list(batches_of(texts)) == [(0, 2000)] and list(batches_of([])) == []
+    enc = LibraryEncoder(default_vocabulary())
+    enc.words = Counted()
+    one, two = (library.encode(t, add_special_tokens=False).ids for t in texts[:2])
+    assert [np.frombuffer(r, "<u2").tolist() for r in enc.encode_batch(texts)] == [one, two] * 1000
+    assert Counted.looked_up == 4
+
+
+def test_batches_are_bounded_and_hold_every_text():
+    texts = ["", "a" * 3_000_000, "b" * 2_000_000, "", "c" * 9_000_000, "d"]
+    assert list(batches_of(texts)) == [(0, 2), (2, 4), (4, 5), (5, 6)]
+
+
+def test_any_characters_are_encoded_as_by_the_library(library):
+    rng = np.random.default_rng(3)
+    letters = ["a", "B", "é", "É", "ß", "µ", "²", "1", "'s", "'LL", "'", "-", "\x1c", "\x1f", "\x85", "\xa0", " ", "  ", "\n", "\x0b", "\0", "\x7f", "\xad",
+               "×", "the", "中", "İ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters[:25 if i % 2 else None], rng.integers(0, 25))) for i in range(1500)] + [t or "" for t in ODD]
+    enc = LibraryEncoder(default_vocabulary())
+    for _ in range(2):                  # the second time from memory
+        got = [np.frombuffer(r, "<u2").tolist() for r in enc.encode_batch(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc.encode_batch([]) == [] and enc.encode_batch(["", " "]) == [b"", b""]
+
+
 def test_scan_and_heap_merge_alike():
     bpe = RankArrayBPE(default_vocabulary())
     rng = np.random.default_rng(1)

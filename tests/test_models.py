@@ -112,6 +112,24 @@ def test_codes_of_labels(spark):
     assert got == {"a": 0, "b": 1, "c": 0, None: 0}
 
 
+def test_both_sets_are_scored_side_by_side_in_as_many_partitions(site_star, monkeypatch):
+    import threading
+
+    meet, parts, real = threading.Barrier(2, timeout=60), [], MD.binary_metrics
+
+    def together(rows, label):
+        meet.wait()                      # breaks unless the other set's metrics are on their way
+        parts.append(rows.rdd.getNumPartitions())
+        return real(rows, label)
+
+    monkeypatch.setattr(MD, "binary_metrics", together)
+    monkeypatch.setattr(MD, "training_partitions", lambda rows: 3)
+    trained = MD.train_cost_overrun_model(site_star, num_trees=3)
+    assert parts == [3, 3]
+    train, test = trained.train_metrics.first(), trained.test_metrics.first()
+    assert train.n + test.n == 14 and 0 < test.n < train.n
+
+
 def test_two_writers_of_a_model(spark, site_star, cost, tmp_path):
     """Versions never mix: a reader has the one or the other, whole; an opened one stays readable."""
     from concurrent.futures import ThreadPoolExecutor

@@ -130,6 +130,35 @@ def test_both_sets_are_scored_side_by_side_in_as_many_partitions(site_star, monk
     assert train.n + test.n == 14 and 0 < test.n < train.n
 
 
+def test_parts_of_a_model_are_stored_side_by_side(spark, cost, tmp_path, monkeypatch):
+    """And node ids of rows times trees are never written out while it is trained; nothing is published if a part fails."""
+    import threading
+
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    meet, real, path = threading.Barrier(6, timeout=60), DataFrameWriter.parquet, str(tmp_path / "cost")
+    assert cost.model.getCacheNodeIds() and cost.model.getCheckpointInterval() == -1
+
+    def together(self, to, *a, **b):
+        meet.wait()                      # breaks unless all six tables are on their way
+        return real(self, to, *a, **b)
+
+    def broken(self, to, *a, **b):
+        if to.endswith("labels"):
+            raise OSError("full")
+        return real(self, to, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(OSError):
+        MD.save_artifact(cost, path)
+    with pytest.raises(FileNotFoundError):
+        MD.load_artifact(spark, path)
+    monkeypatch.setattr(DataFrameWriter, "parquet", together)
+    MD.save_artifact(cost, path)
+    monkeypatch.undo()
+    assert MD.load_artifact(spark, path).feature_importance.collect() == cost.feature_importance.collect()
+
+
 def test_two_writers_of_a_model(spark, site_star, cost, tmp_path):
     """Versions never mix: a reader has the one or the other, whole; an opened one stays readable."""
     from concurrent.futures import ThreadPoolExecutor

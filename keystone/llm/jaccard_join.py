@@ -52,6 +52,8 @@ PIVOTS = (1,)
 #: whatever the input; groups of fewer copies than there are tokens for each counter look like noise.
 COUNTERS = 1 << 22
 CHUNKS = 64
+#: Tokens of a partition that are held before they are counted, beside one text.
+HELD = 1 << 18
 
 
 def differing(n, percent: int):
@@ -95,9 +97,9 @@ def _token_counts(words: int):
         held, size = [], 0
 
         def add():
-            nonlocal total, held, size
-            if held:
-                total += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            nonlocal held, size
+            if held:            # in place: a second set of counters would double what a worker holds
+                np.add.at(total, (np.concatenate(held) % np.uint64(COUNTERS)).view(np.int64), 1)
             held, size = [], 0
 
         for pdf in batches:
@@ -106,7 +108,7 @@ def _token_counts(words: int):
                 if len(w) >= words:
                     held.append(window_hashes(w, words))
                     size += len(w)
-                    if size > COUNTERS:
+                    if size > HELD:
                         add()
         add()
         if total.any():

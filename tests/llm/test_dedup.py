@@ -217,3 +217,26 @@ def test_null_and_repeated_ids_are_no_key(docs_of):
     assert {r[2] for r in got if r[0] in (6, 7)} == {6} and {r[2] for r in got if r[0] == 5} == {5}
     kept = one_of_each_group(docs_of(rows), words=3, percent=90)
     assert kept.where("doc_id = 5").count() == 20 and kept.where("doc_id in (6, 7)").count() == 1
+
+
+def test_tokens_are_counted_in_little_memory():
+    """Counters once and few tokens at a time; a second set of counters and millions of held tokens came to 200 MB a worker."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from keystone.llm import jaccard_join as J
+
+    texts = [" ".join(f"w{(i * j) % 9973}" for j in range(1, 4000)) for i in range(1, 200)] + [None, "", "a b"]
+    tracemalloc.start()
+    (out,) = J._token_counts(3)(iter([pd.DataFrame({"text": texts})]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = np.concatenate([np.frombuffer(J.zlib.decompress(c), dtype=np.int64) for c in out["counts"]])
+    want = np.zeros(J.COUNTERS, dtype=np.int64)
+    for t in texts[:-3]:
+        w = J.window_hashes(J.word_hashes(t.encode()), 3)
+        want += np.bincount((w % np.uint64(J.COUNTERS)).astype(np.int64), minlength=J.COUNTERS)
+    assert (got == want).all() and got.sum() == 199 * 3997
+    assert peak < J.COUNTERS * 8 * 1.6

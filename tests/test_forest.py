@@ -79,12 +79,25 @@ def test_bootstrap_counts_are_poisson():
 def test_bins_lie_between_few_values_or_weighted_quantiles(spark):
     df = spark.range(8000).select((F.col("id") % 3).cast("double").alias("few"), (F.col("id") / 8000.0).alias("many"), F.lit(7.0).alias("one"),
                                   (F.col("id") >= 6000).cast("long").alias("y"))
-    few, many, one = FO.bin_ends(df, "y", ["few", "many", "one"], (8000 / 12000, 8000 / 4000))
+    few, many, one = FO.bin_ends(df.repartition(3), "y", ["few", "many", "one"], (8000 / 12000, 8000 / 4000))
     assert few.tolist() == [0.5, 1.5] and one.tolist() == [] and len(many) == 31
     share = [v / 0.75 / 2 if v < 0.75 else 0.5 + (v - 0.75) * 2 for v in many]          # classes weigh the same
     assert max(abs(s - (k + 1) / 32) for k, s in enumerate(share)) < 0.01
 
 
+def test_bins_do_not_depend_on_the_partitions_that_rows_come_from(spark):
+    """With more rows than a partition tells values of."""
+    df = spark.range(60_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / 7.0).alias("x"), F.when(F.xxhash64("id", F.lit(1)) % 9 == 0, 1).otherwise(0).cast("long").alias("y"))
+    given, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            seen.append(FO.bin_ends(FO.dealt(df.repartition(parts), "y", ["x"], ["id"], 3), "y", ["x"], (0.6, 4.5))[0].tolist())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+    assert seen[0] == seen[1] and len(seen[0]) == 31
+
+
 def test_as_good_as_sparks_forest(rows, weights):
     train, test = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
     own = FO.fit(train, "y", ["a", "b"], ["id"], weights, 30, 5, 3, 2, 42)
